@@ -106,7 +106,11 @@ def v4_claim_coverage(cases: DataFrame, claims: DataFrame, paragraphs: DataFrame
     c = _per_case(cases, sides).withColumn("n_bad", F.when(_zero("left_only") > 0, F.col("left_only")).otherwise(F.col("right_only")))
     status = F.when(_zero("n_left") == 0, "skipped").when((F.col("left_only") > 0) | (F.col("right_only") > 0), "fail").otherwise("pass")
     level = F.when((_zero("n_left") > 0) & (_zero("left_only") == 0) & (_zero("right_only") > 0), "amber").otherwise("red")
-    return _results(c, "V4", status, level, "n_left", "n_bad"), _left_only(sides, "V4")
+    results = _results(c, "V4", status, level, "n_left", "n_bad")
+    surplus = sides.filter((F.col("in_right") == 1) & (F.col("in_left") == 0)) \
+        .join(results.filter((F.col("status") == "fail") & (F.col("level") == "amber")).select("case_id"), "case_id", "left_semi") \
+        .select("case_id", F.lit("V4").alias("check_id"), "item")
+    return results, _left_only(sides, "V4").unionByName(surplus)
 
 
 def v5_effective_at_act(cases: DataFrame, paragraphs: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
