@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docketry import values as V
-from docketry.functions.text import ascii_digits, blank_to_null, drop_blanks, lits, match_spans, strip, unify_variants
+from docketry.functions.text import (
+    ascii_digits, bind, blank_to_null, drop_blanks, groups, lits, match_spans, strip, unify_variants,
+)
 
 
 def _one_of(words: list[str]) -> str:
@@ -15,24 +17,26 @@ def _one_of(words: list[str]) -> str:
 
 def _cut_lead_words(law: Column) -> Column:
     """What follows the last lead word, as long as two characters remain."""
-    size = F.length(law)
-    ends = []
-    for word in V.LAW_LEAD_WORDS:
-        from_right = F.locate(word[::-1], F.reverse(law))
-        ends.append(F.when((from_right > 0) & (from_right > 2), size - from_right + 1).otherwise(0))
-    return F.substr(law, F.greatest(*ends) + 1)
+    def cut(backwards: Column) -> Column:
+        kept = [bind(F.locate(word[::-1], backwards),
+                     lambda at: F.when(at > 2, F.length(law) - at + 1).otherwise(0)) for word in V.LAW_LEAD_WORDS]
+        return F.substr(law, F.greatest(*kept) + 1)
+
+    return bind(F.reverse(law), cut)
 
 
 def resolve_law(raw: Column) -> Column:
     """Proper law name of a captured name, which may carry subject and verb in front."""
-    law = unify_variants(drop_blanks(F.coalesce(raw, F.lit(""))))
-    # the leftmost match that reaches the end is the longest registered suffix
-    registered = F.regexp_extract(law, _one_of(V.REGISTERED_LAWS) + r"\z", 0)
-    first_char_lost = F.get(
-        F.filter(lits([name for name in V.REGISTERED_LAWS if len(name) >= 5]),
-                 lambda name: F.endswith(law, F.substring(name, 2, 100))), F.lit(0))
-    pronoun = F.regexp_extract(law, _one_of(V.PRONOUN_LAWS) + r"\z", 0)
-    return F.coalesce(blank_to_null(registered), first_char_lost, blank_to_null(pronoun), _cut_lead_words(law))
+    def resolve(law: Column) -> Column:
+        # the leftmost match that reaches the end is the longest registered suffix
+        registered = F.regexp_extract(law, _one_of(V.REGISTERED_LAWS) + r"\z", 0)
+        first_char_lost = F.get(
+            F.filter(lits([name for name in V.REGISTERED_LAWS if len(name) >= 5]),
+                     lambda name: F.endswith(law, F.substring(name, 2, 100))), F.lit(0))
+        pronoun = F.regexp_extract(law, _one_of(V.PRONOUN_LAWS) + r"\z", 0)
+        return F.coalesce(blank_to_null(registered), first_char_lost, blank_to_null(pronoun), _cut_lead_words(law))
+
+    return bind(unify_variants(drop_blanks(F.coalesce(raw, F.lit("")))), resolve)
 
 
 def _number(digits: Column) -> Column:
@@ -44,15 +48,15 @@ def citation_text(law: Column, article: Column, sub: Column) -> Column:
     return F.concat(law, F.lit("第"), _number(article), F.lit("條"), tail)
 
 
-def _parts(hit: Column, pattern: str) -> Column:
-    def pick(*ids: int) -> Column:
-        return F.coalesce(*[blank_to_null(F.regexp_extract(hit, pattern, i)) for i in ids])
+def _parts(hit: Column) -> Column:
+    """Struct of a citation from the matched text; the five groups are law, §-form and article form."""
+    def build(g: Column) -> Column:
+        article, sub = F.concat(g[1], g[3]), F.concat(g[2], g[4])
+        return bind(resolve_law(g[0]), lambda law: F.struct(
+            law.alias("law"), _number(article).alias("article"), blank_to_null(_number(sub)).alias("sub_article"),
+            citation_text(law, article, sub).alias("citation")))
 
-    law, article, sub = resolve_law(F.regexp_extract(hit, pattern, 1)), pick(2, 4), pick(3, 5)
-    return F.struct(
-        law.alias("law"), _number(article).alias("article"), _number(sub).alias("sub_article"),
-        citation_text(law, article, sub).alias("citation"),
-    )
+    return bind(groups(hit, V.CITATION_PATTERN, 5), build)
 
 
 def _is_named(part: Column) -> Column:
@@ -61,9 +65,8 @@ def _is_named(part: Column) -> Column:
 
 def parse_citation(cite: Column) -> Column:
     """One citation as struct<law, article, sub_article, citation>; null when the text does not start with one."""
-    text = ascii_digits(strip(cite))
-    part = _parts(text, "^" + V.CITATION_PATTERN)
-    return F.when(text.rlike("^" + V.CITATION_PATTERN) & _is_named(part), part)
+    hit = F.regexp_extract(ascii_digits(strip(cite)), "^" + V.CITATION_PATTERN, 0)
+    return bind(hit, lambda h: F.when(h != "", bind(_parts(h), lambda part: F.when(_is_named(part), part))))
 
 
 def normalize_citation(cite: Column) -> Column:
@@ -73,7 +76,7 @@ def normalize_citation(cite: Column) -> Column:
 def extract_citations(text: Column) -> Column:
     """Distinct citations of a text in order of first appearance; pronoun laws are left out."""
     hits = F.regexp_extract_all(ascii_digits(F.coalesce(text, F.lit(""))), F.lit(V.CITATION_PATTERN), F.lit(0))
-    return F.array_distinct(F.filter(F.transform(hits, lambda hit: _parts(hit, V.CITATION_PATTERN)), _is_named))
+    return F.array_distinct(F.filter(F.transform(hits, _parts), _is_named))
 
 
 def citation_names(text: Column) -> Column:
@@ -82,41 +85,42 @@ def citation_names(text: Column) -> Column:
 
 def malformed_citations(text: Column) -> Column:
     """Broken article marks, each with the characters around its start."""
-    plain = ascii_digits(F.coalesce(text, F.lit("")))
-
-    def window(span: Column) -> Column:
-        start = F.greatest(F.lit(0), span["start"] - V.MALFORMED_CONTEXT)
-        return F.translate(plain.substr(start + 1, span["start"] + V.MALFORMED_CONTEXT - start), "\n", " ")
+    def find(plain: Column) -> Column:
+        def window(span: Column) -> Column:
+            return bind(F.greatest(F.lit(0), span["start"] - V.MALFORMED_CONTEXT), lambda start: F.translate(
+                plain.substr(start + 1, span["start"] + V.MALFORMED_CONTEXT - start), "\n", " "))
 
-    return F.transform(match_spans(plain, V.MALFORMED_PATTERN), window)
+        return F.transform(match_spans(plain, V.MALFORMED_PATTERN), window)
 
+    return bind(ascii_digits(F.coalesce(text, F.lit(""))), find)
 
-def follow_on_citations(text: Column) -> Column:
-    """Articles joined to an earlier citation take over the law named last before them."""
-    plain = ascii_digits(F.coalesce(text, F.lit("")))
-    known = extract_citations(plain)
 
+def _followers(plain: Column, known: Column) -> Column:
     def one(span: Column) -> Column:
         before = F.try_element_at(extract_citations(plain.substr(F.lit(1), span["start"])), F.lit(-1))
         law = F.coalesce(before["law"], F.get(known, F.lit(0))["law"])
-        return citation_text(law, F.regexp_extract(span["hit"], V.FOLLOW_ON_PATTERN, 1),
-                             F.regexp_extract(span["hit"], V.FOLLOW_ON_PATTERN, 2))
+        return bind(groups(span["hit"], V.FOLLOW_ON_PATTERN, 2), lambda g: citation_text(law, g[0], g[1]))
 
-    none = F.array().cast("array<string>")
-    follows = plain.rlike(V.FOLLOW_ON_PATTERN) & plain.rlike(V.CITATION_PATTERN)
-    return F.when(follows & (F.size(known) > 0), F.transform(match_spans(plain, V.FOLLOW_ON_PATTERN), one)).otherwise(none)
+    return F.when(F.size(known) > 0, F.transform(match_spans(plain, V.FOLLOW_ON_PATTERN), one)) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def follow_on_citations(text: Column) -> Column:
+    """Articles joined to an earlier citation take over the law named last before them."""
+    return bind(ascii_digits(F.coalesce(text, F.lit(""))),
+                lambda plain: bind(extract_citations(plain), lambda known: _followers(plain, known)))
 
 
 def reconcile_cites(declared: Column, text: Column) -> Column:
     """Declared, then written out, then followed-on citations, distinct and in that order."""
     named = F.transform(F.coalesce(declared, F.array().cast("array<string>")),
                         lambda cite: F.coalesce(normalize_citation(cite), strip(cite)))
-    every = F.concat(named, citation_names(text), follow_on_citations(text))
-    return F.array_distinct(F.filter(every, lambda cite: cite != ""))
+    written = bind(ascii_digits(F.coalesce(text, F.lit(""))), lambda plain: bind(
+        extract_citations(plain), lambda known: F.concat(F.transform(known, lambda part: part["citation"]), _followers(plain, known))))
+    return F.array_distinct(F.filter(F.concat(named, written), lambda cite: cite != ""))
 
 
 def article_citations(law: Column, text: Column) -> Column:
     """Every article number of a text, put under a law name that is known already."""
     hits = F.regexp_extract_all(ascii_digits(text), F.lit(V.ARTICLE_PATTERN), F.lit(0))
-    return F.transform(hits, lambda hit: citation_text(
-        law, F.regexp_extract(hit, V.ARTICLE_PATTERN, 1), F.regexp_extract(hit, V.ARTICLE_PATTERN, 2)))
+    return F.transform(hits, lambda hit: bind(groups(hit, V.ARTICLE_PATTERN, 2), lambda g: citation_text(law, g[0], g[1])))

@@ -6,24 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docketry import values as V
-from docketry.functions.text import contains_any, words_found
+from docketry.functions.text import bind, contains_any, words_found
 
 
-def keyword_scores(text: Column, table: dict, bonus: int) -> dict:
-    """Distinct keyword hits per class, plus a bonus when its first keyword is there."""
-    return {
-        label: F.size(words_found(text, words)) + F.when(F.contains(text, F.lit(words[0])), bonus).otherwise(0)
-        for label, words in table.items()
-    }
+def keyword_label(text: Column, table: dict, bonus: int, default) -> Column:
+    """Struct<label, score, words> of the class with the highest score, the first listed one on a tie.
 
+    A score counts the distinct keywords found, plus a bonus for the first keyword (the statute
+    name). The default label stands where nothing is found.
+    """
+    def scored(i: int, label, words: list[str]) -> Column:
+        return bind(words_found(text, words), lambda hits: F.struct(
+            (F.size(hits) + F.when(F.array_contains(hits, words[0]), bonus).otherwise(0)).alias("score"),
+            F.lit(-i).alias("order"), F.lit(label).alias("label"), hits.alias("words")))
 
-def best_label(scores: dict, default) -> tuple[Column, Column]:
-    """Label with the highest score, the first listed one on a tie; default at zero."""
-    best = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
-    chain = F.when(best == 0, F.lit(default))
-    for label, score in scores.items():
-        chain = chain.when(score == best, F.lit(label))
-    return chain, best
+    classes = F.array(*[scored(i, label, words) for i, (label, words) in enumerate(table.items())])
+    return bind(F.array_max(classes), lambda best: F.struct(
+        F.when(best["score"] == 0, default).otherwise(best["label"]).alias("label"), best["score"].alias("score"), best["words"].alias("words")))
 
 
 def ruling_kind(text: Column) -> Column:
@@ -71,5 +70,5 @@ def has_all(text: Column, *words: str) -> Column:
     return found
 
 
-__all__ = ["keyword_scores", "best_label", "ruling_kind", "normalized_disposition", "disposition_of",
+__all__ = ["keyword_label", "ruling_kind", "normalized_disposition", "disposition_of",
            "year_of", "clause_number", "has_all", "contains_any"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,16 @@ def lits(items: Sequence[str]) -> Column:
     return F.array(*[F.lit(item) for item in items])
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def groups(hit: Column, pattern: str, count: int) -> Column:
+    """All capture groups of a full match as one array, with a single run of the pattern."""
+    return F.split(F.regexp_replace(hit, pattern, "\t".join(f"${i}" for i in range(1, count + 1))), "\t", -1)
+
+
 def lit_map(mapping: dict) -> Column:
     return F.create_map(*[F.lit(part) for pair in mapping.items() for part in pair])
 
@@ -59,8 +69,8 @@ def words_found(text: Column, words: Sequence[str]) -> Column:
 
 
 def summarize(text: Column, limit: int) -> Column:
-    flat = squeeze(F.coalesce(text, F.lit("")))
-    return F.when(F.length(flat) > limit, F.concat(F.left(flat, F.lit(limit)), F.lit("…"))).otherwise(flat)
+    return bind(squeeze(F.coalesce(text, F.lit(""))), lambda flat: F.when(
+        F.length(flat) > limit, F.concat(F.left(flat, F.lit(limit)), F.lit("…"))).otherwise(flat))
 
 
 def last_segment(path: Column) -> Column:
@@ -73,21 +83,21 @@ def match_spans(text: Column, pattern: str) -> Column:
 
     Spark has no function for match offsets: the pieces between the matches give them.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    gaps = F.zip_with(
-        hits, F.slice(pieces, 1, F.size(hits)),
-        lambda hit, piece: F.struct(hit.alias("hit"), F.length(piece).alias("gap")),
-    )
-    spans = F.aggregate(
-        gaps,
-        F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,hit:string>>").alias("out")),
-        lambda acc, g: F.struct(
-            (acc["end"] + g["gap"] + F.length(g["hit"])).alias("end"),
-            F.concat(acc["out"], F.array(F.struct((acc["end"] + g["gap"]).alias("start"), g["hit"].alias("hit")))).alias("out"),
-        ),
-    )["out"]
-    return F.when(F.size(hits) > 0, spans).otherwise(F.array().cast("array<struct<start:int,hit:string>>"))
+    none = F.array().cast("array<struct<start:int,hit:string>>")
+
+    def spans(hits: Column) -> Column:
+        gaps = F.zip_with(
+            hits, F.slice(F.split(text, pattern, -1), 1, F.size(hits)),
+            lambda hit, piece: F.struct(hit.alias("hit"), F.length(piece).alias("gap")))
+        return F.aggregate(
+            gaps, F.struct(F.lit(0).alias("end"), none.alias("out")),
+            lambda acc, g: bind(acc["end"] + g["gap"], lambda start: F.struct(
+                (start + F.length(g["hit"])).alias("end"),
+                F.concat(acc["out"], F.array(F.struct(start.alias("start"), g["hit"].alias("hit")))).alias("out"))),
+        )["out"]
+
+    return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+                lambda hits: F.when(F.size(hits) > 0, spans(hits)).otherwise(none))
 
 
 def normalize_text(text: Column) -> Column:
@@ -127,13 +137,10 @@ def document_number(text: Column) -> Column:
 def penalty_amount(text: Column) -> Column:
     """First amount of at least a thousand, or given in ten-thousands."""
     hits = F.regexp_extract_all(ascii_digits(text), F.lit(V.AMOUNT_PATTERN), F.lit(0))
-    amounts = F.transform(hits, lambda hit: F.struct(
-        F.replace(F.regexp_extract(hit, V.AMOUNT_PATTERN, 1), F.lit(","), F.lit("")).try_cast("bigint").alias("number"),
-        (F.regexp_extract(hit, V.AMOUNT_PATTERN, 2) != "").alias("large"),
-    ))
+    amounts = F.transform(hits, lambda hit: bind(groups(hit, V.AMOUNT_PATTERN, 2), lambda g: F.struct(
+        F.replace(g[0], F.lit(","), F.lit("")).try_cast("bigint").alias("number"), (g[1] != "").alias("large"))))
     kept = F.filter(amounts, lambda a: a["number"].isNotNull() & (a["large"] | (a["number"] >= V.AMOUNT_FLOOR)))
-    first = F.get(kept, F.lit(0))
-    return first["number"] * F.when(first["large"], V.AMOUNT_TEN_THOUSAND).otherwise(1)
+    return bind(F.get(kept, F.lit(0)), lambda a: a["number"] * F.when(a["large"], V.AMOUNT_TEN_THOUSAND).otherwise(1))
 
 
 def fenced_json(reply: Column) -> Column:
@@ -149,17 +156,19 @@ def braced_json(reply: Column) -> Column:
 
 def split_claims(reasons: Column) -> Column:
     """Numbered items of the grounds, else its sentences, as array<struct<claim_id, summary, quote>>."""
-    text = strip(F.coalesce(reasons, F.lit("")))
+    number = r"(?:^|\n)" + BLANK + r"*(?:[一二三四五六七八九十]+[、.．)）]|[（(][一二三四五六七八九十]+[)）]|[0-9]+[、.．)）])" + BLANK + "*"
 
-    def parts_of(pattern: str) -> Column:
+    def pieces(text: Column, pattern: str) -> Column:
         return F.filter(F.transform(F.split(text, pattern, -1), strip), lambda part: part != "")
 
-    numbered = parts_of(
-        r"(?:^|\n)" + BLANK + r"*(?:[一二三四五六七八九十]+[、.．)）]|[（(][一二三四五六七八九十]+[)）]|[0-9]+[、.．)）])" + BLANK + "*")
-    sentences = parts_of("[。；]" + BLANK + "*")
-    parts = F.when(F.size(numbered) > 1, numbered).otherwise(sentences)
-    parts = F.when((F.size(parts) == 0) & (text != ""), F.array(text)).otherwise(parts)
-    return F.transform(parts, lambda part, i: F.struct(
+    def parts(text: Column) -> Column:
+        def by_sentence() -> Column:
+            return bind(pieces(text, "[。；]" + BLANK + "*"),
+                        lambda found: F.when((F.size(found) == 0) & (text != ""), F.array(text)).otherwise(found))
+
+        return bind(pieces(text, number), lambda found: F.when(F.size(found) > 1, found).otherwise(by_sentence()))
+
+    return F.transform(bind(strip(F.coalesce(reasons, F.lit(""))), parts), lambda part, i: F.struct(
         F.concat(F.lit("C"), (i + 1).cast("string")).alias("claim_id"),
         F.when(F.length(part) <= 60, part).otherwise(F.concat(F.left(part, F.lit(57)), F.lit("…"))).alias("summary"),
         part.alias("quote"),

@@ -131,11 +131,13 @@ def capacity_guard(cascade: DataFrame) -> DataFrame:
 def category_gate(cases: DataFrame) -> DataFrame:
     """Category of accepted cases only. ``cases``: accepted, model_category, model_basis, text."""
     by_model = F.try_element_at(T.lit_map(V.MODEL_CATEGORY_TO_CODE), F.col("model_category"))
-    by_words, words = category_by_keywords(F.col("text"))
+    rest = [c for c in cases.columns if c not in ("text", "model_basis")]
+    cases = cases.withColumn("_k", category_by_keywords(F.col("text")))
+    by_words, words = F.col("_k.category"), F.col("_k.basis")
     accepted = F.coalesce(F.col("accepted") == 1, F.lit(False))
     basis = F.when(by_model.isNotNull(), F.concat(F.lit("LLM判定:"), F.col("model_category"), F.lit(";"), F.coalesce("model_basis", F.lit(""))))
     return cases.select(
-        *[c for c in cases.columns if c not in ("text", "model_basis")],
+        *rest,
         F.when(accepted, F.coalesce(by_model, by_words)).otherwise(V.CATEGORY_NONE).alias("category"),
         F.when(accepted, F.coalesce(basis, words)).otherwise("不受理案件,類別註記為0").alias("category_basis"),
     )

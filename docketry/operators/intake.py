@@ -22,7 +22,8 @@ def normalize_missing(table: DataFrame) -> DataFrame:
 def structure_petition(petitions: DataFrame) -> DataFrame:
     """Labelled fields of a petition text; what is not found is null."""
     text = F.col("text")
-    flat = T.drop_blanks(text)
+    petitions = petitions.withColumn("_flat", T.drop_blanks(text))
+    flat = F.col("_flat")
     b = T.BLANK
 
     def find(pattern: str, source: Column = text) -> Column:
@@ -39,7 +40,7 @@ def structure_petition(petitions: DataFrame) -> DataFrame:
     head = F.when(F.contains(text, F.lit(agency_label)), F.substring_index(text, agency_label, 1)).otherwise(F.left(text, F.lit(600)))
     filed = [F.regexp_extract(flat, r"中華民國(\d+)年(\d+)月(\d+)日", i) for i in (1, 2, 3)]
     fields = petitions.select(
-        *petitions.columns,
+        *[c for c in petitions.columns if c != "_flat"],
         find(rf"訴願人{b}*\n?{b}*([^\n]{{1,30}}?)(?:\n|民國|（)").alias("petitioner"),
         find(rf"{agency_label}{b}*\n{b}*([^\n]+)").alias("agency"),
         find(rf"受理訴願機關{b}*\n{b}*([^\n]+)").alias("appeal_agency"),
@@ -116,28 +117,27 @@ def backfill_legal_basis(facts: Column, reasons: Column, full_text: Column) -> C
     return citations.citation_names(joined)
 
 
-def case_type_of(text: Column) -> tuple[Column, Column]:
-    """Label and confidence by keyword hits."""
-    label, best = labels.best_label(
-        labels.keyword_scores(text, V.CASE_TYPE_KEYWORDS, V.CASE_TYPE_NAME_BONUS), V.OTHER_LABEL)
-    return label, F.least(F.lit(1.0), F.round(best / V.CONFIDENCE_DIVISOR, 2))
+def case_type_of(text: Column) -> Column:
+    """Struct<label, confidence> by keyword hits."""
+    found = labels.keyword_label(text, V.CASE_TYPE_KEYWORDS, V.CASE_TYPE_NAME_BONUS, V.OTHER_LABEL)
+    return T.bind(found, lambda k: F.struct(
+        k["label"].alias("label"), F.least(F.lit(1.0), F.round(k["score"] / V.CONFIDENCE_DIVISOR, 2)).alias("confidence")))
 
 
 def classify_by_keywords(documents: DataFrame) -> DataFrame:
-    label, confidence = case_type_of(F.col("text"))
-    return documents.select(*[c for c in documents.columns if c != "text"], label.alias("case_type"), confidence.alias("confidence"))
+    rest = [c for c in documents.columns if c != "text"]
+    return documents.select(*rest, case_type_of(F.col("text")).alias("k")) \
+        .select(*rest, F.col("k.label").alias("case_type"), F.col("k.confidence").alias("confidence"))
 
 
-def category_by_keywords(text: Column) -> tuple[Column, Column]:
-    """Category code and the words it rests on."""
-    flat = T.drop_blanks(F.coalesce(text, F.lit("")))
-    code, best = labels.best_label(
-        labels.keyword_scores(flat, V.CATEGORY_KEYWORDS, V.CATEGORY_NAME_BONUS), V.CATEGORY_OTHER)
-    basis = F.lit(V.CATEGORY_NO_HIT)
-    for label, words in V.CATEGORY_KEYWORDS.items():
-        hits = F.concat(F.lit("關鍵詞命中: "), F.array_join(T.words_found(flat, words), ", "))
-        basis = F.when((best > 0) & (code == label), hits).otherwise(basis)
-    return code, basis
+def category_by_keywords(text: Column) -> Column:
+    """Struct<category, basis>: category code and the words it rests on."""
+    found = T.bind(T.drop_blanks(F.coalesce(text, F.lit(""))), lambda flat: labels.keyword_label(
+        flat, V.CATEGORY_KEYWORDS, V.CATEGORY_NAME_BONUS, V.CATEGORY_OTHER))
+    return T.bind(found, lambda k: F.struct(
+        k["label"].alias("category"),
+        F.when(k["score"] == 0, V.CATEGORY_NO_HIT)
+        .otherwise(F.concat(F.lit("關鍵詞命中: "), F.array_join(k["words"], ", "))).alias("basis")))
 
 
 def route_of_label(label: Column) -> Column:
@@ -154,7 +154,8 @@ def adapt_triage_to_case(triage: DataFrame) -> DataFrame:
     why = F.coalesce(blank_to_null(F.col("reason")), F.col("accept_note"), F.lit(""))
     clause = blank_to_null(F.col("clause"))
     note = F.when(accepted, "").when(clause.isNotNull(), T.strip(F.concat(F.lit("（"), clause, F.lit("）"), why))).otherwise(why)
-    keyword_label, _ = case_type_of(F.coalesce(F.col("full_text"), F.lit("")))
+    triage = triage.withColumn("_k", case_type_of(F.coalesce(F.col("full_text"), F.lit(""))))
+    keyword_label = F.col("_k.label")
     category = F.coalesce(F.col("category"), F.lit(V.CATEGORY_OTHER))
     label = F.coalesce(F.try_element_at(T.lit_map(V.CATEGORY_LABEL), category), keyword_label)
     route = F.coalesce(F.try_element_at(T.lit_map(V.CATEGORY_TO_ROUTE), category), route_of_label(keyword_label))
@@ -180,8 +181,8 @@ def adapt_triage_to_case(triage: DataFrame) -> DataFrame:
 
 def assemble_intake(cases: DataFrame) -> DataFrame:
     """Route, confidence and review flag from the texts; ``cases``: case_id, petition, disposition_doc."""
-    label, confidence = case_type_of(F.concat_ws(" ", F.coalesce("petition", F.lit("")), F.coalesce("disposition_doc", F.lit(""))))
-    staged = cases.withColumn("label", label).withColumn("confidence", confidence)
+    found = case_type_of(F.concat_ws(" ", F.coalesce("petition", F.lit("")), F.coalesce("disposition_doc", F.lit(""))))
+    staged = cases.withColumn("_k", found).select(*cases.columns, "_k.label", "_k.confidence")
     return staged.select(
         *cases.columns, "label", route_of_label(F.col("label")).alias("route_key"), "confidence",
         (F.col("confidence") < V.CONFIDENCE_THRESHOLD).cast("int").alias("need_human_review"),

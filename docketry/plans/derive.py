@@ -110,6 +110,11 @@ INPUTS: dict[str, tuple[str, dict[str, str]]] = {
         "cites_text": "CASE WHEN pk % 5 = 0 THEN '' ELSE law_clean || '§' || n END || CASE WHEN sk % 9 = 0 THEN '|臺北高等行政法院判決-洗錢防制法第22條' ELSE '' END",
         "responds": "'C' || (m % 4 + 1)",
     }),
+    "cite_texts": ("paragraph_rows", {
+        "case_id": "case_id", "pos": "pos", "pk": "pk", "sk": "sk", "cites_text": "cites_text",
+        "text": "text || '；另訴願法第' || (sk % 5 + 1) || '條，再依訴願法第0' || (sk % 5 + 1) || '條、第' || (pk % 9 + 1) || '條辦理'"
+                " || CASE sk % 6 WHEN 0 THEN '，見第 條' WHEN 1 THEN '，§之' WHEN 2 THEN '，第3條之 4' ELSE '' END",
+    }),
     "law_rows": ("cite_keys", {
         "case_id": "case_id",
         "citation": "CASE WHEN pk % 3 = 0 THEN law_clean || '第' || (n + CASE WHEN pk % 4 = 0 THEN 1 ELSE 0 END) || '條' ELSE '' END",
