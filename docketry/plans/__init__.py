@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("text_queries", "citation_queries", "intake_queries")
+_MODULES = ("text_queries", "citation_queries", "intake_queries", "rule_queries")
 
 
 def load_all() -> None:
