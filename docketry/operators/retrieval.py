@@ -60,27 +60,31 @@ def _block_counts(table: DataFrame, size: int) -> dict[str, int]:
     return {bucket: -(-rows // size) for bucket, rows in _bucket_sizes(table).items()}
 
 
-def _score_block(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
-    """Best k documents of one corpus block for each query of one query block."""
-    if queries.empty or corpus.empty:
-        return pd.DataFrame({"query_id": [], "layer": [], "k": [], "doc_id": [], "score": []})
-    corpus = corpus.sort_values("doc_id", kind="stable")
-    q, c = np.stack(queries["vec"]).astype("float64"), np.stack(corpus["vec"]).astype("float64")
-    norms = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)) + 1e-9
-    scores = np.round(q @ c.T / norms, 9)
-    ids = corpus["doc_id"].to_numpy()
-    own = (queries["query_id"].to_numpy()[:, None] == ids[None, :]) & queries["skip_self"].to_numpy()[:, None]
-    scores[own] = -np.inf
-    width = min(int(queries["k"].max()), len(ids))
-    # ids ascend, so the stable sort keeps the lower id on equal scores
-    order = np.argsort(-scores, axis=1, kind="stable")[:, :width]
-    best = np.take_along_axis(scores, order, axis=1)
-    keep = (np.arange(width)[None, :] < queries["k"].to_numpy()[:, None]) & np.isfinite(best)
-    row, col = np.nonzero(keep)
-    return pd.DataFrame({
-        "query_id": queries["query_id"].to_numpy()[row], "layer": queries["layer"].to_numpy()[row],
-        "k": queries["k"].to_numpy()[row], "doc_id": ids[order[row, col]], "score": best[row, col],
-    })
+def _block_scorer():
+    """The task-side function; a closure travels by value, so executors need not have this package."""
+    def score_block(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
+        """Best k documents of one corpus block for each query of one query block."""
+        if queries.empty or corpus.empty:
+            return pd.DataFrame({"query_id": [], "layer": [], "k": [], "doc_id": [], "score": []})
+        corpus = corpus.sort_values("doc_id", kind="stable")
+        q, c = np.stack(queries["vec"]).astype("float64"), np.stack(corpus["vec"]).astype("float64")
+        norms = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)) + 1e-9
+        scores = np.round(q @ c.T / norms, 9)
+        ids = corpus["doc_id"].to_numpy()
+        own = (queries["query_id"].to_numpy()[:, None] == ids[None, :]) & queries["skip_self"].to_numpy()[:, None]
+        scores[own] = -np.inf
+        width = min(int(queries["k"].max()), len(ids))
+        # ids ascend, so the stable sort keeps the lower id on equal scores
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :width]
+        best = np.take_along_axis(scores, order, axis=1)
+        keep = (np.arange(width)[None, :] < queries["k"].to_numpy()[:, None]) & np.isfinite(best)
+        row, col = np.nonzero(keep)
+        return pd.DataFrame({
+            "query_id": queries["query_id"].to_numpy()[row], "layer": queries["layer"].to_numpy()[row],
+            "k": queries["k"].to_numpy()[row], "doc_id": ids[order[row, col]], "score": best[row, col],
+        })
+
+    return score_block
 
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -105,7 +109,7 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 
     left = grid(asked, "query_id", n_query, n_corpus, "qb", "cb").groupBy("bucket", "qb", "cb")
     right = grid(corpus, "doc_id", n_corpus, n_query, "cb", "qb").groupBy("bucket", "qb", "cb")
-    hits = left.cogroup(right).applyInPandas(_score_block, _HITS)
+    hits = left.cogroup(right).applyInPandas(_block_scorer(), _HITS)
     best = Window.partitionBy("query_id", "layer").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= F.col("k")) \
         .select("query_id", "layer", "doc_id", "score", "rank")
