@@ -96,6 +96,8 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     pairs of vectors never become rows. A large bucket just has more blocks.
     """
     asked = queries.withColumn("bucket", F.explode("buckets")).drop("buckets")
+    # fresh aliases: both sides often descend from the same table
+    corpus = corpus.select(*[F.col(c).alias(c) for c in ("doc_id", "vec", "bucket")])
     n_corpus, n_query = _block_counts(corpus, CORPUS_BLOCK), _block_counts(asked, QUERY_BLOCK)
     if not n_corpus or not n_query:
         return queries.select("query_id", "layer", F.lit(0).alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)

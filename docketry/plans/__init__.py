@@ -3,7 +3,7 @@
 from importlib import import_module
 
 _MODULES = ("text_queries", "citation_queries", "intake_queries", "rule_queries", "search_queries", "evaluation_queries",
-            "verification_queries")
+            "verification_queries", "flow_queries")
 
 
 def load_all() -> None:
