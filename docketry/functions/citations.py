@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from docketry import values as V
 from docketry.functions.text import (
-    ascii_digits, bind, blank_to_null, drop_blanks, groups, lits, match_spans, strip, unify_variants,
+    CJK, ascii_digits, bind, blank_to_null, drop_blanks, groups, lits, match_spans, strip, unify_variants,
 )
 
 
+# A citation is a run of characters that ends at a section sign or an article number. Looking at the
+# run once rules out most start positions before the lazy pattern is tried there.
+_SCAN = rf"(?={CJK}{{2,25}}+\s*(?:§|第?\s*\d))" + V.CITATION_PATTERN
+
+
 def _one_of(words: list[str]) -> str:
     return "(?:" + "|".join(words) + ")"
 
@@ -18,45 +23,48 @@ def _one_of(words: list[str]) -> str:
 def _cut_lead_words(law: Column) -> Column:
     """What follows the last lead word, as long as two characters remain."""
     def cut(backwards: Column) -> Column:
-        kept = [bind(F.locate(word[::-1], backwards),
-                     lambda at: F.when(at > 2, F.length(law) - at + 1).otherwise(0)) for word in V.LAW_LEAD_WORDS]
-        return F.substr(law, F.greatest(*kept) + 1)
+        ends = F.transform(lits([word[::-1] for word in V.LAW_LEAD_WORDS]), lambda word: bind(
+            F.position(word, backwards), lambda at: F.when(at > 2, F.length(law) - at + 1).otherwise(0)))
+        return F.substr(law, F.array_max(ends) + 1)
 
     return bind(F.reverse(law), cut)
 
 
+def _resolve(law: Column) -> Column:
+    # the leftmost match that reaches the end is the longest registered suffix
+    registered = F.regexp_extract(law, _one_of(V.REGISTERED_LAWS) + r"\z", 0)
+    first_char_lost = F.get(
+        F.filter(lits([name for name in V.REGISTERED_LAWS if len(name) >= 5]),
+                 lambda name: F.endswith(law, F.substring(name, 2, 100))), F.lit(0))
+    pronoun = F.regexp_extract(law, _one_of(V.PRONOUN_LAWS) + r"\z", 0)
+    unregistered = F.coalesce(first_char_lost, bind(pronoun, blank_to_null), _cut_lead_words(law))
+    return bind(registered, lambda name: F.when(name != "", name).otherwise(unregistered))
+
+
 def resolve_law(raw: Column) -> Column:
     """Proper law name of a captured name, which may carry subject and verb in front."""
-    def resolve(law: Column) -> Column:
-        # the leftmost match that reaches the end is the longest registered suffix
-        registered = F.regexp_extract(law, _one_of(V.REGISTERED_LAWS) + r"\z", 0)
-        first_char_lost = F.get(
-            F.filter(lits([name for name in V.REGISTERED_LAWS if len(name) >= 5]),
-                     lambda name: F.endswith(law, F.substring(name, 2, 100))), F.lit(0))
-        pronoun = F.regexp_extract(law, _one_of(V.PRONOUN_LAWS) + r"\z", 0)
-        return F.coalesce(blank_to_null(registered), first_char_lost, blank_to_null(pronoun), _cut_lead_words(law))
-
-    return bind(unify_variants(drop_blanks(F.coalesce(raw, F.lit("")))), resolve)
+    return bind(unify_variants(drop_blanks(F.coalesce(raw, F.lit("")))), _resolve)
 
 
 def _number(digits: Column) -> Column:
-    return F.regexp_replace(digits, r"^0+(?=\d)", "")
+    """Digits without leading zeros."""
+    return bind(F.ltrim(digits, F.lit("0")), lambda n: F.when((n == "") & (digits != ""), "0").otherwise(n))
 
 
 def citation_text(law: Column, article: Column, sub: Column) -> Column:
-    tail = F.when(F.coalesce(sub, F.lit("")) != "", F.concat(F.lit("之"), _number(sub))).otherwise("")
-    return F.concat(law, F.lit("第"), _number(article), F.lit("條"), tail)
+    """Numbers come without leading zeros; an empty or missing sub-article adds nothing."""
+    return F.concat(law, F.lit("第"), article, F.lit("條"), F.when(F.coalesce(sub, F.lit("")) != "", F.concat(F.lit("之"), sub)).otherwise(""))
 
 
 def _parts(hit: Column) -> Column:
     """Struct of a citation from the matched text; the five groups are law, §-form and article form."""
-    def build(g: Column) -> Column:
-        article, sub = F.concat(g[1], g[3]), F.concat(g[2], g[4])
-        return bind(resolve_law(g[0]), lambda law: F.struct(
-            law.alias("law"), _number(article).alias("article"), blank_to_null(_number(sub)).alias("sub_article"),
-            citation_text(law, article, sub).alias("citation")))
+    def numbers(g: Column) -> Column:
+        return F.struct(bind(unify_variants(g[0]), _resolve).alias("law"), _number(F.concat(g[1], g[3])).alias("article"),
+                        _number(F.concat(g[2], g[4])).alias("sub"))
 
-    return bind(groups(hit, V.CITATION_PATTERN, 5), build)
+    return bind(bind(groups(hit, V.CITATION_PATTERN, 5), numbers), lambda p: F.struct(
+        p["law"].alias("law"), p["article"].alias("article"), blank_to_null(p["sub"]).alias("sub_article"),
+        citation_text(p["law"], p["article"], p["sub"]).alias("citation")))
 
 
 def _is_named(part: Column) -> Column:
@@ -75,7 +83,7 @@ def normalize_citation(cite: Column) -> Column:
 
 def extract_citations(text: Column) -> Column:
     """Distinct citations of a text in order of first appearance; pronoun laws are left out."""
-    hits = F.regexp_extract_all(ascii_digits(F.coalesce(text, F.lit(""))), F.lit(V.CITATION_PATTERN), F.lit(0))
+    hits = F.regexp_extract_all(ascii_digits(F.coalesce(text, F.lit(""))), F.lit(_SCAN), F.lit(0))
     return F.array_distinct(F.filter(F.transform(hits, _parts), _is_named))
 
 
@@ -95,32 +103,43 @@ def malformed_citations(text: Column) -> Column:
     return bind(ascii_digits(F.coalesce(text, F.lit(""))), find)
 
 
-def _followers(plain: Column, known: Column) -> Column:
+def _placed(plain: Column) -> Column:
+    """All citations of a text with the offset they end at."""
+    placed = F.transform(match_spans(plain, _SCAN), lambda s: F.struct(
+        (s["start"] + F.length(s["hit"])).alias("end"), _parts(s["hit"]).alias("c")))
+    return F.filter(placed, lambda p: _is_named(p["c"]))
+
+
+def _distinct(placed: Column) -> Column:
+    return F.array_distinct(F.transform(placed, lambda p: p["c"]))
+
+
+def _followers(plain: Column, placed: Column) -> Column:
+    """A following article never lies inside a citation, so the citations that end before it are those of the text before it."""
     def one(span: Column) -> Column:
-        before = F.try_element_at(extract_citations(plain.substr(F.lit(1), span["start"])), F.lit(-1))
-        law = F.coalesce(before["law"], F.get(known, F.lit(0))["law"])
-        return bind(groups(span["hit"], V.FOLLOW_ON_PATTERN, 2), lambda g: citation_text(law, g[0], g[1]))
+        before = F.try_element_at(_distinct(F.filter(placed, lambda p: p["end"] <= span["start"])), F.lit(-1))
+        law = F.coalesce(before["law"], F.get(placed, F.lit(0))["c"]["law"])
+        return bind(groups(span["hit"], V.FOLLOW_ON_PATTERN, 2), lambda g: citation_text(law, _number(g[0]), _number(g[1])))
 
-    return F.when(F.size(known) > 0, F.transform(match_spans(plain, V.FOLLOW_ON_PATTERN), one)) \
+    return F.when(F.size(placed) > 0, F.transform(match_spans(plain, V.FOLLOW_ON_PATTERN), one)) \
         .otherwise(F.array().cast("array<string>"))
 
 
 def follow_on_citations(text: Column) -> Column:
     """Articles joined to an earlier citation take over the law named last before them."""
-    return bind(ascii_digits(F.coalesce(text, F.lit(""))),
-                lambda plain: bind(extract_citations(plain), lambda known: _followers(plain, known)))
+    return bind(ascii_digits(F.coalesce(text, F.lit(""))), lambda plain: bind(_placed(plain), lambda placed: _followers(plain, placed)))
 
 
 def reconcile_cites(declared: Column, text: Column) -> Column:
     """Declared, then written out, then followed-on citations, distinct and in that order."""
     named = F.transform(F.coalesce(declared, F.array().cast("array<string>")),
                         lambda cite: F.coalesce(normalize_citation(cite), strip(cite)))
-    written = bind(ascii_digits(F.coalesce(text, F.lit(""))), lambda plain: bind(
-        extract_citations(plain), lambda known: F.concat(F.transform(known, lambda part: part["citation"]), _followers(plain, known))))
+    written = bind(ascii_digits(F.coalesce(text, F.lit(""))), lambda plain: bind(_placed(plain), lambda placed: F.concat(
+        F.transform(placed, lambda p: p["c"]["citation"]), _followers(plain, placed))))
     return F.array_distinct(F.filter(F.concat(named, written), lambda cite: cite != ""))
 
 
 def article_citations(law: Column, text: Column) -> Column:
     """Every article number of a text, put under a law name that is known already."""
     hits = F.regexp_extract_all(ascii_digits(text), F.lit(V.ARTICLE_PATTERN), F.lit(0))
-    return F.transform(hits, lambda hit: bind(groups(hit, V.ARTICLE_PATTERN, 2), lambda g: citation_text(law, g[0], g[1])))
+    return F.transform(hits, lambda hit: bind(groups(hit, V.ARTICLE_PATTERN, 2), lambda g: citation_text(law, _number(g[0]), _number(g[1]))))

@@ -6,29 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docketry import values as V
-from docketry.functions.text import ascii_digits
+from docketry.functions.text import ascii_digits, bind, groups
 
 
 def parse_date(text: Column) -> Column:
     """Four leading digits are a common-era year, two or three a minguo year; else null."""
-    plain = ascii_digits(text)
-
-    def groups(pattern: str) -> list[Column]:
-        return [F.regexp_extract(plain, pattern, i) for i in (1, 2, 3)]
+    def build(hit: Column, pattern: str, offset: int) -> Column:
+        return bind(groups(hit, pattern, 3), lambda g: F.try_to_date(F.concat_ws(
+            "-", F.lpad((g[0].try_cast("int") + offset).cast("string"), 4, "0"), g[1], g[2]), "yyyy-M-d"))
 
-    def build(year: Column, month: Column, day: Column) -> Column:
-        return F.try_to_date(F.concat_ws("-", F.lpad(year, 4, "0"), month, day), "yyyy-M-d")
+    def parse(plain: Column) -> Column:
+        minguo = bind(F.regexp_extract(plain, V.ROC_DATE_PATTERN, 0),
+                      lambda hit: F.when(hit != "", build(hit, V.ROC_DATE_PATTERN, V.ROC_OFFSET)))
+        return bind(F.regexp_extract(plain, V.AD_DATE_PATTERN, 0),
+                    lambda hit: F.when(hit != "", build(hit, V.AD_DATE_PATTERN, 0)).otherwise(minguo))
 
-    ad, roc = groups(V.AD_DATE_PATTERN), groups(V.ROC_DATE_PATTERN)
-    roc_year = (roc[0].try_cast("int") + V.ROC_OFFSET).cast("string")
-    return F.when(ad[0] != "", build(*ad)).when(roc[0] != "", build(roc_year, roc[1], roc[2]))
+    return bind(ascii_digits(text), parse)
 
 
 def format_roc(day: Column) -> Column:
-    return F.concat(
-        F.lit("民國"), (F.year(day) - V.ROC_OFFSET).cast("string"), F.lit("年"),
-        F.month(day).cast("string"), F.lit("月"), F.dayofmonth(day).cast("string"), F.lit("日"),
-    )
+    return F.concat(F.lit("民國"), (F.year(day) - V.ROC_OFFSET).cast("string"), F.date_format(day, "年M月d日"))
 
 
 def roc_year(published: Column) -> Column:
@@ -71,12 +68,12 @@ def date_tokens(text: Column) -> Column:
     plain = ascii_digits(text)
 
     def one(raw: Column) -> Column:
-        parts = F.regexp_extract_all(raw, F.lit(r"\d+"), F.lit(0))
-        year = F.get(parts, F.lit(0)).try_cast("int")
-        year = F.when(year <= 200, year + V.ROC_OFFSET).otherwise(year)
-        day = F.try_to_date(
-            F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))), "yyyy-M-d")
-        return F.struct(day.alias("day"), raw.alias("raw"))
+        def build(parts: Column) -> Column:
+            year = bind(parts[0].try_cast("int"), lambda y: F.when(y <= 200, y + V.ROC_OFFSET).otherwise(y))
+            day = F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), parts[1], parts[2]), "yyyy-M-d")
+            return F.struct(day.alias("day"), raw.alias("raw"))
+
+        return bind(F.regexp_extract_all(raw, F.lit(r"\d+"), F.lit(0)), build)
 
     found = F.transform(F.regexp_extract_all(plain, F.lit(V.DATE_TOKEN_PATTERN), F.lit(0)), one)
     return F.filter(found, lambda d: d["day"].isNotNull())

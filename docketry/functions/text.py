@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -14,8 +15,13 @@ BLANK = r"[\s\x1c-\x1f\x85\xa0  -     　]"
 CJK = "[一-鿿]"
 
 
+# separators no text of the domain holds
+_UNIT, _PAIR = "\x1f", "\x1e"
+
+
 def lits(items: Sequence[str]) -> Column:
-    return F.array(*[F.lit(item) for item in items])
+    """Array of constants. One foldable call instead of one per item keeps plans small."""
+    return F.split(F.lit(_UNIT.join(items)), _UNIT)
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -29,6 +35,9 @@ def groups(hit: Column, pattern: str, count: int) -> Column:
 
 
 def lit_map(mapping: dict) -> Column:
+    if all(isinstance(part, str) for pair in mapping.items() for part in pair):
+        text = _UNIT.join(f"{key}{_PAIR}{value}" for key, value in mapping.items())
+        return F.str_to_map(F.lit(text), F.lit(_UNIT), F.lit(_PAIR))
     return F.create_map(*[F.lit(part) for pair in mapping.items() for part in pair])
 
 
@@ -58,10 +67,7 @@ def unify_variants(text: Column) -> Column:
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
-    found = F.contains(text, F.lit(words[0]))
-    for word in words[1:]:
-        found = found | F.contains(text, F.lit(word))
-    return found
+    return text.rlike("|".join(re.escape(word) for word in words))
 
 
 def words_found(text: Column, words: Sequence[str]) -> Column:

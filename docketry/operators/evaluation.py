@@ -10,25 +10,32 @@ from docketry.functions import text as T
 from docketry.operators.intake import category_by_keywords
 
 
-def majority_disposition(cases: DataFrame, votes: DataFrame, red_findings: DataFrame) -> DataFrame:
-    """Reference ruling per case: red findings first, then the most frequent label, then dismiss.
+def top_disposition(votes: DataFrame) -> DataFrame:
+    """Most frequent label per case; a tie goes to the label seen first.
 
-    ``votes``: case_id, rank, label (null or '' does not count). A tie goes to the label seen first.
-    Two partial aggregations, no window: a case with very many votes stays spread out.
+    ``votes``: case_id, rank, label (null or '' does not count). Two partial aggregations, no window:
+    a case with very many votes stays spread out.
     """
     counted = votes.filter(F.coalesce("label", F.lit("")) != "").groupBy("case_id", "label").agg(
         F.count("*").alias("n"), F.min("rank").alias("first"))
-    top = counted.groupBy("case_id").agg(F.max_by("label", F.struct("n", (-F.col("first")).alias("f"))).alias("top"))
+    return counted.groupBy("case_id").agg(F.max_by("label", F.struct("n", (-F.col("first")).alias("f"))).alias("top"))
+
+
+def reference_ruling(n_red: Column, top: Column) -> tuple[Column, Column]:
+    """Ruling and its basis: red findings first, then the majority, then dismiss."""
+    ruling = F.when(n_red > 0, V.REVOKE).otherwise(F.coalesce(top, F.lit(V.DISMISS)))
+    basis = F.when(n_red > 0, F.concat(F.lit("原處分健檢發現 "), n_red.cast("string"), F.lit(" 項重大瑕疵，傾向撤銷"))) \
+        .when(top.isNotNull(), F.concat(F.lit("相似歷史案例多數為「"), top, F.lit("」"))) \
+        .otherwise("無明顯瑕疵且無相似案例可參，暫採駁回為參考")
+    return ruling, basis
+
+
+def majority_disposition(cases: DataFrame, votes: DataFrame, red_findings: DataFrame) -> DataFrame:
+    """Reference ruling per case from its votes and its red findings, one row each."""
     reds = red_findings.groupBy("case_id").agg(F.count("*").alias("n_red"))
-    joined = cases.select("case_id").join(top, "case_id", "left").join(reds, "case_id", "left")
-    n_red = F.coalesce("n_red", F.lit(0))
-    return joined.select(
-        "case_id",
-        F.when(n_red > 0, V.REVOKE).otherwise(F.coalesce("top", F.lit(V.DISMISS))).alias("disposition"),
-        F.when(n_red > 0, F.concat(F.lit("原處分健檢發現 "), n_red.cast("string"), F.lit(" 項重大瑕疵，傾向撤銷")))
-        .when(F.col("top").isNotNull(), F.concat(F.lit("相似歷史案例多數為「"), F.col("top"), F.lit("」")))
-        .otherwise("無明顯瑕疵且無相似案例可參，暫採駁回為參考").alias("basis"),
-    )
+    joined = cases.select("case_id").join(top_disposition(votes), "case_id", "left").join(reds, "case_id", "left")
+    ruling, basis = reference_ruling(F.coalesce("n_red", F.lit(0)), F.col("top"))
+    return joined.select("case_id", ruling.alias("disposition"), basis.alias("basis"))
 
 
 def majority_label(votes: DataFrame, key: str = "query_id") -> DataFrame:

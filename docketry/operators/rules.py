@@ -48,8 +48,8 @@ def procedure_gate(timeline: DataFrame) -> DataFrame:
     return staged.withColumn("is_inadmissible", F.col("clause").isNotNull().cast("int")).withColumn("reason", reason)
 
 
-def defect_checks(timeline: DataFrame) -> DataFrame:
-    """Long table of findings: one row per case and rule that fired, red rules ranked first."""
+def defect_findings() -> Column:
+    """Findings of one case as an array, in rule order; reads the columns of a timeline."""
     missing = F.filter(F.array(*[
         F.when(F.coalesce(F.col(c), F.lit("")) == "", name)
         for c, name in [("agency", "處分機關"), ("disposition_date", "處分作成日期"), ("doc_no", "處分書字號"), ("legal_basis", "法令依據")]
@@ -82,7 +82,12 @@ def defect_checks(timeline: DataFrame) -> DataFrame:
         finding("D6", F.col("_service").isNull(), "amber", "原處分送達日期不明", "行政程序法第72條以下",
                 F.lit("卷內查無合法送達日期，救濟期間無從起算")),
     )
-    fired = timeline.select("case_id", F.explode(F.filter(rules, lambda f: f.isNotNull())).alias("f"))
+    return F.filter(rules, lambda f: f.isNotNull())
+
+
+def defect_checks(timeline: DataFrame) -> DataFrame:
+    """Long table of findings: one row per case and rule that fired, red rules ranked first."""
+    fired = timeline.select("case_id", F.explode(defect_findings()).alias("f"))
     rank = F.when(F.col("f.level") == "red", 0).when(F.col("f.level") == "amber", 1).otherwise(2)
     return fired.select("case_id", rank.alias("level_rank"), "f.*")
 

@@ -1,14 +1,16 @@
 """Verification of drafts: set comparisons V1-V10, the report, rewrite and quality rules.
 
-A check gives one row per case (case_id, check_id, status, level, n_items, n_evidence); what it
-objects to is a long table (case_id, check_id, item). Nothing is gathered per case: sets are
-compared by tagging both sides and aggregating, which combines on the map side and keeps a case
-with very many rows spread over all tasks.
+A check brings rows (case_id, metrics) and a verdict over the sums of its metrics per case. Any
+number of checks is judged by one aggregation on case_id, which combines on the map side: nothing
+is gathered per case, and a case with very many rows stays spread over all tasks. Sets are compared
+by tagging both sides and aggregating on (case_id, item). What a check objects to is a long table
+(case_id, check_id, item).
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,44 +20,64 @@ from docketry.functions import citations, dates, labels, text as T
 from docketry.functions.labels import contains_any
 
 
-def _zero(name: str) -> Column:
+class Check(NamedTuple):
+    check_id: str
+    rows: list[DataFrame]     # case_id and numeric metrics, summed per case
+    status: Column            # over the sums
+    level: Column
+    n_items: Column
+    n_evidence: Column
+    evidence: DataFrame | None = None
+
+
+def _n(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
 
 
-def _results(per_case: DataFrame, check: str, status: Column, level: Column | str, n_items: str, n_evidence: str) -> DataFrame:
-    level = level if isinstance(level, Column) else F.lit(level)
-    return per_case.select(
-        "case_id", F.lit(check).alias("check_id"), status.alias("status"), level.alias("level"),
-        _zero(n_items).cast("bigint").alias("n_items"), _zero(n_evidence).cast("bigint").alias("n_evidence"))
+def _status(skipped: Column, failed: Column) -> Column:
+    return F.when(skipped, "skipped").when(failed, "fail").otherwise("pass")
 
 
-def _sides(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(case_id, item) of two sides with flags in_left, in_right; duplicates collapse before the shuffle."""
-    tagged = left.select("case_id", "item", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
-        right.select("case_id", "item", F.lit(0).alias("l"), F.lit(1).alias("r")))
-    return tagged.groupBy("case_id", "item").agg(F.max("l").alias("in_left"), F.max("r").alias("in_right"))
+def judge(cases: DataFrame, checks: list[Check]) -> DataFrame:
+    """One row per case with the array of its verdicts, from a single aggregation."""
+    rows = {id(table): table for check in checks for table in check.rows}   # checks may share their rows
+    parts = [cases.select("case_id", F.lit(1).alias("asked")), *rows.values()]
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    metrics = [c for c in united.columns if c != "case_id"]
+    summed = united.groupBy("case_id").agg(*[F.sum(c).alias(c) for c in metrics]).filter(F.col("asked") > 0)
+    verdicts = [F.struct(F.lit(c.check_id).alias("check_id"), c.status.alias("status"), c.level.alias("level"),
+                         c.n_items.cast("bigint").alias("n_items"), c.n_evidence.cast("bigint").alias("n_evidence")) for c in checks]
+    return summed.select("case_id", F.array(*verdicts).alias("checks"))
 
 
-def _per_case(cases: DataFrame, sides: DataFrame) -> DataFrame:
-    counts = sides.groupBy("case_id").agg(
-        F.sum("in_left").alias("n_left"), F.sum("in_right").alias("n_right"),
-        F.sum(F.col("in_left") * (1 - F.col("in_right"))).alias("left_only"),
-        F.sum(F.col("in_right") * (1 - F.col("in_left"))).alias("right_only"))
-    return cases.select("case_id").join(counts, "case_id", "left")
+def results(cases: DataFrame, *checks: Check) -> DataFrame:
+    return judge(cases, list(checks)).select("case_id", F.explode("checks").alias("c")).select("case_id", "c.*")
 
 
-def _left_only(sides: DataFrame, check: str) -> DataFrame:
-    return sides.filter((F.col("in_left") == 1) & (F.col("in_right") == 0)).select("case_id", F.lit(check).alias("check_id"), "item")
+def with_evidence(cases: DataFrame, check: Check) -> DataFrame:
+    """Verdicts in long form: one row per item objected to, one row with a null item where there is none."""
+    judged = results(cases, check)
+    failed = F.col("status") == "fail"
+    # the evidence is the large and possibly skewed side; an inner join lets it be split
+    listed = check.evidence.drop("check_id").join(judged.filter(failed), "case_id")
+    rest = judged.filter(~failed | (F.col("n_evidence") == 0))
+    return listed.unionByName(rest, allowMissingColumns=True)
 
 
-def declared_cites(paragraphs: DataFrame) -> DataFrame:
-    """(case_id, item): citations the paragraphs declare, normalised; the unparsable ones are left to V3."""
-    named = paragraphs.select("case_id", F.explode("cites").alias("cite"))
-    return named.select("case_id", citations.normalize_citation(F.col("cite")).alias("item")).filter(F.col("item").isNotNull())
+def _tagged(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(case_id, item) of two sides with flags in_left, in_right; duplicates collapse before the shuffle."""
+    both = left.select("case_id", "item", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select("case_id", "item", F.lit(0).alias("l"), F.lit(1).alias("r")))
+    return both.groupBy("case_id", "item").agg(F.max("l").alias("in_left"), F.max("r").alias("in_right"))
+
 
+def _objected(items: DataFrame, check: str, where: Column) -> DataFrame:
+    return items.filter(where).select("case_id", F.lit(check).alias("check_id"), "item")
 
-def inline_cites(paragraphs: DataFrame) -> DataFrame:
-    return paragraphs.select("case_id", F.explode(citations.citation_names(F.col("text"))).alias("item"))
+
+def _declared(cites: Column) -> Column:
+    """Declared citations, normalised; the unparsable ones are left to V3."""
+    return F.filter(F.transform(cites, citations.normalize_citation), lambda c: c.isNotNull())
 
 
 def allowed_citations(laws: DataFrame) -> DataFrame:
@@ -72,75 +94,103 @@ def allowed_citations(laws: DataFrame) -> DataFrame:
     return laws.select("case_id", F.explode(item).alias("item")).distinct()
 
 
-def v1_unlisted_citations(cases: DataFrame, paragraphs: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    sides = _sides(declared_cites(paragraphs), allowed)
-    c = _per_case(cases, sides)
-    status = F.when((_zero("n_right") == 0) | (_zero("n_left") == 0), "skipped").when(F.col("left_only") > 0, "fail").otherwise("pass")
-    return _results(c, "V1", status, "red", "n_left", "left_only"), _left_only(sides, "V1")
+DECLARED, INLINE, ALLOWED = 1, 2, 4
+
+
+def cited_items(paragraphs: DataFrame, allowed: DataFrame | None = None, inline: bool = True) -> DataFrame:
+    """(case_id, item, flags): where a citation occurs, in one pass over the paragraphs.
+
+    All places are bits of one column, so that every check reads the same shuffled table.
+    """
+    def flagged(items: Column, flag: int) -> Column:
+        return F.transform(items, lambda i: F.struct(i.alias("item"), F.lit(flag).alias("flag")))
+
+    found = flagged(_declared(F.col("cites")), DECLARED)
+    if inline:
+        found = F.concat(found, flagged(citations.citation_names(F.col("text")), INLINE))
+    rows = paragraphs.select("case_id", F.explode(found).alias("f")).select("case_id", "f.item", "f.flag")
+    if allowed is not None:
+        rows = rows.unionByName(allowed.select("case_id", "item", F.lit(ALLOWED).alias("flag")))
+    return rows.groupBy("case_id", "item").agg(F.bit_or("flag").alias("flags"))
+
+
+def _has(flag: int) -> Column:
+    return (F.col("flags").bitwiseAND(flag) > 0).cast("int")
+
+
+def citation_set_checks(items: DataFrame) -> list[Check]:
+    """V1: declared citations must be on the whitelist. V2: citations in the text must be declared.
 
+    ``items``: see ``cited_items``; both checks count over the same rows.
+    """
+    declared, inline, allowed = _has(DECLARED), _has(INLINE), _has(ALLOWED)
+    unlisted, undeclared = declared * (1 - allowed), inline * (1 - declared)
+    rows = items.select("case_id", declared.alias("v1_cited"), allowed.alias("v1_allowed"), unlisted.alias("v1_bad"),
+                        inline.alias("v2_inline"), undeclared.alias("v2_bad"))
+    return [
+        Check("V1", [rows], _status((_n("v1_allowed") == 0) | (_n("v1_cited") == 0), _n("v1_bad") > 0), F.lit("red"),
+              _n("v1_cited"), _n("v1_bad"), _objected(items, "V1", unlisted == 1)),
+        Check("V2", [rows], _status(_n("v2_inline") == 0, _n("v2_bad") > 0), F.lit("amber"),
+              _n("v2_inline"), _n("v2_bad"), _objected(items, "V2", undeclared == 1)),
+    ]
+
+
+def v1_unlisted_citations(items: DataFrame) -> Check:
+    return citation_set_checks(items)[0]
 
-def v2_undeclared_inline(cases: DataFrame, paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    sides = _sides(inline_cites(paragraphs), declared_cites(paragraphs))
-    c = _per_case(cases, sides)
-    status = F.when(_zero("n_left") == 0, "skipped").when(F.col("left_only") > 0, "fail").otherwise("pass")
-    return _results(c, "V2", status, "amber", "n_left", "left_only"), _left_only(sides, "V2")
 
+def v2_undeclared_inline(items: DataFrame) -> Check:
+    return citation_set_checks(items)[1]
 
-def v3_article_format(cases: DataFrame, paragraphs: DataFrame) -> DataFrame:
+
+def v3_article_format(paragraphs: DataFrame) -> Check:
+    """Broken article marks in the text are red, declared citations that do not parse amber."""
     raw = F.filter(F.transform("cites", T.strip), lambda cite: cite != "")
-    bad = F.filter(raw, lambda cite: citations.normalize_citation(cite).isNull())
-    counts = paragraphs.select("case_id", F.size(citations.malformed_citations(F.col("text"))).alias("broken"),
-                               F.size(raw).alias("cites"), F.size(bad).alias("bad")) \
-        .groupBy("case_id").agg(F.sum("broken").alias("broken"), F.sum("cites").alias("cites"), F.sum("bad").alias("bad"))
-    c = cases.select("case_id").join(counts, "case_id", "left").withColumn(
-        "n_bad", F.when(_zero("broken") > 0, F.col("broken")).otherwise(F.col("bad")))
-    status = F.when((_zero("broken") > 0) | (_zero("bad") > 0), "fail").when(_zero("cites") == 0, "skipped").otherwise("pass")
-    level = F.when((_zero("broken") == 0) & (_zero("bad") > 0), "amber").otherwise("red")
-    return _results(c, "V3", status, level, "cites", "n_bad")
-
-
-def v4_claim_coverage(cases: DataFrame, claims: DataFrame, paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = paragraphs.select(
+        "case_id", F.size(citations.malformed_citations(F.col("text"))).alias("v3_broken"),
+        F.size(raw).alias("v3_cites"), (F.size(raw) - F.size(_declared(raw))).alias("v3_bad"))
+    broken, bad = _n("v3_broken") > 0, _n("v3_bad") > 0
+    return Check("V3", [rows], F.when(broken | bad, "fail").when(_n("v3_cites") == 0, "skipped").otherwise("pass"),
+                 F.when(~broken & bad, "amber").otherwise("red"), _n("v3_cites"), F.when(broken, _n("v3_broken")).otherwise(_n("v3_bad")))
+
+
+def v4_claim_coverage(claims: DataFrame, paragraphs: DataFrame) -> Check:
     """Claims without a response are red, responses to unknown claims amber."""
     responded = paragraphs.select("case_id", F.explode("responds_to").alias("item")).filter(F.coalesce("item", F.lit("")) != "")
-    sides = _sides(claims.select("case_id", F.col("claim_id").alias("item")), responded)
-    c = _per_case(cases, sides).withColumn("n_bad", F.when(_zero("left_only") > 0, F.col("left_only")).otherwise(F.col("right_only")))
-    status = F.when(_zero("n_left") == 0, "skipped").when((F.col("left_only") > 0) | (F.col("right_only") > 0), "fail").otherwise("pass")
-    level = F.when((_zero("n_left") > 0) & (_zero("left_only") == 0) & (_zero("right_only") > 0), "amber").otherwise("red")
-    results = _results(c, "V4", status, level, "n_left", "n_bad")
-    surplus = sides.filter((F.col("in_right") == 1) & (F.col("in_left") == 0)) \
-        .join(results.filter((F.col("status") == "fail") & (F.col("level") == "amber")).select("case_id"), "case_id", "left_semi") \
-        .select("case_id", F.lit("V4").alias("check_id"), "item")
-    return results, _left_only(sides, "V4").unionByName(surplus)
-
-
-def v5_effective_at_act(cases: DataFrame, paragraphs: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    sides = _tagged(claims.select("case_id", F.col("claim_id").alias("item")), responded)
+    missing, extra = F.col("in_left") * (1 - F.col("in_right")), F.col("in_right") * (1 - F.col("in_left"))
+    rows = sides.select("case_id", F.col("in_left").alias("v4_claims"), missing.alias("v4_missing"), extra.alias("v4_extra"))
+    is_red = _n("v4_missing") > 0
+    level = F.when((_n("v4_claims") > 0) & ~is_red & (_n("v4_extra") > 0), "amber").otherwise("red")
+    # what is missing counts first; surplus responses are the objection only where nothing is missing
+    missing_cases = sides.filter(missing == 1).select("case_id").distinct()
+    surplus = _objected(sides, "V4", extra == 1).join(missing_cases, "case_id", "left_anti")
+    return Check("V4", [rows], _status(_n("v4_claims") == 0, is_red | (_n("v4_extra") > 0)), level, _n("v4_claims"),
+                 F.when(is_red, _n("v4_missing")).otherwise(_n("v4_extra")), _objected(sides, "V4", missing == 1).unionByName(surplus))
+
+
+def v5_effective_at_act(cases: DataFrame, items: DataFrame, versions: DataFrame) -> Check:
     """Cited articles valid on the act date: from <= act < repealed, as a lookup on the citation.
 
     ``versions``: citation, effective_from, repealed_on; several intervals per citation are fine.
-    Only the distinct pairs of citation and act date go through the interval lookup.
     """
-    cited = declared_cites(paragraphs).distinct().join(
-        cases.select("case_id", dates.parse_date(F.col("act_date")).alias("act")), "case_id")
-    asked = cited.filter(F.col("act").isNotNull()).select("item", "act").distinct()
+    acts = cases.select("case_id", dates.parse_date(F.col("act_date")).alias("act")).filter(F.col("act").isNotNull())
+    cited = items.filter(_has(DECLARED) == 1).select("case_id", "item").join(acts, "case_id")
     inside = (F.coalesce(F.col("effective_from") <= F.col("act"), F.lit(True))
               & F.coalesce(F.col("act") < F.col("repealed_on"), F.lit(True)))
-    found = asked.join(versions.withColumnRenamed("citation", "item").withColumn("known", F.lit(1)), "item", "left") \
-        .groupBy("item", "act").agg(F.max("known").alias("known"), F.max(F.when(F.col("known") == 1, inside.cast("int"))).alias("valid"))
+    found = cited.join(versions.withColumnRenamed("citation", "item").withColumn("known", F.lit(1)), "item", "left") \
+        .groupBy("case_id", "item").agg(F.max("known").alias("known"), F.max(F.when(F.col("known") == 1, inside.cast("int"))).alias("valid"))
     state = F.when(F.col("known").isNull(), "unknown").when(F.col("valid") == 1, "effective").otherwise("not_effective")
-    looked = cited.join(found.select("item", "act", state.alias("state")), ["item", "act"])
-    counts = looked.groupBy("case_id").agg(
-        F.count("*").alias("cited"), F.count_if(F.col("state") == "not_effective").alias("bad"),
-        F.count_if(F.col("state") == "unknown").alias("unknown"))
-    c = cases.select("case_id").join(counts, "case_id", "left").withColumn(
-        "n_bad", F.when(_zero("bad") > 0, F.col("bad")).otherwise(F.col("unknown")))
-    status = F.when(_zero("cited") == 0, "skipped").when(_zero("bad") + _zero("unknown") > 0, "fail").otherwise("pass")
-    level = F.when((_zero("bad") == 0) & (_zero("unknown") > 0), "amber").otherwise("red")
-    evidence = looked.filter(F.col("state") != "effective").select(
-        "case_id", F.lit("V5").alias("check_id"), "item", "state")
-    return _results(c, "V5", status, level, "cited", "n_bad"), evidence
-
-
-def v6_ungrounded_dates(cases: DataFrame, paragraphs: DataFrame, allow_derived: bool = False) -> tuple[DataFrame, DataFrame]:
+    looked = found.select("case_id", "item", state.alias("state"))
+    rows = looked.select("case_id", F.lit(1).alias("v5_cited"), (F.col("state") == "not_effective").cast("int").alias("v5_bad"),
+                         (F.col("state") == "unknown").cast("int").alias("v5_unknown"))
+    bad, unknown = _n("v5_bad") > 0, _n("v5_unknown") > 0
+    return Check("V5", [rows], _status(_n("v5_cited") == 0, bad | unknown), F.when(~bad & unknown, "amber").otherwise("red"), _n("v5_cited"),
+                 F.when(bad, _n("v5_bad")).otherwise(_n("v5_unknown")),
+                 looked.filter(F.col("state") != "effective").select("case_id", F.lit("V5").alias("check_id"), "item", "state"))
+
+
+def v6_ungrounded_dates(cases: DataFrame, paragraphs: DataFrame, allow_derived: bool = False) -> Check:
     """Dates in paragraphs that are not among the dates of the case."""
     sources = ["disposition_date", "service_date", "act_date", "filed_date"]
     if allow_derived:
@@ -150,103 +200,94 @@ def v6_ungrounded_dates(cases: DataFrame, paragraphs: DataFrame, allow_derived:
     written = paragraphs.select("case_id", F.explode(dates.date_tokens(F.col("text"))).alias("d")) \
         .groupBy("case_id", F.col("d.day").alias("day"), F.col("d.raw").alias("raw")).agg(F.count("*").alias("n"))
     loose = written.join(known, ["case_id", "day"], "left_anti")
-    n_known = known.groupBy("case_id").agg(F.count("*").alias("known"))
-    n_loose = loose.groupBy("case_id").agg(F.sum("n").alias("loose"))
-    c = cases.select("case_id").join(n_known, "case_id", "left").join(n_loose, "case_id", "left")
-    status = F.when(_zero("known") == 0, "skipped").when(_zero("loose") > 0, "fail").otherwise("pass")
-    evidence = loose.select("case_id", F.lit("V6").alias("check_id"), F.col("raw").alias("item")).distinct()
-    return _results(c, "V6", status, "amber", "known", "loose"), evidence
+    rows = [known.select("case_id", F.lit(1).alias("v6_known")), loose.select("case_id", F.col("n").alias("v6_loose"))]
+    return Check("V6", rows, _status(_n("v6_known") == 0, _n("v6_loose") > 0), F.lit("amber"), _n("v6_known"), _n("v6_loose"),
+                 loose.select("case_id", F.lit("V6").alias("check_id"), F.col("raw").alias("item")))
 
 
-def v7_period_recheck(cases: DataFrame) -> DataFrame:
-    """Days from service to filing against the ruling; ``gate_overdue`` shows what the gate says instead.
+def v7_period_recheck(cases: DataFrame) -> Check:
+    """Days from service to filing against the ruling.
 
-    ``cases``: a gated timeline plus ``main``, the ruling of the draft.
+    ``cases``: a gated timeline plus ``main``, the ruling of the draft. The raw service date counts
+    here and no weekend is rolled, so the verdict can differ from the gate: ``period_conflicts``.
     """
-    elapsed = F.date_diff("_filed", "_service")
-    rejects = F.contains(F.coalesce("main", F.lit("")), F.lit("不受理"))
-    c = cases.withColumn("elapsed", elapsed).withColumn("rejects", rejects)
-    late = F.col("elapsed") > V.APPEAL_PERIOD_DAYS
-    status = F.when(F.col("elapsed").isNull(), "skipped").when(
-        (F.col("elapsed") < 0) | (late & ~F.col("rejects")) | (~late & F.col("rejects")), "fail").otherwise("pass")
-    level = F.when(F.col("elapsed").isNull() | ((F.col("elapsed") >= 0) & ~late & F.col("rejects")), "amber").otherwise("red")
-    return c.select("case_id", F.lit("V7").alias("check_id"), status.alias("status"), level.alias("level"), "elapsed",
-                    F.coalesce(F.col("overdue_days") > 0, F.lit(False)).cast("int").alias("gate_overdue"))
-
-
-def v8_remedy_notice(drafts: DataFrame) -> DataFrame:
-    """Remedy notice: required words, period, no abolished court."""
-    text = F.coalesce("remedy_notice", F.lit(""))
-    found = T.words_found(text, V.ABOLISHED_COURTS)
+    rows = cases.select("case_id", F.date_diff("_filed", "_service").alias("v7_elapsed"),
+                        F.contains(F.coalesce("main", F.lit("")), F.lit("不受理")).cast("int").alias("v7_rejects"))
+    elapsed, rejects = F.col("v7_elapsed"), F.col("v7_rejects") > 0
+    late = elapsed > V.APPEAL_PERIOD_DAYS
+    return Check("V7", [rows], _status(elapsed.isNull(), (elapsed < 0) | (late & ~rejects) | (~late & rejects)),
+                 F.when(elapsed.isNull() | ((elapsed >= 0) & ~late & rejects), "amber").otherwise("red"), F.coalesce(elapsed, F.lit(0)), F.lit(0))
+
+
+def period_conflicts(cases: DataFrame) -> DataFrame:
+    """Elapsed days beside the gate's view of the same case, to show where V7 and the gate disagree."""
+    return cases.select("case_id", F.date_diff("_filed", "_service").alias("elapsed"),
+                        F.coalesce(F.col("overdue_days") > 0, F.lit(False)).cast("int").alias("gate_overdue"))
+
+
+def remedy_problems(notice: Column) -> Column:
+    """Problems of a remedy notice: required words, period, abolished courts."""
+    found = T.words_found(notice, V.ABOLISHED_COURTS)
     problems = F.filter(F.array(
-        *[F.when(~F.contains(text, F.lit(word)), f"教示未載明「{word}」") for word in V.REMEDY_REQUIRED],
-        F.when(~contains_any(text, V.REMEDY_PERIODS), "教示未載明 2 個月起訴期間"),
+        *[F.when(~F.contains(notice, F.lit(word)), f"教示未載明「{word}」") for word in V.REMEDY_REQUIRED],
+        F.when(~contains_any(notice, V.REMEDY_PERIODS), "教示未載明 2 個月起訴期間"),
         F.when(F.size(found) > 0, F.concat(F.lit("引用已改制/裁撤之機關："), F.array_join(found, "、"))),
     ), lambda p: p.isNotNull())
-    status = F.when(text == "", "skipped").when(F.size(problems) > 0, "fail").otherwise("pass")
-    return drafts.select("case_id", F.lit("V8").alias("check_id"), status.alias("status"), F.lit("red").alias("level"),
-                         F.when(text == "", F.array().cast("array<string>")).otherwise(problems).alias("problems"))
+    return F.when(F.coalesce(notice, F.lit("")) == "", F.array().cast("array<string>")).otherwise(problems)
+
 
+def v8_remedy_notice(drafts: DataFrame) -> Check:
+    problems = remedy_problems(F.col("remedy_notice"))
+    rows = drafts.select("case_id", (F.coalesce("remedy_notice", F.lit("")) != "").cast("int").alias("v8_given"), F.size(problems).alias("v8_bad"))
+    evidence = drafts.select("case_id", F.lit("V8").alias("check_id"), F.explode(problems).alias("item"))
+    return Check("V8", [rows], _status(_n("v8_given") == 0, _n("v8_bad") > 0), F.lit("red"), _n("v8_given"), _n("v8_bad"), evidence)
 
-def v9_ruling_consistency(drafts: DataFrame, paragraphs: DataFrame) -> DataFrame:
+
+def v9_ruling_consistency(drafts: DataFrame, paragraphs: DataFrame) -> Check:
     """Words in the grounds that contradict the ruling; each paragraph is looked at on its own."""
-    ruled = drafts.select("case_id", labels.ruling_kind(F.coalesce("main", F.lit(""))).alias("kind"))
+    kind = labels.ruling_kind(F.coalesce("main", F.lit("")))
+    ruled = drafts.select("case_id", *[F.coalesce(kind == k, F.lit(False)).cast("int").alias(f"v9_{k}") for k in V.CONTRADICTIONS])
     flags = paragraphs.select(
-        "case_id", (T.strip("text") != "").cast("int").alias("filled"),
-        *[F.contains(F.col("text"), F.lit(word)).cast("int").alias(f"{kind}_{i}")
-          for kind, words in V.CONTRADICTIONS.items() for i, word in enumerate(words)])
-    seen = flags.groupBy("case_id").agg(*[F.max(c).alias(c) for c in flags.columns if c != "case_id"])
-    c = ruled.join(seen, "case_id", "left")
+        "case_id", (T.strip("text") != "").cast("int").alias("v9_filled"),
+        *[F.contains(F.col("text"), F.lit(word)).cast("int").alias(f"v9_{k}_{i}") for k, words in V.CONTRADICTIONS.items() for i, word in enumerate(words)])
     hits = F.lit(0)
-    for kind, words in V.CONTRADICTIONS.items():
-        hits = F.when(F.col("kind") == kind, reduce(lambda a, b: a + b, [_zero(f"{kind}_{i}") for i in range(len(words))])).otherwise(hits)
-    c = c.withColumn("hits", hits).withColumn("one", F.lit(1))
-    status = F.when(F.col("kind").isNull() | (_zero("filled") == 0), "skipped").when(F.col("hits") > 0, "fail").otherwise("pass")
-    return _results(c, "V9", status, "red", "filled", "hits")
+    for k, words in V.CONTRADICTIONS.items():
+        found = reduce(lambda a, b: a + b, [(_n(f"v9_{k}_{i}") > 0).cast("int") for i in range(len(words))])
+        hits = F.when(_n(f"v9_{k}") > 0, found).otherwise(hits)
+    no_kind = reduce(lambda a, b: a & b, [_n(f"v9_{k}") == 0 for k in V.CONTRADICTIONS])
+    skipped = no_kind | (_n("v9_filled") == 0)
+    return Check("V9", [ruled, flags], _status(skipped, hits > 0), F.lit("red"), (_n("v9_filled") > 0).cast("int"), F.when(skipped, 0).otherwise(hits))
 
 
-def v10_red_addressed(cases: DataFrame, findings: DataFrame, paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def v10_red_addressed(findings: DataFrame, paragraphs: DataFrame) -> Check:
     """Each red finding must be mentioned: one word of its title occurs in the grounds."""
-    reds = findings.filter(F.lower("level") == "red").select("case_id", F.col("check_id").alias("item"), "title")
     words = F.filter(F.split("title", r"[（）()、，,。\s/　]+", -1), lambda w: F.length(w) >= 2)
-    asked = reds.withColumn("words", words)
-    mentioned = asked.join(paragraphs.select("case_id", "text"), "case_id") \
+    reds = findings.filter(F.lower("level") == "red").select("case_id", F.col("check_id").alias("item"), words.alias("words"))
+    mentioned = reds.join(paragraphs.select("case_id", "text"), "case_id") \
         .filter(F.exists("words", lambda w: F.contains(F.col("text"), w))).select("case_id", "item")
-    free = asked.filter(F.size("words") == 0).select("case_id", "item")
-    sides = _sides(reds, mentioned.unionByName(free))
-    c = _per_case(cases, sides)
-    status = F.when(_zero("n_left") == 0, "skipped").when(F.col("left_only") > 0, "fail").otherwise("pass")
-    return _results(c, "V10", status, "amber", "n_left", "left_only"), _left_only(sides, "V10")
-
-
-def with_evidence(results: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Results in long form: one row per item objected to, one row with a null item where there is none."""
-    failed = results.filter(F.col("status") == "fail")
-    # evidence is the large and possibly skewed side; an inner join lets it be split
-    listed = evidence.select("case_id", "item").join(failed, "case_id")
-    bare = results.join(evidence.select("case_id").distinct(), "case_id", "left_anti")
-    quiet = results.filter(F.col("status") != "fail").join(evidence.select("case_id").distinct(), "case_id", "left_semi")
-    rest = bare.unionByName(quiet).withColumn("item", F.lit(None).cast("string"))
-    return listed.unionByName(rest.select(*listed.columns))
-
-
-def verification_report(checks: DataFrame) -> DataFrame:
-    """Summary per case. ``checks``: case_id, check_id, status, level - ten rows per case at most."""
-    fail, red, amber = F.col("status") == "fail", F.col("level") == "red", F.col("level") == "amber"
-    number = F.substring("check_id", 2, 2).cast("int")
+    sides = _tagged(reds, mentioned.unionByName(reds.filter(F.size("words") == 0).select("case_id", "item")))
+    bad = F.col("in_left") * (1 - F.col("in_right"))
+    rows = sides.select("case_id", F.col("in_left").alias("v10_reds"), bad.alias("v10_bad"))
+    return Check("V10", [rows], _status(_n("v10_reds") == 0, _n("v10_bad") > 0), F.lit("amber"), _n("v10_reds"), _n("v10_bad"), _objected(sides, "V10", bad == 1))
+
+
+def verification_report(judged: DataFrame) -> DataFrame:
+    """Summary per case of ``judge``: counts, blocking checks, sentences for the rewrite."""
+    def count(test) -> Column:
+        return F.size(F.filter("checks", test)).cast("bigint")
+
+    failed = lambda c: c["status"] == "fail"
+    is_red = lambda c: failed(c) & (c["level"] == "red")
     name, hint = T.lit_map(V.CHECK_NAMES), T.lit_map(V.FIX_HINTS)
-    sentence = F.concat(F.try_element_at(name, F.col("check_id")), F.lit("未通過。"),
-                        F.coalesce(F.try_element_at(hint, F.col("check_id")), F.lit("")))
-    blocked = F.array_sort(F.collect_list(F.when(fail & red, F.struct(number.alias("no"), F.col("check_id").alias("id"), sentence.alias("issue")))))
-    per_case = checks.groupBy("case_id").agg(
-        F.count("*").alias("total"), F.count_if(F.col("status") == "pass").alias("passed"), F.count_if(fail).alias("failed"),
-        F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(fail & red).alias("red"),
-        F.count_if(fail & amber).alias("amber"), blocked.alias("b"))
-    return per_case.select(
-        "case_id", "total", "passed", "failed", "skipped", "red", "amber",
-        F.array_join(F.transform("b", lambda x: x["id"]), ",").alias("blocking"),
-        F.array_join(F.transform("b", lambda x: x["issue"]), "\n").alias("issues"),
-        (F.col("failed") == 0).cast("int").alias("all_passed"), (F.col("red") == 0).cast("int").alias("blocking_passed"))
+    blocked = F.filter("checks", is_red)
+    sentences = F.transform(blocked, lambda c: F.concat(
+        F.try_element_at(name, c["check_id"]), F.lit("未通過。"), F.coalesce(F.try_element_at(hint, c["check_id"]), F.lit(""))))
+    counted = judged.select(
+        "case_id", F.size("checks").cast("bigint").alias("total"), count(lambda c: c["status"] == "pass").alias("passed"), count(failed).alias("failed"),
+        count(lambda c: c["status"] == "skipped").alias("skipped"), count(is_red).alias("red"),
+        count(lambda c: failed(c) & (c["level"] == "amber")).alias("amber"),
+        F.array_join(F.transform(blocked, lambda c: c["check_id"]), ",").alias("blocking"), F.array_join(sentences, "\n").alias("issues"))
+    return counted.withColumn("all_passed", (F.col("failed") == 0).cast("int")).withColumn("blocking_passed", (F.col("red") == 0).cast("int"))
 
 
 def needs_rewrite(reviews: DataFrame, max_rewrites: int = 1) -> DataFrame:

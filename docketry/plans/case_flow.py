@@ -23,14 +23,16 @@ def review_cases(cases: DataFrame, similar_votes: Callable[[DataFrame], DataFram
     front = ~F.coalesce(F.col("is_admissible"), F.lit(True))
     state = F.when(F.col("is_valid") == 0, "error").when(front | (F.col("is_inadmissible") == 1), "inadmissible").otherwise("merits")
     staged = gated.withColumn("state", state).withColumn("front", front)
-    open_cases = staged.filter(F.col("state") == "merits")
-    findings = rules.defect_checks(open_cases)
-    decided = evaluation.majority_disposition(
-        open_cases, similar_votes(open_cases.select("case_id")), findings.filter(F.col("level") == "red"))
-    early = staged.filter(F.col("state") != "merits").select(
+    votes = similar_votes(staged.filter(F.col("state") == "merits").select("case_id"))
+    is_open = F.col("state") == "merits"
+    # findings belong to the row, so the open cases need neither a second pass nor a join for them
+    n_red = F.size(F.filter(rules.defect_findings(), lambda f: f["level"] == "red"))
+    joined = staged.withColumn("n_red", F.when(is_open, n_red)).join(evaluation.top_disposition(votes), "case_id", "left")
+    ruling, basis = evaluation.reference_ruling(F.col("n_red"), F.col("top"))
+    return joined.select(
         "case_id", "state",
-        F.when(F.col("state") == "inadmissible", V.INADMISSIBLE).alias("disposition"),
-        F.when(F.col("state") == "error", F.array_join("problems", "；"))
+        F.when(is_open, ruling).when(F.col("state") == "inadmissible", V.INADMISSIBLE).alias("disposition"),
+        F.when(is_open, basis)
+        .when(F.col("state") == "error", F.array_join("problems", "；"))
         .when(F.col("front"), "前段判定程序不受理（快速通道，未進實體審查）")
         .otherwise(F.concat(F.lit("後段程序審查判定不受理（§"), F.col("clause"), F.lit("）："), F.col("reason"))).alias("basis"))
-    return early.unionByName(decided.select("case_id", F.lit("merits").alias("state"), "disposition", "basis"))

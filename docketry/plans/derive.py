@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketry.sources.files import spread
+
 
 def roc(day: str) -> str:
     return f"('民國' || (year({day}) - 1911) || '年' || month({day}) || '月' || day({day}) || '日')"
@@ -191,6 +193,10 @@ INPUTS: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
+# tables whose rows become texts that are parsed
+TEXT_SOURCES = {"orders", "lineitem", "documents", "events", "conversations"}
+
+
 class Inputs:
     """Given and derived tables of one data folder, as DataFrames by attribute."""
 
@@ -204,7 +210,8 @@ class Inputs:
 
     def _build(self, name: str) -> DataFrame:
         if name not in INPUTS:
-            return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+            scan = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+            return spread(scan) if name in TEXT_SOURCES else scan
         source, columns = INPUTS[name]
         if " JOIN " in source:
             left, rest = source.split(" JOIN ")

@@ -62,12 +62,13 @@ def evidence_sql(check: str, bad: str) -> str:
 
 @query("v1_unlisted_citations", f"WITH {_CITES_SQL.strip()}, {_ALLOWED_SQL.strip()}, {set_check_sql('v1', 'declared', 'allowed', 'red', True).strip()} {evidence_sql('v1', 'v1_bad')}", inputs=("paragraph_rows", "law_rows", "cases"))
 def v1_unlisted_citations(spark, t):
-    return X.with_evidence(*X.v1_unlisted_citations(t.cases, paragraphs_of(t), X.allowed_citations(t.law_rows))).select(*_RESULT.split(", "))
+    items = X.cited_items(paragraphs_of(t), X.allowed_citations(t.law_rows), inline=False)
+    return X.with_evidence(t.cases, X.v1_unlisted_citations(items)).select(*_RESULT.split(", "))
 
 
 @query("v2_undeclared_inline", f"WITH {_CITES_SQL.strip()}, {set_check_sql('v2', 'inlined', 'declared', 'amber', False).strip()} {evidence_sql('v2', 'v2_bad')}", inputs=("paragraph_rows", "cases"))
 def v2_undeclared_inline(spark, t):
-    return X.with_evidence(*X.v2_undeclared_inline(t.cases, paragraphs_of(t))).select(*_RESULT.split(", "))
+    return X.with_evidence(t.cases, X.v2_undeclared_inline(X.cited_items(paragraphs_of(t)))).select(*_RESULT.split(", "))
 
 
 _V3_SQL = f"""
@@ -81,7 +82,7 @@ v3 AS (SELECT case_id, 'V3' AS check_id, CASE WHEN coalesce(broken, 0) > 0 OR co
 
 @query("v3_article_format", f"WITH {_CITES_SQL.strip()}, {_V3_SQL.strip()} SELECT * FROM v3", inputs=("paragraph_rows", "cases"))
 def v3_article_format(spark, t):
-    return X.v3_article_format(t.cases, paragraphs_of(t))
+    return X.results(t.cases, X.v3_article_format(paragraphs_of(t)))
 
 
 @query("v4_claim_coverage", """
@@ -97,7 +98,7 @@ def v4_claim_coverage(spark, t):
     cases = talks.select(F.col("conv_id").alias("case_id")).distinct()
     claims = talks.filter("role = 'user'").selectExpr("conv_id AS case_id", "'C' || turn AS claim_id")
     responses = talks.filter("role = 'assistant'").selectExpr("conv_id AS case_id", "array('C' || (turn - CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 1 END)) AS responds_to")
-    return X.with_evidence(*X.v4_claim_coverage(cases, claims, responses)).select(*_RESULT.split(", "))
+    return X.with_evidence(cases, X.v4_claim_coverage(claims, responses)).select(*_RESULT.split(", "))
 
 
 _VERSIONS = {"citation": "law_name || '第' || n || '條'", "effective_from": "date '1995-01-01' + CAST(20 * n AS int)",
@@ -123,11 +124,11 @@ v5 AS (SELECT case_id, 'V5' AS check_id, CASE WHEN coalesce(n, 0) = 0 THEN 'skip
   coalesce(n, 0) AS n_items, coalesce(CASE WHEN bad > 0 THEN bad ELSE unk END, 0) AS n_evidence FROM (SELECT case_id FROM cases) c LEFT JOIN v5_n USING (case_id))"""
 
 
-@query("v5_effective_at_act", f"WITH {_CITES_SQL.strip()}, {_V5_SQL.strip()} SELECT r.*, b.item, b.state FROM v5 r LEFT JOIN (SELECT * FROM looked WHERE state <> 'effective') b ON b.case_id = r.case_id", inputs=("paragraph_rows", "cases", "case_days"))
+@query("v5_effective_at_act", f"WITH {_CITES_SQL.strip()}, {_V5_SQL.strip()} SELECT r.*, b.item, b.state FROM v5 r LEFT JOIN (SELECT * FROM looked WHERE state <> 'effective') b ON b.case_id = r.case_id AND r.status = 'fail'", inputs=("paragraph_rows", "cases", "case_days"))
 def v5_effective_at_act(spark, t):
-    results, evidence = X.v5_effective_at_act(t.cases, paragraphs_of(t), _versions(t))
-    listed = results.join(evidence.select("case_id", "item", "state"), "case_id", "left")
-    return listed.select("case_id", "check_id", "status", "level", "n_items", "n_evidence", "item", "state")
+    items = X.cited_items(paragraphs_of(t), inline=False)
+    rows = X.with_evidence(t.cases, X.v5_effective_at_act(t.cases, items, _versions(t)))
+    return rows.select("case_id", "check_id", "status", "level", "n_items", "n_evidence", "item", "state")
 
 
 _V6_SQL = """
@@ -142,7 +143,7 @@ v6 AS (SELECT case_id, 'V6' AS check_id, CASE WHEN nk = 0 THEN 'skipped' WHEN nb
 
 @query("v6_ungrounded_dates", f"WITH {_V6_SQL.strip()} SELECT r.*, b.item FROM v6 r LEFT JOIN (SELECT DISTINCT * FROM v6_bad) b ON b.case_id = r.case_id AND r.status = 'fail'", inputs=("date_paragraphs", "cases", "case_days"))
 def v6_ungrounded_dates(spark, t):
-    return X.with_evidence(*X.v6_ungrounded_dates(t.cases, t.date_paragraphs)).select(*_RESULT.split(", "))
+    return X.with_evidence(t.cases, X.v6_ungrounded_dates(t.cases, t.date_paragraphs)).select(*_RESULT.split(", "))
 
 
 _V7_SQL = f"""
@@ -152,7 +153,9 @@ v7 AS (SELECT case_id, 'V7' AS check_id, CASE WHEN d_svc IS NULL THEN 'skipped'
 
 @query("v7_period_recheck", f"WITH {GATE_SQL.strip()}, {_V7_SQL.strip()} SELECT * FROM v7", inputs=("cases", "case_days"))
 def v7_period_recheck(spark, t):
-    return X.v7_period_recheck(gate_of(t).join(drafts_of(t), "case_id"))
+    ruled = gate_of(t).join(drafts_of(t), "case_id")
+    verdicts = X.results(t.cases, X.v7_period_recheck(ruled)).select("case_id", "check_id", "status", "level")
+    return verdicts.join(X.period_conflicts(ruled), "case_id")
 
 
 _V8_SQL = f"""
@@ -164,7 +167,9 @@ v8 AS (SELECT case_id, 'V8' AS check_id, CASE WHEN notice = '' THEN 'skipped' WH
 
 @query("v8_remedy_notice", f"WITH {_V8_SQL.strip()} SELECT * FROM v8", inputs=("cases",))
 def v8_remedy_notice(spark, t):
-    return X.v8_remedy_notice(drafts_of(t)).withColumn("problems", F.array_join("problems", "；"))
+    drafts = drafts_of(t)
+    verdicts = X.results(t.cases, X.v8_remedy_notice(drafts)).select("case_id", "check_id", "status", "level")
+    return verdicts.join(drafts.select("case_id", F.array_join(X.remedy_problems(F.col("remedy_notice")), "；").alias("problems")), "case_id")
 
 
 _BODY = "body AS (SELECT case_id, string_agg(text, ' ') AS body FROM paragraph_rows GROUP BY case_id)"
@@ -177,7 +182,7 @@ v9 AS (SELECT case_id, 'V9' AS check_id, CASE WHEN words IS NULL OR body IS NULL
 
 @query("v9_ruling_consistency", f"WITH {_BODY}, {_V9_SQL.strip()} SELECT * FROM v9", inputs=("paragraph_rows", "cases"))
 def v9_ruling_consistency(spark, t):
-    return X.v9_ruling_consistency(drafts_of(t), paragraphs_of(t))
+    return X.results(t.cases, X.v9_ruling_consistency(drafts_of(t), paragraphs_of(t)))
 
 
 _V10_SQL = """
@@ -190,27 +195,19 @@ v10 AS (SELECT case_id, 'V10' AS check_id, CASE WHEN nl = 0 THEN 'skipped' WHEN
 @query("v10_red_addressed", f"WITH {FINDINGS_SQL.strip()}, {_BODY}, {_V10_SQL.strip()} SELECT r.*, b.item FROM v10 r LEFT JOIN v10_bad b ON b.case_id = r.case_id AND r.status = 'fail'", inputs=("paragraph_rows", "cases", "case_days"))
 def v10_red_addressed(spark, t):
     findings = rules.defect_checks(timeline_of(t))
-    return X.with_evidence(*X.v10_red_addressed(t.cases, findings, paragraphs_of(t))).select(*_RESULT.split(", "))
+    return X.with_evidence(t.cases, X.v10_red_addressed(findings, paragraphs_of(t))).select(*_RESULT.split(", "))
 
 
-def all_checks(t):
-    """The ten checks of every case, brief."""
-    cases, paragraphs, drafts = t.cases, paragraphs_of(t), drafts_of(t)
-    gated = gate_of(t)
+def judged_cases(t):
+    """The ten verdicts of every case."""
+    paragraphs, drafts, gated = paragraphs_of(t), drafts_of(t), gate_of(t)
     claims = t.paragraph_rows.selectExpr("case_id", "'C' || (pos % 3 + 1) AS claim_id")
-    parts = [
-        X.v1_unlisted_citations(cases, paragraphs, X.allowed_citations(t.law_rows))[0],
-        X.v2_undeclared_inline(cases, paragraphs)[0], X.v3_article_format(cases, paragraphs),
-        X.v4_claim_coverage(cases, claims, paragraphs)[0], X.v5_effective_at_act(cases, paragraphs, _versions(t))[0],
-        X.v6_ungrounded_dates(cases, t.date_paragraphs)[0], X.v7_period_recheck(gated.join(drafts, "case_id")),
-        X.v8_remedy_notice(drafts), X.v9_ruling_consistency(drafts, paragraphs),
-        X.v10_red_addressed(cases, rules.defect_checks(gated), paragraphs)[0],
-    ]
-    brief = [p.select("case_id", "check_id", "status", "level") for p in parts]
-    out = brief[0]
-    for part in brief[1:]:
-        out = out.unionByName(part)
-    return out
+    items = X.cited_items(paragraphs, X.allowed_citations(t.law_rows))
+    return X.judge(t.cases, [
+        *X.citation_set_checks(items), X.v3_article_format(paragraphs),
+        X.v4_claim_coverage(claims, paragraphs), X.v5_effective_at_act(t.cases, items, _versions(t)),
+        X.v6_ungrounded_dates(t.cases, t.date_paragraphs), X.v7_period_recheck(gated.join(drafts, "case_id")),
+        X.v8_remedy_notice(drafts), X.v9_ruling_consistency(drafts, paragraphs), X.v10_red_addressed(rules.defect_checks(gated), paragraphs)])
 
 
 _V4_CASES_SQL = """
@@ -234,7 +231,7 @@ _REPORT_INPUTS = ("paragraph_rows", "law_rows", "cases", "case_days", "date_para
 
 @query("verification_report", f"""WITH {REPORT_SQL} SELECT *, CASE WHEN failed = 0 THEN 1 ELSE 0 END AS all_passed, CASE WHEN red = 0 THEN 1 ELSE 0 END AS blocking_passed FROM report""", inputs=_REPORT_INPUTS)
 def verification_report(spark, t):
-    return X.verification_report(all_checks(t))
+    return X.verification_report(judged_cases(t))
 
 
 @query("quality_flags", f"""WITH {REPORT_SQL},
@@ -243,7 +240,7 @@ f AS (SELECT case_id, blocking, [x for x in [CASE WHEN low THEN '前段分類信
   CASE WHEN NOT ok THEN '法官對抗式審查未通過' END, CASE WHEN risk IN ('high', 'medium') THEN '對抗式審查撤銷風險：' || risk END, CASE WHEN rewrites > 0 THEN '已自動重寫 ' || rewrites || ' 次' END] if x IS NOT NULL] AS flags FROM o)
 SELECT case_id, array_to_string(flags, '；') AS flags, len(flags) AS n_flags, CASE WHEN blocking <> '' THEN 1 ELSE 0 END AS human_review FROM f""", inputs=_REPORT_INPUTS)
 def quality_flags(spark, t):
-    report = X.verification_report(all_checks(t)).select("case_id", "blocking")
+    report = X.verification_report(judged_cases(t)).select("case_id", "blocking")
     outcomes = report.join(t.cases.select("case_id", "cust_key"), "case_id").selectExpr(
         "case_id", "blocking", "CASE WHEN cust_key % 6 = 0 THEN 1 ELSE 0 END AS need_human_review", "cust_key % 4 <> 0 AS passed",
         "CASE cust_key % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk", "case_id % 2 AS rewrites")

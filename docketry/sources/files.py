@@ -13,6 +13,16 @@ from docketry.functions.text import safe_stem
 CORRUPT = "_corrupt_record"
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with few splits out over the cores, before texts are parsed.
+
+    One small file is one split and would leave all other cores idle. A scan that has as many
+    splits as there are cores, as on any large table, stays as it is: no shuffle is added.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def scan_json_docs(spark: SparkSession, path: str, schema: str, glob: str = "*.json", multi_line: bool = True) -> DataFrame:
     """JSON documents below a prefix, without the ``.metadata.json`` companions.
 
@@ -45,27 +55,30 @@ def scan_binary(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFram
         .load(path).select("path", "content")
 
 
-@F.pandas_udf("struct<text:string,charset:string>")
-def _decode_legacy(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    def one(raw: bytes | None) -> tuple[str | None, str | None]:
-        if raw is None:
-            return None, None
-        for charset in ("big5", "cp950"):
-            try:
-                return raw.decode(charset), charset
-            except UnicodeDecodeError:
-                continue
-        return raw.decode("utf-8", errors="ignore"), "utf-8 (lossy)"
+def _legacy_decoder():
+    """Arrow UDF for what is not UTF-8. Built on use: declaring it needs a session; a closure travels by value."""
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def one(raw: bytes | None) -> tuple[str | None, str | None]:
+            if raw is None:
+                return None, None
+            for charset in ("big5", "cp950"):
+                try:
+                    return raw.decode(charset), charset
+                except UnicodeDecodeError:
+                    continue
+            return raw.decode("utf-8", errors="ignore"), "utf-8 (lossy)"
+
+        for batch in batches:
+            yield pd.DataFrame([one(raw) for raw in batch], columns=["text", "charset"])
 
-    for batch in batches:
-        yield pd.DataFrame([one(raw) for raw in batch], columns=["text", "charset"])
+    return F.pandas_udf(decode, "struct<text:string,charset:string>")
 
 
 def decode_texts(files: DataFrame) -> DataFrame:
     """Text and charset of binary contents: UTF-8 on the JVM side, only the rest goes through Arrow."""
     as_text = F.col("content").cast("string")
     valid = F.is_valid_utf8(as_text)
-    staged = files.withColumn("valid", valid).withColumn("legacy", _decode_legacy(F.when(~valid, F.col("content"))))
+    staged = files.withColumn("valid", valid).withColumn("legacy", _legacy_decoder()(F.when(~valid, F.col("content"))))
     return staged.select(
         *[c for c in files.columns if c != "content"],
         F.when(F.col("valid"), as_text).otherwise(F.col("legacy.text")).alias("text"),

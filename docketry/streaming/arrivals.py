@@ -36,9 +36,8 @@ def draft_paragraphs(analysis: DataFrame) -> DataFrame:
 def verify_stage(analysis: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """The checks a micro-batch can do by itself: citation format and filing period."""
     open_cases = analysis.filter(F.col("is_inadmissible") == 0).withColumn("main", F.lit(V.DISMISS + "。"))
-    v3 = verification.v3_article_format(open_cases, paragraphs).select("case_id", "check_id", "status", "level")
-    v7 = verification.v7_period_recheck(open_cases).select("case_id", "check_id", "status", "level")
-    return v3.unionByName(v7)
+    checks = [verification.v3_article_format(paragraphs), verification.v7_period_recheck(open_cases)]
+    return verification.results(open_cases, *checks).select("case_id", "check_id", "status", "level")
 
 
 def stage_flow(stream: DataFrame, root: str, checkpoint: str) -> None:
