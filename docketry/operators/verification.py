@@ -41,7 +41,7 @@ def _status(skipped: Column, failed: Column) -> Column:
 def judge(cases: DataFrame, checks: list[Check]) -> DataFrame:
     """One row per case with the array of its verdicts, from a single aggregation."""
     rows = {id(table): table for check in checks for table in check.rows}   # checks may share their rows
-    parts = [cases.select("case_id", F.lit(1).alias("asked")), *rows.values()]
+    parts = [cases.filter(F.col("case_id").isNotNull()).select("case_id", F.lit(1).alias("asked")), *rows.values()]
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     metrics = [c for c in united.columns if c != "case_id"]
     summed = united.groupBy("case_id").agg(*[F.sum(c).alias(c) for c in metrics]).filter(F.col("asked") > 0)
@@ -80,8 +80,8 @@ def _declared(cites: Column) -> Column:
     return F.filter(F.transform(cites, citations.normalize_citation), lambda c: c.isNotNull())
 
 
-def allowed_citations(laws: DataFrame) -> DataFrame:
-    """Whitelist per case. ``laws``: case_id, citation, law, article, and free texts (title, text, source).
+def allowed_items(laws: DataFrame) -> DataFrame:
+    """Whitelist entries per case, copies included (``cited_items`` collapses them). ``laws``: case_id, citation, law, article, and free texts (title, text, source).
 
     The structured citation counts alone; else law and article; else whatever the texts mention.
     """
@@ -91,7 +91,12 @@ def allowed_citations(laws: DataFrame) -> DataFrame:
     pair = F.when((law != "") & (article != ""), citations.normalize_citation(numbered))
     free = F.flatten(F.array(*[citations.citation_names(F.col(c)) for c in ("title", "text", "source")]))
     item = F.when(exact.isNotNull(), F.array(exact)).when(pair.isNotNull(), F.array(pair)).otherwise(free)
-    return laws.select("case_id", F.explode(item).alias("item")).distinct()
+    return laws.select("case_id", F.explode(item).alias("item"))
+
+
+def allowed_citations(laws: DataFrame) -> DataFrame:
+    """Distinct whitelist per case."""
+    return allowed_items(laws).distinct()
 
 
 DECLARED, INLINE, ALLOWED = 1, 2, 4
@@ -109,9 +114,11 @@ def cited_items(paragraphs: DataFrame, allowed: DataFrame | None = None, inline:
     if inline:
         found = F.concat(found, flagged(citations.citation_names(F.col("text")), INLINE))
     rows = paragraphs.select("case_id", F.explode(found).alias("f")).select("case_id", "f.item", "f.flag")
+    # stated for all readers alike: a join would add it to its own branch only and so break the reuse of the shuffle
+    known = F.col("case_id").isNotNull() & F.col("item").isNotNull()
     if allowed is not None:
         rows = rows.unionByName(allowed.select("case_id", "item", F.lit(ALLOWED).alias("flag")))
-    return rows.groupBy("case_id", "item").agg(F.bit_or("flag").alias("flags"))
+    return rows.filter(known).groupBy("case_id", "item").agg(F.bit_or("flag").alias("flags"))
 
 
 def _has(flag: int) -> Column:

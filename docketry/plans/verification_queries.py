@@ -62,7 +62,7 @@ def evidence_sql(check: str, bad: str) -> str:
 
 @query("v1_unlisted_citations", f"WITH {_CITES_SQL.strip()}, {_ALLOWED_SQL.strip()}, {set_check_sql('v1', 'declared', 'allowed', 'red', True).strip()} {evidence_sql('v1', 'v1_bad')}", inputs=("paragraph_rows", "law_rows", "cases"))
 def v1_unlisted_citations(spark, t):
-    items = X.cited_items(paragraphs_of(t), X.allowed_citations(t.law_rows), inline=False)
+    items = X.cited_items(paragraphs_of(t), X.allowed_items(t.law_rows), inline=False)
     return X.with_evidence(t.cases, X.v1_unlisted_citations(items)).select(*_RESULT.split(", "))
 
 
@@ -202,7 +202,7 @@ def judged_cases(t):
     """The ten verdicts of every case."""
     paragraphs, drafts, gated = paragraphs_of(t), drafts_of(t), gate_of(t)
     claims = t.paragraph_rows.selectExpr("case_id", "'C' || (pos % 3 + 1) AS claim_id")
-    items = X.cited_items(paragraphs, X.allowed_citations(t.law_rows))
+    items = X.cited_items(paragraphs, X.allowed_items(t.law_rows))
     return X.judge(t.cases, [
         *X.citation_set_checks(items), X.v3_article_format(paragraphs),
         X.v4_claim_coverage(claims, paragraphs), X.v5_effective_at_act(t.cases, items, _versions(t)),

@@ -38,9 +38,9 @@ def scan_json_docs(spark: SparkSession, path: str, schema: str, glob: str = "*.j
 
 
 def quarantine(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Readable documents and the unreadable rest."""
+    """Readable documents and the unreadable rest, the latter with all columns (Spark refuses to read the raw text alone)."""
     good = docs.filter(F.col("unreadable") == 0).drop(CORRUPT, "unreadable")
-    return good, docs.filter(F.col("unreadable") == 1).select("file_path", CORRUPT)
+    return good, docs.filter(F.col("unreadable") == 1).drop("unreadable")
 
 
 def scan_jsonl_labels(spark: SparkSession, path: str, key: str, verdict: str, accepted: str, ground: str) -> DataFrame:
