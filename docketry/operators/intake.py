@@ -208,6 +208,18 @@ def build_query_text(doc: Column, petition: Column, claims: Column) -> Column:
     return F.left(T.strip(joined), F.lit(V.QUERY_LIMIT))
 
 
+def search_requests(cases: DataFrame) -> DataFrame:
+    """Search text and route per case; the route is classified from the texts where none is given.
+
+    ``cases``: disposition_doc, petition, claims (array of structs with summary), route_key or null.
+    """
+    text = F.concat_ws(" ", F.coalesce("disposition_doc", F.lit("")), F.coalesce("petition", F.lit("")))
+    rest = [c for c in cases.columns if c not in ("disposition_doc", "petition", "claims", "route_key")]
+    return cases.select(
+        *rest, build_query_text(F.col("disposition_doc"), F.col("petition"), F.col("claims")).alias("query_text"),
+        F.coalesce(blank_to_null(F.col("route_key")), route_of_label(case_type_of(text)["label"])).alias("route_key"))
+
+
 def review_packet(items: DataFrame, width: int = 1000) -> DataFrame:
     """All items of a case as JSON, in parts.
 

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from docketry import values as V
 from docketry.functions import citations, labels, text as T
 from docketry.functions.text import blank_to_null
+from docketry.session import work_dir
 
-QUERY_BLOCK = 512
-CORPUS_BLOCK = 4096
+QUERY_BLOCK, CORPUS_BLOCK = 4096, 16384   # rows of one block, at most
+SLICE = 256                               # queries scored at a time inside a task
+PRUNE_FROM = 200_000                      # corpus rows from which cells are worth a second pass
+PIVOTS = 256
 MAX_BUCKETS = 1000
 _HITS = "query_id bigint, layer string, k int, doc_id bigint, score double"
+_ASKED = "query_id bigint, layer string, k int, vec array<float>, skip_self boolean, bucket string"
 
 
 def metadata_predicate(doc_types: list[str], include_common: bool, route: Column | None, pooled: bool) -> Column | None:
@@ -48,45 +52,69 @@ def query_buckets(doc_types: list[str], include_common: bool, route: Column | No
     return F.array_distinct(F.array(*own, *([F.lit("common_law")] if include_common else [])))
 
 
-def _bucket_sizes(table: DataFrame) -> dict[str, int]:
+def _bucket_sizes(table: DataFrame, limit: int = MAX_BUCKETS) -> dict[str, int]:
     """Rows per bucket. Buckets are document types and routes: few, and their number is checked."""
-    rows = table.groupBy("bucket").agg(F.count("*").alias("n")).limit(MAX_BUCKETS + 1).collect()
-    if len(rows) > MAX_BUCKETS:
-        raise ValueError(f"more than {MAX_BUCKETS} buckets: filter by a coarser attribute")
+    rows = table.groupBy("bucket").agg(F.count("*").alias("n")).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} buckets: filter by a coarser attribute")
     return {row["bucket"]: row["n"] for row in rows}
 
 
-def _block_counts(table: DataFrame, size: int) -> dict[str, int]:
-    return {bucket: -(-rows // size) for bucket, rows in _bucket_sizes(table).items()}
-
-
-def _block_scorer():
+def _block_scorer(slice_rows: int):
     """The task-side function; a closure travels by value, so executors need not have this package."""
     def score_block(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
         """Best k documents of one corpus block for each query of one query block."""
         if queries.empty or corpus.empty:
             return pd.DataFrame({"query_id": [], "layer": [], "k": [], "doc_id": [], "score": []})
         corpus = corpus.sort_values("doc_id", kind="stable")
-        q, c = np.stack(queries["vec"]).astype("float64"), np.stack(corpus["vec"]).astype("float64")
-        norms = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)) + 1e-9
-        scores = np.round(q @ c.T / norms, 9)
-        ids = corpus["doc_id"].to_numpy()
-        own = (queries["query_id"].to_numpy()[:, None] == ids[None, :]) & queries["skip_self"].to_numpy()[:, None]
-        scores[own] = -np.inf
-        width = min(int(queries["k"].max()), len(ids))
-        # ids ascend, so the stable sort keeps the lower id on equal scores
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :width]
-        best = np.take_along_axis(scores, order, axis=1)
-        keep = (np.arange(width)[None, :] < queries["k"].to_numpy()[:, None]) & np.isfinite(best)
-        row, col = np.nonzero(keep)
-        return pd.DataFrame({
-            "query_id": queries["query_id"].to_numpy()[row], "layer": queries["layer"].to_numpy()[row],
-            "k": queries["k"].to_numpy()[row], "doc_id": ids[order[row, col]], "score": best[row, col],
-        })
+        c, ids = np.stack(corpus["vec"]).astype("float64"), corpus["doc_id"].to_numpy()
+        c_norm = np.linalg.norm(c, axis=1)
+        parts = []
+        for start in range(0, len(queries), slice_rows):
+            part = queries.iloc[start:start + slice_rows]
+            q = np.stack(part["vec"]).astype("float64")
+            scores = np.round(q @ c.T / (np.outer(np.linalg.norm(q, axis=1), c_norm) + 1e-9), 9)
+            asked_by = part["query_id"].to_numpy()
+            scores[(asked_by[:, None] == ids[None, :]) & part["skip_self"].to_numpy()[:, None]] = -np.inf
+            k = part["k"].to_numpy()
+            width = min(int(k.max()), len(ids))
+            # ids ascend, so the stable sort keeps the lower id on equal scores
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :width]
+            best = np.take_along_axis(scores, order, axis=1)
+            row, col = np.nonzero((np.arange(width)[None, :] < k[:, None]) & np.isfinite(best))
+            parts.append(pd.DataFrame({
+                "query_id": asked_by[row], "layer": part["layer"].to_numpy()[row], "k": k[row],
+                "doc_id": ids[order[row, col]], "score": best[row, col]}))
+        return pd.concat(parts, ignore_index=True)
 
     return score_block
 
 
+def _grid_hits(asked: DataFrame, corpus: DataFrame, asked_sizes: dict[str, int], corpus_sizes: dict[str, int]) -> DataFrame:
+    """Hits of every query block against every corpus block of its bucket."""
+    spark = asked.sparkSession
+    shared = [b for b in asked_sizes if b in corpus_sizes]
+    # blocks small enough to occupy all cores, large enough to keep the replication low
+    rows = min(QUERY_BLOCK, max(64, -(-sum(asked_sizes[b] for b in shared) // spark.sparkContext.defaultParallelism)))
+    plan = [(b, -(-asked_sizes[b] // rows), -(-corpus_sizes[b] // CORPUS_BLOCK)) for b in shared]
+    blocks = F.broadcast(spark.createDataFrame(plan, "bucket string, n_query int, n_corpus int"))   # one row per checked bucket
+
+    def grid(table: DataFrame, key: str, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
+        return table.join(blocks, "bucket") \
+            .withColumn(own, F.pmod(F.xxhash64(key), F.col(own_count)).cast("int")) \
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1))) \
+            .drop("n_query", "n_corpus").groupBy("bucket", "qb", "cb")
+
+    left = grid(asked, "query_id", "qb", "n_query", "cb", "n_corpus")
+    right = grid(corpus, "doc_id", "cb", "n_corpus", "qb", "n_query")
+    return left.cogroup(right).applyInPandas(_block_scorer(SLICE), _HITS)
+
+
+def _ranked(hits: DataFrame) -> DataFrame:
+    best = Window.partitionBy("query_id", "layer").orderBy(F.desc("score"), "doc_id")
+    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= F.col("k"))
+
+
 def cosine_topk(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Exact top k by cosine per (query_id, layer).
 
@@ -95,26 +123,115 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     bucket, a pair of blocks meets in one task as a matrix product and gives k rows per query;
     pairs of vectors never become rows. A large bucket just has more blocks.
     """
-    asked = queries.withColumn("bucket", F.explode("buckets")).drop("buckets")
+    asked = queries.withColumn("bucket", F.explode("buckets")).select("query_id", "layer", "k", "vec", "skip_self", "bucket")
     # fresh aliases: both sides often descend from the same table
     corpus = corpus.select(*[F.col(c).alias(c) for c in ("doc_id", "vec", "bucket")])
-    n_corpus, n_query = _block_counts(corpus, CORPUS_BLOCK), _block_counts(asked, QUERY_BLOCK)
-    if not n_corpus or not n_query:
-        return queries.select("query_id", "layer", F.lit(0).alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-
-    def grid(table: DataFrame, key: str, own: dict[str, int], other: dict[str, int], own_name: str, other_name: str) -> DataFrame:
-        blocks = F.try_element_at(T.lit_map(own), F.col("bucket"))
-        met = F.try_element_at(T.lit_map(other), F.col("bucket"))
-        return table.filter(met.isNotNull()) \
-            .withColumn(own_name, F.pmod(F.xxhash64(key), blocks).cast("int")) \
-            .withColumn(other_name, F.explode(F.sequence(F.lit(0), met - 1)))
-
-    left = grid(asked, "query_id", n_query, n_corpus, "qb", "cb").groupBy("bucket", "qb", "cb")
-    right = grid(corpus, "doc_id", n_corpus, n_query, "cb", "qb").groupBy("bucket", "qb", "cb")
-    hits = left.cogroup(right).applyInPandas(_block_scorer(), _HITS)
-    best = Window.partitionBy("query_id", "layer").orderBy(F.desc("score"), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= F.col("k")) \
-        .select("query_id", "layer", "doc_id", "score", "rank")
+    sizes = _bucket_sizes(corpus)
+    if sum(sizes.values()) >= PRUNE_FROM:
+        hits = _cell_hits(asked, corpus)
+    else:
+        hits = _grid_hits(asked, corpus, _bucket_sizes(asked), sizes)
+    return _ranked(hits).select("query_id", "layer", "doc_id", "score", "rank")
+
+
+# ---- large corpora: cells around pivots, visited only where they can matter --------------------
+_CELL = "\x1f"            # bucket and cell make the bucket of the block grid
+_TINY = 1e-3              # shorter vectors have no dependable angle: their cell is always visited
+
+
+def _angle_function():
+    def angles(vectors, pivots):
+        norm = np.linalg.norm(vectors, axis=1)
+        unit = vectors / np.maximum(norm, 1e-300)[:, None]
+        return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0)), norm
+
+    return angles
+
+
+def _cell_placer(pivots):
+    angles, tiny, mark = _angle_function(), _TINY, _CELL
+
+    def place(batches):
+        for batch in batches:
+            theta, norm = angles(np.stack(batch["vec"]).astype("float64"), pivots)
+            cell = np.where(norm < tiny, -1, theta.argmin(axis=1))
+            batch["bucket"] = batch["bucket"] + mark + pd.Series(cell, index=batch.index).astype(str)
+            batch["angle"] = np.where(norm < tiny, np.pi, theta.min(axis=1))
+            yield batch
+
+    return place
+
+
+def _cell_chooser(pivots, cells, first: bool):
+    """Cells a query visits: the nearest well-filled one first, later all others its k-th score does not rule out."""
+    angles, tiny, mark = _angle_function(), _TINY, _CELL
+
+    def choose(batches):
+        for batch in batches:
+            if batch.empty:
+                continue
+            theta, norm = angles(np.stack(batch["vec"]).astype("float64"), pivots)
+            rows, keys = [], []
+            for i, (bucket, k) in enumerate(zip(batch["bucket"], batch["k"])):
+                if bucket not in cells:
+                    continue
+                ids, radius, filled = cells[bucket]
+                distance = np.where(ids < 0, 0.0, theta[i][np.maximum(ids, 0)])
+                # lexsort: filled cells before sparse ones, then the nearest
+                start = np.lexsort((distance, filled <= k))[0]
+                if first:
+                    chosen = [start]
+                else:
+                    bound = np.cos(np.minimum(np.maximum(distance - radius - 1e-6, 0.0), np.pi))
+                    bound = np.where(bound < 0, bound * 0.998, bound)     # the 1e-9 in the norm shrinks scores
+                    if norm[i] < tiny:
+                        bound = np.ones_like(bound)
+                    chosen = [j for j in np.nonzero(bound >= batch["tau"].iloc[i] - 2e-9)[0] if j != start]
+                rows += [i] * len(chosen)
+                keys += [f"{bucket}{mark}{ids[j]}" for j in chosen]
+            out = batch.iloc[rows].drop(columns=[c for c in ("tau",) if c in batch]).reset_index(drop=True)
+            out["bucket"] = pd.Series(keys, dtype="object")
+            yield out
+
+    return choose
+
+
+def _cell_hits(asked: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Hits by two passes: the nearest cell gives each query a k-th score, the angle bound rules cells out.
+
+    For a cell of radius r around a pivot, no member is nearer to the query than angle(query, pivot) - r
+    (triangle inequality on the sphere), so a cell below the k-th score cannot hold a hit: exact, not approximate.
+    """
+    spark = corpus.sparkSession
+    sample = corpus.orderBy(F.xxhash64("doc_id"), "doc_id").limit(PIVOTS).select("vec").collect()
+    pivots = np.array([row["vec"] for row in sample], dtype="float64")
+    pivots = pivots / np.maximum(np.linalg.norm(pivots, axis=1), 1e-300)[:, None]
+
+    # written once: cell sizes and both passes read this table, and it survives a lost executor
+    index_path = work_dir(spark, "cells")
+    corpus.mapInPandas(_cell_placer(pivots), "doc_id bigint, vec array<float>, bucket string, angle double") \
+        .write.parquet(index_path)
+    index = spark.read.parquet(index_path)
+    limit = MAX_BUCKETS * (PIVOTS + 1)
+    stats = index.groupBy("bucket").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).limit(limit).collect()
+    cells: dict[str, list] = {}
+    for row in stats:
+        bucket, cell = row["bucket"].rsplit(_CELL, 1)
+        cells.setdefault(bucket, []).append((int(cell), row["radius"], row["n"]))
+    table = {b: tuple(np.array(column) for column in zip(*sorted(found))) for b, found in cells.items()}
+    sizes = {row["bucket"]: row["n"] for row in stats}
+
+    def visit(rows: DataFrame) -> DataFrame:
+        return _grid_hits(rows, index.select("doc_id", "vec", "bucket"), _bucket_sizes(rows, limit), sizes)
+
+    hits_path = work_dir(spark, "first-hits")
+    visit(asked.mapInPandas(_cell_chooser(pivots, table, True), _ASKED)).write.parquet(hits_path)
+    first = spark.read.parquet(hits_path)
+    reached = _ranked(first).groupBy("query_id", "layer").agg(F.min("score").alias("low"), F.count("*").alias("n"))
+    bounded = asked.join(reached, ["query_id", "layer"], "left") \
+        .withColumn("tau", F.when(F.col("n") >= F.col("k"), F.col("low")).otherwise(-2.0)).select(*asked.columns, "tau")
+    later = visit(bounded.mapInPandas(_cell_chooser(pivots, table, False), _ASKED))
+    return first.unionByName(later)
 
 
 def ask(vectors: DataFrame, buckets: Column, k: int, layer: Column | str = "all", skip_self: bool = True) -> DataFrame:

@@ -190,10 +190,14 @@ def mask_answer_columns(spark, t):
 
 
 @query("build_query_text", f"""
-SELECT conv_id, turn, left({strip_sql("text || chr(10) || role || chr(10) || left(text, 30) || ' ' || 'C' || turn")}, 500) AS query_text FROM conversations""")
+SELECT conv_id, turn, left({strip_sql("CASE turn % 3 WHEN 0 THEN '夜間噪音 ' WHEN 1 THEN '菸蒂 ' ELSE '' END || text || chr(10) || role || chr(10) || left(text, 30) || ' ' || 'C' || turn")}, 500) AS query_text,
+  CASE WHEN conv_id % 2 = 0 THEN 'building' ELSE CASE turn % 3 WHEN 0 THEN 'noise' WHEN 1 THEN 'waste' ELSE 'general' END END AS route_key FROM conversations""")
 def build_query_text(spark, t):
     claims = F.array(F.struct(F.left("text", F.lit(30)).alias("summary")), F.struct(F.concat(F.lit("C"), "turn").alias("summary")))
-    return t.conversations.select("conv_id", "turn", intake.build_query_text(F.col("text"), F.col("role"), claims).alias("query_text"))
+    cases = t.conversations.select(
+        "conv_id", "turn", F.expr("CASE turn % 3 WHEN 0 THEN '夜間噪音 ' WHEN 1 THEN '菸蒂 ' ELSE '' END || text").alias("disposition_doc"), F.col("role").alias("petition"),
+        claims.alias("claims"), F.when(F.col("conv_id") % 2 == 0, "building").alias("route_key"))
+    return intake.search_requests(cases)
 
 
 @query("review_packet", f"""

@@ -48,12 +48,16 @@ def stage_flow(stream: DataFrame, root: str, checkpoint: str) -> None:
     """
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         mark = F.lit(batch_id).alias("batch_id")
-        analysis = analyze(batch)
-        shown = intake.public_projection(analysis)
-        write_stage(shown.select("*", mark), root, "analysis", "batch_id")
-        paragraphs = draft_paragraphs(analysis)
-        write_stage(paragraphs.select("*", mark), root, "draft", "batch_id")
-        write_stage(verify_stage(analysis, paragraphs).select("*", mark), root, "verify", "batch_id")
+        # three sinks read the batch: parse its files once; lost blocks are read again from the files
+        analysis = analyze(batch).persist()
+        try:
+            shown = intake.public_projection(analysis)
+            write_stage(shown.select("*", mark), root, "analysis", "batch_id")
+            paragraphs = draft_paragraphs(analysis)
+            write_stage(paragraphs.select("*", mark), root, "draft", "batch_id")
+            write_stage(verify_stage(analysis, paragraphs).select("*", mark), root, "verify", "batch_id")
+        finally:
+            analysis.unpersist()
 
     stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start().awaitTermination()

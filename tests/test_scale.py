@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
@@ -18,10 +19,24 @@ def vectors(n, seed):
     return out
 
 
-def test_blocked_search_equals_brute_force(spark, monkeypatch):
+def clustered(n, seed):
+    """Tight groups, one of them with a third of all vectors, two vectors without a length."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(8, 16))
+    v = np.stack([centres[0 if i % 3 == 0 else i % 8] + rng.normal(scale=0.02, size=16) for i in range(n)]).astype("float32")
+    v[7], v[8] = 0, 1e-6
+    return v
+
+
+@pytest.mark.parametrize("make, prune", [(vectors, False), (vectors, True), (clustered, True)])
+def test_blocked_search_equals_brute_force(spark, monkeypatch, make, prune):
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
     monkeypatch.setattr(retrieval, "CORPUS_BLOCK", 11)
-    v = vectors(120, 1)
+    monkeypatch.setattr(retrieval, "SLICE", 3)
+    if prune:
+        monkeypatch.setattr(retrieval, "PRUNE_FROM", 1)
+        monkeypatch.setattr(retrieval, "PIVOTS", 9)
+    v = make(120, 1)
     # two thirds of the corpus lie in one bucket
     bucket = ["hot" if i % 3 else "cold" for i in range(len(v))]
     corpus = spark.createDataFrame([(i, [float(x) for x in v[i]], bucket[i]) for i in range(len(v))], "doc_id bigint, vec array<float>, bucket string")
