@@ -45,6 +45,11 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def wide_blanks(pattern: str) -> str:
+    """The pattern with every blank class widened to the blanks the source texts hold."""
+    return pattern.replace(r"\s", BLANK)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+\z", "")
 

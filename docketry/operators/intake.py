@@ -21,39 +21,26 @@ def normalize_missing(table: DataFrame) -> DataFrame:
 
 def structure_petition(petitions: DataFrame) -> DataFrame:
     """Labelled fields of a petition text; what is not found is null."""
-    text = F.col("text")
-    petitions = petitions.withColumn("_flat", T.drop_blanks(text))
-    flat = F.col("_flat")
-    b = T.BLANK
+    text, flat = F.col("text"), F.col("_flat")
 
-    def find(pattern: str, source: Column = text) -> Column:
+    def find(source: Column, pattern: str) -> Column:
         return blank_to_null(F.regexp_extract(source, pattern, 1))
 
     def section(start: str, ends: list[str]) -> Column:
         begin = F.locate(start, text)
         after = F.substr(text, begin + F.lit(len(start)))
         # the nearest end word: the lazy match stops before the first one
-        cut = F.regexp_extract(after, rf"(?s)^(.*?)(?:{'|'.join(ends)}|\z)", 1)
-        return F.when(begin > 0, T.strip(cut))
-
-    agency_label = "原行政處分機關"
-    head = F.when(F.contains(text, F.lit(agency_label)), F.substring_index(text, agency_label, 1)).otherwise(F.left(text, F.lit(600)))
-    filed = [F.regexp_extract(flat, r"中華民國(\d+)年(\d+)月(\d+)日", i) for i in (1, 2, 3)]
-    fields = petitions.select(
-        *[c for c in petitions.columns if c != "_flat"],
-        find(rf"訴願人{b}*\n?{b}*([^\n]{{1,30}}?)(?:\n|民國|（)").alias("petitioner"),
-        find(rf"{agency_label}{b}*\n{b}*([^\n]+)").alias("agency"),
-        find(rf"受理訴願機關{b}*\n{b}*([^\n]+)").alias("appeal_agency"),
-        find(r"(新北\S{0,6}字第\d+號)", flat).alias("doc_no"),
-        find(r"發文日[:：]?(民國\d+年\d+月\d+日)", flat).alias("issued"),
-        find(r"收受知悉行政處分之年月日(民國\d+年\d+月\d+日)", flat).alias("received"),
-        F.when(filed[0] != "", F.concat(F.lit("民國"), filed[0], F.lit("年"), filed[1], F.lit("月"), filed[2], F.lit("日"))).alias("filed"),
-        find(r"(民國\d+年\d+月\d+日)", T.drop_blanks(head)).alias("born"),
-        (F.contains(flat, F.lit("統一編號")) | F.contains(flat, F.lit("有限公司"))).cast("int").alias("is_company"),
-        find(rf"訴願請求事項[:：]{b}*\n?{b}*([^\n]+)").alias("request"),
-        section("事實：", ["理由：", "檢附之證據"]).alias("facts"),
-        section("理由：", ["檢附之證據", "此致"]).alias("reasons"),
-        section("檢附之證據或附件：", ["此致"]).alias("evidence"),
+        return F.when(begin > 0, T.strip(F.regexp_extract(after, rf"(?s)^(.*?)(?:{'|'.join(ends)}|\z)", 1)))
+
+    label = V.PETITION_AGENCY_LABEL
+    front = F.when(F.contains(text, F.lit(label)), F.substring_index(text, label, 1)).otherwise(F.left(text, F.lit(600)))
+    fields = petitions.withColumn("_flat", T.drop_blanks(text)).select(
+        *petitions.columns,
+        *[find(text, T.wide_blanks(pattern)).alias(name) for name, pattern in V.PETITION_RAW_PATTERNS.items()],
+        *[find(flat, pattern).alias(name) for name, pattern in V.PETITION_FLAT_PATTERNS.items()],
+        find(T.drop_blanks(front), V.PETITION_BIRTH_PATTERN).alias("born"),
+        T.contains_any(flat, V.COMPANY_WORDS).cast("int").alias("is_company"),
+        *[section(start, ends).alias(name) for name, (start, ends) in V.PETITION_SECTIONS.items()],
     )
     return with_age(fields)
 

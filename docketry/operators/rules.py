@@ -37,50 +37,41 @@ def procedure_gate(timeline: DataFrame) -> DataFrame:
     gone = dates.is_true(F.col("revoked")) | dates.is_true(F.col("disposition_revoked"))
     clause = F.when(late, "77-2").when(gone, "77-6").when(dates.is_true(F.col("previously_decided")), "77-7")
     staged = timeline.withColumn("clause", clause).withColumn("overdue_days", overdue)
-    reason = (
-        F.when(F.col("clause") == "77-2", F.concat(
-            F.lit("提起訴願日（"), dates.format_roc(F.col("_filed")), F.lit("）逾法定期間末日（"),
-            dates.format_roc(F.col("_deadline")), F.lit("）"), F.col("overdue_days").cast("string"),
-            F.lit(" 日，依訴願法第77條第2款應不受理。")))
-        .when(F.col("clause") == "77-6", "原行政處分已經撤銷或失效，依訴願法第77條第6款應不受理。")
-        .when(F.col("clause") == "77-7", "就同一處分前已提起訴願並經決定或撤回，依訴願法第77條第7款應不受理。")
-    )
+    late_text = F.format_string(V.GATE_REASONS["77-2"], dates.format_roc(F.col("_filed")), dates.format_roc(F.col("_deadline")), F.col("overdue_days").cast("string"))
+    reason = F.when(F.col("clause") == "77-2", late_text).otherwise(F.try_element_at(T.lit_map(V.GATE_REASONS), F.col("clause")))
     return staged.withColumn("is_inadmissible", F.col("clause").isNotNull().cast("int")).withColumn("reason", reason)
 
 
 def defect_findings() -> Column:
     """Findings of one case as an array, in rule order; reads the columns of a timeline."""
-    missing = F.filter(F.array(*[
-        F.when(F.coalesce(F.col(c), F.lit("")) == "", name)
-        for c, name in [("agency", "處分機關"), ("disposition_date", "處分作成日期"), ("doc_no", "處分書字號"), ("legal_basis", "法令依據")]
-    ]), lambda m: m.isNotNull())
-    no_basis = F.array_contains(missing, "法令依據")
-
-    def finding(check: str, when: Column, level: Column | str, title: str, basis: str, evidence: Column, effect: Column | str = "") -> Column:
-        as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-        return F.when(F.coalesce(when, F.lit(False)), F.struct(
-            F.lit(check).alias("check_id"), as_col(level).alias("level"), F.lit(title).alias("title"),
-            F.lit(basis).alias("basis"), evidence.alias("evidence"), as_col(effect).alias("suggested_effect")))
+    missing = F.filter(F.array(*[F.when(F.coalesce(F.col(c), F.lit("")) == "", name) for c, name in V.REQUIRED_FIELDS.items()]),
+                       lambda m: m.isNotNull())
+    no_basis = F.array_contains(missing, V.REQUIRED_FIELDS["legal_basis"])
+
+    def finding(check: str, fires: Column, level: Column | str, *facts: Column) -> Column:
+        """Struct of a rule that fires; its effect is suggested on the red level only."""
+        title, basis, evidence, effect = V.FINDINGS[check]
+        level = level if isinstance(level, Column) else F.lit(level)
+        return F.when(F.coalesce(fires, F.lit(False)), F.struct(
+            F.lit(check).alias("check_id"), level.alias("level"), F.lit(title).alias("title"), F.lit(basis).alias("basis"),
+            (F.format_string(evidence, *facts) if facts else F.lit(evidence)).alias("evidence"),
+            F.when(level == "red", effect).otherwise("").alias("suggested_effect")))
 
     def roc(name: str) -> Column:
         return dates.format_roc(F.col(name))
 
+    def number(value: Column | str) -> Column:
+        return (F.col(value) if isinstance(value, str) else value).cast("string")
+
     rules = F.array(
-        finding("D1", F.size(missing) > 0, F.when(no_basis, "red").otherwise("amber"), "原處分應記載事項不完備", "行政程序法第96條第1項",
-                F.concat(F.lit("缺漏："), F.array_join(missing, "、")), F.when(no_basis, "原處分撤銷，命補正應記載事項").otherwise("")),
-        finding("D2", F.col("_disposition") > F.col("_limitation"), "red", "裁處已逾裁處權時效", "行政罰法第27條第1項（3年）",
-                F.concat(F.lit("處分作成日 "), roc("_disposition"), F.lit(" 逾時效末日 "), roc("_limitation"), F.lit(" 共 "),
-                         F.date_diff("_disposition", "_limitation").cast("string"), F.lit(" 日")), "原處分撤銷（裁處權已消滅）"),
-        finding("D3", (F.coalesce("penalty_amount", F.lit(0)) != 0) & (F.col("violation_count") > 1), "amber", "累犯次數與罰鍰金額宜複核", "裁罰基準表",
-                F.concat(F.lit("宣稱累犯 "), F.col("violation_count").cast("string"), F.lit(" 次、罰鍰 "),
-                         F.col("penalty_amount").cast("string"), F.lit("，請對照裁罰基準確認級距"))),
-        finding("D4", F.year("_disposition") - F.year("_act") >= 1, "amber", "應審酌從新從輕原則", "行政罰法第5條",
-                F.concat(F.lit("行為時 "), roc("_act"), F.lit(" 與裁處時 "), roc("_disposition"),
-                         F.lit(" 跨越法規可能修正之期間，應比較行為時法與裁處時法擇有利者"))),
-        finding("D5", F.col("requires_prior_order") & ~F.coalesce("prior_order_done", F.lit(False)), "red", "未完成法定前置程序即為裁處",
-                "各該作用法之前置程序規定", F.lit("本案需先行限期改善／令停工等前置處分，卷內查無完成紀錄"), "原處分撤銷，補正前置程序"),
-        finding("D6", F.col("_service").isNull(), "amber", "原處分送達日期不明", "行政程序法第72條以下",
-                F.lit("卷內查無合法送達日期，救濟期間無從起算")),
+        finding("D1", F.size(missing) > 0, F.when(no_basis, "red").otherwise("amber"), F.array_join(missing, "、")),
+        finding("D2", F.col("_disposition") > F.col("_limitation"), "red", roc("_disposition"), roc("_limitation"),
+                number(F.date_diff("_disposition", "_limitation"))),
+        finding("D3", (F.coalesce("penalty_amount", F.lit(0)) != 0) & (F.col("violation_count") > 1), "amber",
+                number("violation_count"), number("penalty_amount")),
+        finding("D4", F.year("_disposition") - F.year("_act") >= 1, "amber", roc("_act"), roc("_disposition")),
+        finding("D5", F.col("requires_prior_order") & ~F.coalesce("prior_order_done", F.lit(False)), "red"),
+        finding("D6", F.col("_service").isNull(), "amber"),
     )
     return F.filter(rules, lambda f: f.isNotNull())
 
@@ -105,96 +96,68 @@ def validate_contract(payloads: DataFrame) -> DataFrame:
     return payloads.withColumn("problems", problems).withColumn("is_valid", (F.size("problems") == 0).cast("int"))
 
 
-def _first_rule(rules: list[tuple[Column, str, Column | str]]) -> tuple[Column, Column]:
-    """Clause and reason of the first rule that holds; null when none does."""
+def _holds(text: Column, alternatives: list[list[str]]) -> Column:
+    """One alternative has all its words in the text."""
+    tests = [has_all(text, *words) for words in alternatives]
+    out = tests[0]
+    for test in tests[1:]:
+        out = out | test
+    return out
+
+
+def _first_rule(records: DataFrame, rules: list[tuple[Column, str, Column | str]]) -> DataFrame:
+    """Label, clause and reason of the first rule that holds; accepted when none does."""
     clause = reason = F.lit(None).cast("string")
     for test, number, text in reversed(rules):
         clause = F.when(test, number).otherwise(clause)
         reason = F.when(test, text).otherwise(reason)
-    return clause, reason
-
-
-def _triage_result(records: DataFrame, rules: list) -> DataFrame:
-    clause, reason = _first_rule(rules)
     return records.withColumn("clause", clause).withColumn("reason", F.coalesce(reason, F.lit(V.TRIAGE_ACCEPT))) \
         .withColumn("label", F.col("clause").isNull().cast("int"))
 
 
-def _days_text(days: Column) -> Column:
-    return days.cast("string")
+def _first_date(text: Column, *patterns: str) -> Column:
+    return F.coalesce(*[dates.parse_date(blank_to_null(F.regexp_extract(text, pattern, 1))) for pattern in patterns])
 
 
 def triage_rules(records: DataFrame) -> DataFrame:
     """Admissibility by text rules on ``narrative``; dates of the text first, component dates second."""
     text = F.coalesce(F.col("narrative"), F.lit(""))
-    roc = r"民國\s*\d+\s*年\s*\d+\s*月\s*\d+\s*日"
 
-    def day(pattern: str, fallback: str) -> Column:
-        own = dates.parse_date(blank_to_null(F.regexp_extract(text, pattern, 1)))
-        return F.coalesce(own, dates.parse_date(F.regexp_extract(F.coalesce(F.col(fallback), F.lit("")), f"({roc})", 1)))
+    def component(name: str) -> Column:
+        return _first_date(F.coalesce(F.col(name), F.lit("")), f"({V.TRIAGE_DATE})")
 
-    allowed = F.coalesce(F.when(F.col("statutory_days") != 0, F.col("statutory_days")), F.lit(V.APPEAL_PERIOD_DAYS))
     staged = records.select(
         *records.columns,
-        day(rf"({roc})\s*送達", "service_component").alias("_served"),
-        day(rf"於\s*({roc})\s*提起訴願", "filed_component").alias("_filed"),
-        allowed.alias("_allowed"),
-        F.regexp_extract(text, "原處分現況為[「\"]([^」\"]+)[」\"]", 1).alias("_status"),
+        F.coalesce(_first_date(text, V.TRIAGE_SERVED), component("service_component")).alias("_served"),
+        F.coalesce(_first_date(text, V.TRIAGE_FILED), component("filed_component")).alias("_filed"),
+        F.coalesce(F.when(F.col("statutory_days") != 0, F.col("statutory_days")), F.lit(V.APPEAL_PERIOD_DAYS)).alias("_allowed"),
+        F.regexp_extract(text, V.TRIAGE_STATUS, 1).alias("_status"),
     )
-    elapsed = F.date_diff("_filed", "_served")
-    return _triage_result(staged, [
-        (contains_any(text, ["未具備法定應記載事項", "經通知仍未補正"]) | has_all(text, "程式", "未補正"),
-         "77(1)", "訴願書未具備法定應記載事項,經通知仍未補正。"),
-        (contains_any(text, ["未成年", "無訴願能力", "未由法定代理人"]), "77(4)", "訴願人無訴願能力(未成年且未由法定代理人代為訴願)。"),
-        (contains_any(text, ["無關第三人", "非利害關係", "當事人不適格"]), "77(3)", "訴願人非原處分相對人或利害關係人,當事人不適格。"),
-        (contains_any(text, ["非屬行政處分", "非行政處分"]), "77(8)", "所爭執標的性質上非屬行政處分。"),
-        (contains_any(F.col("_status"), V.GONE_WORDS) | contains_any(text, ["已執行完畢消滅", "原處分已不存在"]),
-         "77(6)", F.concat(F.lit("原處分已不存在(現況:"), F.coalesce(blank_to_null(F.col("_status")), F.lit("已不存在")), F.lit(")。"))),
-        (contains_any(text, ["前曾就同一事件提起訴願", "重行提起", "重復提起"]), "77(7)", "就同一事件重複提起訴願。"),
-        (F.coalesce(elapsed > F.col("_allowed"), F.lit(False)), "77(2)", F.concat(
-            F.lit("提起訴願逾法定 "), _days_text(F.col("_allowed")), F.lit(" 日期間(實際 "), _days_text(elapsed),
-            F.lit(" 日,逾期 "), _days_text(elapsed - F.col("_allowed")), F.lit(" 日)。"))),
-    ])
+    rules = []
+    for number, alternatives, reason in V.TRIAGE_RULES:
+        test, shown = _holds(text, alternatives), F.lit(reason)
+        if "%s" in reason:     # the clause that also looks at the quoted state of the disposition
+            test = test | contains_any(F.col("_status"), V.GONE_WORDS)
+            shown = F.format_string(reason, F.coalesce(blank_to_null(F.col("_status")), F.lit(V.TRIAGE_GONE_DEFAULT)))
+        rules.append((test, number, shown))
+    elapsed, allowed = F.date_diff("_filed", "_served"), F.col("_allowed")
+    late = F.format_string(V.TRIAGE_LATE, allowed.cast("string"), elapsed.cast("string"), (elapsed - allowed).cast("string"))
+    return _first_rule(staged, rules + [(F.coalesce(elapsed > allowed, F.lit(False)), "77(2)", late)])
 
 
 def triage_rules_pdf(records: DataFrame) -> DataFrame:
     """The variant for full petition texts: conjunctions, and the stated number of days as a fallback."""
-    flat = T.drop_blanks(F.coalesce(F.col("text"), F.lit("")))
-    number = r"民國(\d+)年(\d+)月(\d+)日"
-
-    def day(*patterns: str) -> Column:
-        found = [dates.parse_date(blank_to_null(F.regexp_extract(F.col("_flat"), p, 1))) for p in patterns]
-        return F.coalesce(*found)
-
-    roc = number.replace("(", "").replace(")", "")
-    staged = records.withColumn("_flat", flat)
+    staged = records.withColumn("_flat", T.drop_blanks(F.coalesce(F.col("text"), F.lit(""))))
+    flat = F.col("_flat")
     staged = staged.select(
-        *staged.columns,
-        day(rf"收受知悉行政處分之年月日({roc})", rf"於({roc})收受").alias("_served"),
-        day(rf"中華({roc})", rf"於({roc})提出本件訴願").alias("_filed"),
-        F.regexp_extract("_flat", r"距收受原處分之日已(\d+)日", 1).try_cast("int").alias("_stated"),
-    )
+        *staged.columns, _first_date(flat, *V.PDF_SERVED).alias("_served"), _first_date(flat, *V.PDF_FILED).alias("_filed"),
+        F.regexp_extract(flat, V.PDF_STATED, 1).try_cast("int").alias("_stated"))
     own = F.date_diff("_filed", "_served")
     elapsed = F.coalesce(own, F.col("_stated"))
-    text = F.col("_flat")
-    basis = F.when(own.isNotNull(), F.concat(F.lit("實際 "), _days_text(elapsed), F.lit(" 日"))) \
-        .otherwise(F.concat(F.lit("訴願書載明已 "), _days_text(elapsed), F.lit(" 日")))
-    minor = contains_any(text, ["未成年"]) & contains_any(text, ["未由法定代理人", "無法定代理人", "未經法定代理"])
-    return _triage_result(staged, [
-        (has_all(text, "通知", "補正", "未補正") & contains_any(text, ["空白", "應記載事項"]),
-         "77(1)", "訴願書未具備法定應記載事項,經通知後仍未補正。"),
-        (minor, "77(4)", "訴願人無訴願能力(未成年且未由法定代理人代為訴願)。"),
-        (contains_any(text, ["無訴願能力"]), "77(4)", "訴願人無訴願能力。"),
-        (contains_any(text, ["無關第三人", "非利害關係人", "當事人不適格", "與原處分並無法律上利害關係"]),
-         "77(3)", "訴願人非原處分相對人或利害關係人,當事人不適格。"),
-        (contains_any(text, ["非屬行政處分", "非行政處分", "觀念通知"]), "77(8)", "所爭執標的性質上非屬行政處分。"),
-        (contains_any(text, ["效力已消滅", "原處分已撤銷", "已失效", "已廢止"]) | has_all(text, "執行完畢", "消滅"),
-         "77(6)", "原處分已不存在(執行完畢/撤銷/失效,效力已消滅)。"),
-        (contains_any(text, ["前曾就同一事件提起訴願", "重行提起", "重複提起"]) | has_all(text, "業經決定確定", "同一事件"),
-         "77(7)", "就同一事件重複提起訴願。"),
-        (F.coalesce(elapsed > V.APPEAL_PERIOD_DAYS, F.lit(False)), "77(2)", F.concat(
-            F.lit("提起訴願逾法定 30 日期間("), basis, F.lit(",逾期 "), _days_text(elapsed - V.APPEAL_PERIOD_DAYS), F.lit(" 日)。"))),
-    ])
+    late = F.format_string(V.PDF_LATE, F.when(own.isNotNull(), V.PDF_LATE_OWN).otherwise(V.PDF_LATE_STATED),
+                           elapsed.cast("string"), (elapsed - V.APPEAL_PERIOD_DAYS).cast("string"))
+    rules = [(_holds(flat, alternatives), number, reason) for number, alternatives, reason in V.PDF_TRIAGE_RULES]
+    return _first_rule(staged, rules + [(F.coalesce(elapsed > V.APPEAL_PERIOD_DAYS, F.lit(False)), "77(2)", late)])
 
 
 def clause_template(cases: DataFrame) -> DataFrame:
@@ -205,10 +168,8 @@ def clause_template(cases: DataFrame) -> DataFrame:
     known = labels.clause_number(F.col("clause"))
     dated = (F.coalesce("service_effective_date", F.lit("")) != "") & (F.coalesce("appeal_deadline", F.lit("")) != "") \
         & (F.coalesce("filed_date", F.lit("")) != "")
-    overdue = F.when(dated, F.concat(
-        F.lit("本件原行政處分於"), F.col("service_effective_date"), F.lit("發生送達效力，訴願人遲至"), F.col("filed_date"),
-        F.lit("始提起訴願，已逾法定30日訴願期間（末日為"), F.col("appeal_deadline"), F.lit("）；"),
-    )).otherwise("本件訴願之提起已逾法定30日訴願期間；")
+    overdue = F.when(dated, F.format_string(V.OVERDUE_DATED, "service_effective_date", "filed_date", "appeal_deadline")) \
+        .otherwise(V.OVERDUE_UNDATED)
     generic = F.concat(F.lit(V.CLAUSE_GENERIC_TEXT), F.when(
         F.coalesce("reason", F.lit("")) != "", F.concat(F.lit("（前段判定："), F.col("reason"), F.lit("）"))).otherwise(""))
     texts = {number: text for number, (_, text) in V.CLAUSE_TEMPLATES.items()}

@@ -272,7 +272,10 @@ def v10_red_addressed(findings: DataFrame, paragraphs: DataFrame) -> Check:
     reds = findings.filter(F.lower("level") == "red").select("case_id", F.col("check_id").alias("item"), words.alias("words"))
     mentioned = reds.join(paragraphs.select("case_id", "text"), "case_id") \
         .filter(F.exists("words", lambda w: F.contains(F.col("text"), w))).select("case_id", "item")
-    sides = _tagged(reds, mentioned.unionByName(reds.filter(F.size("words") == 0).select("case_id", "item")))
+    # a title without words counts as mentioned
+    both = reds.select("case_id", "item", F.lit(1).alias("l"), (F.size("words") == 0).cast("int").alias("r")).unionByName(
+        mentioned.select("case_id", "item", F.lit(0).alias("l"), F.lit(1).alias("r")))
+    sides = both.groupBy("case_id", "item").agg(F.max("l").alias("in_left"), F.max("r").alias("in_right"))
     bad = F.col("in_left") * (1 - F.col("in_right"))
     rows = sides.select("case_id", F.col("in_left").alias("v10_reds"), bad.alias("v10_bad"))
     return Check("V10", [rows], _status(_n("v10_reds") == 0, _n("v10_bad") > 0), F.lit("amber"), _n("v10_reds"), _n("v10_bad"), _objected(sides, "V10", bad == 1))

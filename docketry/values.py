@@ -253,3 +253,74 @@ QUERY_LIMIT = 500
 ANSWER_COLUMNS = ["受理與否", "不受理款次", "判定理由", "實體結果", "逾期天數"]
 GONE_WORDS = ["已執行完畢", "消滅", "已不存在", "已撤銷", "已失效", "已廢止", "失效", "撤銷"]
 TRIAGE_ACCEPT = "程序要件具備,無不受理事由,應予受理進入實體審查。"
+# rules in order: clause, alternatives (each a list of words that occur together), reason
+TRIAGE_RULES = [
+    ("77(1)", [["未具備法定應記載事項"], ["程式", "未補正"], ["經通知仍未補正"]], "訴願書未具備法定應記載事項,經通知仍未補正。"),
+    ("77(4)", [["未成年"], ["無訴願能力"], ["未由法定代理人"]], "訴願人無訴願能力(未成年且未由法定代理人代為訴願)。"),
+    ("77(3)", [["無關第三人"], ["非利害關係"], ["當事人不適格"]], "訴願人非原處分相對人或利害關係人,當事人不適格。"),
+    ("77(8)", [["非屬行政處分"], ["非行政處分"]], "所爭執標的性質上非屬行政處分。"),
+    ("77(6)", [["已執行完畢消滅"], ["原處分已不存在"]], "原處分已不存在(現況:%s)。"),
+    ("77(7)", [["前曾就同一事件提起訴願"], ["重行提起"], ["重復提起"]], "就同一事件重複提起訴願。"),
+]
+TRIAGE_GONE_DEFAULT = "已不存在"
+TRIAGE_LATE = "提起訴願逾法定 %s 日期間(實際 %s 日,逾期 %s 日)。"
+TRIAGE_DATE = r"民國\s*\d+\s*年\s*\d+\s*月\s*\d+\s*日"
+TRIAGE_SERVED = rf"({TRIAGE_DATE})\s*送達"
+TRIAGE_FILED = rf"於\s*({TRIAGE_DATE})\s*提起訴願"
+TRIAGE_STATUS = "原處分現況為[「\"]([^」\"]+)[」\"]"
+PDF_TRIAGE_RULES = [
+    ("77(1)", [["通知", "補正", "未補正", "空白"], ["通知", "補正", "未補正", "應記載事項"]], "訴願書未具備法定應記載事項,經通知後仍未補正。"),
+    ("77(4)", [["未成年", "未由法定代理人"], ["未成年", "無法定代理人"], ["未成年", "未經法定代理"]], "訴願人無訴願能力(未成年且未由法定代理人代為訴願)。"),
+    ("77(4)", [["無訴願能力"]], "訴願人無訴願能力。"),
+    ("77(3)", [["無關第三人"], ["非利害關係人"], ["當事人不適格"], ["與原處分並無法律上利害關係"]], "訴願人非原處分相對人或利害關係人,當事人不適格。"),
+    ("77(8)", [["非屬行政處分"], ["非行政處分"], ["觀念通知"]], "所爭執標的性質上非屬行政處分。"),
+    ("77(6)", [["效力已消滅"], ["執行完畢", "消滅"], ["原處分已撤銷"], ["已失效"], ["已廢止"]], "原處分已不存在(執行完畢/撤銷/失效,效力已消滅)。"),
+    ("77(7)", [["前曾就同一事件提起訴願"], ["重行提起"], ["重複提起"], ["業經決定確定", "同一事件"]], "就同一事件重複提起訴願。"),
+]
+PDF_DATE = r"民國\d+年\d+月\d+日"
+PDF_SERVED = [rf"收受知悉行政處分之年月日({PDF_DATE})", rf"於({PDF_DATE})收受"]
+PDF_FILED = [rf"中華({PDF_DATE})", rf"於({PDF_DATE})提出本件訴願"]
+PDF_STATED = r"距收受原處分之日已(\d+)日"
+PDF_LATE = "提起訴願逾法定 30 日期間(%s %s 日,逾期 %s 日)。"
+PDF_LATE_OWN, PDF_LATE_STATED = "實際", "訴願書載明已"
+
+# ---- gate and findings -----------------------------------------------------
+GATE_REASONS = {
+    "77-2": "提起訴願日（%s）逾法定期間末日（%s）%s 日，依訴願法第77條第2款應不受理。",
+    "77-6": "原行政處分已經撤銷或失效，依訴願法第77條第6款應不受理。",
+    "77-7": "就同一處分前已提起訴願並經決定或撤回，依訴願法第77條第7款應不受理。",
+}
+REQUIRED_FIELDS = {"agency": "處分機關", "disposition_date": "處分作成日期", "doc_no": "處分書字號", "legal_basis": "法令依據"}
+# check: title, basis, evidence, suggested effect
+FINDINGS = {
+    "D1": ("原處分應記載事項不完備", "行政程序法第96條第1項", "缺漏：%s", "原處分撤銷，命補正應記載事項"),
+    "D2": ("裁處已逾裁處權時效", "行政罰法第27條第1項（3年）", "處分作成日 %s 逾時效末日 %s 共 %s 日", "原處分撤銷（裁處權已消滅）"),
+    "D3": ("累犯次數與罰鍰金額宜複核", "裁罰基準表", "宣稱累犯 %s 次、罰鍰 %s，請對照裁罰基準確認級距", ""),
+    "D4": ("應審酌從新從輕原則", "行政罰法第5條", "行為時 %s 與裁處時 %s 跨越法規可能修正之期間，應比較行為時法與裁處時法擇有利者", ""),
+    "D5": ("未完成法定前置程序即為裁處", "各該作用法之前置程序規定", "本案需先行限期改善／令停工等前置處分，卷內查無完成紀錄", "原處分撤銷，補正前置程序"),
+    "D6": ("原處分送達日期不明", "行政程序法第72條以下", "卷內查無合法送達日期，救濟期間無從起算", ""),
+}
+OVERDUE_DATED = "本件原行政處分於%s發生送達效力，訴願人遲至%s始提起訴願，已逾法定30日訴願期間（末日為%s）；"
+OVERDUE_UNDATED = "本件訴願之提起已逾法定30日訴願期間；"
+
+# ---- petition fields -------------------------------------------------------
+PETITION_AGENCY_LABEL = "原行政處分機關"
+PETITION_RAW_PATTERNS = {
+    "petitioner": r"訴願人\s*\n?\s*([^\n]{1,30}?)(?:\n|民國|（)",
+    "agency": r"原行政處分機關\s*\n\s*([^\n]+)",
+    "appeal_agency": r"受理訴願機關\s*\n\s*([^\n]+)",
+    "request": r"訴願請求事項[:：]\s*\n?\s*([^\n]+)",
+}
+PETITION_FLAT_PATTERNS = {
+    "doc_no": r"(新北\S{0,6}字第\d+號)",
+    "issued": r"發文日[:：]?(民國\d+年\d+月\d+日)",
+    "received": r"收受知悉行政處分之年月日(民國\d+年\d+月\d+日)",
+    "filed": r"中華(民國\d+年\d+月\d+日)",
+}
+PETITION_BIRTH_PATTERN = r"(民國\d+年\d+月\d+日)"
+COMPANY_WORDS = ["統一編號", "有限公司"]
+PETITION_SECTIONS = {
+    "facts": ("事實：", ["理由：", "檢附之證據"]),
+    "reasons": ("理由：", ["檢附之證據", "此致"]),
+    "evidence": ("檢附之證據或附件：", ["此致"]),
+}
