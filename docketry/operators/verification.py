@@ -68,7 +68,13 @@ def _tagged(left: DataFrame, right: DataFrame) -> DataFrame:
     """(case_id, item) of two sides with flags in_left, in_right; duplicates collapse before the shuffle."""
     both = left.select("case_id", "item", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
         right.select("case_id", "item", F.lit(0).alias("l"), F.lit(1).alias("r")))
-    return both.groupBy("case_id", "item").agg(F.max("l").alias("in_left"), F.max("r").alias("in_right"))
+    return _collapse(both)
+
+
+def _collapse(tagged: DataFrame) -> DataFrame:
+    # stated for all readers alike: a join would add it to its own branch only and so break the reuse of the shuffle
+    known = F.col("case_id").isNotNull() & F.col("item").isNotNull()
+    return tagged.filter(known).groupBy("case_id", "item").agg(F.max("l").alias("in_left"), F.max("r").alias("in_right"))
 
 
 def _objected(items: DataFrame, check: str, where: Column) -> DataFrame:
@@ -114,8 +120,7 @@ def cited_items(paragraphs: DataFrame, allowed: DataFrame | None = None, inline:
     if inline:
         found = F.concat(found, flagged(citations.citation_names(F.col("text")), INLINE))
     rows = paragraphs.select("case_id", F.explode(found).alias("f")).select("case_id", "f.item", "f.flag")
-    # stated for all readers alike: a join would add it to its own branch only and so break the reuse of the shuffle
-    known = F.col("case_id").isNotNull() & F.col("item").isNotNull()
+    known = F.col("case_id").isNotNull() & F.col("item").isNotNull()     # see _collapse
     if allowed is not None:
         rows = rows.unionByName(allowed.select("case_id", "item", F.lit(ALLOWED).alias("flag")))
     return rows.filter(known).groupBy("case_id", "item").agg(F.bit_or("flag").alias("flags"))
@@ -203,9 +208,10 @@ def v6_ungrounded_dates(cases: DataFrame, paragraphs: DataFrame, allow_derived:
     if allow_derived:
         sources += ["service_effective_date", "appeal_deadline", "penalty_limitation_date"]
     known = cases.select("case_id", F.explode(F.array(*[dates.parse_date(F.col(c)) for c in sources])).alias("day")) \
-        .filter(F.col("day").isNotNull()).distinct()
+        .filter(F.col("case_id").isNotNull() & F.col("day").isNotNull()).distinct()
     written = paragraphs.select("case_id", F.explode(dates.date_tokens(F.col("text"))).alias("d")) \
-        .groupBy("case_id", F.col("d.day").alias("day"), F.col("d.raw").alias("raw")).agg(F.count("*").alias("n"))
+        .select("case_id", F.col("d.day").alias("day"), F.col("d.raw").alias("raw")).filter(F.col("case_id").isNotNull()) \
+        .groupBy("case_id", "day", "raw").agg(F.count("*").alias("n"))
     loose = written.join(known, ["case_id", "day"], "left_anti")
     rows = [known.select("case_id", F.lit(1).alias("v6_known")), loose.select("case_id", F.col("n").alias("v6_loose"))]
     return Check("V6", rows, _status(_n("v6_known") == 0, _n("v6_loose") > 0), F.lit("amber"), _n("v6_known"), _n("v6_loose"),
@@ -275,7 +281,7 @@ def v10_red_addressed(findings: DataFrame, paragraphs: DataFrame) -> Check:
     # a title without words counts as mentioned
     both = reds.select("case_id", "item", F.lit(1).alias("l"), (F.size("words") == 0).cast("int").alias("r")).unionByName(
         mentioned.select("case_id", "item", F.lit(0).alias("l"), F.lit(1).alias("r")))
-    sides = both.groupBy("case_id", "item").agg(F.max("l").alias("in_left"), F.max("r").alias("in_right"))
+    sides = _collapse(both)
     bad = F.col("in_left") * (1 - F.col("in_right"))
     rows = sides.select("case_id", F.col("in_left").alias("v10_reds"), bad.alias("v10_bad"))
     return Check("V10", [rows], _status(_n("v10_reds") == 0, _n("v10_bad") > 0), F.lit("amber"), _n("v10_reds"), _n("v10_bad"), _objected(sides, "V10", bad == 1))

@@ -152,3 +152,14 @@ def test_versions_are_half_open_and_may_repeat(spark):
         .selectExpr("citation", "date(a) AS effective_from", "date(b) AS repealed_on")
     check = X.v5_effective_at_act(cases, X.cited_items(paragraphs, inline=False), versions)
     assert {r["case_id"]: r["status"] for r in X.results(cases, check).collect()} == {1: "pass", 2: "fail", 3: "fail", 4: "skipped"}
+
+
+def test_cells_that_cannot_matter_are_not_visited():
+    """The bound rules out far cells and keeps every cell that may hold a hit."""
+    pivots = np.eye(3)
+    cells = {"b": (np.array([0, 1, 2]), np.array([0.1, 0.1, 1.6]), np.array([9, 9, 9]))}
+    batch = pd.DataFrame({"query_id": [1], "layer": ["x"], "k": [2], "vec": [np.array([1.0, 0.0, 0.0])], "skip_self": [True], "bucket": ["b"], "tau": [0.9]})
+    first = next(retrieval._cell_chooser(pivots, cells, True)(iter([batch.copy()])))
+    later = next(retrieval._cell_chooser(pivots, cells, False)(iter([batch.copy()])))
+    assert first["bucket"].tolist() == ["b\x1f0"]
+    assert later["bucket"].tolist() == ["b\x1f2"]     # cell 1 lies 90 degrees away with radius 0.1, cell 2 reaches the query
