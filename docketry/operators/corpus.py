@@ -29,8 +29,8 @@ def resolve_route(route: Column) -> Column:
 
 def parse_filename_meta(files: DataFrame) -> DataFrame:
     """``serial.YYY年-type-basis[-reason]-disposition`` to columns; unparsable names keep a flag."""
-    name = F.regexp_replace(F.regexp_replace(F.col("file_name"), r"\.pdf 的副本\.pdf\z", ""), r"\.pdf\z", "")
-    pattern = r"^(\d+)\.(\d{3})年-(.+)\z"
+    name = F.regexp_replace(F.regexp_replace(F.col("file_name"), V.COPY_SUFFIX_PATTERN, ""), r"\.pdf\z", "")
+    pattern = V.FILE_NAME_PATTERN
     parts = F.split(F.regexp_extract(name, pattern, 3), "-", -1)
     ok, count = name.rlike(pattern), F.size(parts)
     raw_type = F.when(ok, F.get(parts, F.lit(0)))
@@ -72,24 +72,18 @@ def route_from_path(files: DataFrame, prefix: str) -> DataFrame:
 
 def render_decision(d: dict[str, Column]) -> Column:
     """Structured decision as headed text, the ruling early; sections only when they hold text."""
-    def line(label: str, value: Column) -> Column:
-        return F.concat(F.lit(label), F.coalesce(value, F.lit("")))
-
-    source_law = blank_to_null(T.unify_variants(T.strip(F.coalesce(d["source_law"], F.lit("")))))
-    head = F.concat_ws(
-        "\n",
-        line("案號：", d["case_number"]), line("案由：", d["title"]), line("法規類別：", d["law_category"]),
-        F.concat(F.lit("實際案由："), source_law),
-        line("決定書字號：", d["dispatch_number"]), line("決定日期：", d["publish_date"]),
-        line("主文：", F.coalesce(blank_to_null(d["main_ruling"]), d["ruling_label"])),
-        line("原處分機關：", d["original_agency"]), line("相關法條：", F.array_join(d["related_articles"], "、")),
-    )
-
-    def section(name: str, value: Column) -> Column:
-        return F.concat(F.lit(f"【{name}】\n"), blank_to_null(T.strip(value)))
-
-    body = F.concat_ws("\n\n", section("事實", d["facts"]), section("理由", d["reasons"]), section("教示", d["remedy"]))
-    whole = F.concat(F.lit("【全文】\n"), T.strip(F.coalesce(d["full_text"], F.lit(""))))
+    shown = {
+        **d,
+        "source_law": blank_to_null(T.unify_variants(T.strip(F.coalesce(d["source_law"], F.lit(""))))),
+        "ruling": F.coalesce(blank_to_null(d["main_ruling"]), d["ruling_label"]),
+        "articles": F.array_join(d["related_articles"], "、"),
+    }
+    # every line stands, only the optional source law leaves none when it is missing
+    head = F.concat_ws("\n", *[
+        F.concat(F.lit(label), shown[name] if name == "source_law" else F.coalesce(shown[name], F.lit("")))
+        for name, label in V.DECISION_HEAD.items()])
+    body = F.concat_ws("\n\n", *[F.concat(F.lit(label), blank_to_null(T.strip(d[name]))) for name, label in V.DECISION_BODY.items()])
+    whole = F.concat(F.lit(V.DECISION_WHOLE), T.strip(F.coalesce(d["full_text"], F.lit(""))))
     return F.concat(head, F.lit("\n\n"), F.coalesce(blank_to_null(body), whole), F.lit("\n"))
 
 
@@ -100,13 +94,13 @@ def render_statute(name: Column, amended: Column, articles: Column, full_text: C
     rows = F.transform(filled, lambda a: F.concat(
         law, T.squeeze(F.coalesce(a["article_no"], F.lit(""))), F.lit("\n"), T.strip(a["content"])))
     body = F.when(F.size(filled) > 0, F.array_join(rows, "\n\n")).otherwise(T.strip(F.coalesce(full_text, F.lit(""))))
-    text = F.concat(F.lit("法規名稱："), law, F.lit("\n最新修正："), F.coalesce(amended, F.lit("")), F.lit("\n\n"), body)
+    text = F.concat(F.format_string(V.STATUTE_HEAD, law, F.coalesce(amended, F.lit(""))), body)
     return F.concat(F.regexp_replace(text, T.BLANK + r"+\z", ""), F.lit("\n"))
 
 
 def render_reference(title: Column, source_file: Column, full_text: Column) -> Column:
     name = F.coalesce(blank_to_null(title), source_file, F.lit(""))
-    return F.concat(F.lit("標題："), name, F.lit("\n\n"), T.strip(F.coalesce(full_text, F.lit(""))), F.lit("\n"))
+    return F.concat(F.format_string(V.REFERENCE_HEAD, name), T.strip(F.coalesce(full_text, F.lit(""))), F.lit("\n"))
 
 
 def decision_attributes(route: Column, d: dict[str, Column]) -> Column:

@@ -24,9 +24,9 @@ def top_disposition(votes: DataFrame) -> DataFrame:
 def reference_ruling(n_red: Column, top: Column) -> tuple[Column, Column]:
     """Ruling and its basis: red findings first, then the majority, then dismiss."""
     ruling = F.when(n_red > 0, V.REVOKE).otherwise(F.coalesce(top, F.lit(V.DISMISS)))
-    basis = F.when(n_red > 0, F.concat(F.lit("原處分健檢發現 "), n_red.cast("string"), F.lit(" 項重大瑕疵，傾向撤銷"))) \
-        .when(top.isNotNull(), F.concat(F.lit("相似歷史案例多數為「"), top, F.lit("」"))) \
-        .otherwise("無明顯瑕疵且無相似案例可參，暫採駁回為參考")
+    basis = F.when(n_red > 0, F.format_string(V.BASIS_RED, n_red.cast("string"))) \
+        .when(top.isNotNull(), F.format_string(V.BASIS_MAJORITY, top)) \
+        .otherwise(V.BASIS_NONE)
     return ruling, basis
 
 
@@ -88,7 +88,7 @@ def run_summary(results: DataFrame) -> DataFrame:
 
 def needs_review(label: Column, confidence: Column) -> Column:
     """The cheap result stands only for a confident rejection."""
-    return label.isNull() | (label == 1) | F.coalesce(confidence != "高", F.lit(True))
+    return label.isNull() | (label == 1) | F.coalesce(confidence != V.HIGH_CONFIDENCE, F.lit(True))
 
 
 def cascade_review(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
@@ -114,14 +114,12 @@ def capacity_guard(cascade: DataFrame) -> DataFrame:
     Needs final_* of ``cascade_review`` plus is_adult, is_company, born, age. The adopted ground and
     reason follow the stage that is adopted.
     """
-    capacity = F.startswith(F.replace(F.coalesce("clause_2", F.lit("")), F.lit(" "), F.lit("")), F.lit("77(4)"))
+    capacity = F.startswith(F.replace(F.coalesce("clause_2", F.lit("")), F.lit(" "), F.lit("")), F.lit(V.CAPACITY_CLAUSE))
     adult, company = F.coalesce(F.col("is_adult") == 1, F.lit(False)), F.coalesce(F.col("is_company") == 1, F.lit(False))
     overruled = (F.col("reviewed") == 1) & F.coalesce(F.col("label_2") == 0, F.lit(False)) & capacity & (adult | company)
-    note = F.concat(
-        F.lit("覆核以77(4)無訴願能力為由不受理,惟依訴願書所載出生年月日"), F.coalesce("born", F.lit("None")),
-        F.lit("計算,提起訴願時為"), F.coalesce(F.col("age").cast("string"), F.lit("None")), F.lit("歲"),
-        F.when(adult, "(已成年)").otherwise(""), F.when(company, "/訴願人為法人").otherwise(""),
-        F.lit(",訴願能力無欠缺,故不採用該覆核結論,回歸初判。"))
+    note = F.format_string(
+        V.CAPACITY_NOTE, F.coalesce("born", F.lit("None")), F.coalesce(F.col("age").cast("string"), F.lit("None")),
+        F.when(adult, V.CAPACITY_ADULT).otherwise(""), F.when(company, V.CAPACITY_COMPANY).otherwise(""))
     staged = cascade.withColumn("overruled", overruled.cast("int"))
     back = F.col("overruled") == 1
     # a review without a verdict still is the second stage: its ground and reason are the adopted ones
@@ -130,7 +128,7 @@ def capacity_guard(cascade: DataFrame) -> DataFrame:
         *[c for c in staged.columns if not c.startswith("final_")],
         F.when(back, F.col("label")).otherwise(F.col("final_label")).alias("final_label"),
         F.when(by_second, F.col("clause_2")).otherwise(F.col("clause")).alias("final_clause"),
-        F.when(back, F.concat(F.coalesce("reason", F.lit("None")), F.lit("【防呆】"), note))
+        F.when(back, F.concat(F.coalesce("reason", F.lit("None")), note))
         .when(by_second, F.col("reason_2")).otherwise(F.col("reason")).alias("final_reason"),
     )
 
@@ -142,9 +140,9 @@ def category_gate(cases: DataFrame) -> DataFrame:
     cases = cases.withColumn("_k", category_by_keywords(F.col("text")))
     by_words, words = F.col("_k.category"), F.col("_k.basis")
     accepted = F.coalesce(F.col("accepted") == 1, F.lit(False))
-    basis = F.when(by_model.isNotNull(), F.concat(F.lit("LLM判定:"), F.col("model_category"), F.lit(";"), F.coalesce("model_basis", F.lit(""))))
+    basis = F.when(by_model.isNotNull(), F.format_string(V.CATEGORY_BY_MODEL, "model_category", F.coalesce("model_basis", F.lit(""))))
     return cases.select(
         *rest,
         F.when(accepted, F.coalesce(by_model, by_words)).otherwise(V.CATEGORY_NONE).alias("category"),
-        F.when(accepted, F.coalesce(basis, words)).otherwise("不受理案件,類別註記為0").alias("category_basis"),
+        F.when(accepted, F.coalesce(basis, words)).otherwise(V.CATEGORY_NOT_ACCEPTED).alias("category_basis"),
     )

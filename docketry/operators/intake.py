@@ -124,7 +124,7 @@ def category_by_keywords(text: Column) -> Column:
     return T.bind(found, lambda k: F.struct(
         k["label"].alias("category"),
         F.when(k["score"] == 0, V.CATEGORY_NO_HIT)
-        .otherwise(F.concat(F.lit("關鍵詞命中: "), F.array_join(k["words"], ", "))).alias("basis")))
+        .otherwise(F.format_string(V.CATEGORY_BY_WORDS, F.array_join(k["words"], ", "))).alias("basis")))
 
 
 def route_of_label(label: Column) -> Column:

@@ -88,9 +88,9 @@ def validate_contract(payloads: DataFrame) -> DataFrame:
     route_ok = F.coalesce(F.col("route_key").isin(V.ROUTES), F.lit(False))
     version_ok = F.coalesce(F.col("schema_version") == V.SCHEMA_VERSION, F.lit(False))
     problems = F.filter(F.array(
-        F.when(~version_ok, f"schema_version 應為 {V.SCHEMA_VERSION}"),
-        F.when(~route_ok, F.concat(F.lit("route_key '"), F.coalesce("route_key", F.lit("None")), F.lit("' 不在枚舉"))),
-        *[F.when(~F.coalesce(F.col(f"has_{block}"), F.lit(False)), f"缺少必填欄位 {block}")
+        F.when(~version_ok, V.CONTRACT_VERSION % V.SCHEMA_VERSION),
+        F.when(~route_ok, F.format_string(V.CONTRACT_ROUTE, F.coalesce("route_key", F.lit("None")))),
+        *[F.when(~F.coalesce(F.col(f"has_{block}"), F.lit(False)), V.CONTRACT_MISSING % block)
           for block in ("admissibility", "extracted_fields", "raw_text")],
     ), lambda p: p.isNotNull())
     return payloads.withColumn("problems", problems).withColumn("is_valid", (F.size("problems") == 0).cast("int"))
@@ -171,7 +171,7 @@ def clause_template(cases: DataFrame) -> DataFrame:
     overdue = F.when(dated, F.format_string(V.OVERDUE_DATED, "service_effective_date", "filed_date", "appeal_deadline")) \
         .otherwise(V.OVERDUE_UNDATED)
     generic = F.concat(F.lit(V.CLAUSE_GENERIC_TEXT), F.when(
-        F.coalesce("reason", F.lit("")) != "", F.concat(F.lit("（前段判定："), F.col("reason"), F.lit("）"))).otherwise(""))
+        F.coalesce("reason", F.lit("")) != "", F.format_string(V.CLAUSE_UPSTREAM, "reason")).otherwise(""))
     texts = {number: text for number, (_, text) in V.CLAUSE_TEMPLATES.items()}
     cites = {number: "；".join(found) for number, (found, _) in V.CLAUSE_TEMPLATES.items()}
     staged = cases.withColumn("clause_no", known)

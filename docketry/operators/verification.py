@@ -225,7 +225,7 @@ def v7_period_recheck(cases: DataFrame) -> Check:
     here and no weekend is rolled, so the verdict can differ from the gate: ``period_conflicts``.
     """
     rows = cases.select("case_id", F.date_diff("_filed", "_service").alias("v7_elapsed"),
-                        F.contains(F.coalesce("main", F.lit("")), F.lit("不受理")).cast("int").alias("v7_rejects"))
+                        F.contains(F.coalesce("main", F.lit("")), F.lit(V.RULING_WORDS["inadmissible"])).cast("int").alias("v7_rejects"))
     elapsed, rejects = F.col("v7_elapsed"), F.col("v7_rejects") > 0
     late = elapsed > V.APPEAL_PERIOD_DAYS
     return Check("V7", [rows], _status(elapsed.isNull(), (elapsed < 0) | (late & ~rejects) | (~late & rejects)),
@@ -242,9 +242,9 @@ def remedy_problems(notice: Column) -> Column:
     """Problems of a remedy notice: required words, period, abolished courts."""
     found = T.words_found(notice, V.ABOLISHED_COURTS)
     problems = F.filter(F.array(
-        *[F.when(~F.contains(notice, F.lit(word)), f"教示未載明「{word}」") for word in V.REMEDY_REQUIRED],
-        F.when(~contains_any(notice, V.REMEDY_PERIODS), "教示未載明 2 個月起訴期間"),
-        F.when(F.size(found) > 0, F.concat(F.lit("引用已改制/裁撤之機關："), F.array_join(found, "、"))),
+        *[F.when(~F.contains(notice, F.lit(word)), V.REMEDY_NO_WORD % word) for word in V.REMEDY_REQUIRED],
+        F.when(~contains_any(notice, V.REMEDY_PERIODS), V.REMEDY_NO_PERIOD),
+        F.when(F.size(found) > 0, F.format_string(V.REMEDY_ABOLISHED, F.array_join(found, "、"))),
     ), lambda p: p.isNotNull())
     return F.when(F.coalesce(notice, F.lit("")) == "", F.array().cast("array<string>")).otherwise(problems)
 
@@ -296,8 +296,8 @@ def verification_report(judged: DataFrame) -> DataFrame:
     is_red = lambda c: failed(c) & (c["level"] == "red")
     name, hint = T.lit_map(V.CHECK_NAMES), T.lit_map(V.FIX_HINTS)
     blocked = F.filter("checks", is_red)
-    sentences = F.transform(blocked, lambda c: F.concat(
-        F.try_element_at(name, c["check_id"]), F.lit("未通過。"), F.coalesce(F.try_element_at(hint, c["check_id"]), F.lit(""))))
+    sentences = F.transform(blocked, lambda c: F.format_string(
+        V.ISSUE_SENTENCE, F.try_element_at(name, c["check_id"]), F.coalesce(F.try_element_at(hint, c["check_id"]), F.lit(""))))
     counted = judged.select(
         "case_id", F.size("checks").cast("bigint").alias("total"), count(lambda c: c["status"] == "pass").alias("passed"), count(failed).alias("failed"),
         count(lambda c: c["status"] == "skipped").alias("skipped"), count(is_red).alias("red"),
@@ -314,8 +314,7 @@ def needs_rewrite(reviews: DataFrame, max_rewrites: int = 1) -> DataFrame:
     heavy = F.filter(attacks, lambda a: a["severity"].isin("high", "medium"))
     lines = F.concat(
         F.filter(F.split(F.coalesce("issues", F.lit("")), "\n", -1), lambda i: i != ""),
-        F.transform(heavy, lambda a: F.concat(F.lit("["), a["severity"], F.lit("] "), F.coalesce(a["point"], F.lit("")),
-                                              F.lit(" — 修正方向："), F.coalesce(a["fix"], F.lit("")))))
+        F.transform(heavy, lambda a: F.format_string(V.ATTACK_LINE, a["severity"], F.coalesce(a["point"], F.lit("")), F.coalesce(a["fix"], F.lit("")))))
     feedback = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n")
     return reviews.select(
         *[c for c in reviews.columns if c != "attacks"], blocking.cast("int").alias("blocking_issue"),
@@ -330,11 +329,11 @@ def quality_flags(outcomes: DataFrame) -> DataFrame:
     blocking = F.coalesce("blocking", F.lit(""))
     listed = F.concat(F.lit("['"), F.replace(blocking, F.lit(","), F.lit("', '")), F.lit("']"))
     flags = F.filter(F.array(
-        F.when(F.col("need_human_review") == 1, "前段分類信心不足（need_human_review）"),
-        F.when(blocking != "", F.concat(F.when(F.col("rewrites") > 0, "重寫後仍有驗證紅燈：").otherwise("驗證紅燈未通過："), listed)),
-        F.when(~F.coalesce("passed", F.lit(True)), "法官對抗式審查未通過"),
-        F.when(F.col("risk").isin("high", "medium"), F.concat(F.lit("對抗式審查撤銷風險："), F.col("risk"))),
-        F.when(F.col("rewrites") > 0, F.concat(F.lit("已自動重寫 "), F.col("rewrites").cast("string"), F.lit(" 次"))),
+        F.when(F.col("need_human_review") == 1, V.FLAG_CONFIDENCE),
+        F.when(blocking != "", F.when(F.col("rewrites") > 0, F.format_string(V.FLAG_RED_AGAIN, listed)).otherwise(F.format_string(V.FLAG_RED, listed))),
+        F.when(~F.coalesce("passed", F.lit(True)), V.FLAG_REVIEW),
+        F.when(F.col("risk").isin("high", "medium"), F.format_string(V.FLAG_RISK, "risk")),
+        F.when(F.col("rewrites") > 0, F.format_string(V.FLAG_REWRITTEN, F.col("rewrites").cast("string"))),
     ), lambda f: f.isNotNull())
     return outcomes.select("case_id", F.array_join(flags, "；").alias("flags"), F.size(flags).alias("n_flags"),
                            (blocking != "").cast("int").alias("human_review"))

@@ -34,5 +34,5 @@ def review_cases(cases: DataFrame, similar_votes: Callable[[DataFrame], DataFram
         F.when(is_open, ruling).when(F.col("state") == "inadmissible", V.INADMISSIBLE).alias("disposition"),
         F.when(is_open, basis)
         .when(F.col("state") == "error", F.array_join("problems", "；"))
-        .when(F.col("front"), "前段判定程序不受理（快速通道，未進實體審查）")
-        .otherwise(F.concat(F.lit("後段程序審查判定不受理（§"), F.col("clause"), F.lit("）："), F.col("reason"))).alias("basis"))
+        .when(F.col("front"), V.BASIS_FRONT)
+        .otherwise(F.format_string(V.BASIS_GATE, "clause", "reason")).alias("basis"))

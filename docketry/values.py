@@ -324,3 +324,43 @@ PETITION_SECTIONS = {
     "reasons": ("理由：", ["檢附之證據", "此致"]),
     "evidence": ("檢附之證據或附件：", ["此致"]),
 }
+
+# ---- output texts ----------------------------------------------------------
+BASIS_RED = "原處分健檢發現 %s 項重大瑕疵，傾向撤銷"
+BASIS_MAJORITY = "相似歷史案例多數為「%s」"
+BASIS_NONE = "無明顯瑕疵且無相似案例可參，暫採駁回為參考"
+BASIS_FRONT = "前段判定程序不受理（快速通道，未進實體審查）"
+BASIS_GATE = "後段程序審查判定不受理（§%s）：%s"
+CLAUSE_UPSTREAM = "（前段判定：%s）"
+HIGH_CONFIDENCE = "高"
+CAPACITY_CLAUSE = "77(4)"
+CAPACITY_NOTE = "【防呆】覆核以77(4)無訴願能力為由不受理,惟依訴願書所載出生年月日%s計算,提起訴願時為%s歲%s%s,訴願能力無欠缺,故不採用該覆核結論,回歸初判。"
+CAPACITY_ADULT, CAPACITY_COMPANY = "(已成年)", "/訴願人為法人"
+CATEGORY_BY_MODEL = "LLM判定:%s;%s"
+CATEGORY_BY_WORDS = "關鍵詞命中: %s"
+CATEGORY_NOT_ACCEPTED = "不受理案件,類別註記為0"
+CONTRACT_VERSION = "schema_version 應為 %s"
+CONTRACT_ROUTE = "route_key '%s' 不在枚舉"
+CONTRACT_MISSING = "缺少必填欄位 %s"
+REMEDY_NO_WORD = "教示未載明「%s」"
+REMEDY_NO_PERIOD = "教示未載明 2 個月起訴期間"
+REMEDY_ABOLISHED = "引用已改制/裁撤之機關：%s"
+ISSUE_SENTENCE = "%s未通過。%s"
+ATTACK_LINE = "[%s] %s — 修正方向：%s"
+FLAG_CONFIDENCE = "前段分類信心不足（need_human_review）"
+FLAG_RED, FLAG_RED_AGAIN = "驗證紅燈未通過：%s", "重寫後仍有驗證紅燈：%s"
+FLAG_REVIEW = "法官對抗式審查未通過"
+FLAG_RISK = "對抗式審查撤銷風險：%s"
+FLAG_REWRITTEN = "已自動重寫 %s 次"
+COPY_SUFFIX_PATTERN = r"\.pdf 的副本\.pdf\z"
+FILE_NAME_PATTERN = r"^(\d+)\.(\d{3})年-(.+)\z"
+# headings of rendered documents, with the field each shows
+DECISION_HEAD = {
+    "case_number": "案號：", "title": "案由：", "law_category": "法規類別：", "source_law": "實際案由：",
+    "dispatch_number": "決定書字號：", "publish_date": "決定日期：", "ruling": "主文：",
+    "original_agency": "原處分機關：", "articles": "相關法條：",
+}
+DECISION_BODY = {"facts": "【事實】\n", "reasons": "【理由】\n", "remedy": "【教示】\n"}
+DECISION_WHOLE = "【全文】\n"
+STATUTE_HEAD = "法規名稱：%s\n最新修正：%s\n\n"
+REFERENCE_HEAD = "標題：%s\n\n"
