@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import decontamination, packing, personal_data, token_cache, token_files
+from docketry.llm import decontamination, language_id, license_scan, packing, personal_data, simhash, token_cache, token_files
 from docketry.llm.common import documents
 from docketry.session import work_dir
 
@@ -27,12 +27,28 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_token_files(spark, path, digest=True)
 
 
+@_query
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, folder), words=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @_query
 def op5_token_cache(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_cache.count_tokens(documents(spark, folder), "word_bpe_49k.json", work_dir(spark, "token-counts"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+@_query
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan_licenses(documents(spark, folder)))
+
+
+@_query
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(documents(spark, folder))
+
+
 @_query
 def op8_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), with_ids=False)
