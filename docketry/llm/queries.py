@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import decontamination, language_id, license_scan, packing, personal_data, simhash, token_cache, token_files
+from docketry.llm import (
+    decontamination, language_id, license_scan, ngram_model, packing, personal_data, pivot_index, simhash, token_cache, token_files,
+)
 from docketry.llm.common import documents
 from docketry.session import work_dir
 
@@ -20,6 +22,32 @@ def _query(run: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+@_query
+def op1_pivot_index(spark: SparkSession, folder: str) -> DataFrame:
+    return pivot_index.search(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+ORACLES["op1_pivot_index"] = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@_query
+def op2_cross_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.parquet(f"{folder}/benchmark.parquet").select(F.lit(None).cast("long").alias("doc_id"), "text")
+    return ngram_model.score(documents(spark, folder), items)
+
+
 @_query
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = work_dir(spark, "token-files")
