@@ -30,7 +30,7 @@ def stored(table: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
-def pieces_of_batch(texts: list[str], max_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def pieces_of_batch(texts: list[str], max_chars: int = 8_000_000) -> Iterator[tuple[int, int]]:
     """Cut a batch into runs of whole texts of about ``max_chars``; a longer text is a run of its own."""
     start, size = 0, 0
     for i, text in enumerate(texts):
@@ -42,7 +42,7 @@ def pieces_of_batch(texts: list[str], max_chars: int = 2_000_000) -> Iterator[tu
         yield start, len(texts)
 
 
-def text_runs(batches: Iterator[pa.RecordBatch], max_chars: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
+def text_runs(batches: Iterator[pa.RecordBatch], max_chars: int = 8_000_000) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of bounded size from Arrow batches with the columns doc_id and text."""
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()

@@ -13,21 +13,25 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from docketry.llm.common import ragged
 
 #: Pieces and ids the table of one Python worker may hold before it starts afresh.
-MAX_PIECES = 600_000
-MAX_POOL = 8_000_000
+MAX_PIECES = 1_500_000
+MAX_POOL = 16_000_000
 
-#: White space other than blank and newline, and the mark used for cutting.
+#: Stands between pieces; a text that has it is one piece.
+MARK = "\0"
+#: White space other than blank and newline, and the mark.
 _OTHER_SPACE = "\0\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SAFE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 _ANY_SPACE = re.compile(r"\s")
 
 
-def byte_level_pieces(text: str) -> list[str]:
-    """Cuts before a single space and around a single newline between visible characters.
+def byte_level_cuts(text: str) -> str:
+    """The text with a mark before a single space and around a single newline between visible characters.
 
     The word pattern lets a word begin with one space and never end with white space after a visible
     character, so these places are always borders of words. Texts with other white space are cut only
@@ -35,18 +39,18 @@ def byte_level_pieces(text: str) -> list[str]:
     """
     if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text \
             or any(space in text for space in _OTHER_SPACE):
-        return _SAFE_SPACE.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return MARK.join(_SAFE_SPACE.split(text))
+    return text.replace(" ", MARK + " ").replace("\n", MARK + "\n" + MARK)
 
 
-def blank_free_pieces(text: str) -> list[str]:
+def blank_free_cuts(text: str) -> str:
     """For vocabularies that drop white space: every blank and newline is a cut."""
-    return text.replace("\n", " ").split(" ")
+    return text.replace("\n", MARK).replace(" ", MARK)
 
 
 #: Cuts, and a string that divides pieces when many are encoded in one call: its id appears in no other way,
 #: since pieces with white space inside or with a special string are encoded by themselves.
-CUTS = {"byte_bpe_50k.json": (byte_level_pieces, "\n"), "word_bpe_49k.json": (blank_free_pieces, "<|endoftext|>")}
+CUTS = {"byte_bpe_50k.json": (byte_level_cuts, "\n"), "word_bpe_49k.json": (blank_free_cuts, "<|endoftext|>")}
 
 _WORKER: dict[tuple, Encoder] = {}
 
@@ -77,12 +81,26 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.table = pa.array([], pa.string())
+        self.again = np.zeros(0, bool)  # met in a later call than the first
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _forget(self) -> None:
+        """Keep the pieces that came back; start afresh if these alone fill half of the table."""
+        kept = np.flatnonzero(self.again)
+        lengths = self.lengths[kept]
+        if len(kept) > MAX_PIECES // 2 or lengths.sum() > MAX_POOL // 2:
+            self._clear()
+            return
+        self.table = self.table.take(pa.array(kept))
+        self.pool = self.pool[ragged(self.starts[kept], lengths)]
+        self.starts, self.lengths = np.cumsum(lengths) - lengths, lengths
+        self.again = np.zeros(len(kept), bool)
+
+    def _learn(self, pieces: list[str]) -> pa.Array:
+        """Add pieces to the table; returns them in the order in which they were added."""
         plain = [x for x in pieces if x and not x.isspace() and "<|" not in x and not _ANY_SPACE.search(x, 1)]
         ids = np.zeros(0, np.uint32)
         if plain:
@@ -95,23 +113,42 @@ class Encoder:
         found = [x.ids for x in self.library.encode_batch_fast(odd, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         base = len(self.pool) + len(ids)
-        first = len(self.codes)
-        self.codes.update(zip([*plain, *odd], range(first, first + len(pieces)), strict=True))
+        new = pa.array([*plain, *odd], pa.string())
+        self.table = pa.concat_arrays([self.table, new])
         self.starts = np.concatenate([self.starts, len(self.pool) + borders[:-1] + 1, base + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, np.diff(borders) - 1, lengths])
+        self.again = np.concatenate([self.again, np.zeros(len(pieces), bool)])
         self.pool = np.concatenate([self.pool, ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum()))])
+        return new
 
     def _codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [self.cut(text) for text in texts]
-        flat = list(itertools.chain.from_iterable(cut))
-        missing = set(flat).difference(self.codes)
-        if missing and (len(self.codes) + len(missing) > MAX_PIECES or len(self.pool) > MAX_POOL):
-            self._clear()
-            missing = set(flat)
-        if missing:
-            self._learn(list(missing))
-        codes = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
-        return codes, np.fromiter(map(len, cut), np.int64, len(cut))
+        """Table place of every piece, and the number of pieces of each text."""
+        if any(MARK in text for text in texts):
+            cut = [[text] if MARK in text else self.cut(text).split(MARK) for text in texts]
+        else:
+            cut = None
+        pieces = pa.array(cut, pa.list_(pa.string())) if cut else pc.split_pattern(pa.array([self.cut(text) for text in texts], pa.string()), MARK)
+        flat = pieces.flatten()
+        codes = self._look_up(flat, self.table)
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            new = flat.take(pa.array(missing)).unique()
+            if len(self.table) + len(new) > MAX_PIECES or len(self.pool) > MAX_POOL:
+                self._forget()
+                codes = self._look_up(flat, self.table)
+                missing = np.flatnonzero(codes < 0)
+                new = flat.take(pa.array(missing)).unique()
+        self.again[codes[codes >= 0]] = True
+        if len(missing):
+            first = len(self.table)
+            new = self._learn(new.to_pylist())
+            codes[missing] = first + self._look_up(flat.take(pa.array(missing)), new)
+        return codes, pieces.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+    @staticmethod
+    def _look_up(pieces: pa.Array, table: pa.Array) -> np.ndarray:
+        """Place of each piece in the table, -1 if it is not there."""
+        return pc.fill_null(pc.index_in(pieces, value_set=table), -1).to_numpy().astype(np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes, n_pieces = self._codes(texts)
