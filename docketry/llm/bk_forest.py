@@ -42,8 +42,8 @@ class Forest:
         self.keys = key
         self.parents = parent[self.order]
 
-    def within(self, query: np.ndarray, tree: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, node) pairs at ``radius`` or less; ``tree`` numbers the tree each query searches.
+    def within(self, query: np.ndarray, tree: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, node, distance) of all pairs at ``radius`` or less; ``tree`` numbers the tree each query searches.
 
         Only edges from distance - radius to distance + radius are followed.
         """
@@ -57,7 +57,7 @@ class Forest:
                     continue
                 distance = np.bitwise_count(query[asked] ^ self.prints[node]).astype(np.int64)
                 near = distance <= radius
-                yield asked[near], node[near]
+                yield asked[near], node[near], distance[near]
                 low = np.searchsorted(self.keys, node * 65 + np.maximum(distance - radius, 0), side="left")
                 high = np.searchsorted(self.keys, node * 65 + np.minimum(distance + radius, 64), side="right")
                 more = high - low
@@ -65,17 +65,33 @@ class Forest:
                     stack.append((np.repeat(asked, more), self.order[ragged(low, more)]))
 
 
-def joined(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The least member of each of ``n`` items' set, when the pairs of items are joined."""
-    label = np.arange(n)
-    for a, b in pairs:
+class Joined:
+    """Sets of ``n`` items, joined by pairs; of all pairs, nearer ones first, those that join two sets are kept."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> None:
+        for d in np.unique(distance):
+            at = distance == d
+            self._join(a[at], b[at])
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
         while True:
-            la, lb = label[a], label[b]
+            la, lb = self.label[a], self.label[b]
             apart = la != lb
             if not apart.any():
-                break
+                return
             a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-            np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-            while not np.array_equal(label, hop := label[label]):
-                label = hop
-    return label
+            # the greater of two labels hooks to the lesser; one pair for each label that hooks, so there is no circle
+            hooks, first = np.unique(np.maximum(la, lb), return_index=True)
+            self.label[hooks] = np.minimum(la, lb)[first]
+            self.kept.append((a[first], b[first]))
+            while not np.array_equal(self.label, hop := self.label[self.label]):
+                self.label = hop
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.kept:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*self.kept, strict=True))

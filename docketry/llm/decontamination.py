@@ -1,6 +1,6 @@
 """Benchmark decontamination by an FM-index for each shard of the training text.
 
-A shard is a run of documents in one task, until the words to be indexed reach ``SHARD_WORDS``. Words that no
+A shard is a run of whole documents in one task of about ``SHARD_CHARS`` characters. Words that no
 benchmark text has cannot lie inside an occurrence, so they only divide the indexed text, and stretches between
 them that are shorter than the shortest window are left out: the index answers every window as one of the
 whole text would. Backward search finds all windows at once, sampled positions locate them, and overlapping
@@ -17,28 +17,28 @@ give no lines or no hits.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import text_runs, texts_of
+from docketry.llm.common import pieces_of_batch, text_runs, texts_of
 from docketry.llm.fm_index import FMIndex
 
 WINDOW = 13
-SHARD_WORDS = 1_000_000
+SHARD_CHARS = 8_000_000
 BLOCK_WORDS = 2_000_000
 
 #: ASCII letters lower-cased, everything that is no word byte a blank; bytes from 0x80 on belong to words.
 WORD_BYTES = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
-
+#: The same words in the text as it is.
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split(b" ")
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
 
 
 def words(text: str) -> list[bytes]:
@@ -76,31 +76,23 @@ class Shard:
     """Documents of a shard and the reduced text that is indexed: symbol, document and word place of each position."""
 
     def __init__(self):
-        self.keys: list = []
-        self.n_words: list[int] = []
         self.symbols: list[np.ndarray] = []
         self.where: list[np.ndarray] = []
         self.owner: list[np.ndarray] = []
-        self.size = 0
 
-    def add(self, key, symbols: np.ndarray, shortest: int) -> None:
+    def add(self, number: int, symbols: np.ndarray, shortest: int) -> None:
         """``symbols``: 1 for a word outside the vocabulary."""
-        number = len(self.keys)
-        self.keys.append(key)
-        self.n_words.append(len(symbols))
         walls = np.flatnonzero(np.concatenate([[1], symbols, [1]]) == 1)
         lengths = np.diff(walls) - 1
-        long = np.flatnonzero(lengths >= max(shortest, 1)) if shortest else walls[:0]
-        for i in long.tolist():
+        for i in np.flatnonzero(lengths >= max(shortest, 1)).tolist():
             start, n = int(walls[i]), int(lengths[i])
             self.symbols += [symbols[start:start + n], np.ones(1, np.int64)]
             self.where.append(np.arange(start, start + n + 1))
             self.owner.append(np.full(n + 1, number))
-            self.size += n + 1
 
     def hits(self, windows: Windows) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
         """Removal spans and items of every document that has any."""
-        if not self.size:
+        if not self.symbols or not windows.phrases:
             return {}
         text = np.concatenate([*self.symbols, np.zeros(1, np.int64)])
         where, owner = np.concatenate(self.where), np.concatenate(self.owner)
@@ -119,46 +111,59 @@ class Shard:
         return out
 
 
-def _searcher(blocks: list, share: int):
+def examine(texts: list[str], blocks: list[Windows]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+    """Number of words, removal spans (word places) and items hit of each text; the texts are one shard."""
+    found = [words(text) for text in texts]
+    result: list[tuple[int, list, set]] = [(len(x), [], set()) for x in found]
+    for windows in blocks:
+        shard, get = Shard(), windows.vocabulary.get
+        for number, text in enumerate(found):
+            shard.add(number, np.fromiter((get(word, 1) for word in text), np.int64, len(text)), windows.shortest)
+        for number, (spans, items) in shard.hits(windows).items():
+            n, old, names = result[number]
+            both = np.array([*old, *spans]).reshape(-1, 2)
+            result[number] = n, _merged(both[:, 0], both[:, 1]), names | items
+    return result
+
+
+def is_contaminated(n_words: int, n_hit: int) -> bool:
+    return n_hit > 0 and 20 * n_hit >= n_words
+
+
+def _searcher(blocks: list):
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(),
+             pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [block.value for block in blocks]
-        shards = [Shard() for _ in held] or [Shard()]
-
-        def flush() -> pa.RecordBatch:
-            found: dict[int, tuple[list, set]] = {}
-            for shard, windows in zip(shards, held):
-                for number, (spans, items) in shard.hits(windows).items():
-                    old = found.get(number, ([], set()))
-                    both = np.array([*old[0], *spans]).reshape(-1, 2)
-                    found[number] = _merged(both[:, 0], both[:, 1]), old[1] | items
+        for keys, texts in text_runs(batches, SHARD_CHARS):
             rows = []
-            for number, (key, n) in enumerate(zip(shards[0].keys, shards[0].n_words, strict=True)):
-                spans, items = found.get(number, ([], set()))
+            for key, (n, spans, items) in zip(keys, examine(texts, held), strict=True):
                 hit = sum(end - start for start, end in spans)
-                name = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-                rows.append((key, n, hit, len(items), name, hit > 0 and 20 * hit >= n, [{"start": s, "end": e} for s, e in spans]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(),
-                     pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
-            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-        for keys, texts in text_runs(batches):
-            for key, text in zip(keys, texts, strict=True):
-                found = words(text)
-                for shard, windows in zip(shards, held):
-                    get = windows.vocabulary.get
-                    shard.add(key, np.fromiter((get(word, 1) for word in found), np.int64, len(found)), windows.shortest)
-                if not held:
-                    shards[0].add(key, np.ones(len(found), np.int64), 0)
-                # the keys and sizes of documents without candidates count too, so that a shard stays small
-                if max(shard.size for shard in shards) >= share or len(shards[0].keys) >= 50_000:
-                    yield flush()
-                    shards = [Shard() for _ in held] or [Shard()]
-        if shards[0].keys:
-            yield flush()
+                name = hashlib.sha256(",".join(sorted(items)).encode("utf-8", "surrogatepass")).hexdigest()
+                rows.append((key, n, hit, len(items), name, is_contaminated(n, hit), [{"start": s, "end": e} for s, e in spans]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
     return search
 
 
+def _cleaner(blocks: list, cut: Callable[[str, list[tuple[int, int]]], str]):
+    def clean_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [block.value for block in blocks]
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            keep: list[bool] = []
+            for start, end in pieces_of_batch([text or "" for text in texts], SHARD_CHARS):
+                for i, (n, spans, _) in enumerate(examine([text or "" for text in texts[start:end]], held), start):
+                    keep.append(not is_contaminated(n, sum(e - s for s, e in spans)))
+                    if keep[-1] and spans:
+                        texts[i] = cut(texts[i], spans)
+            at = batch.schema.get_field_index("text")
+            done = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield done.filter(pa.array(keep, pa.bool_()))
+    return clean_
+
+
 def window_blocks(items: DataFrame, window: int = WINDOW, limit: int = BLOCK_WORDS) -> Iterator[Windows]:
     """Blocks of items with at most ``limit`` words each, read one partition of the benchmark at a time."""
     held, size = [], 0
@@ -174,8 +179,25 @@ def window_blocks(items: DataFrame, window: int = WINDOW, limit: int = BLOCK_WOR
         yield Windows(held, window)
 
 
+def _shared(docs: DataFrame, items: DataFrame, window: int) -> list:
+    return [docs.sparkSession.sparkContext.broadcast(block) for block in window_blocks(items, window)]
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Words, hit words, items hit, the verdict and the merged removal spans (word places) of every row."""
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(block) for block in window_blocks(items, window)]
-    return texts_of(docs).mapInArrow(_searcher(blocks, SHARD_WORDS), RESULT)
+    return texts_of(docs).mapInArrow(_searcher(_shared(docs, items, window)), RESULT)
+
+
+def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans and what lies between them."""
+    borders = [match.span() for match in _WORD.finditer(text)]
+    parts, at = [], 0
+    for start, end in spans:
+        parts.append(text[at:borders[start][0]])
+        at = borders[end - 1][1]
+    return "".join([*parts, text[at:]])
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows, with all their columns, that are not contaminated; from their ``text`` the removal spans are cut."""
+    return docs.mapInArrow(_cleaner(_shared(docs, items, window), cut_spans), docs.schema)

@@ -1,9 +1,9 @@
 """SimHash near-duplicates by BK-trees.
 
-Fingerprints within ``radius`` bits agree on at least ``BANDS`` - radius of ``BANDS`` bands, so they meet in at least one
-of the shards keyed by two bands. The rows of a shard form BK-trees of at most ``TREE`` fingerprints; a larger shard has
+Fingerprints within ``radius`` bits agree on at least two of radius + 2 bands, so they meet in at least one of the shards
+keyed by two bands. The rows of a shard form BK-trees of at most ``TREE`` fingerprints; a larger shard has
 several trees, its queries are cut the same way, and each tree goes to every cut of them, so a task never holds
-more than two cuts however hot a shard is. A task returns, of the links it finds, only those that hold its
+more than two cuts however hot a shard is. A task returns, of the links it finds, the nearest that hold its
 groups together; components over these are the components over all links.
 
 Fingerprints are compared once each, however many documents share them. Iterations write their tables to the shared folder.
@@ -24,11 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.bk_forest import Forest, joined
+from docketry.llm.bk_forest import Forest, Joined
 from docketry.llm.common import stored, texts_of, whole_groups
 
 SEED = 42
-BANDS = 5
 TREE = 1024
 
 
@@ -58,7 +57,8 @@ def _printer(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(text, words) for text in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            kept = [name for name in batch.schema.names if name != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(prints.view(np.int64))], [*kept, "fp"])
     return run
 
 
@@ -67,11 +67,12 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return texts_of(docs).mapInArrow(_printer(words), "doc_id long, fp long")
 
 
-def band_masks(radius: int, bands: int = BANDS) -> list[int]:
-    """Masks of all choices of ``bands`` - ``radius`` bands; 64 bits are split as evenly as may be."""
+def band_masks(radius: int) -> list[int]:
+    """Masks of all choices of two from radius + 2 bands; 64 bits are split as evenly as may be."""
+    bands = radius + 2
     borders = [64 * i // bands for i in range(bands + 1)]
     parts = [((1 << (end - start)) - 1) << start for start, end in zip(borders, borders[1:], strict=False)]
-    return [sum(chosen) for chosen in combinations(parts, bands - radius)]
+    return [sum(chosen) for chosen in combinations(parts, 2)]
 
 
 def _linker(radius: int):
@@ -89,10 +90,12 @@ def _linker(radius: int):
             known = (own < len(names)) & (names[np.minimum(own, len(names) - 1)] == shard[asking])
             asking, own = asking[known], own[known]
             forest = Forest(prints[trees], number)
-            pairs = ((asking[a], trees[b]) for a, b in forest.within(prints[asking], own, radius))
-            root = joined(len(prints), pairs)
-            linked = np.flatnonzero((root != np.arange(len(root))) & (prints != prints[root]))
-            yield pa.RecordBatch.from_arrays([pa.array(prints[linked].view(np.int64)), pa.array(prints[root[linked]].view(np.int64))], ["a", "b"])
+            sets = Joined(len(prints))
+            for a, b, distance in forest.within(prints[asking], own, radius):
+                sets.add(asking[a], trees[b], distance)
+            a, b = (prints[x].view(np.int64) for x in sets.pairs())
+            apart = a != b
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)[apart]), pa.array(np.minimum(a, b)[apart])], ["a", "b"])
     return link
 
 
@@ -101,7 +104,7 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
 
     ``prints``: distinct fingerprints in the column fp.
     """
-    masks = F.array(*[F.lit(mask - (1 << 64) if mask >> 63 else mask) for mask in band_masks(radius, radius + 2)])
+    masks = F.array(*[F.lit(mask - (1 << 64) if mask >> 63 else mask) for mask in band_masks(radius)])
     banded = prints.select("fp", F.posexplode(masks).alias("band", "mask")).select("fp", F.xxhash64("band", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / TREE).cast("int").alias("cuts"))
     cut = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("cuts")).cast("int")
@@ -142,3 +145,64 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     names = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = stored(classes.join(names, "root").select("fp", "component_id"), "fingerprint-classes")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _shingler(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").to_pylist():
+                found = text.encode("utf-8", "surrogatepass").lower().split()
+                parts = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)) if len(found) >= words else [b" ".join(found)]
+                rows.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "shingles"])
+    return run
+
+
+def _similar(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+                one, two = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(shared >= least * (len(one) + len(two) - shared))
+            chosen = batch.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([chosen.column("a"), chosen.column("b")], ["a", "b"])
+    return run
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of keys whose sets of word shingles have a Jaccard similarity of ``least`` or more."""
+    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = stored(docs.join(asked, "doc_id", "left_semi").mapInArrow(_shingler(words), "doc_id long, shingles binary"), "shingles")
+    left, right = (sets.select(F.col("doc_id").alias(key), F.col("shingles").alias(side)) for key, side in (("a", "left"), ("b", "right")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_similar(least), "a long, b long")
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 2, radius: int = 8, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows, with all their columns, that remain if of each group of near-duplicates the one with the least key stays.
+
+    Equal texts are duplicates. Different texts are near-duplicates if their sets of five-word shingles have a similarity of 0.8 or
+    more; candidates are found by fingerprints over two words within eight bits, which edits of that extent rarely exceed, and all
+    that the search returns are verified on whole texts. Rows without key stay; of rows with one key one stays, the one with the least digest.
+    """
+    read = texts_of(docs).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    prints = stored(read.mapInArrow(_printer(words), "doc_id long, digest binary, fp long"), "fingerprints")
+    # one row for each text, then for each key
+    texts = prints.filter("doc_id is not null").groupBy("digest", "fp").agg(F.min("doc_id").alias("doc_id"))
+    texts = stored(texts.groupBy("doc_id").agg(F.min(F.struct("digest", "fp")).alias("x")).select("doc_id", "x.digest", "x.fp"), "texts")
+    firsts = stored(texts.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    same = texts.join(firsts, "fp").filter("doc_id <> first_id").select("doc_id", "first_id")
+    near = links(firsts.select("fp"), radius)
+    for side in ("a", "b"):
+        near = near.join(firsts.select(F.col("fp").alias(side), F.col("first_id").alias(f"{side}_id")), side)
+    pairs = same.union(near.select("a_id", "b_id")).select(F.greatest("doc_id", "first_id").alias("a"), F.least("doc_id", "first_id").alias("b")).distinct()
+    edges = similar_pairs(texts_of(docs), stored(pairs, "candidates"), shingle, least)
+    gone = components(edges).select(F.col("node").alias("doc_id"))
+    kept = texts.join(gone, "doc_id", "left_anti").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    own = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    rows = docs.filter(F.col("doc_id").isNotNull()).join(kept, (F.col("doc_id").cast("long") == F.col("kept_id")) & (own == F.col("kept_digest")), "left_semi")
+    if not prints.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.filter(F.col("doc_id").isNull()))

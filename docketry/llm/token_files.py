@@ -156,13 +156,18 @@ def _blocks(name: str, end_id: int, block_tokens: int):
             own = np.ones(len(whole), bool)
             own[ends - 1] = False
             whole[own] = found
-            keys += some
-            lengths.append(n)
-            ids.append(whole)
-            held += len(whole)
-            if held >= block_tokens:
-                yield flush()
-                keys, lengths, ids, held, inside, block = [], [], [], 0, inside + held, block + 1
+            # whole documents up to the first border behind each multiple of the block size
+            cuts = np.append(np.flatnonzero(np.diff((held + ends) // block_tokens)) + 1, len(n))
+            first = 0
+            for cut in cuts.tolist():
+                keys += some[first:cut]
+                lengths.append(n[first:cut])
+                ids.append(whole[ends[first] - n[first]:ends[cut - 1]])
+                held += len(ids[-1])
+                first = cut
+                if held >= block_tokens:
+                    yield flush()
+                    keys, lengths, ids, held, inside, block = [], [], [], 0, inside + held, block + 1
         if keys:
             yield flush()
     return make
