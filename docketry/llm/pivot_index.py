@@ -54,7 +54,8 @@ class Pivots:
         self.largest = largest
         self.centres: dict[int, np.ndarray] = {}
         for dim in largest:
-            rows = np.array([v for v in sample if len(v) == dim], np.float64).reshape(-1, dim)
+            own = [v for v in sample if len(v) == dim]
+            rows = np.array(own, np.float64).reshape(len(own), dim)
             points = self.lifted(rows, dim) if len(rows) else np.zeros((1, dim + 1))
             centres = points[:count]
             for _ in range(ROUNDS):
