@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,25 +31,29 @@ def stored(table: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
-def pieces_of_batch(texts: list[str], max_chars: int = 8_000_000) -> Iterator[tuple[int, int]]:
-    """Cut a batch into runs of whole texts of about ``max_chars``; a longer text is a run of its own."""
+#: Bytes of text that are handled at once; a longer text is handled by itself.
+RUN_BYTES = 4_000_000
+
+
+def run_borders(texts: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+    """Cut a column of texts into runs of whole texts of about ``run_bytes``."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, size = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > max_chars:
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and size + n > run_bytes:
             yield start, i
             start, size = i, 0
-        size += len(text)
-    if texts:
-        yield start, len(texts)
+        size += n
+    if len(sizes):
+        yield start, len(sizes)
 
 
-def text_runs(batches: Iterator[pa.RecordBatch], max_chars: int = 8_000_000) -> Iterator[tuple[list, list[str]]]:
+def text_runs(batches: Iterator[pa.RecordBatch], run_bytes: int = RUN_BYTES) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of bounded size from Arrow batches with the columns doc_id and text."""
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        texts = batch.column("text").to_pylist()
-        for start, end in pieces_of_batch(texts, max_chars):
-            yield ids[start:end], texts[start:end]
+        ids, texts = batch.column("doc_id"), batch.column("text")
+        for start, end in run_borders(texts, run_bytes):
+            yield ids[start:end].to_pylist(), texts[start:end].to_pylist()
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -78,6 +83,9 @@ def file_digest(path: str) -> str:
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of every run, one after the other."""
-    ends = np.cumsum(lengths)
+    ends = np.cumsum(lengths, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total, dtype=np.int64)
+    kind = np.int32 if max(total, int(starts.max(initial=0))) < 1 << 31 else np.int64
+    out = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out

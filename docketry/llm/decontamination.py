@@ -1,6 +1,6 @@
 """Benchmark decontamination by an FM-index for each shard of the training text.
 
-A shard is a run of whole documents in one task of about ``SHARD_CHARS`` characters. Words that no
+A shard is a run of whole documents in one task of about ``SHARD_BYTES`` bytes. Words that no
 benchmark text has cannot lie inside an occurrence, so they only divide the indexed text, and stretches between
 them that are shorter than the shortest window are left out: the index answers every window as one of the
 whole text would. Backward search finds all windows at once, sampled positions locate them, and overlapping
@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import pieces_of_batch, text_runs, texts_of
+from docketry.llm.common import run_borders, text_runs, texts_of
 from docketry.llm.fm_index import FMIndex
 
 WINDOW = 13
-SHARD_CHARS = 8_000_000
+SHARD_BYTES = 8_000_000
 BLOCK_WORDS = 2_000_000
 
 #: ASCII letters lower-cased, everything that is no word byte a blank; bytes from 0x80 on belong to words.
@@ -137,7 +137,7 @@ def _searcher(blocks: list):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [block.value for block in blocks]
-        for keys, texts in text_runs(batches, SHARD_CHARS):
+        for keys, texts in text_runs(batches, SHARD_BYTES):
             rows = []
             for key, (n, spans, items) in zip(keys, examine(texts, held), strict=True):
                 hit = sum(end - start for start, end in spans)
@@ -153,7 +153,7 @@ def _cleaner(blocks: list, cut: Callable[[str, list[tuple[int, int]]], str]):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             keep: list[bool] = []
-            for start, end in pieces_of_batch([text or "" for text in texts], SHARD_CHARS):
+            for start, end in run_borders(batch.column("text"), SHARD_BYTES):
                 for i, (n, spans, _) in enumerate(examine([text or "" for text in texts[start:end]], held), start):
                     keep.append(not is_contaminated(n, sum(e - s for s, e in spans)))
                     if keep[-1] and spans:

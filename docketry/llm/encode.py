@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from docketry.llm.common import ragged
 
 #: Pieces and ids the table of one Python worker may hold before it starts afresh.
-MAX_PIECES = 1_500_000
+MAX_PIECES = 800_000
 MAX_POOL = 16_000_000
 
 #: Stands between pieces; a text that has it is one piece.
@@ -83,8 +83,8 @@ class Encoder:
     def _clear(self) -> None:
         self.table = pa.array([], pa.string())
         self.again = np.zeros(0, bool)  # met in a later call than the first
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.starts = np.zeros(0, np.int32)
+        self.lengths = np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
     def _forget(self) -> None:
@@ -96,7 +96,7 @@ class Encoder:
             return
         self.table = self.table.take(pa.array(kept))
         self.pool = self.pool[ragged(self.starts[kept], lengths)]
-        self.starts, self.lengths = np.cumsum(lengths) - lengths, lengths
+        self.starts, self.lengths = (np.cumsum(lengths) - lengths).astype(np.int32), lengths
         self.again = np.zeros(len(kept), bool)
 
     def _learn(self, pieces: list[str]) -> pa.Array:
@@ -115,8 +115,8 @@ class Encoder:
         base = len(self.pool) + len(ids)
         new = pa.array([*plain, *odd], pa.string())
         self.table = pa.concat_arrays([self.table, new])
-        self.starts = np.concatenate([self.starts, len(self.pool) + borders[:-1] + 1, base + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, np.diff(borders) - 1, lengths])
+        self.starts = np.concatenate([self.starts, len(self.pool) + borders[:-1] + 1, base + np.cumsum(lengths) - lengths]).astype(np.int32)
+        self.lengths = np.concatenate([self.lengths, np.diff(borders) - 1, lengths]).astype(np.int32)
         self.again = np.concatenate([self.again, np.zeros(len(pieces), bool)])
         self.pool = np.concatenate([self.pool, ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum()))])
         return new
@@ -148,7 +148,7 @@ class Encoder:
     @staticmethod
     def _look_up(pieces: pa.Array, table: pa.Array) -> np.ndarray:
         """Place of each piece in the table, -1 if it is not there."""
-        return pc.fill_null(pc.index_in(pieces, value_set=table), -1).to_numpy().astype(np.int64)
+        return pc.fill_null(pc.index_in(pieces, value_set=table), -1).to_numpy().copy()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes, n_pieces = self._codes(texts)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from docketry.llm import encode
 from docketry.llm.common import stored, text_runs, texts_of, whole_groups
 
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: Distinct bigrams of shards that meet in one range, about.
 RANGE_BIGRAMS = 1_500_000
 
@@ -92,7 +92,8 @@ def _sorted_distinct(ids: np.ndarray, lengths: np.ndarray, start: int, ranges: i
 def _sender(start: int, ranges: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 keys, counts, borders = _sorted_distinct(*_shard_arrays(row), start, ranges)
                 used = np.flatnonzero(np.diff(borders))
                 yield pa.RecordBatch.from_arrays([

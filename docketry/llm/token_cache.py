@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import encode
-from docketry.llm.common import file_digest, pieces_of_batch, stored, texts_of
+from docketry.llm.common import file_digest, run_borders, stored, texts_of
 
 CACHE = "version string, digest binary, n_tokens long"
 
@@ -49,8 +49,8 @@ def _counter(name: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encode.encoder(name)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            counts = [coder.count(texts[start:end]) for start, end in pieces_of_batch(texts)]
+            texts = batch.column("text")
+            counts = [coder.count(texts[start:end].to_pylist()) for start, end in run_borders(texts)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), pa.concat_arrays([pa.array(x, pa.int64()) for x in counts]) if counts else pa.array([], pa.int64())],
                 ["digest", "n_tokens"])
