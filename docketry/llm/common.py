@@ -32,7 +32,7 @@ def stored(table: DataFrame, purpose: str) -> DataFrame:
 
 
 #: Bytes of text that are handled at once; a longer text is handled by itself.
-RUN_BYTES = 4_000_000
+RUN_BYTES = 2_500_000
 
 
 def run_borders(texts: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, int]]:

@@ -19,8 +19,10 @@ import pyarrow.compute as pc
 from docketry.llm.common import ragged
 
 #: Pieces and ids the table of one Python worker may hold before it starts afresh.
-MAX_PIECES = 800_000
-MAX_POOL = 16_000_000
+MAX_PIECES = 600_000
+MAX_POOL = 8_000_000
+#: Pieces that the library encodes in one call.
+AT_ONCE = 8192
 
 #: Stands between pieces; a text that has it is one piece.
 MARK = "\0"
@@ -102,25 +104,33 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> pa.Array:
         """Add pieces to the table; returns them in the order in which they were added."""
         plain = [x for x in pieces if x and not x.isspace() and "<|" not in x and not _ANY_SPACE.search(x, 1)]
-        ids = np.zeros(0, np.uint32)
-        if plain:
-            ids = np.array(self.library.encode_batch_fast([self.divider.join(plain)], add_special_tokens=False)[0].ids, np.uint32)
-        marks = np.flatnonzero(ids == self.divider_id)
-        if plain and len(marks) != len(plain) - 1:  # the divider's id inside a piece: encode each by itself
-            plain, ids, marks = [], ids[:0], marks[:0]
-        borders = np.concatenate([[-1], marks, [len(ids)]]) if plain else np.zeros(1, np.int64)
         odd = list(set(pieces).difference(plain))
-        found = [x.ids for x in self.library.encode_batch_fast(odd, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        base = len(self.pool) + len(ids)
+        found = [self._together(plain[i:i + AT_ONCE]) for i in range(0, len(plain), AT_ONCE)]
+        found += [self._one_by_one(odd[i:i + AT_ONCE]) for i in range(0, len(odd), AT_ONCE)]
+        lengths = np.concatenate([n for _, n in found])
+        starts = len(self.pool) + np.cumsum(lengths) - lengths
+        self.starts = np.concatenate([self.starts, starts]).astype(np.int32)
+        self.lengths = np.concatenate([self.lengths, lengths]).astype(np.int32)
+        self.again = np.concatenate([self.again, np.zeros(len(pieces), bool)])
+        self.pool = np.concatenate([self.pool, *(ids for ids, _ in found)])
         new = pa.array([*plain, *odd], pa.string())
         self.table = pa.concat_arrays([self.table, new])
-        self.starts = np.concatenate([self.starts, len(self.pool) + borders[:-1] + 1, base + np.cumsum(lengths) - lengths]).astype(np.int32)
-        self.lengths = np.concatenate([self.lengths, np.diff(borders) - 1, lengths]).astype(np.int32)
-        self.again = np.concatenate([self.again, np.zeros(len(pieces), bool)])
-        self.pool = np.concatenate([self.pool, ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum()))])
         return new
 
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces encoded in one call, and how many each has."""
+        ids = np.array(self.library.encode_batch_fast([self.divider.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        own = ids != self.divider_id
+        marks = np.flatnonzero(~own)
+        if len(marks) != len(pieces) - 1:  # the divider's id inside a piece
+            return self._one_by_one(pieces)
+        return ids[own], np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+
+    def _one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
     def _codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Table place of every piece, and the number of pieces of each text."""
         if any(MARK in text for text in texts):
