@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docketry import values as V
 from docketry.functions.text import (
-    CJK, ascii_digits, bind, blank_to_null, drop_blanks, groups, lits, match_spans, strip, unify_variants,
+    BLANK, CJK, ascii_digits, bind, blank_to_null, drop_blanks, groups, lits, strip, unify_variants,
 )
 
 
@@ -81,62 +84,150 @@ def normalize_citation(cite: Column) -> Column:
     return parse_citation(cite)["citation"]
 
 
+# ---- whole texts ------------------------------------------------------------------------------
+# One run of the compiled pattern over a text and one fold over what it finds, batch by batch: the time grows with the text,
+# and measured against higher-order functions over the same patterns it is several times shorter.
+
+_PART = "struct<law:string,article:string,sub_article:string,citation:string>"
+
+
+class _Reader:
+    """Finds the citations of texts; a law as written is resolved once for each batch."""
+
+    def __init__(self):
+        # blanks and digits of the patterns are the ASCII ones, as in the column expressions
+        self.scan, self.parts = re.compile(_SCAN, re.ASCII), re.compile(V.CITATION_PATTERN, re.ASCII)
+        self.follow, self.broken = re.compile(V.FOLLOW_ON_PATTERN, re.ASCII), re.compile(V.MALFORMED_PATTERN, re.ASCII)
+        self.registered, self.pronoun = (re.compile(_one_of(words) + r"\Z") for words in (V.REGISTERED_LAWS, V.PRONOUN_LAWS))
+        self.edges = re.compile(rf"\A{BLANK}+|{BLANK}+\Z")
+        self.digits = str.maketrans(V.FULLWIDTH_DIGITS, V.ASCII_DIGITS)
+        self.variants = str.maketrans(V.VARIANTS_FROM, V.VARIANTS_TO)
+        self.laws: dict[str, str] = {}
+
+    def law(self, raw: str) -> str:
+        if raw not in self.laws:
+            self.laws[raw] = self._resolve(raw.translate(self.variants))
+        return self.laws[raw]
+
+    def _resolve(self, law: str) -> str:
+        if found := self.registered.search(law):
+            return found[0]
+        for name in V.REGISTERED_LAWS:
+            if len(name) >= 5 and law.endswith(name[1:]):
+                return name
+        if found := self.pronoun.search(law):
+            return found[0]
+        ends = [law.rfind(word) + len(word) for word in V.LAW_LEAD_WORDS if word in law]
+        return law[max((end for end in ends if len(law) - end >= 2), default=0):]
+
+    @staticmethod
+    def number(digits: str | None) -> str:
+        return (digits.lstrip("0") or "0") if digits else ""
+
+    def cite(self, law: str, article: str | None, sub: str | None) -> str:
+        return f"{law}第{self.number(article)}條" + (f"之{self.number(sub)}" if sub else "")
+
+    def part(self, match: re.Match) -> dict | None:
+        law, article, sub = self.law(match[1]), match[2] or match[4], match[3] or match[5]
+        if not law or law in V.PRONOUN_LAWS:
+            return None
+        return {"law": law, "article": self.number(article), "sub_article": self.number(sub) or None, "citation": self.cite(law, article, sub)}
+
+    def placed(self, plain: str) -> list[tuple[int, dict]]:
+        """All citations of a text with the offset they end at."""
+        found = ((match.end(), self.part(match)) for match in self.scan.finditer(plain))
+        return [(end, part) for end, part in found if part]
+
+    def distinct(self, text: str | None) -> list[dict]:
+        found: dict[str, dict] = {}
+        for _, part in self.placed((text or "").translate(self.digits)):
+            found.setdefault(part["citation"], part)
+        return list(found.values())
+
+    def followers(self, plain: str, placed: list[tuple[int, dict]]) -> list[str]:
+        """Following articles take over the law of the citation that was new last before them, else of the first one."""
+        out, seen, law, at = [], set(), placed[0][1]["law"] if placed else "", 0
+        for match in self.follow.finditer(plain) if placed else ():
+            while at < len(placed) and placed[at][0] <= match.start():
+                part = placed[at][1]
+                if part["citation"] not in seen:
+                    seen.add(part["citation"])
+                    law = part["law"]
+                at += 1
+            out.append(self.cite(law, match[1], match[2]))
+        return out
+
+    def normalized(self, cite: str | None) -> str | None:
+        match = self.parts.match(self.edges.sub("", cite).translate(self.digits)) if cite is not None else None
+        part = self.part(match) if match else None
+        return part["citation"] if part else None
+
+    def normalized_all(self, cites: list | None) -> list[str | None]:
+        return [self.normalized(cite) for cite in cites or []]
+
+    def following(self, text: str | None) -> list[str]:
+        plain = (text or "").translate(self.digits)
+        return self.followers(plain, self.placed(plain))
+
+    def reconciled(self, declared: list | None, text: str | None) -> list[str]:
+        plain = (text or "").translate(self.digits)
+        placed = self.placed(plain)
+        named = [self.normalized(cite) or self.edges.sub("", cite) for cite in declared or [] if cite is not None]
+        every = [*named, *(part["citation"] for _, part in placed), *self.followers(plain, placed)]
+        return [cite for cite in dict.fromkeys(every) if cite]
+
+    def malformed(self, text: str | None) -> list[str]:
+        """Broken article marks with the characters around their start, as they stand in the text."""
+        text = text or ""
+        starts = [match.start() for match in self.broken.finditer(text.translate(self.digits))]
+        return [text[max(0, at - V.MALFORMED_CONTEXT):at + V.MALFORMED_CONTEXT].replace("\n", " ") for at in starts]
+
+
+def _by_batch(method: str, kind: str, *columns: Column) -> Column:
+    """``method`` of a reader over Arrow batches of one or more columns. Built on use: declaring it needs a session."""
+    element = pa.list_(pa.struct([(name, pa.string()) for name in ("law", "article", "sub_article", "citation")])) if kind == _PART else pa.list_(pa.string())
+
+    def run(*batches: pa.Array) -> pa.Array:
+        reader = _Reader()
+        each = getattr(reader, method)
+        return pa.array([each(*values) for values in zip(*(batch.to_pylist() for batch in batches), strict=True)], element)
+
+    def one(a: pa.Array) -> pa.Array:
+        return run(a)
+
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return run(a, b)
+
+    return F.arrow_udf(one if len(columns) == 1 else two, f"array<{kind}>")(*columns)
+
+
 def extract_citations(text: Column) -> Column:
     """Distinct citations of a text in order of first appearance; pronoun laws are left out."""
-    hits = F.regexp_extract_all(ascii_digits(F.coalesce(text, F.lit(""))), F.lit(_SCAN), F.lit(0))
-    return F.array_distinct(F.filter(F.transform(hits, _parts), _is_named))
+    return _by_batch("distinct", _PART, text)
 
 
 def citation_names(text: Column) -> Column:
     return F.transform(extract_citations(text), lambda part: part["citation"])
 
 
-def malformed_citations(text: Column) -> Column:
-    """Broken article marks, each with the characters around its start."""
-    def find(plain: Column) -> Column:
-        def window(span: Column) -> Column:
-            return bind(F.greatest(F.lit(0), span["start"] - V.MALFORMED_CONTEXT), lambda start: F.translate(
-                plain.substr(start + 1, span["start"] + V.MALFORMED_CONTEXT - start), "\n", " "))
-
-        return F.transform(match_spans(plain, V.MALFORMED_PATTERN), window)
-
-    return bind(ascii_digits(F.coalesce(text, F.lit(""))), find)
+def normalize_citations(cites: Column) -> Column:
+    """Every citation of an array, normalised; null where one does not parse."""
+    return _by_batch("normalized_all", "string", cites)
 
 
-def _placed(plain: Column) -> Column:
-    """All citations of a text with the offset they end at."""
-    placed = F.transform(match_spans(plain, _SCAN), lambda s: F.struct(
-        (s["start"] + F.length(s["hit"])).alias("end"), _parts(s["hit"]).alias("c")))
-    return F.filter(placed, lambda p: _is_named(p["c"]))
-
-
-def _distinct(placed: Column) -> Column:
-    return F.array_distinct(F.transform(placed, lambda p: p["c"]))
-
-
-def _followers(plain: Column, placed: Column) -> Column:
-    """A following article never lies inside a citation, so the citations that end before it are those of the text before it."""
-    def one(span: Column) -> Column:
-        before = F.try_element_at(_distinct(F.filter(placed, lambda p: p["end"] <= span["start"])), F.lit(-1))
-        law = F.coalesce(before["law"], F.get(placed, F.lit(0))["c"]["law"])
-        return bind(groups(span["hit"], V.FOLLOW_ON_PATTERN, 2), lambda g: citation_text(law, _number(g[0]), _number(g[1])))
-
-    return F.when(F.size(placed) > 0, F.transform(match_spans(plain, V.FOLLOW_ON_PATTERN), one)) \
-        .otherwise(F.array().cast("array<string>"))
+def malformed_citations(text: Column) -> Column:
+    """Broken article marks, each with the characters around its start."""
+    return _by_batch("malformed", "string", text)
 
 
 def follow_on_citations(text: Column) -> Column:
     """Articles joined to an earlier citation take over the law named last before them."""
-    return bind(ascii_digits(F.coalesce(text, F.lit(""))), lambda plain: bind(_placed(plain), lambda placed: _followers(plain, placed)))
+    return _by_batch("following", "string", text)
 
 
 def reconcile_cites(declared: Column, text: Column) -> Column:
     """Declared, then written out, then followed-on citations, distinct and in that order."""
-    named = F.transform(F.coalesce(declared, F.array().cast("array<string>")),
-                        lambda cite: F.coalesce(normalize_citation(cite), strip(cite)))
-    written = bind(ascii_digits(F.coalesce(text, F.lit(""))), lambda plain: bind(_placed(plain), lambda placed: F.concat(
-        F.transform(placed, lambda p: p["c"]["citation"]), _followers(plain, placed))))
-    return F.array_distinct(F.filter(F.concat(named, written), lambda cite: cite != ""))
+    return _by_batch("reconciled", "string", declared, text)
 
 
 def article_citations(law: Column, text: Column) -> Column:

@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docketry import values as V
-from docketry.functions.text import CJK
+from docketry.functions.text import CJK, bind
 
 _PAD = "[ \t　]"
 _LABELS = "(?:" + "|".join(f"{_PAD}*".join(label) for label in V.PARTY_LABELS) + ")"
 _LEAD = rf"{_PAD}*(?:\d{{1,3}}{_PAD}+)?"
 _PARTY_LINE = rf"(?md)^{_LEAD}{_LABELS}{_PAD}"
-_ORPHAN_LINE = rf"{_PAD}*(?!(?:{'|'.join(V.SHORT_LINE_WORDS)}){_PAD}*(?:\n|\z)){CJK}{{2,4}}{_PAD}*(?=\n|\z)"
+_ORPHAN_LINE = rf"\A{_PAD}*(?!(?:{'|'.join(V.SHORT_LINE_WORDS)}){_PAD}*\z){CJK}{{2,4}}{_PAD}*\z"
 
 # name length -> (tail of the pattern, replacement of the tail); first and last characters stay
 _NAME_FORMS = [
@@ -47,24 +47,24 @@ def mask_party_names(text: Column) -> tuple[Column, Column]:
 def mask_following_names(text: Column) -> tuple[Column, Column]:
     """Names alone on the lines right below a party line.
 
-    The text is cut before every party line; only the unbroken run of short lines at
-    the head of such a piece holds names.
+    The text is cut before every party line and each piece into its lines; names are the lines that follow
+    the first one without a break. No pattern spans lines, so a piece may have any number of them.
     """
     pieces = F.split(text, rf"(?={_PARTY_LINE})", -1)
-    head_of = rf"^(?d:[^\n]*)((?:\n{_ORPHAN_LINE})+)"
 
-    def one(piece: Column) -> Column:
-        run = F.when(piece.rlike(_PARTY_LINE.replace("(?md)", "")), F.regexp_extract(piece, head_of, 1)).otherwise("")
-        start = F.locate("\n", piece)
-        masked = run
+    def masked_line(line: Column) -> Column:
         for name, fill in _NAME_FORMS:
-            masked = F.regexp_replace(masked, rf"(?md)^({_PAD}*){name}({_PAD}*)$",
-                                      f"$1$2{fill}" + ("$3$4" if name.count("(") > 1 else "$3"))
-        return F.struct(
-            F.when(run == "", piece).otherwise(F.concat(
-                F.substr(piece, F.lit(1), start - 1), masked, F.substr(piece, start + F.length(run)))).alias("text"),
-            F.regexp_count(run, F.lit("\n")).alias("n"),
-        )
+            line = F.regexp_replace(line, rf"\A({_PAD}*){name}({_PAD}*)\z", f"$1$2{fill}" + ("$3$4" if name.count("(") > 1 else "$3"))
+        return line
+
+    def one(piece: Column) -> Column:
+        lines = F.split(piece, "\n", -1)
+        stop = F.array_position(F.transform(F.slice(lines, 2, F.size(lines)), lambda line: line.rlike(_ORPHAN_LINE)), False)
+        run = F.when(piece.rlike(_PARTY_LINE.replace("(?md)", "")), F.when(stop > 0, stop - 1).otherwise(F.size(lines) - 1)).otherwise(0)
+        return bind(F.struct(lines.alias("lines"), run.cast("int").alias("n")), lambda p: F.struct(
+            F.when(p["n"] == 0, piece).otherwise(F.array_join(F.transform(
+                p["lines"], lambda line, i: F.when((i >= 1) & (i <= p["n"]), masked_line(line)).otherwise(line)), "\n")).alias("text"),
+            p["n"].alias("n")))
 
     done = F.transform(pieces, one)
     present = text.rlike(_PARTY_LINE)

@@ -89,28 +89,6 @@ def last_segment(path: Column) -> Column:
     return F.regexp_extract(F.coalesce(path, F.lit("")), r"([^/]*)/*\z", 1)
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """All matches in order as array<struct<start, hit>>, start counted from 0.
-
-    Spark has no function for match offsets: the pieces between the matches give them.
-    """
-    none = F.array().cast("array<struct<start:int,hit:string>>")
-
-    def spans(hits: Column) -> Column:
-        gaps = F.zip_with(
-            hits, F.slice(F.split(text, pattern, -1), 1, F.size(hits)),
-            lambda hit, piece: F.struct(hit.alias("hit"), F.length(piece).alias("gap")))
-        return F.aggregate(
-            gaps, F.struct(F.lit(0).alias("end"), none.alias("out")),
-            lambda acc, g: bind(acc["end"] + g["gap"], lambda start: F.struct(
-                (start + F.length(g["hit"])).alias("end"),
-                F.concat(acc["out"], F.array(F.struct(start.alias("start"), g["hit"].alias("hit")))).alias("out"))),
-        )["out"]
-
-    return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-                lambda hits: F.when(F.size(hits) > 0, spans(hits)).otherwise(none))
-
-
 def normalize_text(text: Column) -> Column:
     """Undo layout damage: digits split over lines, blank runs, empty-line runs."""
     out = F.replace(text, F.lit("\r\n"), F.lit("\n"))

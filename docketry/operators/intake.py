@@ -210,10 +210,10 @@ def search_requests(cases: DataFrame) -> DataFrame:
 def review_packet(items: DataFrame, width: int = 1000) -> DataFrame:
     """All items of a case as JSON, in parts.
 
-    ``items``: case_id, kind, item_key bigint, payload. Copies collapse in the first (partial)
-    aggregation; a part spans ``width`` keys, so no part outgrows a task however large a case gets.
+    ``items``: case_id, kind, item_key bigint, payload. Equal rows collapse in the first (partial) aggregation;
+    different payloads of one key all stay. A part spans ``width`` keys.
     """
-    once = items.groupBy("case_id", "kind", "item_key").agg(F.max("payload").alias("payload"))
+    once = items.select("case_id", "kind", "item_key", "payload").distinct()
     parts = once.groupBy("case_id", "kind", F.expr(f"item_key div {width}").alias("part")).agg(
         F.count("*").alias("n_items"),
         F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("item_key", "payload"))), lambda s: s["payload"])).alias("items"))

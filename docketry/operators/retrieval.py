@@ -10,15 +10,12 @@ from pyspark.sql import functions as F
 from docketry import values as V
 from docketry.functions import citations, labels, text as T
 from docketry.functions.text import blank_to_null
-from docketry.session import work_dir
 
-QUERY_BLOCK, CORPUS_BLOCK = 4096, 16384   # rows of one block, at most
+QUERY_BLOCK, CORPUS_BLOCK = 4096, 16384   # rows of one block, about
+LEAST_BLOCKS = 8                          # of the queries of a bucket, so that a small search has several tasks too
+WHOLE = "*"                               # bucket of a search without filter
 SLICE = 256                               # queries scored at a time inside a task
-PRUNE_FROM = 200_000                      # corpus rows from which cells are worth a second pass
-PIVOTS = 256
-MAX_BUCKETS = 1000
 _HITS = "query_id bigint, layer string, k int, doc_id bigint, score double"
-_ASKED = "query_id bigint, layer string, k int, vec array<float>, skip_self boolean, bucket string"
 
 
 def metadata_predicate(doc_types: list[str], include_common: bool, route: Column | None, pooled: bool) -> Column | None:
@@ -52,20 +49,13 @@ def query_buckets(doc_types: list[str], include_common: bool, route: Column | No
     return F.array_distinct(F.array(*own, *([F.lit("common_law")] if include_common else [])))
 
 
-def _bucket_sizes(table: DataFrame, limit: int = MAX_BUCKETS) -> dict[str, int]:
-    """Rows per bucket. Buckets are document types and routes: few, and their number is checked."""
-    rows = table.groupBy("bucket").agg(F.count("*").alias("n")).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} buckets: filter by a coarser attribute")
-    return {row["bucket"]: row["n"] for row in rows}
-
-
 def _block_scorer(slice_rows: int):
     """The task-side function; a closure travels by value, so executors need not have this package."""
     def score_block(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
         """Best k documents of one corpus block for each query of one query block."""
+        nothing = pd.DataFrame({"query_id": np.zeros(0, "int64"), "layer": np.zeros(0, object), "k": np.zeros(0, "int32"), "doc_id": np.zeros(0, "int64"), "score": np.zeros(0)})
         if queries.empty or corpus.empty:
-            return pd.DataFrame({"query_id": [], "layer": [], "k": [], "doc_id": [], "score": []})
+            return nothing.astype({"layer": object})
         corpus = corpus.sort_values("doc_id", kind="stable")
         c, ids = np.stack(corpus["vec"]).astype("float64"), corpus["doc_id"].to_numpy()
         c_norm = np.linalg.norm(c, axis=1)
@@ -78,29 +68,34 @@ def _block_scorer(slice_rows: int):
             scores[(asked_by[:, None] == ids[None, :]) & part["skip_self"].to_numpy()[:, None]] = -np.inf
             k = part["k"].to_numpy()
             width = min(int(k.max()), len(ids))
-            # ids ascend, so the stable sort keeps the lower id on equal scores
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :width]
-            best = np.take_along_axis(scores, order, axis=1)
-            row, col = np.nonzero((np.arange(width)[None, :] < k[:, None]) & np.isfinite(best))
+            # all that reach the score at place ``width``, sorted; ids ascend, so a stable sort keeps the lower id on equal scores
+            edge = np.partition(scores, len(ids) - width, axis=1)[:, len(ids) - width]
+            row, col = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))
+            order = np.lexsort((col, -scores[row, col], row))
+            row, col = row[order], col[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+            row, col = row[place < k[row]], col[place < k[row]]
             parts.append(pd.DataFrame({
                 "query_id": asked_by[row], "layer": part["layer"].to_numpy()[row], "k": k[row],
-                "doc_id": ids[order[row, col]], "score": best[row, col]}))
-        return pd.concat(parts, ignore_index=True)
+                "doc_id": ids[col], "score": scores[row, col]}))
+        return pd.concat(parts, ignore_index=True).astype({"layer": object})
 
     return score_block
 
 
-def _grid_hits(asked: DataFrame, corpus: DataFrame, asked_sizes: dict[str, int], corpus_sizes: dict[str, int]) -> DataFrame:
-    """Hits of every query block against every corpus block of its bucket."""
-    spark = asked.sparkSession
-    shared = [b for b in asked_sizes if b in corpus_sizes]
-    # blocks small enough to occupy all cores, large enough to keep the replication low
-    rows = min(QUERY_BLOCK, max(64, -(-sum(asked_sizes[b] for b in shared) // spark.sparkContext.defaultParallelism)))
-    plan = [(b, -(-asked_sizes[b] // rows), -(-corpus_sizes[b] // CORPUS_BLOCK)) for b in shared]
-    blocks = F.broadcast(spark.createDataFrame(plan, "bucket string, n_query int, n_corpus int"))   # one row per checked bucket
+def _grid_hits(asked: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Hits of every query block against every corpus block of its bucket.
+
+    The block counts are a table made by the same job: one row for each bucket, however many there are.
+    """
+    def counted(table: DataFrame, name: str, rows: int, least: int) -> DataFrame:
+        n = F.count("*")
+        return table.groupBy("bucket").agg(F.greatest(F.ceil(n / rows), F.least(n, F.lit(least))).cast("int").alias(name))
+
+    plan = counted(asked, "n_query", QUERY_BLOCK, LEAST_BLOCKS).join(counted(corpus, "n_corpus", CORPUS_BLOCK, 1), "bucket")
 
     def grid(table: DataFrame, key: str, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
-        return table.join(blocks, "bucket") \
+        return table.join(plan, "bucket") \
             .withColumn(own, F.pmod(F.xxhash64(key), F.col(own_count)).cast("int")) \
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1))) \
             .drop("n_query", "n_corpus").groupBy("bucket", "qb", "cb")
@@ -124,114 +119,11 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     pairs of vectors never become rows. A large bucket just has more blocks.
     """
     asked = queries.withColumn("bucket", F.explode("buckets")).select("query_id", "layer", "k", "vec", "skip_self", "bucket")
-    # fresh aliases: both sides often descend from the same table
-    corpus = corpus.select(*[F.col(c).alias(c) for c in ("doc_id", "vec", "bucket")])
-    sizes = _bucket_sizes(corpus)
-    if sum(sizes.values()) >= PRUNE_FROM:
-        hits = _cell_hits(asked, corpus)
-    else:
-        hits = _grid_hits(asked, corpus, _bucket_sizes(asked), sizes)
-    return _ranked(hits).select("query_id", "layer", "doc_id", "score", "rank")
-
-
-# ---- large corpora: cells around pivots, visited only where they can matter --------------------
-_CELL = "\x1f"            # bucket and cell make the bucket of the block grid
-_TINY = 1e-3              # shorter vectors have no dependable angle: their cell is always visited
-
-
-def _angle_function():
-    def angles(vectors, pivots):
-        norm = np.linalg.norm(vectors, axis=1)
-        unit = vectors / np.maximum(norm, 1e-300)[:, None]
-        return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0)), norm
-
-    return angles
-
-
-def _cell_placer(pivots):
-    angles, tiny, mark = _angle_function(), _TINY, _CELL
-
-    def place(batches):
-        for batch in batches:
-            theta, norm = angles(np.stack(batch["vec"]).astype("float64"), pivots)
-            cell = np.where(norm < tiny, -1, theta.argmin(axis=1))
-            batch["bucket"] = batch["bucket"] + mark + pd.Series(cell, index=batch.index).astype(str)
-            batch["angle"] = np.where(norm < tiny, np.pi, theta.min(axis=1))
-            yield batch
-
-    return place
-
-
-def _cell_chooser(pivots, cells, first: bool):
-    """Cells a query visits: the nearest well-filled one first, later all others its k-th score does not rule out."""
-    angles, tiny, mark = _angle_function(), _TINY, _CELL
-
-    def choose(batches):
-        for batch in batches:
-            if batch.empty:
-                continue
-            theta, norm = angles(np.stack(batch["vec"]).astype("float64"), pivots)
-            rows, keys = [], []
-            for i, (bucket, k) in enumerate(zip(batch["bucket"], batch["k"])):
-                if bucket not in cells:
-                    continue
-                ids, radius, filled = cells[bucket]
-                distance = np.where(ids < 0, 0.0, theta[i][np.maximum(ids, 0)])
-                # lexsort: filled cells before sparse ones, then the nearest
-                start = np.lexsort((distance, filled <= k))[0]
-                if first:
-                    chosen = [start]
-                else:
-                    bound = np.cos(np.minimum(np.maximum(distance - radius - 1e-6, 0.0), np.pi))
-                    bound = np.where(bound < 0, bound * 0.998, bound)     # the 1e-9 in the norm shrinks scores
-                    if norm[i] < tiny:
-                        bound = np.ones_like(bound)
-                    chosen = [j for j in np.nonzero(bound >= batch["tau"].iloc[i] - 2e-9)[0] if j != start]
-                rows += [i] * len(chosen)
-                keys += [f"{bucket}{mark}{ids[j]}" for j in chosen]
-            out = batch.iloc[rows].drop(columns=[c for c in ("tau",) if c in batch]).reset_index(drop=True)
-            out["bucket"] = pd.Series(keys, dtype="object")
-            yield out
-
-    return choose
-
-
-def _cell_hits(asked: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Hits by two passes: the nearest cell gives each query a k-th score, the angle bound rules cells out.
-
-    For a cell of radius r around a pivot, no member is nearer to the query than angle(query, pivot) - r
-    (triangle inequality on the sphere), so a cell below the k-th score cannot hold a hit: exact, not approximate.
-    """
-    spark = corpus.sparkSession
-    sample = corpus.orderBy(F.xxhash64("doc_id"), "doc_id").limit(PIVOTS).select("vec").collect()
-    pivots = np.array([row["vec"] for row in sample], dtype="float64")
-    pivots = pivots / np.maximum(np.linalg.norm(pivots, axis=1), 1e-300)[:, None]
-
-    # written once: cell sizes and both passes read this table, and it survives a lost executor
-    index_path = work_dir(spark, "cells")
-    corpus.mapInPandas(_cell_placer(pivots), "doc_id bigint, vec array<float>, bucket string, angle double") \
-        .write.parquet(index_path)
-    index = spark.read.parquet(index_path)
-    limit = MAX_BUCKETS * (PIVOTS + 1)
-    stats = index.groupBy("bucket").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).limit(limit).collect()
-    cells: dict[str, list] = {}
-    for row in stats:
-        bucket, cell = row["bucket"].rsplit(_CELL, 1)
-        cells.setdefault(bucket, []).append((int(cell), row["radius"], row["n"]))
-    table = {b: tuple(np.array(column) for column in zip(*sorted(found))) for b, found in cells.items()}
-    sizes = {row["bucket"]: row["n"] for row in stats}
-
-    def visit(rows: DataFrame) -> DataFrame:
-        return _grid_hits(rows, index.select("doc_id", "vec", "bucket"), _bucket_sizes(rows, limit), sizes)
-
-    hits_path = work_dir(spark, "first-hits")
-    visit(asked.mapInPandas(_cell_chooser(pivots, table, True), _ASKED)).write.parquet(hits_path)
-    first = spark.read.parquet(hits_path)
-    reached = _ranked(first).groupBy("query_id", "layer").agg(F.min("score").alias("low"), F.count("*").alias("n"))
-    bounded = asked.join(reached, ["query_id", "layer"], "left") \
-        .withColumn("tau", F.when(F.col("n") >= F.col("k"), F.col("low")).otherwise(-2.0)).select(*asked.columns, "tau")
-    later = visit(bounded.mapInPandas(_cell_chooser(pivots, table, False), _ASKED))
-    return first.unionByName(later)
+    # fresh aliases: both sides often descend from the same table; a bucket that is a constant must stay a column, or
+    # the joins on it would lose their key
+    corpus = corpus.select(F.col("doc_id").alias("doc_id"), F.col("vec").alias("vec"),
+                           F.concat("bucket", F.repeat(F.col("doc_id").cast("string"), F.lit(0))).alias("bucket"))
+    return _ranked(_grid_hits(asked, corpus)).select("query_id", "layer", "doc_id", "score", "rank")
 
 
 def ask(vectors: DataFrame, buckets: Column, k: int, layer: Column | str = "all", skip_self: bool = True) -> DataFrame:
@@ -252,18 +144,20 @@ def search_with_fallback(vectors: DataFrame, corpus: DataFrame, doc_types: list[
                          route: Column, k: int) -> DataFrame:
     """Queries whose filter finds nothing look through the whole corpus instead, and only those.
 
-    Whether a filter finds anything follows from the bucket sizes, so the search runs once.
+    Whether a filter finds anything follows from the rows of its buckets, so the search runs once.
     ``vectors`` carries own_bucket: where the query's own document lies, null if it has none.
     """
     table = corpus.select("doc_id", "vec", corpus_bucket(True).alias("bucket"))
-    sizes = _bucket_sizes(table)
-    buckets = query_buckets(doc_types, include_common, route)
-    found = F.aggregate(buckets, F.lit(0).cast("bigint"),
-                        lambda acc, b: acc + F.coalesce(F.try_element_at(T.lit_map(sizes), b).cast("bigint"), F.lit(0)))
-    own = F.coalesce(F.array_contains(buckets, F.col("own_bucket")).cast("int"), F.lit(0))
-    empty = found - own <= 0
-    layer = F.when(empty, "fallback").otherwise("filtered")
-    return cosine_topk(ask(vectors, F.when(empty, T.lits(sorted(sizes))).otherwise(buckets), k, layer), table)
+    sizes = table.groupBy("bucket").agg(F.count("*").alias("n"))
+    asked = vectors.withColumn("wanted", query_buckets(doc_types, include_common, route))
+    # documents each query may look at, without its own
+    wanted = asked.select("query_id", "own_bucket", F.explode("wanted").alias("bucket")).join(sizes, "bucket") \
+        .groupBy("query_id").agg(F.sum(F.col("n") - F.coalesce((F.col("own_bucket") == F.col("bucket")).cast("int"), F.lit(0))).alias("found"))
+    known = asked.join(wanted, "query_id", "left")
+    empty = F.coalesce(F.col("found"), F.lit(0)) <= 0
+    filtered = ask(known.filter(~empty), F.col("wanted"), k, "filtered")
+    fallback = ask(known.filter(empty), F.array(F.lit(WHOLE)), k, "fallback")
+    return cosine_topk(filtered, table).unionByName(cosine_topk(fallback, table.withColumn("bucket", F.lit(WHOLE))))
 
 
 def layered_search(vectors: DataFrame, corpus: DataFrame, n: int = 5) -> DataFrame:
@@ -287,11 +181,14 @@ def merge_hits_by_citation(hits: DataFrame) -> DataFrame:
     rows = hits.select("query_id", "pos", "score", "doc_type", "source", T.summarize(F.col("text"), V.REASON_LIMIT).alias("reason"),
                        F.posexplode(cites).alias("inner", "citation"))
     first = F.struct("pos", "inner")
+    # hits of a query are few (k of each layer): the window is bounded by the search
+    earlier = Window.partitionBy("query_id", "citation").orderBy("pos", "inner").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("raises", F.coalesce(F.col("score") > F.max("score").over(earlier), F.lit(True)))
     return rows.groupBy("query_id", "citation").agg(
         F.max("score").alias("score"),
         F.max_by("reason", F.struct(F.col("score"), (-F.col("pos")).alias("p"))).alias("reason"),
         F.min_by("doc_type", first).alias("doc_type"),
-        F.coalesce(F.min_by("source", F.when(F.col("source") != "", first)), F.lit("")).alias("source"),
+        F.coalesce(F.min_by("source", F.when(F.col("raises") & (F.col("source") != ""), first)), F.lit("")).alias("source"),
     )
 
 
@@ -315,9 +212,9 @@ def rerank_similar(hits: DataFrame, routes: DataFrame, k: int = 5) -> DataFrame:
 
 
 def find_similar(vectors: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
-    """Over-fetch from the pooled decisions, then re-rank; ``vectors`` also carries query_route."""
-    buckets = T.lits(["decision"])
-    hits = cosine_topk(ask(vectors, buckets, max(4 * k, 20)), corpus.select("doc_id", "vec", F.lit("decision").alias("bucket")))
+    """Over-fetch from the pooled decisions, and only these, then re-rank; ``vectors`` also carries query_route."""
+    decisions = corpus.filter(F.col("doc_type") == "decision").select("doc_id", "vec", F.col("doc_type").alias("bucket"))
+    hits = cosine_topk(ask(vectors, T.lits(["decision"]), max(4 * k, 20)), decisions)
     hits = hits.join(vectors.select("query_id", "query_route"), "query_id")
     return rerank_similar(hits, corpus.drop("vec"), k)
 

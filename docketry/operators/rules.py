@@ -42,7 +42,13 @@ def procedure_gate(timeline: DataFrame) -> DataFrame:
     return staged.withColumn("is_inadmissible", F.col("clause").isNotNull().cast("int")).withColumn("reason", reason)
 
 
-def defect_findings() -> Column:
+def violations(columns: list[str]) -> Column:
+    """Number of violations: ``repeat_count`` stands in where ``violation_count`` is missing or 0."""
+    counts = [F.nullif(F.col("violation_count"), F.lit(0)), *[F.col("repeat_count")] * ("repeat_count" in columns)]
+    return F.coalesce(*counts)
+
+
+def defect_findings(n_violations: Column) -> Column:
     """Findings of one case as an array, in rule order; reads the columns of a timeline."""
     missing = F.filter(F.array(*[F.when(F.coalesce(F.col(c), F.lit("")) == "", name) for c, name in V.REQUIRED_FIELDS.items()]),
                        lambda m: m.isNotNull())
@@ -67,8 +73,8 @@ def defect_findings() -> Column:
         finding("D1", F.size(missing) > 0, F.when(no_basis, "red").otherwise("amber"), F.array_join(missing, "、")),
         finding("D2", F.col("_disposition") > F.col("_limitation"), "red", roc("_disposition"), roc("_limitation"),
                 number(F.date_diff("_disposition", "_limitation"))),
-        finding("D3", (F.coalesce("penalty_amount", F.lit(0)) != 0) & (F.col("violation_count") > 1), "amber",
-                number("violation_count"), number("penalty_amount")),
+        finding("D3", (F.coalesce("penalty_amount", F.lit(0)) != 0) & (n_violations > 1), "amber",
+                number(n_violations), number("penalty_amount")),
         finding("D4", F.year("_disposition") - F.year("_act") >= 1, "amber", roc("_act"), roc("_disposition")),
         finding("D5", F.col("requires_prior_order") & ~F.coalesce("prior_order_done", F.lit(False)), "red"),
         finding("D6", F.col("_service").isNull(), "amber"),
@@ -78,7 +84,7 @@ def defect_findings() -> Column:
 
 def defect_checks(timeline: DataFrame) -> DataFrame:
     """Long table of findings: one row per case and rule that fired, red rules ranked first."""
-    fired = timeline.select("case_id", F.explode(defect_findings()).alias("f"))
+    fired = timeline.select("case_id", F.explode(defect_findings(violations(timeline.columns))).alias("f"))
     rank = F.when(F.col("f.level") == "red", 0).when(F.col("f.level") == "amber", 1).otherwise(2)
     return fired.select("case_id", rank.alias("level_rank"), "f.*")
 

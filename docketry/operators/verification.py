@@ -83,7 +83,7 @@ def _objected(items: DataFrame, check: str, where: Column) -> DataFrame:
 
 def _declared(cites: Column) -> Column:
     """Declared citations, normalised; the unparsable ones are left to V3."""
-    return F.filter(F.transform(cites, citations.normalize_citation), lambda c: c.isNotNull())
+    return F.filter(citations.normalize_citations(cites), lambda c: c.isNotNull())
 
 
 def allowed_items(laws: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def review_cases(cases: DataFrame, similar_votes: Callable[[DataFrame], DataFram
     votes = similar_votes(staged.filter(F.col("state") == "merits").select("case_id"))
     is_open = F.col("state") == "merits"
     # findings belong to the row, so the open cases need neither a second pass nor a join for them
-    n_red = F.size(F.filter(rules.defect_findings(), lambda f: f["level"] == "red"))
+    n_red = F.size(F.filter(rules.defect_findings(rules.violations(staged.columns)), lambda f: f["level"] == "red"))
     joined = staged.withColumn("n_red", F.when(is_open, n_red)).join(evaluation.top_disposition(votes), "case_id", "left")
     ruling, basis = evaluation.reference_ruling(F.col("n_red"), F.col("top"))
     return joined.select(

@@ -48,12 +48,12 @@ def extract_citations(spark, t):
     return rows.select("case_id", "pk", "sk", (F.col("seq") + 1).cast("bigint").alias("seq"), "c.law", "c.article", "c.sub_article", "c.citation")
 
 
-_DECLARED = """declared AS (SELECT row_number() OVER () AS did, * FROM (SELECT case_id, pk, sk, unnest(string_split(cites_text, '|')) AS raw FROM paragraph_rows))"""
+_DECLARED = """declared AS (SELECT case_id, pk, sk, unnest(string_split(cites_text, '|')) AS raw FROM paragraph_rows)"""
 
 
 @query("normalize_citation", f"""WITH {_DECLARED},
-hits AS (SELECT did, regexp_extract(trim(raw), '^{_CITE}') AS hit, 1 AS i FROM declared WHERE regexp_matches(trim(raw), '^{_CITE}')), {parts_sql('parts', 'hits', 'did')}
-SELECT case_id, pk, sk, raw, citation FROM declared LEFT JOIN parts USING (did)""", inputs=("paragraph_rows",))
+hits AS (SELECT raw, regexp_extract(trim(raw), '^{_CITE}') AS hit, 1 AS i FROM (SELECT DISTINCT raw FROM declared) WHERE regexp_matches(trim(raw), '^{_CITE}')), {parts_sql('parts', 'hits', 'raw')}
+SELECT case_id, pk, sk, raw, citation FROM declared LEFT JOIN parts USING (raw)""", inputs=("paragraph_rows",))
 def normalize_citation(spark, t):
     raw = t.paragraph_rows.select("case_id", "pk", "sk", F.explode(F.split("cites_text", r"\|", -1)).alias("raw"))
     return raw.withColumn("citation", C.normalize_citation(F.col("raw")))

@@ -62,6 +62,7 @@ INPUTS: dict[str, tuple[str, dict[str, str]]] = {
         "legal_basis": "CASE WHEN cust_key % 17 = 0 THEN '' ELSE '洗錢防制法第22條' END",
         "penalty_amount": "1000 * (1 + case_id % 60)",
         "violation_count": "case_id % 4",
+        "repeat_count": "case_id % 3",
         "requires_prior_order": "cust_key % 5 = 0",
         "prior_order_done": "case_id % 2 = 0",
         "disposition_date": roc("svc"),

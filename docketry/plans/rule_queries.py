@@ -61,7 +61,7 @@ def appeal_timeline(spark, t):
 
 
 @query("public_projection", f"""WITH {TIMELINE_SQL.strip()}
-SELECT case_id, cust_key, nullif(agency, '') AS agency, nullif(doc_no, '') AS doc_no, nullif(legal_basis, '') AS legal_basis, penalty_amount, violation_count, requires_prior_order, prior_order_done,
+SELECT case_id, cust_key, nullif(agency, '') AS agency, nullif(doc_no, '') AS doc_no, nullif(legal_basis, '') AS legal_basis, penalty_amount, violation_count, repeat_count, requires_prior_order, prior_order_done,
   disposition_date, nullif(service_date, '') AS service_date, nullif(act_date, '') AS act_date, filed_date, service_method, nullif(revoked, '') AS revoked, CAST(NULL AS VARCHAR) AS disposition_revoked,
   previously_decided, route_key, eff_roc AS service_effective_date, dead_roc AS appeal_deadline, lim_roc AS penalty_limitation_date FROM tl""", inputs=("cases", "case_days"))
 def public_projection(spark, t):
@@ -81,7 +81,7 @@ miss AS (SELECT *, concat_ws('、', CASE WHEN agency = '' THEN '處分機關' EN
 findings AS (
   SELECT case_id, 'D1' AS check_id, CASE WHEN legal_basis = '' THEN 'red' ELSE 'amber' END AS level, '原處分應記載事項不完備' AS title, '缺漏：' || missing AS evidence FROM miss WHERE missing <> ''
   UNION ALL SELECT case_id, 'D2', 'red', '裁處已逾裁處權時效', '處分作成日 ' || disposition_date || ' 逾時效末日 ' || lim_roc || ' 共 ' || (d_disp - d_lim) || ' 日' FROM tl WHERE d_disp > d_lim
-  UNION ALL SELECT case_id, 'D3', 'amber', '累犯次數與罰鍰金額宜複核', '宣稱累犯 ' || violation_count || ' 次、罰鍰 ' || penalty_amount || '，請對照裁罰基準確認級距' FROM tl WHERE violation_count > 1
+  UNION ALL SELECT case_id, 'D3', 'amber', '累犯次數與罰鍰金額宜複核', '宣稱累犯 ' || coalesce(nullif(violation_count, 0), repeat_count) || ' 次、罰鍰 ' || penalty_amount || '，請對照裁罰基準確認級距' FROM tl WHERE coalesce(nullif(violation_count, 0), repeat_count) > 1
   UNION ALL SELECT case_id, 'D4', 'amber', '應審酌從新從輕原則', '行為時 ' || act_date || ' 與裁處時 ' || disposition_date || ' 跨越法規可能修正之期間，應比較行為時法與裁處時法擇有利者' FROM tl WHERE year(d_disp) - year(d_act) >= 1
   UNION ALL SELECT case_id, 'D5', 'red', '未完成法定前置程序即為裁處', '本案需先行限期改善／令停工等前置處分，卷內查無完成紀錄' FROM tl WHERE requires_prior_order AND NOT prior_order_done
   UNION ALL SELECT case_id, 'D6', 'amber', '原處分送達日期不明', '卷內查無合法送達日期，救濟期間無從起算' FROM tl WHERE d_svc IS NULL)"""

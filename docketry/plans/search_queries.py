@@ -27,8 +27,8 @@ def top_sql(name: str, source: str, k: int, key: str = "query_id") -> str:
 
 @query("cosine_topk", f"WITH {PAIRS_SQL.strip()}, {top_sql('top', 'pairs', 5)} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM top", inputs=("vectors",))
 def cosine_topk(spark, t):
-    corpus = t.vectors.select("doc_id", "vec", F.lit("all").alias("bucket"))
-    hits = retrieval.cosine_topk(retrieval.ask(_vectors(t), T.lits(["all"]), 5), corpus)
+    corpus = t.vectors.select("doc_id", "vec", F.lit(retrieval.WHOLE).alias("bucket"))
+    hits = retrieval.cosine_topk(retrieval.ask(_vectors(t), T.lits([retrieval.WHOLE]), 5), corpus)
     return hits.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -69,8 +69,9 @@ cited AS (SELECT query_id, score, pos, doc_type, uri, text, generate_subscripts(
 named AS (SELECT query_id, score, pos, doc_type, uri, text, i, law_name || '第' || CAST(regexp_extract(art, '第\\s*([0-9]+)', 1) AS INT) || '條'
     || CASE WHEN contains(art, '之') THEN '之' || CAST(regexp_extract(art, '之\\s*([0-9]+)', 1) AS INT) ELSE '' END AS citation FROM cited
   UNION ALL SELECT query_id, score, pos, doc_type, uri, text, 1, CASE WHEN law_name <> '' THEN law_name ELSE regexp_extract(uri, '([^/]*)/*$', 1) END FROM hits WHERE doc_type NOT IN ('law', 'common_law')),
-merged AS (SELECT query_id, citation, max(score) AS score, arg_max(text, score * 1e9 - pos * 1e-3) AS reason, arg_min(doc_type, pos) AS doc_type, coalesce(arg_min(uri, pos) FILTER (uri <> ''), '') AS source
-  FROM named WHERE citation <> '' GROUP BY query_id, citation)"""
+ordered AS (SELECT *, coalesce(score > max(score) OVER (PARTITION BY query_id, citation ORDER BY pos, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS raises FROM named WHERE citation <> ''),
+merged AS (SELECT query_id, citation, max(score) AS score, arg_max(text, score * 1e9 - pos * 1e-3) AS reason, arg_min(doc_type, pos) AS doc_type, coalesce(arg_min(uri, pos * 1000 + i) FILTER (uri <> '' AND raises), '') AS source
+  FROM ordered GROUP BY query_id, citation)"""
 
 
 def _merged_hits(t):
@@ -94,7 +95,7 @@ def annotate_law_status(spark, t):
     return retrieval.annotate_law_status(_merged_hits(t), versions).select("query_id", "citation", "status")
 
 
-SIMILAR_SQL = f"""{PAIRS_SQL.strip()}, {top_sql('fetched', 'pairs', 20)},
+SIMILAR_SQL = f"""{PAIRS_SQL.strip()}, decisions AS (SELECT * FROM pairs WHERE doc_type = 'decision'), {top_sql('fetched', 'decisions', 20)},
 boosted AS (SELECT *, CASE WHEN doc_route = query_route THEN 1 ELSE 0 END AS route_match, round(score * CASE WHEN doc_route = query_route THEN 1.25 ELSE 1.0 END, 4) AS similarity FROM fetched),
 similar_cases AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, rank) AS position FROM boosted) WHERE position <= 5)"""
 

@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 
 from docketry.functions.text import safe_stem
 
+SCAN_PARTITIONS = "spark.docketry.scan.partitions"
 CORRUPT = "_corrupt_record"
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """Deal the rows of a scan with few splits out over the cores, before texts are parsed.
+    """Deal the rows of a scan out before texts are parsed, if the session asks for it.
 
-    One small file is one split and would leave all other cores idle. A scan that has as many
-    splits as there are cores, as on any large table, stays as it is: no shuffle is added.
+    A table written as one file with one row group is one split and leaves all other cores idle. Only whoever runs
+    such a table sets ``spark.docketry.scan.partitions`` (bench.py does); unset, as on a cluster, no exchange is added.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+    parts = table.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return table.repartition(int(parts)) if parts else table
 
 
 def scan_json_docs(spark: SparkSession, path: str, schema: str, glob: str = "*.json", multi_line: bool = True) -> DataFrame:
@@ -77,12 +78,12 @@ def _legacy_decoder():
 def decode_texts(files: DataFrame) -> DataFrame:
     """Text and charset of binary contents: UTF-8 on the JVM side, only the rest goes through Arrow."""
     as_text = F.col("content").cast("string")
-    valid = F.is_valid_utf8(as_text)
-    staged = files.withColumn("valid", valid).withColumn("legacy", _legacy_decoder()(F.when(~valid, F.col("content"))))
-    return staged.select(
-        *[c for c in files.columns if c != "content"],
-        F.when(F.col("valid"), as_text).otherwise(F.col("legacy.text")).alias("text"),
-        F.when(F.col("valid"), "utf-8").otherwise(F.col("legacy.charset")).alias("charset"))
+    rest = [c for c in files.columns if c != "content"]
+    # two branches over the same scan, so that rows which are UTF-8 never leave the JVM
+    valid = F.coalesce(F.is_valid_utf8(as_text), F.lit(True))
+    plain = files.filter(valid).select(*rest, as_text.alias("text"), F.when(as_text.isNotNull(), "utf-8").alias("charset"))
+    legacy = files.filter(~valid).withColumn("legacy", _legacy_decoder()(F.col("content")))
+    return plain.unionByName(legacy.select(*rest, "legacy.text", "legacy.charset"))
 
 
 def encoding_audit(files: DataFrame) -> DataFrame:

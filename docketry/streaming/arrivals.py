@@ -64,8 +64,9 @@ def stage_flow(stream: DataFrame, root: str, checkpoint: str) -> None:
 
 
 def request_key(*payload: Column | str) -> Column:
-    """Hash of the payload; equal requests have equal keys."""
-    return F.left(F.sha2(F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}), 256), F.lit(32))
+    """Hash of the payload; equal requests have equal keys, in whatever order their columns are named."""
+    names = sorted(payload) if all(isinstance(x, str) for x in payload) else payload
+    return F.left(F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256), F.lit(32))
 
 
 def dedup_requests(requests: DataFrame, payload: list[str], order: list[str]) -> DataFrame:

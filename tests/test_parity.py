@@ -26,7 +26,7 @@ def plain(value):
     return str(value)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(name, spark, duck):
     result = QUERIES[name](spark, FOLDER)
     columns = sorted(result.columns)

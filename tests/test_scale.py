@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.functions import text as T
+from docketry.functions import pii, text as T
 from docketry.operators import evaluation, intake, retrieval, verification as X
 from docketry.sources import files
 from docketry.streaming import arrivals
@@ -28,15 +28,13 @@ def clustered(n, seed):
     return v
 
 
-@pytest.mark.parametrize("make, prune", [(vectors, False), (vectors, True), (clustered, True)])
-def test_blocked_search_equals_brute_force(spark, monkeypatch, make, prune):
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(retrieval, "CORPUS_BLOCK", 11)
-    monkeypatch.setattr(retrieval, "SLICE", 3)
-    if prune:
-        monkeypatch.setattr(retrieval, "PRUNE_FROM", 1)
-        monkeypatch.setattr(retrieval, "PIVOTS", 9)
-    v = make(120, 1)
+@pytest.mark.parametrize("make, n, blocks", [(vectors, 120, True), (clustered, 120, True), (clustered, 5000, False)])
+def test_blocked_search_equals_brute_force(spark, monkeypatch, make, n, blocks):
+    if blocks:
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+        monkeypatch.setattr(retrieval, "CORPUS_BLOCK", 11)
+        monkeypatch.setattr(retrieval, "SLICE", 3)
+    v = make(n, 1)
     # two thirds of the corpus lie in one bucket
     bucket = ["hot" if i % 3 else "cold" for i in range(len(v))]
     corpus = spark.createDataFrame([(i, [float(x) for x in v[i]], bucket[i]) for i in range(len(v))], "doc_id bigint, vec array<float>, bucket string")
@@ -48,7 +46,7 @@ def test_blocked_search_equals_brute_force(spark, monkeypatch, make, prune):
             found.setdefault(row["query_id"], []).append(row["doc_id"])
         d = v.astype("float64")
         s = np.round(d @ d.T / (np.outer(np.linalg.norm(d, axis=1), np.linalg.norm(d, axis=1)) + 1e-9), 9)
-        for q in range(len(v)):
+        for q in range(0, len(v), 1 if blocks else 97):
             allowed = [i for i in range(len(v)) if i != q and bucket[i] in wanted]
             assert found[q] == sorted(allowed, key=lambda i: (-s[q, i], i))[:6]
 
@@ -154,12 +152,34 @@ def test_versions_are_half_open_and_may_repeat(spark):
     assert {r["case_id"]: r["status"] for r in X.results(cases, check).collect()} == {1: "pass", 2: "fail", 3: "fail", 4: "skipped"}
 
 
-def test_cells_that_cannot_matter_are_not_visited():
-    """The bound rules out far cells and keeps every cell that may hold a hit."""
-    pivots = np.eye(3)
-    cells = {"b": (np.array([0, 1, 2]), np.array([0.1, 0.1, 1.6]), np.array([9, 9, 9]))}
-    batch = pd.DataFrame({"query_id": [1], "layer": ["x"], "k": [2], "vec": [np.array([1.0, 0.0, 0.0])], "skip_self": [True], "bucket": ["b"], "tau": [0.9]})
-    first = next(retrieval._cell_chooser(pivots, cells, True)(iter([batch.copy()])))
-    later = next(retrieval._cell_chooser(pivots, cells, False)(iter([batch.copy()])))
-    assert first["bucket"].tolist() == ["b\x1f0"]
-    assert later["bucket"].tolist() == ["b\x1f2"]     # cell 1 lies 90 degrees away with radius 0.1, cell 2 reaches the query
+def test_similar_cases_are_decisions_only(spark):
+    """A law nearer than any decision is not a case."""
+    rows = [(1, [1.0, 0.0], "decision", "waste"), (2, [1.0, 0.01], "law", "waste"), (3, [0.5, 1.0], "decision", "noise")]
+    corpus = spark.createDataFrame(rows, "doc_id bigint, vec array<float>, doc_type string, doc_route string")
+    asked = spark.createDataFrame([(1, [1.0, 0.0], "waste")], "query_id bigint, vec array<float>, query_route string")
+    assert [r["doc_id"] for r in retrieval.find_similar(asked, corpus).collect()] == [3]
+
+
+@pytest.mark.parametrize("head", ["訴願人 王小明", "沒有當事人"])
+def test_masking_of_many_short_lines(spark, head):
+    """Names below a party line are masked however many there are; no pattern may recurse over lines."""
+    text = "\n".join([head, *["陳大文"] * 100_000, "以下為理由之說明文字", "林小華"])
+    table = spark.createDataFrame([(text,)], "text string")
+    masked, n = pii.mask_following_names(F.col("text"))
+    row = table.select(masked.alias("text"), n.alias("n")).head()
+    lines = row["text"].split("\n")
+    if head.startswith("訴願人"):
+        assert row["n"] == 100_000 and lines[1] == lines[100_000] == "陳○文" and lines[-1] == "林小華"
+    else:
+        assert row["n"] == 0 and row["text"] == text
+
+
+def test_packets_keep_different_payloads_of_a_key(spark):
+    items = spark.createDataFrame([(1, "law", 5, "a"), (1, "law", 5, "b"), (1, "law", 5, "a")], "case_id bigint, kind string, item_key bigint, payload string")
+    (row,) = intake.review_packet(items).collect()
+    assert row["n_items"] == 2 and row["items"] == '["a","b"]'
+
+
+def test_request_key_ignores_the_order_of_columns(spark):
+    row = spark.createDataFrame([("x", "y")], "a string, b string").select(arrivals.request_key("a", "b").alias("p"), arrivals.request_key("b", "a").alias("q")).head()
+    assert row["p"] == row["q"]
