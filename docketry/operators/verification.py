@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from docketry import values as V
 from docketry.functions import citations, dates, labels, text as T
 from docketry.functions.labels import contains_any
+from docketry.session import stored
 
 
 class Check(NamedTuple):
@@ -56,7 +57,7 @@ def results(cases: DataFrame, *checks: Check) -> DataFrame:
 
 def with_evidence(cases: DataFrame, check: Check) -> DataFrame:
     """Verdicts in long form: one row per item objected to, one row with a null item where there is none."""
-    judged = results(cases, check)
+    judged = stored(results(cases, check), "verdicts")
     failed = F.col("status") == "fail"
     # the evidence is the large and possibly skewed side; an inner join lets it be split
     listed = check.evidence.drop("check_id").join(judged.filter(failed), "case_id")
@@ -91,13 +92,14 @@ def allowed_items(laws: DataFrame) -> DataFrame:
 
     The structured citation counts alone; else law and article; else whatever the texts mention.
     """
-    exact = citations.normalize_citation(F.col("citation"))
     law, article = T.strip(F.coalesce("law", F.lit(""))), T.strip(F.coalesce("article", F.lit("")))
     numbered = F.when(article.rlike(r"^\d+\z"), F.concat(law, F.lit("第"), article, F.lit("條"))).otherwise(F.concat(law, article))
-    pair = F.when((law != "") & (article != ""), citations.normalize_citation(numbered))
+    # one call for both, and one for the free texts
+    own = citations.normalize_citations(F.array("citation", F.when((law != "") & (article != ""), numbered)))
     free = F.flatten(F.array(*[citations.citation_names(F.col(c)) for c in ("title", "text", "source")]))
-    item = F.when(exact.isNotNull(), F.array(exact)).when(pair.isNotNull(), F.array(pair)).otherwise(free)
-    return laws.select("case_id", F.explode(item).alias("item"))
+    found = laws.select("case_id", own.alias("own"), free.alias("free"))
+    structured = F.coalesce(F.get("own", F.lit(0)), F.get("own", F.lit(1)))
+    return found.select("case_id", F.explode(F.when(structured.isNotNull(), F.array(structured)).otherwise(F.col("free"))).alias("item"))
 
 
 def allowed_citations(laws: DataFrame) -> DataFrame:
@@ -111,7 +113,7 @@ DECLARED, INLINE, ALLOWED = 1, 2, 4
 def cited_items(paragraphs: DataFrame, allowed: DataFrame | None = None, inline: bool = True) -> DataFrame:
     """(case_id, item, flags): where a citation occurs, in one pass over the paragraphs.
 
-    All places are bits of one column, so that every check reads the same shuffled table.
+    All places are bits of one column. The table is stored, since every check on citations reads it.
     """
     def flagged(items: Column, flag: int) -> Column:
         return F.transform(items, lambda i: F.struct(i.alias("item"), F.lit(flag).alias("flag")))
@@ -123,7 +125,7 @@ def cited_items(paragraphs: DataFrame, allowed: DataFrame | None = None, inline:
     known = F.col("case_id").isNotNull() & F.col("item").isNotNull()     # see _collapse
     if allowed is not None:
         rows = rows.unionByName(allowed.select("case_id", "item", F.lit(ALLOWED).alias("flag")))
-    return rows.filter(known).groupBy("case_id", "item").agg(F.bit_or("flag").alias("flags"))
+    return stored(rows.filter(known).groupBy("case_id", "item").agg(F.bit_or("flag").alias("flags")), "cited-items")
 
 
 def _has(flag: int) -> Column:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "docketry", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,3 +46,11 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return os.path.join(tempfile.mkdtemp(prefix="docketry-"), purpose)
+
+
+def stored(table: DataFrame, purpose: str) -> DataFrame:
+    """Write a table that several parts of a plan read, so that it is computed once, and read it back."""
+    spark = table.sparkSession
+    path = work_dir(spark, purpose)
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
