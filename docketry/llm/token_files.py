@@ -31,13 +31,13 @@ from docketry.llm.common import stored, text_runs, texts_of
 
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
-LANES = 1024
+LANES = 2048
 CHECKPOINT_STEPS = 128
-BLOCK_TOKENS = 262_144
+BLOCK_TOKENS = 524_288
 _HEAD = struct.Struct("<4sBBHIQII")
 _U = np.uint64
 
-RAW = "part int, block int, inside long, n_tokens long, doc_ids array<long>, doc_lengths array<long>, ids binary"
+RAW = "part int, block int, inside long, n_tokens long, doc_ids array<long>, doc_lengths array<long>, ids binary, counts binary"
 FILES = "part int, block int, start long, n_tokens long, doc_ids array<long>, doc_lengths array<long>, payload binary"
 
 
@@ -67,7 +67,7 @@ class Coder:
     def __init__(self, frequencies: np.ndarray, bits: int = SCALE_BITS):
         self.bits, self.f = bits, frequencies.astype(np.uint64)
         self.c = np.cumsum(self.f) - self.f
-        self.symbol = np.repeat(np.arange(len(self.f), dtype=np.uint32), self.f.astype(np.int64))
+        self.symbol = np.repeat(np.arange(len(self.f), dtype=np.uint16 if len(self.f) <= 1 << 16 else np.uint32), self.f.astype(np.int64))
         self.crc = zlib.crc32(self.f.astype("<u4").tobytes())
 
     def encode(self, ids: np.ndarray, lanes: int = LANES) -> bytes:
@@ -133,19 +133,24 @@ class Coder:
 
 
 def _blocks(name: str, end_id: int, block_tokens: int):
-    """Runs of whole documents of at least ``block_tokens`` tokens; the last of a part may be shorter."""
+    """Runs of whole documents of at least ``block_tokens`` tokens; the last of a part may be shorter.
+
+    The last row of a part has no document but the numbers of all ids in it, so that the ids are not read for them.
+    """
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, block = encode.encoder(name), TaskContext.get().partitionId(), 0
         keys: list = []
         lengths: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         held = inside = 0
-
-        def flush() -> pa.RecordBatch:
-            tokens = np.concatenate(ids)
-            narrow = "<u2" if tokens.max() < 1 << 16 else "<u4"
-            row = [[part], [block], [inside], [held], [keys], [np.concatenate(lengths)], [tokens.astype(narrow).tobytes()]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        counts = np.zeros(0, np.int64)
+
+        def flush(last: bool = False) -> pa.RecordBatch:
+            tokens = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+            narrow = "<u2" if tokens.max(initial=0) < 1 << 16 else "<u4"
+            row = [[part], [block], [inside], [held], [keys], [np.concatenate(lengths) if lengths else []], [tokens.astype(narrow).tobytes()],
+                   [counts.astype("<i8").tobytes() if last else None]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in RAW.split(", ")])
 
         for some, texts in text_runs(batches):
@@ -156,6 +161,7 @@ def _blocks(name: str, end_id: int, block_tokens: int):
             own = np.ones(len(whole), bool)
             own[ends - 1] = False
             whole[own] = found
+            counts = _sum(counts, np.bincount(whole))
             # whole documents up to the first border behind each multiple of the block size
             cuts = np.append(np.flatnonzero(np.diff((held + ends) // block_tokens)) + 1, len(n))
             first = 0
@@ -170,9 +176,19 @@ def _blocks(name: str, end_id: int, block_tokens: int):
                     keys, lengths, ids, held, inside, block = [], [], [], 0, inside + held, block + 1
         if keys:
             yield flush()
+            keys, lengths, ids, held, inside, block = [], [], [], 0, inside + held, block + 1
+        if len(counts):
+            yield flush(last=True)
     return make
 
 
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if len(a) < len(b):
+        a, b = b, a
+    a[:len(b)] += b
+    return a
+
+
 def _ids(row: pa.RecordBatch, i: int) -> np.ndarray:
     """Ids of a raw block, two or four bytes each."""
     data = row.column("ids")[i].as_buffer()
@@ -182,11 +198,8 @@ def _ids(row: pa.RecordBatch, i: int) -> np.ndarray:
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(0, np.int64)
     for batch in batches:
-        for i in range(batch.num_rows):
-            more = np.bincount(_ids(batch, i))
-            if len(more) > len(counts):
-                counts, more = more, counts
-            counts[:len(more)] += more
+        for data in batch.column("counts").to_pylist():
+            counts = _sum(counts, np.frombuffer(data, "<i8").copy())
     seen = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], ["symbol", "n"])
 
@@ -210,7 +223,7 @@ def write_token_files(docs: DataFrame, path: str, name: str = "byte_bpe_50k.json
     spark = docs.sparkSession
     ordered = texts_of(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     raw = stored(ordered.mapInArrow(_blocks(name, end_id, BLOCK_TOKENS), RAW), "token-blocks")
-    found = raw.select("n_tokens", "ids").mapInArrow(_histogram, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
+    found = raw.filter("counts is not null").select("counts").mapInArrow(_histogram, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((row["symbol"] for row in found), default=-1) + 1, np.int64)  # no longer than the vocabulary
     for row in found:
         counts[row["symbol"]] = row["n"]
@@ -220,7 +233,7 @@ def write_token_files(docs: DataFrame, path: str, name: str = "byte_bpe_50k.json
     for part, n in sorted((row["part"], row["n"]) for row in raw.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
         before[part] = total
         total += n
-    raw.mapInArrow(_encoder(frequencies, before), FILES).write.parquet(f"{path}/blocks")
+    raw.filter("counts is null").drop("counts").mapInArrow(_encoder(frequencies, before), FILES).write.parquet(f"{path}/blocks")
 
 
 def read_table(spark: SparkSession, path: str) -> np.ndarray:
