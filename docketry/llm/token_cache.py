@@ -74,5 +74,6 @@ def count_tokens(docs: DataFrame, name: str, cache: str) -> DataFrame:
     encoded = texts.mapInArrow(_counter(name), "digest binary, n_tokens long")
     encoded.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")) \
         .select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # stored, so that the join has plain sides and a digest that very many rows share can be split
+    counts = stored(read_cache(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return keyed.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
