@@ -161,10 +161,10 @@ def train(docs: DataFrame) -> Model:
             frequency[row["feature"]] = row["n"]
     idf = np.log((1 + total) / (1 + frequency)) + 1
     each = max(20, SAMPLE_ROWS // len(counts))
-    spark = docs.sparkSession
-    rates = spark.createDataFrame([(lang, min(1.0, 1.2 * each / n)) for lang, n in counts.items()], "lang string, rate double")
+    # one literal for each language: the filter needs no join, and no text moves
+    rate = F.try_element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * each / n))]), F.col("lang"))
     place = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000))
-    chosen = known.withColumn("hash", F.xxhash64("doc_id")).join(rates, "lang").filter(place < F.col("rate") * 1_000_000).select("lang", "hash", "text") \
+    chosen = known.filter(place < rate * 1_000_000).select("lang", F.xxhash64("doc_id").alias("hash"), "text") \
         .mapInArrow(_sampler, "lang string, hash long, features binary, counts binary")
     taken: dict[str, int] = {}
     sample = []
