@@ -156,7 +156,7 @@ INPUTS: dict[str, tuple[str, dict[str, str]]] = {
         "query_route": pick("vec_id % 5", *ROUTE_PICK[:4], other="'noise'"),
         "law_name": pick("label % 5", *q("洗錢防制法", "訴願法", "法務部函釋第9號"), other="''"),
         "text": "'段落 ' || " + pick("vec_id % 3", "'第' || (vec_id % 90 + 1) || '條及第' || (vec_id % 7 + 1) || '條之2'", "'無條號'", other="'第 ' || (label + 1) || ' 條'") + " || ' 節錄'",
-        "uri": "CASE WHEN vec_id % 6 = 0 THEN '' ELSE 's3://laws/' || (vec_id % 40) || '.txt' END",
+        "uri": "CASE WHEN vec_id % 6 = 0 THEN '' ELSE 'laws/' || (vec_id % 40) || '.txt' END",
         "disposition": pick("label % 4", *q("訴願駁回", "原處分撤銷", "訴願不受理。")),
     }),
     # ---- triage predictions -------------------------------------------------

@@ -8,10 +8,9 @@ from docketry import values as V
 from docketry.functions import labels
 from docketry.operators import retrieval
 from docketry.plans.case_flow import review_cases
-from docketry.plans.derive import dashed
 from docketry.plans.registry import query
 from docketry.plans.rule_queries import FINDINGS_SQL, GATE_SQL, gate_of
-from docketry.plans.search_queries import DISPOSITION_SQL, _vectors, majority_sql
+from docketry.plans.search_queries import DISPOSITION_SQL, MERGED_SQL, PAIRS_SQL, _vectors, majority_sql, merged_hits
 from docketry.session import work_dir
 from docketry.sources import files
 from docketry.streaming import arrivals
@@ -91,18 +90,26 @@ def _payload_cases(t):
 
 @query("case_disposition_flow", f"""WITH {DISPOSITION_SQL}, {GATE_SQL.strip()}, {FINDINGS_SQL[FINDINGS_SQL.index('miss AS'):]},
 {majority_sql("SELECT case_id, count(*) AS n_red FROM findings WHERE level = 'red' GROUP BY case_id")},
+{MERGED_SQL[len(PAIRS_SQL.strip()):].lstrip(", ").strip()},
+found_laws AS (SELECT query_id AS case_id, count(*) AS n_laws FROM merged GROUP BY query_id),
 s AS (SELECT *, CASE WHEN route_key = 'traffic' THEN 'error' WHEN case_id % 19 = 0 OR clause IS NOT NULL THEN 'inadmissible' ELSE 'merits' END AS state FROM gate)
 SELECT s.case_id, state, CASE state WHEN 'inadmissible' THEN '訴願不受理' WHEN 'merits' THEN d.disposition END AS disposition,
   CASE WHEN state = 'error' THEN 'route_key ''traffic'' 不在枚舉' WHEN state = 'merits' THEN d.basis WHEN s.case_id % 19 = 0 THEN '前段判定程序不受理（快速通道，未進實體審查）'
    ELSE '後段程序審查判定不受理（§' || clause || '）：' || CASE clause WHEN '77-2' THEN '提起訴願日（' || filed_date || '）逾法定期間末日（' || dead_roc || '）' || overdue_days || ' 日，依訴願法第77條第2款應不受理。'
-    WHEN '77-6' THEN '原行政處分已經撤銷或失效，依訴願法第77條第6款應不受理。' ELSE '就同一處分前已提起訴願並經決定或撤回，依訴願法第77條第7款應不受理。' END END AS basis FROM s LEFT JOIN decided d USING (case_id)""", inputs=("vectors", "cases", "case_days"))
+    WHEN '77-6' THEN '原行政處分已經撤銷或失效，依訴願法第77條第6款應不受理。' ELSE '就同一處分前已提起訴願並經決定或撤回，依訴願法第77條第7款應不受理。' END END AS basis,
+  CASE WHEN state = 'merits' THEN coalesce(n_laws, 0) ELSE 0 END AS n_laws FROM s LEFT JOIN decided d USING (case_id) LEFT JOIN found_laws USING (case_id)""", inputs=("vectors", "cases", "case_days"))
 def case_disposition_flow(spark, t):
+    def asking(open_cases):
+        return _vectors(t).join(open_cases.withColumnRenamed("case_id", "query_id"), "query_id", "left_semi")
+
+    def laws(open_cases):
+        return merged_hits(t, asking(open_cases)).select(F.col("query_id").alias("case_id"), "citation")
+
     def votes(open_cases):
-        asking = _vectors(t).join(open_cases.withColumnRenamed("case_id", "query_id"), "query_id", "left_semi")
-        found = retrieval.find_similar(asking, t.vectors.drop("query_route"))
+        found = retrieval.find_similar(asking(open_cases), t.vectors.drop("query_route"))
         return found.select(F.col("query_id").alias("case_id"), F.col("position").alias("rank"), labels.normalized_disposition(F.col("disposition")).alias("label"))
 
-    return review_cases(_payload_cases(t), votes)
+    return review_cases(_payload_cases(t), votes, laws)
 
 
 # ---- streams ---------------------------------------------------------------

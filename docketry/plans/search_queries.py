@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docketry import values as V
 from docketry.functions import labels, text as T
 from docketry.operators import evaluation, retrieval
-from docketry.plans.registry import query, sql_case, sql_list
+from docketry.plans.registry import query, sql_list
 
 
 def _vectors(t):
@@ -62,7 +62,7 @@ def layered_retrieval(spark, t):
     return hits.select("query_id", "layer", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
-_MERGED = f"""{_LAYERS},
+MERGED_SQL = f"""{_LAYERS},
 hits AS (SELECT h.query_id, h.score, CASE WHEN h.layer = 'law' THEN h.rank ELSE 100 + h.rank END AS pos, d.doc_type, d.law_name, d.text, d.uri FROM layered h JOIN vectors d USING (doc_id)),
 cut AS (SELECT *, regexp_extract_all(text, '第\\s*([0-9]+)\\s*條(?:\\s*之\\s*([0-9]+))?') AS arts FROM hits),
 cited AS (SELECT query_id, score, pos, doc_type, uri, text, generate_subscripts(arts, 1) AS i, unnest(arts) AS art, law_name FROM cut WHERE doc_type IN ('law', 'common_law')),
@@ -74,25 +74,26 @@ merged AS (SELECT query_id, citation, max(score) AS score, arg_max(text, score *
   FROM ordered GROUP BY query_id, citation)"""
 
 
-def _merged_hits(t):
-    hits = retrieval.layered_search(_vectors(t), t.vectors)
+def merged_hits(t, asking=None):
+    """Laws and references of all vectors, or of those that ask."""
+    hits = retrieval.layered_search(_vectors(t) if asking is None else asking, t.vectors)
     joined = hits.join(t.vectors.select("doc_id", "doc_type", "law_name", "text", F.col("uri").alias("source")), "doc_id")
     position = F.when(F.col("layer") == "law", F.col("rank")).otherwise(100 + F.col("rank"))
     return retrieval.merge_hits_by_citation(joined.withColumn("pos", position))
 
 
-@query("merge_hits_by_citation", f"WITH {_MERGED} SELECT query_id, citation, round(score, 6) AS score, reason, doc_type, source FROM merged", inputs=("vectors",))
+@query("merge_hits_by_citation", f"WITH {MERGED_SQL} SELECT query_id, citation, round(score, 6) AS score, reason, doc_type, source FROM merged", inputs=("vectors",))
 def merge_hits_by_citation(spark, t):
-    return _merged_hits(t).select("query_id", "citation", F.round("score", 6).alias("score"), "reason", "doc_type", "source")
+    return merged_hits(t).select("query_id", "citation", F.round("score", 6).alias("score"), "reason", "doc_type", "source")
 
 
-@query("annotate_law_status", f"""WITH {_MERGED},
+@query("annotate_law_status", f"""WITH {MERGED_SQL},
 ver AS (SELECT '洗錢防制法第' || (s_suppkey + 1) || '條' AS citation, CASE s_nationkey % 4 WHEN 0 THEN '現行' WHEN 1 THEN '已修正' WHEN 2 THEN '' ELSE '已刪除' END AS status FROM supplier)
 SELECT query_id, citation, coalesce(nullif(status, ''), 'unknown') AS status FROM merged LEFT JOIN ver USING (citation)""", inputs=("vectors",))
 def annotate_law_status(spark, t):
     versions = t.supplier.selectExpr("'洗錢防制法第' || (s_suppkey + 1) || '條' AS citation",
                                      "CASE s_nationkey % 4 WHEN 0 THEN '現行' WHEN 1 THEN '已修正' WHEN 2 THEN '' ELSE '已刪除' END AS status")
-    return retrieval.annotate_law_status(_merged_hits(t), versions).select("query_id", "citation", "status")
+    return retrieval.annotate_law_status(merged_hits(t), versions).select("query_id", "citation", "status")
 
 
 SIMILAR_SQL = f"""{PAIRS_SQL.strip()}, decisions AS (SELECT * FROM pairs WHERE doc_type = 'decision'), {top_sql('fetched', 'decisions', 20)},

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from docketry import values as V
 from docketry.functions import citations as C
 from docketry.functions import text as T
-from docketry.operators import corpus, intake
-from docketry.plans.registry import query, sql_case, sql_list
+from docketry.operators import corpus
+from docketry.plans.registry import query, sql_case
 
 _CJK = "[一-鿿]"
 _STRIP = "regexp_replace(regexp_replace({0}, '^[\\s　]+', ''), '[\\s　]+$', '')"

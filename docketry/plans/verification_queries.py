@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from docketry import values as V
 from docketry.operators import rules, verification as X
 from docketry.plans.citation_queries import _CITE, parts_sql, text_hits_sql
-from docketry.plans.registry import query, sql_case, sql_list
+from docketry.plans.registry import query, sql_list
 from docketry.plans.rule_queries import FINDINGS_SQL, GATE_SQL, gate_of, timeline_of
+from docketry.session import stored
 
 _RESULT = "case_id, check_id, status, level, n_items, n_evidence, item"
 
@@ -161,7 +162,7 @@ def v7_period_recheck(spark, t):
 _V8_SQL = f"""
 v8_d AS (SELECT case_id, CASE case_id % 6 WHEN 0 THEN '' WHEN 1 THEN '得提起行政訴訟。' WHEN 2 THEN '得於2個月內向臺灣新北地方法院行政訴訟庭提起行政訴訟。' WHEN 3 THEN '得於2個月內救濟' ELSE '{V.REMEDY_NOTICE}' END AS notice FROM cases),
 v8_p AS (SELECT case_id, notice, CASE WHEN notice = '' THEN '' ELSE concat_ws('；', CASE WHEN NOT contains(notice, '行政訴訟') THEN '教示未載明「行政訴訟」' END, CASE WHEN NOT contains(notice, '2個月') THEN '教示未載明 2 個月起訴期間' END,
-  CASE WHEN contains(notice, '臺灣新北地方法院行政訴訟庭') THEN '引用已改制/裁撤之機關：臺灣新北地方法院行政訴訟庭' END) END AS problems FROM v8_d),
+  CASE WHEN contains(notice, '臺灣新北地方法院行政訴訟庭') THEN '引用已改制/裁撤之機關：[''臺灣新北地方法院行政訴訟庭'']' END) END AS problems FROM v8_d),
 v8 AS (SELECT case_id, 'V8' AS check_id, CASE WHEN notice = '' THEN 'skipped' WHEN problems <> '' THEN 'fail' ELSE 'pass' END AS status, 'red' AS level, problems FROM v8_p)"""
 
 
@@ -200,8 +201,9 @@ def v10_red_addressed(spark, t):
 
 def judged_cases(t):
     """The ten verdicts of every case."""
-    paragraphs, drafts, gated = paragraphs_of(t), drafts_of(t), gate_of(t)
-    claims = t.paragraph_rows.selectExpr("case_id", "'C' || (pos % 3 + 1) AS claim_id")
+    # texts are parsed once, and so are the dates of the cases
+    paragraphs, drafts, gated = X.paragraph_facts(paragraphs_of(t)), drafts_of(t), stored(gate_of(t), "gated-cases")
+    claims = paragraphs.selectExpr("case_id", "'C' || (pos % 3 + 1) AS claim_id")
     items = X.cited_items(paragraphs, X.allowed_items(t.law_rows))
     return X.judge(t.cases, [
         *X.citation_set_checks(items), X.v3_article_format(paragraphs),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,15 +35,11 @@ def build_session(app: str = "docketry", master: str | None = None, **conf: str)
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for stage tables, stream checkpoints and written files.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a local
-    session may fall back to a temporary folder of the machine.
+    The cluster names its shared folder in ``spark.checkpoint.dir``. Where that is unset, a folder in the
+    warehouse serves, which executors share as well; no folder of one machine is ever chosen.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return os.path.join(tempfile.mkdtemp(prefix="docketry-"), purpose)
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def stored(table: DataFrame, purpose: str) -> DataFrame:

@@ -84,6 +84,11 @@ def dedup_requests(requests: DataFrame, payload: list[str], order: list[str]) ->
 
 
 def dedup_stream(stream: DataFrame, payload: list[str], time: str, delay: str) -> DataFrame:
-    """The streaming form: state is kept for the watermark delay only."""
+    """The streaming form: state is kept for the watermark delay only.
+
+    ``delay`` is a parameter of the result, not a tuning value: a request that comes later than the watermark is dropped, and a
+    repeat after the delay counts as a new request. Set it above the longest time within which requests may repeat or be late;
+    ``dedup_requests`` over the stored requests has no such limit.
+    """
     keyed = stream.withColumn(time, F.col(time).cast("timestamp")).withColumn("request_key", request_key(*payload))
     return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["request_key"])

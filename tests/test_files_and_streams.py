@@ -74,3 +74,21 @@ def test_stages_of_the_stream_equal_the_batch(spark, tmp_path):
     for stage, table in (("draft", paragraphs.select("case_id", "text")), ("verify", arrivals.verify_stage(whole, paragraphs).select("case_id", "check_id", "status"))):
         ours = files.read_stage(spark, str(tmp_path / "stages"), stage).select(*table.columns)
         assert ours.exceptAll(table).count() == 0 and table.exceptAll(ours).count() == 0
+
+
+def test_requests_of_several_batches_are_told_apart(spark, tmp_path):
+    """A repeat in a later batch is dropped while the state lasts; after the delay it counts again."""
+    source, once, checkpoint = (str(tmp_path / n) for n in ("input", "once", "checkpoint"))
+    schema = "ts timestamp, body string"
+
+    def batch(*rows):
+        spark.createDataFrame(rows, "ts string, body string").selectExpr("CAST(ts AS timestamp) AS ts", "body").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        arrivals.land(arrivals.dedup_stream(stream, ["body"], "ts", "10 days"), once, checkpoint)
+
+    batch(("2024-01-01", "a"), ("2024-01-01", "a"), ("2024-01-02", "b"))
+    batch(("2024-01-05", "a"), ("2024-01-06", "c"))
+    assert sorted(r["body"] for r in spark.read.parquet(once).collect()) == ["a", "b", "c"]
+    batch(("2024-03-01", "d"))
+    batch(("2024-03-02", "a"))
+    assert sorted(r["body"] for r in spark.read.parquet(once).collect()) == ["a", "a", "b", "c", "d"]

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from docketry.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,4 +46,5 @@ def test_entry_has_rows(spark):
 
 
 def test_every_query_has_a_counterpart():
-    assert set(QUERIES) == set(ORACLES)
+    # of the library itself; those in docketry/llm have tests of their own where SQL cannot say the same
+    assert set(registry.QUERIES) == set(registry.ORACLES) and set(ORACLES) <= set(QUERIES)
