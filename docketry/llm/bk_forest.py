@@ -9,7 +9,7 @@ import numpy as np
 from docketry.llm.common import ragged
 
 #: Pairs of query and node that are compared at once.
-FRONTIER = 1_000_000
+FRONTIER = 200_000
 
 
 class Forest:

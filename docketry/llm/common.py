@@ -35,6 +35,19 @@ def stored(table: DataFrame, purpose: str) -> DataFrame:
 RUN_BYTES = 2_500_000
 
 
+def releasing(run):
+    """A function over Arrow batches that gives the memory it no longer needs back when its task ends.
+
+    Workers live on for the tasks of later stages, and what Arrow keeps for reuse would be missing there.
+    """
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+    return whole
+
+
 def run_borders(texts: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
     """Cut a column of texts into runs of whole texts of about ``run_bytes``."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

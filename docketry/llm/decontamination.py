@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import run_borders, text_runs, texts_of
+from docketry.llm.common import releasing, run_borders, text_runs, texts_of
 from docketry.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -185,7 +185,7 @@ def _shared(docs: DataFrame, items: DataFrame, window: int) -> list:
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Words, hit words, items hit, the verdict and the merged removal spans (word places) of every row."""
-    return texts_of(docs).mapInArrow(_searcher(_shared(docs, items, window)), RESULT)
+    return texts_of(docs).mapInArrow(releasing(_searcher(_shared(docs, items, window))), RESULT)
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -200,4 +200,4 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows, with all their columns, that are not contaminated; from their ``text`` the removal spans are cut."""
-    return docs.mapInArrow(_cleaner(_shared(docs, items, window), cut_spans), docs.schema)
+    return docs.mapInArrow(releasing(_cleaner(_shared(docs, items, window), cut_spans)), docs.schema)

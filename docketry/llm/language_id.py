@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.common import releasing
+
 SAMPLE_ROWS = 2000
 FEATURE_BITS = 16
 FEATURES = 1 << FEATURE_BITS
@@ -151,7 +153,7 @@ def train(docs: DataFrame) -> Model:
     counts = {row["lang"]: row["n"] for row in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model([], np.ones(FEATURES)).ready()
-    rows = known.select("text").mapInArrow(_document_counter, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    rows = known.select("text").mapInArrow(releasing(_document_counter), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     frequency = np.zeros(FEATURES)
     total = 0
     for row in rows:  # at most one for each feature, and the number of documents
@@ -165,7 +167,7 @@ def train(docs: DataFrame) -> Model:
     rate = F.try_element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * each / n))]), F.col("lang"))
     place = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000))
     chosen = known.filter(place < rate * 1_000_000).select("lang", F.xxhash64("doc_id").alias("hash"), "text") \
-        .mapInArrow(_sampler, "lang string, hash long, features binary, counts binary")
+        .mapInArrow(releasing(_sampler), "lang string, hash long, features binary, counts binary")
     taken: dict[str, int] = {}
     sample = []
     for row in sorted(chosen.collect(), key=lambda row: (row["hash"], row["lang"], row["features"], row["counts"])):
@@ -196,7 +198,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))  # 2**16 rows, a column for each language
     key = F.col("doc_id").cast("long")
     read = docs.select(key.alias("doc_id"), held_out(key).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(_predictor(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    return read.mapInArrow(releasing(_predictor(shared)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def _keeper(shared, least: float):
@@ -211,4 +213,4 @@ def _keeper(shared, least: float):
 def keep_identified(docs: DataFrame, least: float) -> DataFrame:
     """Rows, with all their columns, whose language is known with a score of at least ``least``."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
-    return docs.mapInArrow(_keeper(shared, least), docs.schema)
+    return docs.mapInArrow(releasing(_keeper(shared, least)), docs.schema)

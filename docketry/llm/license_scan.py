@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import texts_of
+from docketry.llm.common import releasing, texts_of
 from docketry.llm.decontamination import words
 from docketry.llm.license_values import PHRASES, TEMPLATES
 
@@ -124,9 +124,9 @@ def _scanner(frequency: dict[bytes, int]):
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, all places of the phrases, all blocks that hold a template."""
     read = texts_of(docs)
-    counted = read.select("text").mapInArrow(_token_counter, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = read.select("text").mapInArrow(releasing(_token_counter), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
     frequency = {bytes(row["token"]): row["n"] for row in counted.collect()}  # one row for each token of the templates
-    return read.mapInArrow(_scanner(frequency), RESULT)
+    return read.mapInArrow(releasing(_scanner(frequency)), RESULT)
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import encode
-from docketry.llm.common import stored, text_runs, texts_of, whole_groups
+from docketry.llm.common import releasing, stored, text_runs, texts_of, whole_groups
 
 SHARD_TOKENS = 2_000_000
 #: Distinct bigrams of shards that meet in one range, about.
@@ -197,13 +197,13 @@ def score(docs: DataFrame, target: DataFrame, name: str = "byte_bpe_50k.json", s
     """
     spark: SparkSession = docs.sparkSession
     start, width = size, size + 1
-    shards = stored(texts_of(docs).mapInArrow(_sharder(name, False), SHARDS).union(texts_of(target).mapInArrow(_sharder(name, True), SHARDS)), "shards")
+    shards = stored(texts_of(docs).mapInArrow(releasing(_sharder(name, False)), SHARDS).union(texts_of(target).mapInArrow(releasing(_sharder(name, True)), SHARDS)), "shards")
     total = shards.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     ranges = max(16, ceil(total / RANGE_BIGRAMS))
-    blocks = shards.mapInArrow(_sender(start, ranges), BLOCKS)
-    answers = stored(blocks.repartition("range").sortWithinPartitions("range").mapInArrow(_adder(width), ANSWERS), "bigram-counts")
+    blocks = shards.mapInArrow(releasing(_sender(start, ranges)), BLOCKS)
+    answers = stored(blocks.repartition("range").sortWithinPartitions("range").mapInArrow(releasing(_adder(width)), ANSWERS), "bigram-counts")
     sums = np.zeros((len(STATISTICS), width), np.int64)
-    per_id = answers.filter("range = -1").select("context").mapInArrow(_totals(width), ", ".join(f"{x} long" for x in ["id", *STATISTICS]))
+    per_id = answers.filter("range = -1").select("context").mapInArrow(releasing(_totals(width)), ", ".join(f"{x} long" for x in ["id", *STATISTICS]))
     for row in per_id.groupBy("id").agg(*[F.sum(x).alias(x) for x in STATISTICS]).collect():  # one row for each id of the vocabulary
         sums[:, row["id"]] = [row[x] for x in STATISTICS]
     shared = spark.sparkContext.broadcast(Smoothing(sums))
@@ -212,4 +212,4 @@ def score(docs: DataFrame, target: DataFrame, name: str = "byte_bpe_50k.json", s
     heard = answers.filter("range >= 0").select(
         "shard", "range", F.lit(None).cast("array<long>").alias("doc_ids"), F.lit(None).cast("array<long>").alias("doc_lengths"), empty.alias("ids"), "target_counts", "counts")
     return own.union(heard).repartition("shard").sortWithinPartitions("shard", "range") \
-        .mapInArrow(_scorer(shared, start, ranges), "doc_id long, n_tokens long, score double")
+        .mapInArrow(releasing(_scorer(shared, start, ranges)), "doc_id long, n_tokens long, score double")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.llm import encode
-from docketry.llm.common import stored, text_runs, texts_of
+from docketry.llm.common import releasing, stored, text_runs, texts_of
 
 #: Length and rank share one sort key: up to 2**44 pieces of a length, capacities below 2**19.
 RANK_BITS = 44
@@ -141,7 +141,7 @@ def pack(docs: DataFrame, name: str = "byte_bpe_50k.json", end_id: int = 2, capa
 
     ``with_ids=False`` leaves the ids column out, so that it is not read again.
     """
-    pieces = stored(texts_of(docs).mapInArrow(_cutter(name, end_id, capacity), PIECES), "pieces")
+    pieces = stored(texts_of(docs).mapInArrow(releasing(_cutter(name, end_id, capacity)), PIECES), "pieces")
     per_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     # rank among all pieces of a length = pieces of it in earlier parts + those earlier in the part
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -151,4 +151,4 @@ def pack(docs: DataFrame, name: str = "byte_bpe_50k.json", end_id: int = 2, capa
     names = ["doc_id", "piece", "start", "length", *["ids"] * with_ids, "ids_crc32"]
     ranked = pieces.join(bases.drop("n"), ["length", "part"]).select(*names, (F.col("base") + F.col("nth")).alias("rank"))
     kinds = {x.split()[0]: x for x in PIECES.split(", ")}
-    return ranked.mapInArrow(_placer(places, names), ", ".join([*(kinds[x] for x in names), "sequence_id long", "offset long"]))
+    return ranked.mapInArrow(releasing(_placer(places, names)), ", ".join([*(kinds[x] for x in names), "sequence_id long", "offset long"]))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import texts_of
+from docketry.llm.common import releasing, texts_of
 
 KINDS = ["email", "ip", "card", "phone", "address", "account"]
 SPANS = "spans array<struct<kind:string,start:int,end:int>>"
@@ -128,7 +128,7 @@ def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def spans_of(docs: DataFrame) -> DataFrame:
     """doc_id and spans of every row."""
-    return texts_of(docs).mapInArrow(_finder, f"doc_id long, {SPANS}")
+    return texts_of(docs).mapInArrow(releasing(_finder), f"doc_id long, {SPANS}")
 
 
 def masked_text(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -152,7 +152,7 @@ def _masker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def mask(docs: DataFrame) -> DataFrame:
     """The same rows and columns, with personal data in the column ``text`` masked. A null text stays null."""
-    return docs.mapInArrow(_masker, docs.schema)
+    return docs.mapInArrow(releasing(_masker), docs.schema)
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import stored
+from docketry.llm.common import releasing, stored
 
 SAMPLE = 4096
 MAX_PIVOTS = 1024
@@ -126,7 +126,7 @@ def _cutter(size: int, mark: str):
 def build_index(vectors: DataFrame, size: int = BLOCK_ROWS, mark: str = "b") -> DataFrame:
     """Blocks of vectors in the order of (length, cell, distance); the id splits what is equal otherwise."""
     key = ["dim", "cell", "width", "distance", "vec_id"]
-    return stored(vectors.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_cutter(size, mark), BLOCKS), "pivot-index")
+    return stored(vectors.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(releasing(_cutter(size, mark)), BLOCKS), "pivot-index")
 
 
 def _block(row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +215,7 @@ def search(table: DataFrame, asked: Column, k: int = 5, scale: int = 256) -> Dat
     n = sum(row["n"] for row in norms)
     sample = [row["v"] for row in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()]
     pivots = spark.sparkContext.broadcast(Pivots(sample, {row["dim"]: row["largest"] for row in norms}, min(MAX_PIVOTS, max(1, ceil(sqrt(n) / 4)))))
-    keyed = stored(vectors.mapInArrow(_keyer(pivots), "dim int, cell int, distance double, vec_id long, v binary, width int"), "keyed-vectors")
+    keyed = stored(vectors.mapInArrow(releasing(_keyer(pivots)), "dim int, cell int, distance double, vec_id long, v binary, width int"), "keyed-vectors")
     index = build_index(keyed)
     queries = build_index(keyed.filter(asked), QUERY_ROWS, "q")
     directory = index.select("block", "dim", "cell", "low", "high")
@@ -226,11 +226,11 @@ def search(table: DataFrame, asked: Column, k: int = 5, scale: int = 256) -> Dat
         .join(directory.alias("d"), (F.col("q.dim") == F.col("d.dim")) & (F.col("q.cell") == F.col("d.cell"))) \
         .groupBy(F.col("q.block").alias("q_block")).agg(F.min(F.struct(gap.alias("gap"), F.col("d.block").alias("d_block"))).alias("x")) \
         .select("q_block", "x.d_block")
-    bounds = nearest.join(asking, "q_block").join(_side(index, "d"), "d_block").mapInArrow(_visitor(k, True), "q_block string, bounds binary")
+    bounds = nearest.join(asking, "q_block").join(_side(index, "d"), "d_block").mapInArrow(releasing(_visitor(k, True)), "q_block string, bounds binary")
     bounded = stored(asking.join(bounds, "q_block"), "query-bounds")
-    intervals = bounded.mapInArrow(_interval_maker(pivots), "q_block string, dim int, cell int, from double, to double")
+    intervals = bounded.mapInArrow(releasing(_interval_maker(pivots)), "q_block string, dim int, cell int, from double, to double")
     visits = stored(intervals.alias("i").join(directory.alias("d"), (F.col("i.dim") == F.col("d.dim")) & (F.col("i.cell") == F.col("d.cell"))
                                               & (F.col("d.low") <= F.col("to")) & (F.col("d.high") >= F.col("from"))).select("q_block", F.col("block").alias("d_block")), "visits")
-    found = visits.join(bounded, "q_block").join(_side(index, "d"), "d_block").mapInArrow(_visitor(k, False), "query_id long, vec_id long, score long")
+    found = visits.join(bounded, "q_block").join(_side(index, "d"), "d_block").mapInArrow(releasing(_visitor(k, False)), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.bk_forest import Forest, Joined
-from docketry.llm.common import stored, texts_of, whole_groups
+from docketry.llm.common import releasing, stored, texts_of, whole_groups
 
 SEED = 42
 TREE = 1024
@@ -64,7 +64,7 @@ def _printer(words: int):
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fingerprint (as a signed long) of every row."""
-    return texts_of(docs).mapInArrow(_printer(words), "doc_id long, fp long")
+    return texts_of(docs).mapInArrow(releasing(_printer(words)), "doc_id long, fp long")
 
 
 def band_masks(radius: int) -> list[int]:
@@ -106,14 +106,15 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     """
     masks = F.array(*[F.lit(mask - (1 << 64) if mask >> 63 else mask) for mask in band_masks(radius)])
     banded = prints.select("fp", F.posexplode(masks).alias("band", "mask")).select("fp", F.xxhash64("band", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    sizes = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / TREE).cast("int").alias("cuts"))
+    # only shards of several trees need their number; stored, so that Spark knows how few they are when it plans the join
+    large = stored(banded.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > TREE).select("key", F.ceil(F.col("n") / TREE).cast("int").alias("cuts")), "large-shards")
     cut = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("cuts")).cast("int")
     # a cut's tree (t) meets the queries of its own cut and of the later ones (q)
-    shared = banded.join(sizes, "key").withColumn("cut", cut) \
+    shared = banded.join(large, "key", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))).withColumn("cut", cut) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))) \
         .select("fp", "key", F.least("cut", "other").alias("t"), F.greatest("cut", "other").alias("q"), "cut") \
         .select("fp", F.xxhash64("key", "t", "q").alias("shard"), (F.col("cut") == F.col("t")).alias("member"), (F.col("cut") == F.col("q")).alias("query"))
-    return shared.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_linker(radius), "a long, b long").distinct()
+    return shared.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(releasing(_linker(radius)), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -175,9 +176,9 @@ def _similar(least: float):
 def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
     """Those of the pairs (a, b) of keys whose sets of word shingles have a Jaccard similarity of ``least`` or more."""
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stored(docs.join(asked, "doc_id", "left_semi").mapInArrow(_shingler(words), "doc_id long, shingles binary"), "shingles")
+    sets = stored(docs.join(asked, "doc_id", "left_semi").mapInArrow(releasing(_shingler(words)), "doc_id long, shingles binary"), "shingles")
     left, right = (sets.select(F.col("doc_id").alias(key), F.col("shingles").alias(side)) for key, side in (("a", "left"), ("b", "right")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_similar(least), "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(releasing(_similar(least)), "a long, b long")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 2, radius: int = 8, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -188,7 +189,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 2, radius: int = 8, shingle:
     that the search returns are verified on whole texts. Rows without key stay; of rows with one key one stays, the one with the least digest.
     """
     read = texts_of(docs).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    prints = stored(read.mapInArrow(_printer(words), "doc_id long, digest binary, fp long"), "fingerprints")
+    prints = stored(read.mapInArrow(releasing(_printer(words)), "doc_id long, digest binary, fp long"), "fingerprints")
     # one row for each text, then for each key
     texts = prints.filter("doc_id is not null").groupBy("digest", "fp").agg(F.min("doc_id").alias("doc_id"))
     texts = stored(texts.groupBy("doc_id").agg(F.min(F.struct("digest", "fp")).alias("x")).select("doc_id", "x.digest", "x.fp"), "texts")

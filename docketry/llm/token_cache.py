@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import encode
-from docketry.llm.common import file_digest, run_borders, stored, texts_of
+from docketry.llm.common import file_digest, releasing, run_borders, stored, texts_of
 
 CACHE = "version string, digest binary, n_tokens long"
 
@@ -71,7 +71,7 @@ def count_tokens(docs: DataFrame, name: str, cache: str) -> DataFrame:
     missing = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id")).join(read_cache(spark, cache, version), "digest", "left_anti")
     texts = read.join(missing.withColumnRenamed("digest", "key"),
                       (F.col("digest") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("digest", "text")
-    encoded = texts.mapInArrow(_counter(name), "digest binary, n_tokens long")
+    encoded = texts.mapInArrow(releasing(_counter(name)), "digest binary, n_tokens long")
     encoded.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")) \
         .select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     # stored, so that the join has plain sides and a digest that very many rows share can be split

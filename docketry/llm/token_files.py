@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import encode
-from docketry.llm.common import stored, text_runs, texts_of
+from docketry.llm.common import releasing, stored, text_runs, texts_of
 
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
@@ -222,8 +222,8 @@ def write_token_files(docs: DataFrame, path: str, name: str = "byte_bpe_50k.json
     """Encode all texts and write ``path``/blocks and ``path``/table. Every text is encoded once."""
     spark = docs.sparkSession
     ordered = texts_of(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    raw = stored(ordered.mapInArrow(_blocks(name, end_id, BLOCK_TOKENS), RAW), "token-blocks")
-    found = raw.filter("counts is not null").select("counts").mapInArrow(_histogram, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
+    raw = stored(ordered.mapInArrow(releasing(_blocks(name, end_id, BLOCK_TOKENS)), RAW), "token-blocks")
+    found = raw.filter("counts is not null").select("counts").mapInArrow(releasing(_histogram), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((row["symbol"] for row in found), default=-1) + 1, np.int64)  # no longer than the vocabulary
     for row in found:
         counts[row["symbol"]] = row["n"]
@@ -233,7 +233,7 @@ def write_token_files(docs: DataFrame, path: str, name: str = "byte_bpe_50k.json
     for part, n in sorted((row["part"], row["n"]) for row in raw.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
         before[part] = total
         total += n
-    raw.filter("counts is null").drop("counts").mapInArrow(_encoder(frequencies, before), FILES).write.parquet(f"{path}/blocks")
+    raw.filter("counts is null").drop("counts").mapInArrow(releasing(_encoder(frequencies, before)), FILES).write.parquet(f"{path}/blocks")
 
 
 def read_table(spark: SparkSession, path: str) -> np.ndarray:
@@ -264,4 +264,4 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
     """doc_id, start, n_tokens and the ids (little-endian unsigned 32-bit) of every document, or their CRC-32, decoded from the files."""
     last = "ids_crc32 long" if digest else "ids binary"
     blocks = spark.read.schema(FILES).parquet(f"{path}/blocks")
-    return blocks.mapInArrow(_decoder(read_table(spark, path), digest), f"doc_id long, start long, n_tokens long, {last}")
+    return blocks.mapInArrow(releasing(_decoder(read_table(spark, path), digest)), f"doc_id long, start long, n_tokens long, {last}")
