@@ -74,17 +74,22 @@ class Coder:
         n, steps = len(ids), -(-len(ids) // lanes)
         states = np.full(lanes, LOW, np.uint64)
         words, sizes, points = [], np.zeros(steps, np.int64), []
-        limit, bits = _U(31 - self.bits + 32), _U(self.bits)
+        bits, symbols = _U(self.bits), ids.astype(np.intp)
+        all_f, all_c = self.f[symbols], self.c[symbols]
+        limits = all_f << _U(31 - self.bits + 32)
         for step in range(steps - 1, -1, -1):
-            part = ids[step * lanes:(step + 1) * lanes]
-            x, f = states[:len(part)], self.f[part]
-            full = x >= (f << limit)
+            own = slice(step * lanes, (step + 1) * lanes)
+            f = all_f[own]
+            x = states[:len(f)]
+            full = x >= limits[own]
             out = x[full]
             words.append(out.astype(np.uint32))
             sizes[step] = len(out)
             x[full] = out >> _U(32)
             quotient = x // f
-            states[:len(part)] = (quotient << bits) + (x - quotient * f) + self.c[part]
+            x -= quotient * f
+            x += quotient << bits
+            x += all_c[own]
             if step and step % CHECKPOINT_STEPS == 0:
                 points.append((step, states.copy()))
         stream = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
@@ -120,8 +125,10 @@ class Coder:
             m = min(lanes, n - step * lanes)
             x = states[:m]
             slot = x & mask
-            symbol = self.symbol[slot]
-            x = self.f[symbol] * (x >> shift) + slot - self.c[symbol]
+            symbol = self.symbol[slot.view(np.int64)].astype(np.intp)
+            x = self.f[symbol] * (x >> shift)
+            x += slot
+            x -= self.c[symbol]
             low = np.flatnonzero(x < LOW)
             x[low] = (x[low] << _U(32)) | words[word:word + len(low)]
             word += len(low)
