@@ -200,10 +200,12 @@ def keep_one_of_each(docs: DataFrame, words: int = 2, radius: int = 8, shingle:
         near = near.join(firsts.select(F.col("fp").alias(side), F.col("first_id").alias(f"{side}_id")), side)
     pairs = same.union(near.select("a_id", "b_id")).select(F.greatest("doc_id", "first_id").alias("a"), F.least("doc_id", "first_id").alias("b")).distinct()
     edges = similar_pairs(texts_of(docs), stored(pairs, "candidates"), shingle, least)
-    gone = components(edges).select(F.col("node").alias("doc_id"))
-    kept = texts.join(gone, "doc_id", "left_anti").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
-    own = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    rows = docs.filter(F.col("doc_id").isNotNull()).join(kept, (F.col("doc_id").cast("long") == F.col("kept_id")) & (own == F.col("kept_digest")), "left_semi")
+    # what goes is less than what stays, so the texts meet the smaller table
+    staying = texts.join(components(edges).select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
+    gone = stored(prints.filter("doc_id is not null").select("doc_id").distinct().join(staying, "doc_id", "left_anti").select(F.col("doc_id").alias("gone_id")), "gone")
+    rows = docs.filter(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
     if not prints.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id"])
+        chosen = texts.select(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest"))
+        digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+        rows = rows.join(chosen, (F.col("doc_id").cast("long") == F.col("own_id")) & (digest == F.col("own_digest")), "left_semi").dropDuplicates(["doc_id"])
     return rows.unionByName(docs.filter(F.col("doc_id").isNull()))
