@@ -176,7 +176,8 @@ def _similar(least: float):
 def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
     """Those of the pairs (a, b) of keys whose sets of word shingles have a Jaccard similarity of ``least`` or more."""
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stored(docs.join(asked, "doc_id", "left_semi").mapInArrow(releasing(_shingler(words)), "doc_id long, shingles binary"), "shingles")
+    # the keys asked for grow with the documents: a merge join at every size, rather than a broadcast while they are few
+    sets = stored(docs.join(asked.hint("merge"), "doc_id", "left_semi").mapInArrow(releasing(_shingler(words)), "doc_id long, shingles binary"), "shingles")
     left, right = (sets.select(F.col("doc_id").alias(key), F.col("shingles").alias(side)) for key, side in (("a", "left"), ("b", "right")))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(releasing(_similar(least)), "a long, b long")
 
