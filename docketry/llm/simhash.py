@@ -3,8 +3,9 @@
 Fingerprints within ``radius`` bits agree on at least two of radius + 2 bands, so they meet in at least one of the shards
 keyed by two bands. The rows of a shard form BK-trees of at most ``TREE`` fingerprints; a larger shard has
 several trees, its queries are cut the same way, and each tree goes to every cut of them, so a task never holds
-more than two cuts however hot a shard is. A task returns, of the links it finds, the nearest that hold its
-groups together; components over these are the components over all links.
+more than two cuts however hot a shard is. A task returns links that hold its groups together, not all it finds;
+components over these are the components over all links. Where links are verified afterwards this is not enough, and
+``keep_one_of_each`` verifies in a second round all pairs that may be similar and are not joined yet.
 
 Fingerprints are compared once each, however many documents share them. Iterations write their tables to the shared folder.
 
@@ -15,8 +16,10 @@ them; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,8 @@ from docketry.llm.common import releasing, stored, texts_of, whole_groups
 
 SEED = 42
 TREE = 1024
+#: Shingles are counted in one of so many texts; those that at least COMMON of these share, at most MOST_COMMON, come last in the prefixes.
+SAMPLE, COMMON, MOST_COMMON = 64, 4, 65_536
 
 
 def bit_majority(digests: bytes) -> int:
@@ -148,15 +153,149 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _shingler(words: int):
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Digests of the text's distinct shingles, in ascending order."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    parts = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)) if len(found) >= words else [b" ".join(found)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64))
+
+
+def set_key(shingles: np.ndarray) -> int:
+    """Signed key of a set of shingles: equal sets are one node, whatever their texts."""
+    return int.from_bytes(hashlib.sha256(shingles.tobytes()).digest()[:8], "little", signed=True)
+
+
+def _sampler(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text, words) for text in batch.column("text").to_pylist()]
+            nodes = np.repeat(np.array([set_key(x) for x in sets], np.int64), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))], ["node", "token"])
+    return run
+
+
+def common_shingles(read: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many sets share, ascending, and about how many sets do, from one of ``SAMPLE`` texts.
+
+    They only order the prefixes and say into how many cuts a shard goes: any values give the same pairs.
+    """
+    sample = read.filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(SAMPLE)) == 0).mapInArrow(releasing(_sampler(words)), "node long, token long")
+    counted = sample.distinct().groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(MOST_COMMON)
+    found = counted.toArrow()
+    tokens, n = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy() * SAMPLE
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def needed_in_prefix(size: int, least: float) -> int:
+    """Of two sets as similar as ``least`` each has a common member among its first so many, in any order of all members."""
+    return size - max(1, ceil(least * size - 1e-9)) + 1
+
+
+def _describer(words: int, shingle: int, least: float, common: np.ndarray, frequency: np.ndarray):
+    """Digest, fingerprint, key and size of the set of shingles, and the set's prefix: rare shingles first, then the common ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            digests, prints, nodes, sizes, prefixes = [], [], [], [], []
             for text in batch.column("text").to_pylist():
-                found = text.encode("utf-8", "surrogatepass").lower().split()
-                parts = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)) if len(found) >= words else [b" ".join(found)]
-                rows.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "shingles"])
+                found = shingle_set(text, shingle)
+                digests.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
+                prints.append(fingerprint(text, words))
+                nodes.append(set_key(found))
+                sizes.append(len(found))
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    found = found[np.lexsort((found, np.where(common[at] == found, frequency[at], 0)))]
+                prefixes.append(found[:needed_in_prefix(len(found), least)].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()),
+                 pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], ["doc_id", "digest", "fp", "node", "size", "prefix"])
+    return run
+
+
+def _dealer(common: np.ndarray, frequency: np.ndarray):
+    """A row for each member of a prefix: its shard, the node and its root, and size, place and the two flags of a cut in one number."""
+    cuts_of = {int(token): -(-int(n) // TREE) for token, n in zip(common, frequency, strict=True) if n > TREE}
+    many = np.array(sorted(cuts_of), np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefixes = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("prefix")]
+            lengths = np.array([len(x) for x in prefixes], np.int64)
+            tokens = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            node, root, size = (batch.column(x).to_numpy().astype(np.int64) for x in ("node", "root", "size"))
+            packed = size[row] << 33 | place << 2
+            cut = np.isin(tokens, many)
+            shard, rows, values = [tokens[~cut].view(np.int64)], [row[~cut]], [packed[~cut] | 3]
+            for i in np.flatnonzero(cut).tolist():
+                cuts = cuts_of[int(tokens[i])]
+                own = int(node[row[i]]) % cuts
+                pairs = [(min(own, other), max(own, other)) for other in range(cuts)]
+                digest = [xxhash.xxh64_intdigest(b"%d %d %d" % (int(tokens[i]), t, q), SEED) for t, q in pairs]
+                shard.append(np.array(digest, np.uint64).view(np.int64))
+                rows.append(np.full(cuts, row[i]))
+                values.append(np.array([packed[i] | (t == own) << 1 | (q == own) for t, q in pairs], np.int64))
+            shards, rows, values = np.concatenate(shard), np.concatenate(rows), np.concatenate(values)
+            for start in range(0, len(rows), 65_536):
+                part = slice(start, start + 65_536)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shards[part], node[rows[part]], root[rows[part]], values[part])], ["shard", "node", "root", "value"])
+    return run
+
+
+def _pairer(least: float):
+    """Pairs of a shard that may be as similar as ``least`` and whose roots differ: length filter, places of the shared member."""
+    share = least / (1 + least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "shard"):
+            shard, node, root, value = (table.column(x).to_numpy() for x in ("shard", "node", "root", "value"))
+            twin = np.concatenate([shard[1:] == shard[:-1], [False]])
+            if not twin.any():
+                continue
+            size, place, member, query = value >> 33, value >> 2 & 0x7FFFFFFF, value & 2 > 0, value & 1 > 0
+            low, step, held = np.flatnonzero(twin), 1, []
+            while len(low):
+                high = low + step
+                inside = high < len(shard)
+                low, high = low[inside], high[inside]
+                # rows of a shard are in order of size: where the length filter ends a row, it ends it for good
+                going = (shard[low] == shard[high]) & (size[low] + 1e-6 >= least * size[high])
+                low, high = low[going], high[going]
+                needed = np.ceil(share * (size[low] + size[high]) - 1e-6)
+                most = np.minimum(place[low], place[high]) + 1 + np.minimum(size[low] - place[low], size[high] - place[high]) - 1
+                good = (root[low] != root[high]) & (most >= needed) & (member[low] & query[high] | member[high] & query[low])
+                if good.any():
+                    a, b = node[low[good]], node[high[good]]
+                    held.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
+                if sum(map(len, held)) > 200_000 or (held and step % 64 == 0):
+                    yield _distinct_pairs(held)
+                    held = []
+                step += 1
+            if held:
+                yield _distinct_pairs(held)
+    return run
+
+
+def _distinct_pairs(held: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.concatenate(held)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    new = np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[new, i])) for i in (0, 1)], ["a", "b"])
+
+
+def shared_prefix_pairs(nodes: DataFrame, least: float, common: np.ndarray, frequency: np.ndarray) -> DataFrame:
+    """All pairs (a, b) of nodes with different roots that may be as similar as ``least``. ``nodes``: node, root, size, prefix."""
+    dealt = nodes.mapInArrow(releasing(_dealer(common, frequency)), "shard long, node long, root long, value long")
+    return dealt.repartition("shard").sortWithinPartitions("shard", "value").mapInArrow(releasing(_pairer(least)), "a long, b long").distinct()
+
+
+def _set_maker(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text, words) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
     return run
 
 
@@ -173,12 +312,17 @@ def _similar(least: float):
     return run
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of keys whose sets of word shingles have a Jaccard similarity of ``least`` or more."""
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def similar_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets of word shingles have a Jaccard similarity of ``least`` or more.
+
+    ``nodes``: node and doc_id, the key of a text that has this set.
+    """
+    asked = stored(nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi").select("node", "doc_id"), "asked")
     # the keys asked for grow with the documents: a merge join at every size, rather than a broadcast while they are few
-    sets = stored(docs.join(asked.hint("merge"), "doc_id", "left_semi").mapInArrow(releasing(_shingler(words)), "doc_id long, shingles binary"), "shingles")
-    left, right = (sets.select(F.col("doc_id").alias(key), F.col("shingles").alias(side)) for key, side in (("a", "left"), ("b", "right")))
+    made = docs.join(asked.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(releasing(_set_maker(words)), "node long, shingles binary")
+    # a key may have several texts, and a text several rows
+    sets = stored(made.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    left, right = (sets.select(F.col("node").alias(key), F.col("shingles").alias(side)) for key, side in (("a", "left"), ("b", "right")))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(releasing(_similar(least)), "a long, b long")
 
 
@@ -186,27 +330,38 @@ def keep_one_of_each(docs: DataFrame, words: int = 2, radius: int = 8, shingle:
     """The rows, with all their columns, that remain if of each group of near-duplicates the one with the least key stays.
 
     Equal texts are duplicates. Different texts are near-duplicates if their sets of five-word shingles have a similarity of 0.8 or
-    more; candidates are found by fingerprints over two words within eight bits, which edits of that extent rarely exceed, and all
-    that the search returns are verified on whole texts. Rows without key stay; of rows with one key one stays, the one with the least digest.
+    more. Texts with one set are one node. Fingerprints over two words within eight bits join most nodes, each link verified on the
+    sets; then all pairs of nodes that are not yet joined and share a member of their prefixes are verified, which no pair that similar
+    can escape. Rows without key stay; texts that share a key are told apart by their digests, the least of which counts as the first.
     """
-    read = texts_of(docs).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    prints = stored(read.mapInArrow(releasing(_printer(words)), "doc_id long, digest binary, fp long"), "fingerprints")
-    # one row for each text, then for each key
-    texts = prints.filter("doc_id is not null").groupBy("digest", "fp").agg(F.min("doc_id").alias("doc_id"))
-    texts = stored(texts.groupBy("doc_id").agg(F.min(F.struct("digest", "fp")).alias("x")).select("doc_id", "x.digest", "x.fp"), "texts")
-    firsts = stored(texts.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    same = texts.join(firsts, "fp").filter("doc_id <> first_id").select("doc_id", "first_id")
+    read = texts_of(docs)
+    keyed = read.filter("doc_id is not null")
+    common, frequency = common_shingles(keyed, shingle)
+    prints = stored(keyed.mapInArrow(releasing(_describer(words, shingle, least, common, frequency)),
+                                     "doc_id long, digest binary, fp long, node long, size int, prefix binary"), "fingerprints")
+    nodes = stored(prints.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+                   .select("node", "first", "first.doc_id", "fp", "size", "prefix"), "nodes")
+    firsts = stored(nodes.groupBy("fp").agg(F.min("node").alias("first_node")), "distinct-fingerprints")
+    same = nodes.select("node", "fp").join(firsts, "fp").filter("node <> first_node").select(F.col("node").alias("x"), F.col("first_node").alias("y"))
     near = links(firsts.select("fp"), radius)
-    for side in ("a", "b"):
-        near = near.join(firsts.select(F.col("fp").alias(side), F.col("first_id").alias(f"{side}_id")), side)
-    pairs = same.union(near.select("a_id", "b_id")).select(F.greatest("doc_id", "first_id").alias("a"), F.least("doc_id", "first_id").alias("b")).distinct()
-    edges = similar_pairs(texts_of(docs), stored(pairs, "candidates"), shingle, least)
+    for side, name in (("a", "x"), ("b", "y")):
+        near = near.join(firsts.select(F.col("fp").alias(side), F.col("first_node").alias(name)), side)
+    pairs = same.union(near.select("x", "y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    edges = stored(similar_pairs(keyed, nodes, stored(pairs, "candidates"), shingle, least), "verified")
+    roots = components(edges)
+    open_nodes = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "prefix")
+    rest = stored(shared_prefix_pairs(open_nodes, least, common, frequency), "rest-candidates")
+    edges = stored(edges.union(similar_pairs(keyed, nodes, rest, shingle, least)), "verified-all")
+    named = nodes.select("node", "first").join(components(edges), "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    staying = named.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.digest")
+    rows_of = stored(prints.groupBy("doc_id", "digest").agg(F.count("*").alias("n")), "texts")
     # what goes is less than what stays, so the texts meet the smaller table
-    staying = texts.join(components(edges).select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
-    gone = stored(prints.filter("doc_id is not null").select("doc_id").distinct().join(staying, "doc_id", "left_anti").select(F.col("doc_id").alias("gone_id")), "gone")
-    rows = docs.filter(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
-    if not prints.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        chosen = texts.select(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest"))
-        digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-        rows = rows.join(chosen, (F.col("doc_id").cast("long") == F.col("own_id")) & (digest == F.col("own_digest")), "left_semi").dropDuplicates(["doc_id"])
+    gone = stored(rows_of.join(staying, ["doc_id", "digest"], "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")), "gone")
+    rows = docs.filter(F.col("doc_id").isNotNull())
+    same_key = F.col("doc_id").cast("long") == F.col("gone_id")
+    if rows_of.groupBy("doc_id").agg(F.sum("n").alias("n")).filter("n > 1").isEmpty():
+        rows = rows.join(gone, same_key, "left_anti")
+    else:
+        own = rows.withColumn("own_digest", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
+        rows = own.join(gone, same_key & (F.col("own_digest") == F.col("gone_digest")), "left_anti").dropDuplicates(["doc_id", "own_digest"]).drop("own_digest")
     return rows.unionByName(docs.filter(F.col("doc_id").isNull()))
