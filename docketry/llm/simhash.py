@@ -245,7 +245,11 @@ def _dealer(common: np.ndarray, frequency: np.ndarray):
 
 
 def _pairer(least: float):
-    """Pairs of a shard that may be as similar as ``least`` and whose roots differ: length filter, places of the shared member."""
+    """Pairs of a shard that may be as similar as ``least`` and whose roots differ: length filter, places of the shared member.
+
+    With each pair the number of shared members seen (n) and the number that their prefixes must share (least): the rest of
+    the sets is too small to make up for fewer.
+    """
     share = least / (1 + least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +259,7 @@ def _pairer(least: float):
             if not twin.any():
                 continue
             size, place, member, query = value >> 33, value >> 2 & 0x7FFFFFFF, value & 2 > 0, value & 1 > 0
-            low, step, held = np.flatnonzero(twin), 1, []
+            low, step, held, n_held = np.flatnonzero(twin), 1, [], 0
             while len(low):
                 high = low + step
                 inside = high < len(shard)
@@ -267,28 +271,32 @@ def _pairer(least: float):
                 most = np.minimum(place[low], place[high]) + 1 + np.minimum(size[low] - place[low], size[high] - place[high]) - 1
                 good = (root[low] != root[high]) & (most >= needed) & (member[low] & query[high] | member[high] & query[low])
                 if good.any():
-                    a, b = node[low[good]], node[high[good]]
-                    held.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
-                if sum(map(len, held)) > 200_000 or (held and step % 64 == 0):
-                    yield _distinct_pairs(held)
-                    held = []
+                    a, b, x, y = node[low[good]], node[high[good]], size[low[good]], size[high[good]]
+                    beyond = np.maximum(np.ceil(least * x - 1e-9), np.ceil(least * y - 1e-9)).astype(np.int64) - 1
+                    held.append(np.stack([np.maximum(a, b), np.minimum(a, b), needed[good].astype(np.int64) - beyond], axis=1))
+                    n_held += len(a)
+                if n_held > 200_000:
+                    yield _counted_pairs(held)
+                    held, n_held = [], 0
                 step += 1
             if held:
-                yield _distinct_pairs(held)
+                yield _counted_pairs(held)
     return run
 
 
-def _distinct_pairs(held: list[np.ndarray]) -> pa.RecordBatch:
+def _counted_pairs(held: list[np.ndarray]) -> pa.RecordBatch:
     pairs = np.concatenate(held)
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    new = np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[new, i])) for i in (0, 1)], ["a", "b"])
+    first = np.flatnonzero(np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)]))
+    n = np.diff(np.append(first, len(pairs)))
+    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(pairs[first, i])) for i in range(3)), pa.array(n)], ["a", "b", "least", "n"])
 
 
 def shared_prefix_pairs(nodes: DataFrame, least: float, common: np.ndarray, frequency: np.ndarray) -> DataFrame:
     """All pairs (a, b) of nodes with different roots that may be as similar as ``least``. ``nodes``: node, root, size, prefix."""
     dealt = nodes.mapInArrow(releasing(_dealer(common, frequency)), "shard long, node long, root long, value long")
-    return dealt.repartition("shard").sortWithinPartitions("shard", "value").mapInArrow(releasing(_pairer(least)), "a long, b long").distinct()
+    return dealt.repartition("shard").sortWithinPartitions("shard", "value").mapInArrow(releasing(_pairer(least)), "a long, b long, least long, n long") \
+        .groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least")).filter("n >= least").select("a", "b")
 
 
 def _set_maker(words: int):

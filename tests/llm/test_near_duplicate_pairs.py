@@ -55,3 +55,41 @@ def test_appended_truncated_and_edited_copies(spark, length):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     rng.shuffle(rows)
     assert kept(spark, rows) == all_pairs_stay(rows)
+
+
+def family_rows(seed=3):
+    """Pages of one template with fields of their own: some pairs similar, others with nearer fingerprints are not."""
+    rng, prose, (base,) = pages(seed, 1, 80)
+    rows = []
+    for _ in range(150):
+        page = list(base)
+        for _ in range(rng.randint(1, 4)):
+            page[rng.randrange(80)] = f"field{rng.randrange(4)}"
+        rows.append((len(rows), " ".join(page)))
+    return rows
+
+
+def test_family_of_similar_pages(spark, monkeypatch):
+    """Links that fail the verification must not stand in for others: no common shingles last, hot shards in several cuts."""
+    monkeypatch.setattr(simhash, "TREE", 16)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    rows = family_rows()
+    assert kept(spark, rows) == all_pairs_stay(rows)
+
+
+def test_texts_of_one_fingerprint(spark):
+    """A repeated passage decides all bits; the ends make pairs similar that the first document of the fingerprint is not part of."""
+    rng, prose, _ = pages(9, 1, 10)
+    line, rows = "same line again ", []
+    for i in range(12):
+        rows.append((2 * i, line * 300 + " ".join(ends := prose(30))))
+        rows.append((2 * i + 1, line * 300 + " ".join([*ends, "more"])))
+    assert len({simhash.fingerprint(t, 2) for _, t in rows}) == 1
+    assert kept(spark, rows) == all_pairs_stay(rows)
+
+
+def test_different_texts_of_one_key(spark):
+    rng, prose, _ = pages(11, 1, 10)
+    rows = [(i // 2, " ".join(prose(40))) for i in range(8)]
+    rows += [rows[0], (9, rows[3][1])]
+    assert kept(spark, rows) == all_pairs_stay(rows)
