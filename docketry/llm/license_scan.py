@@ -1,6 +1,9 @@
 """Licence scan: phrases, and an exact set-similarity join of text blocks with licence templates.
 
-A block is a line, or the lines of a hard-wrapped paragraph together. Tokens of the templates are ordered by the
+A block is a line, a whole hard-wrapped paragraph, or a run of consecutive lines, wrapped however: comment marks, empty
+lines and carriage returns hold no words. Of the runs those are taken that hold a template and no shorter such run, grown to
+the lines around them that hold more of it. A run of several lines has at most ``SLACK`` times as many distinct words as
+the template, so that words strewn over a long text are no notice; lines and paragraphs may have any number. Tokens of the templates are ordered by the
 number of documents that hold them, the rarest first, counted over all documents. A block can hold ``CONTAINMENT``
 of a template only if it has one of the template's first (size - needed + 1) tokens (prefix filter), at least as many
 tokens as needed (length filter), and enough tokens left behind the first common one on both sides (positional
@@ -27,8 +30,11 @@ from docketry.llm.license_values import PHRASES, TEMPLATES
 CONTAINMENT = 0.9
 #: Lines of a hard-wrapped paragraph are about this long, but for the last.
 WRAPPED = range(50, 101)
+#: A run of several lines has at most so many times the words of the template, distinct ones on both sides.
+SLACK = 2
 
 RESULT = "doc_id long, n_words long, places array<struct<label:string,word:long>>, blocks array<struct<label:string,line:int,containment:double>>"
+_LINE_END = re.compile(r"\r\n|\r|\n")
 _BLANK_LINE = re.compile(r"\n[ \t]*\n")
 
 
@@ -70,18 +76,70 @@ def vocabulary() -> set[bytes]:
     return {token for _, text in TEMPLATES for token in words(text)}
 
 
-def blocks_of(text: str) -> Iterator[tuple[int, str]]:
-    """(number of its first line, block)."""
+def wrapped_paragraphs(text: str) -> Iterator[tuple[int, str]]:
+    """(number of its first line, paragraph)."""
     line = 0
-    for paragraph in _BLANK_LINE.split(text):
+    for paragraph in _BLANK_LINE.split(_LINE_END.sub("\n", text)):
         lines = paragraph.split("\n")
         if len(lines) > 1 and all(len(x) in WRAPPED for x in lines[:-1]):
             yield line, paragraph
-        else:
-            yield from ((line + i, x) for i, x in enumerate(lines))
         line += len(lines) + 1
 
 
+def blocks_of(text: str, templates: Templates) -> list[tuple[str, int, float]]:
+    """Label, number of the first line and containment of every block, in the order of templates and lines."""
+    lines = [set(words(line)) for line in _LINE_END.split(text)]
+    places: dict[bytes, list[int]] = {}
+    for number, line in enumerate(lines):
+        for token in line.intersection(templates.rank):
+            places.setdefault(token, []).append(number)
+    out = []
+    for (label, tokens), needed in zip(templates.sets, templates.needed, strict=True):
+        if sum(token in places for token in tokens) >= needed:
+            own = set(tokens)
+            shared = [line & own for line in lines]
+            out += [(label, start, share) for start, share in _runs(lines, shared, len(tokens), needed)]
+    # a paragraph whose template is strewn over more words than a run may have
+    known = {(label, start) for label, start, _ in out}
+    out += [(label, line, share) for line, body in wrapped_paragraphs(text) for label, share in templates.match(set(words(body))) if (label, line) not in known]
+    return out
+
+
+def _runs(lines: list[set[bytes]], shared: list[set[bytes]], size: int, needed: int) -> list[tuple[int, float]]:
+    """First line and containment of the grown runs."""
+    found: dict[tuple[int, int], float] = {}
+    for first, end in shortest_runs(lines, shared, size, needed):
+        held, every = set().union(*shared[first:end + 1]), set().union(*lines[first:end + 1])
+        for step in (-1, 1):
+            at, beside = first - 1 if step < 0 else end + 1, every
+            while len(held) < size and 0 <= at < len(lines) and len(beside := beside | lines[at]) <= SLACK * size:
+                if shared[at] - held:  # lines that add nothing may lie between
+                    first, end, held, every = min(first, at), max(end, at), held | shared[at], beside
+                at += step
+        found[first, end] = len(held) / size
+    return [(first, share) for (first, _), share in found.items()]
+
+
+def shortest_runs(lines: list[set[bytes]], shared: list[set[bytes]], size: int, needed: int) -> list[tuple[int, int]]:
+    """First and last line of the runs that hold ``needed`` of the template's tokens and hold no shorter such run."""
+    found: list[tuple[int, int]] = []
+    counts: dict[bytes, int] = {}
+    start = 0
+    for end, line in enumerate(shared):
+        for token in line:
+            counts[token] = counts.get(token, 0) + 1
+        while len(counts) >= needed:
+            first = start
+            for token in shared[start]:
+                counts[token] -= 1
+                if not counts[token]:
+                    del counts[token]
+            start += 1
+            if len(counts) < needed and (first == end or len(set().union(*lines[first:end + 1])) <= SLACK * size):
+                found.append((first, end))
+    return found
+
+
 def phrase_places(found: list[bytes]) -> list[tuple[int, str]]:
     """Start and label of every place of a phrase, in text order."""
     phrases = [(phrase.encode().split(), label) for phrase, label in PHRASES]
@@ -113,8 +171,7 @@ def _scanner(frequency: dict[bytes, int]):
                 counts.append(len(found))
                 places.append([{"label": label, "word": i} for i, label in phrase_places(found)] if b"license" in found else [])
                 blocks.append([] if templates.rare.isdisjoint(found) else [
-                    {"label": label, "line": line, "containment": share}
-                    for line, body in blocks_of(text) for label, share in templates.match(set(words(body)))])
+                    {"label": label, "line": line, "containment": share} for label, line, share in blocks_of(text, templates)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(places, place), pa.array(blocks, block)],
                 ["doc_id", "n_words", "places", "blocks"])
