@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import (
-    decontamination, language_id, license_scan, ngram_model, packing, personal_data, pivot_index, simhash, token_cache, token_files,
+    decontamination, language_id, license_scan, ngram_model, packing, pair_index, personal_data, pivot_index, simhash, token_cache, token_files,
 )
 from docketry.llm.common import documents
 from docketry.session import work_dir
@@ -91,3 +91,8 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
     return decontamination.find_contamination(documents(spark, folder), items).drop("spans")
+
+
+@_query
+def op13_pair_index(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_index.round_trip_digests(documents(spark, folder), "word_bpe_49k.json")
