@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import (
-    decontamination, language_id, license_scan, ngram_model, packing, pair_index, personal_data, pivot_index, simhash, token_cache, token_files,
+    decontamination, importance, language_id, license_scan, ngram_model, packing, pair_index, personal_data, pivot_index, simhash, token_cache, token_files,
 )
 from docketry.llm.common import documents
 from docketry.session import work_dir
@@ -93,6 +93,55 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.find_contamination(documents(spark, folder), items).drop("spans")
 
 
+@_query
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet").withColumnRenamed("item_id", "doc_id"))
+
+
+ORACLES["op12_importance_resampling"] = r"""
+WITH crc_table AS (
+    SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY n) AS t
+    FROM (SELECT CAST(range AS BIGINT) AS n FROM range(256))
+), texts AS (
+    SELECT false AS target, row_number() OVER () AS r, doc_id, text FROM documents
+    UNION ALL
+    SELECT true, row_number() OVER (), NULL, text FROM benchmark
+), words AS (
+    SELECT target, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), features AS (
+    SELECT target, r, unnest(w) AS feature FROM words
+    UNION ALL
+    SELECT target, r, w[i] || ' ' || w[i + 1] FROM (SELECT target, r, w, unnest(range(1, len(w))) AS i FROM words)
+), counted AS (
+    SELECT target, r, feature, count(*) AS n FROM features GROUP BY ALL
+), hashed AS (
+    SELECT feature, xor(list_reduce(list_prepend(4294967295, list_transform(range(CAST(len(h) // 2 AS BIGINT)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+                                    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+    FROM (SELECT feature, hex(feature) AS h FROM (SELECT DISTINCT feature FROM counted)), crc_table
+), bucketed AS (
+    SELECT target, r, bucket, sum(n) AS n FROM counted JOIN hashed USING (feature) GROUP BY ALL
+), sums AS (
+    SELECT bucket, coalesce(sum(n) FILTER (NOT target), 0) AS s, coalesce(sum(n) FILTER (target), 0) AS t FROM bucketed GROUP BY bucket
+), gains AS (
+    SELECT bucket, CAST(floor(1000 * ln(((t + 1.0::DOUBLE) * (all_s + 10000.0::DOUBLE)) / ((s + 1.0::DOUBLE) * (all_t + 10000.0::DOUBLE)))) AS BIGINT) AS gain
+    FROM sums, (SELECT sum(s) AS all_s, sum(t) AS all_t FROM sums)
+), weights AS (
+    SELECT r, sum(n * gain) AS total, sum(n) AS n_features FROM bucketed JOIN gains USING (bucket) WHERE NOT target GROUP BY r
+), scored AS (
+    SELECT words.r, doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features,
+        coalesce(CASE WHEN total % n_features < 0 THEN (total - total % n_features) / n_features - 1 ELSE (total - total % n_features) / n_features END, 0) AS weight,
+        CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS noise
+    FROM words LEFT JOIN weights USING (r) WHERE NOT target
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY able ORDER BY weight + noise DESC, doc_id, r) AS place FROM scored
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + noise AS BIGINT) AS score,
+    CASE WHEN able AND place <= 25 * (SELECT count(*) FROM scored WHERE able) // 100 THEN CAST(place AS BIGINT) END AS rank
+FROM placed
+"""
+
+
 @_query
 def op13_pair_index(spark: SparkSession, folder: str) -> DataFrame:
     return pair_index.round_trip_digests(documents(spark, folder), "word_bpe_49k.json")

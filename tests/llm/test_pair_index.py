@@ -16,7 +16,7 @@ from docketry.llm import pair_index
 NAME = "word_bpe_49k.json"
 LIBRARY = Tokenizer.from_file(public_tokenizers.path(NAME))
 PARTS = ["a", "B", "aaa", "ß", "é", "é", "́", " ", "  ", "\n", "\n\n", "\t", "\xa0", "'s", "'ll", "'", "1", "23", ".", "!!", "<|endoftext|>", "<|startoftext|>",
-         "<|", "中", "İ", "Σ", "ΑΣ", " ", "\x1c", "\0", "\r", "😀", "word", " the", "ÿ", "Ω", "\U0001d400", "banana", "mississippi"]
+         "<|", "中", "İ", "Σ", "ΑΣ", "\u2003", "\x1c", "\0", "\r", "😀", "word", " the", "ÿ", "Ω", "\U0001d400", "banana", "mississippi"]
 
 
 def plain(text):
