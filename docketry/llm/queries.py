@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import (
-    decontamination, importance, language_id, license_scan, ngram_model, packing, pair_index, personal_data, pivot_index, simhash, token_cache, token_files,
+    decontamination, importance, language_id, license_scan, ngram_model, packing, pair_index, personal_data, pivot_index, product_trie, simhash, token_cache,
+    token_files,
 )
 from docketry.llm.common import documents
 from docketry.session import work_dir
@@ -93,6 +94,53 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.find_contamination(documents(spark, folder), items).drop("spans")
 
 
+@_query
+def op11_product_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return product_trie.compress(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def _product_trie_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """All rounds as tables that follow from each other: nearest entries n0, n1, ... and codebooks c0, c1, ..."""
+    def nearest(k: int) -> str:
+        return f"""n{k} AS MATERIALIZED (
+    SELECT r, p, arg_min(e, 100 * d + e) AS e, min(d) AS d
+    FROM (SELECT r, p, e, CAST(list_sum(list_transform(list_zip(s.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM slices s JOIN c{k} c USING (p))
+    GROUP BY r, p
+)"""
+
+    def moved(k: int) -> str:
+        return f"""c{k + 1} AS MATERIALIZED (
+    SELECT c.p, c.e, coalesce(m.v, c.v) AS v
+    FROM c{k} c LEFT JOIN (
+        SELECT p, e, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v
+        FROM (SELECT p, e, i, CAST(sum(v[i]) AS BIGINT) AS total, count(*) AS n
+              FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS i FROM slices JOIN n{k} USING (r, p)) GROUP BY ALL)
+        GROUP BY p, e) m USING (p, e)
+)"""
+
+    tables = [x for k in range(rounds) for x in (nearest(k), moved(k))] + [nearest(rounds)]
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), slices AS MATERIALIZED (
+    SELECT r, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS v FROM (SELECT r, v, unnest(range({parts})) AS p FROM kept)
+), c0 AS MATERIALIZED (
+    SELECT p, r - 1 AS e, v FROM slices WHERE r <= {entries}
+), {", ".join(tables)}, coded AS (
+    SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM n{rounds} GROUP BY r
+), digest AS (
+    SELECT sha256(string_agg(CAST(v[i] AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS i FROM c{rounds})
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), digest
+"""
+
+
+ORACLES["op11_product_trie"] = _product_trie_sql()
+
+
 @_query
 def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return importance.resample(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet").withColumnRenamed("item_id", "doc_id"))
