@@ -4,8 +4,10 @@ Fingerprints within ``radius`` bits agree on at least two of radius + 2 bands, s
 keyed by two bands. The rows of a shard form BK-trees of at most ``TREE`` fingerprints; a larger shard has
 several trees, its queries are cut the same way, and each tree goes to every cut of them, so a task never holds
 more than two cuts however hot a shard is. A task returns links that hold its groups together, not all it finds;
-components over these are the components over all links. Where links are verified afterwards this is not enough, and
-``keep_one_of_each`` verifies in a second round all pairs that may be similar and are not joined yet.
+components over these are the components over all links. Where links are verified afterwards this is not enough:
+``keep_one_of_each`` also deals the sets of shingles to shards by the members of their prefixes. A first round takes from each shard no
+more pairs than join its members, a second one all pairs that may be similar and are still apart. Parity sketches, whose bits
+differ in no more places than the sets do, keep other pairs back inside the shards, so a family of pages that are not similar sends none.
 
 Fingerprints are compared once each, however many documents share them. Iterations write their tables to the shared folder.
 
@@ -34,6 +36,10 @@ SEED = 42
 TREE = 1024
 #: Shingles are counted in one of so many texts; those that at least COMMON of these share, at most MOST_COMMON, come last in the prefixes.
 SAMPLE, COMMON, MOST_COMMON = 64, 4, 65_536
+#: Bits of a sketch: at least twice the size of the set, within these limits.
+SKETCH_BITS = (64, 8192)
+#: Words of sketches that are compared at once.
+SKETCH_WORDS = 4_000_000
 
 
 def bit_majority(digests: bytes) -> int:
@@ -177,7 +183,7 @@ def _sampler(words: int):
 def common_shingles(read: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many sets share, ascending, and about how many sets do, from one of ``SAMPLE`` texts.
 
-    They only order the prefixes and say into how many cuts a shard goes: any values give the same pairs.
+    They only order the prefixes and say which shingles need no count to be known as shared: any values give the same pairs.
     """
     sample = read.filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(SAMPLE)) == 0).mapInArrow(releasing(_sampler(words)), "node long, token long")
     counted = sample.distinct().groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(MOST_COMMON)
@@ -192,32 +198,41 @@ def needed_in_prefix(size: int, least: float) -> int:
     return size - max(1, ceil(least * size - 1e-9)) + 1
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """For each residue of the digests, whether an odd number of the set's members has it.
+
+    Two sketches differ in no more bits than the sets in members; folding a longer one in half gives that of half as many bits.
+    """
+    bits = min(max(SKETCH_BITS[0], 1 << (2 * len(shingles) - 1).bit_length()), SKETCH_BITS[1])
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _describer(words: int, shingle: int, least: float, common: np.ndarray, frequency: np.ndarray):
-    """Digest, fingerprint, key and size of the set of shingles, and the set's prefix: rare shingles first, then the common ones."""
+    """Digest, fingerprint, key, size and sketch of the set of shingles, and the set's prefix: rare shingles first, then the common ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, prints, nodes, sizes, prefixes = [], [], [], [], []
+            digests, prints, nodes, sizes, sketches, prefixes = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, shingle)
                 digests.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
                 prints.append(fingerprint(text, words))
                 nodes.append(set_key(found))
                 sizes.append(len(found))
+                sketches.append(sketch(found))
                 if len(common):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
                     found = found[np.lexsort((found, np.where(common[at] == found, frequency[at], 0)))]
                 prefixes.append(found[:needed_in_prefix(len(found), least)].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()),
-                 pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], ["doc_id", "digest", "fp", "node", "size", "prefix"])
+                 pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.binary())],
+                ["doc_id", "digest", "fp", "node", "size", "sketch", "prefix"])
     return run
 
 
-def _dealer(common: np.ndarray, frequency: np.ndarray):
-    """A row for each member of a prefix: its shard, the node and its root, and size, place and the two flags of a cut in one number."""
-    cuts_of = {int(token): -(-int(n) // TREE) for token, n in zip(common, frequency, strict=True) if n > TREE}
-    many = np.array(sorted(cuts_of), np.uint64)
-
+def _dealer(common: np.ndarray):
+    """A row for each member of a prefix: the node, its size and the member's place in one number, and whether the member is known as common."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prefixes = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("prefix")]
@@ -225,30 +240,69 @@ def _dealer(common: np.ndarray, frequency: np.ndarray):
             tokens = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
             row = np.repeat(np.arange(len(lengths)), lengths)
             place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            node, root, size = (batch.column(x).to_numpy().astype(np.int64) for x in ("node", "root", "size"))
-            packed = size[row] << 33 | place << 2
-            cut = np.isin(tokens, many)
-            shard, rows, values = [tokens[~cut].view(np.int64)], [row[~cut]], [packed[~cut] | 3]
-            for i in np.flatnonzero(cut).tolist():
-                cuts = cuts_of[int(tokens[i])]
-                own = int(node[row[i]]) % cuts
-                pairs = [(min(own, other), max(own, other)) for other in range(cuts)]
-                digest = [xxhash.xxh64_intdigest(b"%d %d %d" % (int(tokens[i]), t, q), SEED) for t, q in pairs]
-                shard.append(np.array(digest, np.uint64).view(np.int64))
-                rows.append(np.full(cuts, row[i]))
-                values.append(np.array([packed[i] | (t == own) << 1 | (q == own) for t, q in pairs], np.int64))
-            shards, rows, values = np.concatenate(shard), np.concatenate(rows), np.concatenate(values)
-            for start in range(0, len(rows), 65_536):
+            node, size = (batch.column(x).to_numpy().astype(np.int64) for x in ("node", "size"))
+            for start in range(0, len(tokens), 65_536):
                 part = slice(start, start + 65_536)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shards[part], node[rows[part]], root[rows[part]], values[part])], ["shard", "node", "root", "value"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (tokens[part].view(np.int64), node[row[part]], size[row[part]] << 31 | place[part], np.isin(tokens[part], common))],
+                    ["token", "node", "value", "known"])
     return run
 
 
-def _pairer(least: float):
-    """Pairs of a shard that may be as similar as ``least`` and whose roots differ: length filter, places of the shared member.
-
-    With each pair the number of shared members seen (n) and the number that their prefixes must share (least): the rest of
-    the sets is too small to make up for fewer.
+def _twins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token those whose token another row has too."""
+    held, held_twin = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tokens = batch.column("token").to_numpy()
+        same = np.concatenate([[held is not None and held.column("token")[0].as_py() == tokens[0]], tokens[1:] == tokens[:-1]])
+        if held is not None and (same[0] or held_twin):
+            yield held
+        twin = same[:-1] | same[1:]
+        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(twin))
+        held, held_twin = batch.slice(batch.num_rows - 1), bool(same[-1])
+    if held is not None and held_twin:
+        yield held
+
+
+def shared_tokens(nodes: DataFrame, common: np.ndarray) -> DataFrame:
+    """token, node, value of every member of a prefix that may stand in another prefix as well. ``nodes``: node, size, prefix."""
+    dealt = nodes.mapInArrow(releasing(_dealer(common)), "token long, node long, value long, known boolean")
+    # common members need no count, and are too many for one task
+    rare = dealt.filter("not known").drop("known").repartition("token").sortWithinPartitions("token").mapInArrow(_twins, "token long, node long, value long")
+    return rare.union(dealt.filter("known").drop("known"))
+
+
+class Sketches:
+    """Sketches of different lengths in one array of words."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        data = [x.as_buffer() for x in column]
+        self.words = np.frombuffer(b"".join(data), np.uint64)
+        self.length = np.array([len(x) // 8 for x in data], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Number of differing bits of the sketches of rows a and b, the longer one folded."""
+        out = np.zeros(len(a), np.int64)
+        long_a, long_b = self.length[a], self.length[b]
+        for one, two in set(zip(long_a.tolist(), long_b.tolist(), strict=True)):
+            least = min(one, two)
+            at = np.flatnonzero((long_a == one) & (long_b == two))
+            for part in np.array_split(at, -(-len(at) * max(one, two) // SKETCH_WORDS)):
+                left, right = (
+                    np.bitwise_xor.reduce(self.words[self.start[rows][:, None] + np.arange(n)].reshape(len(rows), n // least, least), axis=1)
+                    for rows, n in ((a[part], one), (b[part], two)))
+                out[part] = np.bitwise_count(left ^ right).sum(axis=1)
+        return out
+
+
+def _pairer(least: float, joining: bool):
+    """Pairs of a shard that may be as similar as ``least`` and whose roots differ: length, places of the shared member, sketches.
+
+    ``joining``: only pairs that join the rows of a shard, nearer ones first. Otherwise all, and with each pair the number of
+    shared members seen (n) and the number that their prefixes must share (least): the rest of the sets is too small to make up for fewer.
     """
     share = least / (1 + least)
 
@@ -258,7 +312,9 @@ def _pairer(least: float):
             twin = np.concatenate([shard[1:] == shard[:-1], [False]])
             if not twin.any():
                 continue
-            size, place, member, query = value >> 33, value >> 2 & 0x7FFFFFFF, value & 2 > 0, value & 1 > 0
+            size, place = value >> 31, value & 0x7FFFFFFF
+            member, query = (table.column(x).to_numpy(zero_copy_only=False) for x in ("member", "query"))
+            sketches, sets = Sketches(table.column("sketch")), Joined(len(shard))
             low, step, held, n_held = np.flatnonzero(twin), 1, [], 0
             while len(low):
                 high = low + step
@@ -269,8 +325,15 @@ def _pairer(least: float):
                 low, high = low[going], high[going]
                 needed = np.ceil(share * (size[low] + size[high]) - 1e-6)
                 most = np.minimum(place[low], place[high]) + 1 + np.minimum(size[low] - place[low], size[high] - place[high]) - 1
-                good = (root[low] != root[high]) & (most >= needed) & (member[low] & query[high] | member[high] & query[low])
-                if good.any():
+                good = np.flatnonzero((root[low] != root[high]) & (most >= needed) & (member[low] & query[high] | member[high] & query[low]))
+                if joining:
+                    good = good[sets.label[low[good]] != sets.label[high[good]]]
+                distance = sketches.apart(low[good], high[good])
+                near = distance <= size[low[good]] + size[high[good]] - 2 * needed[good]
+                good, distance = good[near], distance[near]
+                if joining:
+                    sets.add(low[good], high[good], distance)
+                elif len(good):
                     a, b, x, y = node[low[good]], node[high[good]], size[low[good]], size[high[good]]
                     beyond = np.maximum(np.ceil(least * x - 1e-9), np.ceil(least * y - 1e-9)).astype(np.int64) - 1
                     held.append(np.stack([np.maximum(a, b), np.minimum(a, b), needed[good].astype(np.int64) - beyond], axis=1))
@@ -279,6 +342,9 @@ def _pairer(least: float):
                     yield _counted_pairs(held)
                     held, n_held = [], 0
                 step += 1
+            if joining and sets.kept:
+                a, b = (node[x] for x in sets.pairs())
+                held.append(np.stack([np.maximum(a, b), np.minimum(a, b), np.zeros_like(a)], axis=1))
             if held:
                 yield _counted_pairs(held)
     return run
@@ -292,11 +358,21 @@ def _counted_pairs(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(pairs[first, i])) for i in range(3)), pa.array(n)], ["a", "b", "least", "n"])
 
 
-def shared_prefix_pairs(nodes: DataFrame, least: float, common: np.ndarray, frequency: np.ndarray) -> DataFrame:
-    """All pairs (a, b) of nodes with different roots that may be as similar as ``least``. ``nodes``: node, root, size, prefix."""
-    dealt = nodes.mapInArrow(releasing(_dealer(common, frequency)), "shard long, node long, root long, value long")
-    return dealt.repartition("shard").sortWithinPartitions("shard", "value").mapInArrow(releasing(_pairer(least)), "a long, b long, least long, n long") \
-        .groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least")).filter("n >= least").select("a", "b")
+def shared_prefix_pairs(tokens: DataFrame, nodes: DataFrame, least: float, joining: bool) -> DataFrame:
+    """Pairs (a, b) of nodes with different roots that may be as similar as ``least``: all of them, or such that join those of a shard.
+
+    ``tokens``: see ``shared_tokens``; ``nodes``: node, root, sketch. A token of many nodes is cut, and its cuts meet in pairs.
+    """
+    large = stored(tokens.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > TREE).select(F.col("token").alias("key"), F.ceil(F.col("n") / TREE).cast("int").alias("cuts")), "large-tokens")
+    cut = F.pmod(F.xxhash64("node", F.lit(1)), F.col("cuts")).cast("int")
+    shared = tokens.join(large, tokens.token == large.key, "left").drop("key").withColumn("cuts", F.coalesce("cuts", F.lit(1))).withColumn("cut", cut) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))) \
+        .withColumn("t", F.least("cut", "other")).withColumn("q", F.greatest("cut", "other")) \
+        .select("node", "value", F.when(F.col("cuts") == 1, F.col("token")).otherwise(F.xxhash64("token", "t", "q")).alias("shard"),
+                (F.col("cut") == F.col("t")).alias("member"), (F.col("cut") == F.col("q")).alias("query"))
+    rows = shared.join(nodes.select("node", "root", "sketch"), "node")
+    pairs = rows.repartition("shard").sortWithinPartitions("shard", "value").mapInArrow(releasing(_pairer(least, joining)), "a long, b long, least long, n long")
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least")).filter("n >= least").select("a", "b")
 
 
 def _set_maker(words: int):
@@ -326,39 +402,40 @@ def similar_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: in
     ``nodes``: node and doc_id, the key of a text that has this set.
     """
     asked = stored(nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi").select("node", "doc_id"), "asked")
-    # the keys asked for grow with the documents: a merge join at every size, rather than a broadcast while they are few
-    made = docs.join(asked.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(releasing(_set_maker(words)), "node long, shingles binary")
+    made = docs.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(releasing(_set_maker(words)), "node long, shingles binary")
     # a key may have several texts, and a text several rows
     sets = stored(made.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
     left, right = (sets.select(F.col("node").alias(key), F.col("shingles").alias(side)) for key, side in (("a", "left"), ("b", "right")))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(releasing(_similar(least)), "a long, b long")
 
 
-def keep_one_of_each(docs: DataFrame, words: int = 2, radius: int = 8, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, words: int = 2, radius: int = 3, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The rows, with all their columns, that remain if of each group of near-duplicates the one with the least key stays.
 
     Equal texts are duplicates. Different texts are near-duplicates if their sets of five-word shingles have a similarity of 0.8 or
-    more. Texts with one set are one node. Fingerprints over two words within eight bits join most nodes, each link verified on the
-    sets; then all pairs of nodes that are not yet joined and share a member of their prefixes are verified, which no pair that similar
-    can escape. Rows without key stay; texts that share a key are told apart by their digests, the least of which counts as the first.
+    more. Texts with one set are one node. Fingerprints over two words within three bits and pairs that join the nodes of a shard are
+    verified on the sets; then all pairs of nodes that are not yet joined, share a member of their prefixes and have sketches
+    near enough are verified, which no pair that similar can escape. Rows without key stay; texts that share a key are told apart by
+    their digests, the least of which counts as the first.
     """
     read = texts_of(docs)
     keyed = read.filter("doc_id is not null")
     common, frequency = common_shingles(keyed, shingle)
     prints = stored(keyed.mapInArrow(releasing(_describer(words, shingle, least, common, frequency)),
-                                     "doc_id long, digest binary, fp long, node long, size int, prefix binary"), "fingerprints")
-    nodes = stored(prints.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-                   .select("node", "first", "first.doc_id", "fp", "size", "prefix"), "nodes")
+                                     "doc_id long, digest binary, fp long, node long, size int, sketch binary, prefix binary"), "fingerprints")
+    same_set = [F.min(F.struct("doc_id", "digest")).alias("first"), F.min("fp").alias("fp"), *(F.first(x).alias(x) for x in ("size", "sketch", "prefix"))]
+    nodes = stored(prints.groupBy("node").agg(*same_set).select("node", "first", "first.doc_id", "fp", "size", "sketch", "prefix"), "nodes")
     firsts = stored(nodes.groupBy("fp").agg(F.min("node").alias("first_node")), "distinct-fingerprints")
     same = nodes.select("node", "fp").join(firsts, "fp").filter("node <> first_node").select(F.col("node").alias("x"), F.col("first_node").alias("y"))
     near = links(firsts.select("fp"), radius)
     for side, name in (("a", "x"), ("b", "y")):
         near = near.join(firsts.select(F.col("fp").alias(side), F.col("first_node").alias(name)), side)
-    pairs = same.union(near.select("x", "y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    edges = stored(similar_pairs(keyed, nodes, stored(pairs, "candidates"), shingle, least), "verified")
-    roots = components(edges)
-    open_nodes = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "prefix")
-    rest = stored(shared_prefix_pairs(open_nodes, least, common, frequency), "rest-candidates")
+    linked = same.union(near.select("x", "y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    tokens = stored(shared_tokens(nodes, common), "shared-shingles")
+    joining = shared_prefix_pairs(tokens, nodes.withColumn("root", F.col("node")), least, True)
+    edges = stored(similar_pairs(keyed, nodes, stored(linked.union(joining).distinct(), "candidates"), shingle, least), "verified")
+    open_nodes = nodes.join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sketch")
+    rest = stored(shared_prefix_pairs(tokens, open_nodes, least, False), "rest-candidates")
     edges = stored(edges.union(similar_pairs(keyed, nodes, rest, shingle, least)), "verified-all")
     named = nodes.select("node", "first").join(components(edges), "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     staying = named.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.digest")

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from docketry.llm import simhash
@@ -93,3 +95,54 @@ def test_different_texts_of_one_key(spark):
     rows = [(i // 2, " ".join(prose(40))) for i in range(8)]
     rows += [rows[0], (9, rows[3][1])]
     assert kept(spark, rows) == all_pairs_stay(rows)
+
+
+def template_pages(n, length=60, exchanged=2, seed=4):
+    """Pages of one template, each with words of its own in it: hardly any two are similar enough."""
+    rng, prose, (base,) = pages(seed, 1, length)
+    rows = []
+    for i in range(n):
+        page = list(base)
+        for j in rng.sample(range(length), exchanged):
+            page[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(page)))
+    return rows
+
+
+def proposals(spark, monkeypatch, rows):
+    """Result, and how many pairs were verified in both rounds."""
+    counts, write = {}, simhash.stored
+
+    def counting(table, purpose):
+        out = write(table, purpose)
+        counts[purpose] = out.count()
+        return out
+
+    with monkeypatch.context() as patch:
+        patch.setattr(simhash, "stored", counting)
+        result = kept(spark, rows)
+    return result, counts["candidates"] + counts["rest-candidates"]
+
+
+def test_pages_of_one_template_send_few_pairs(spark, monkeypatch):
+    """The number of pairs that leave the shards follows the number of pages, not its square."""
+    seen = {}
+    for n in (200, 400, 800):
+        rows = template_pages(n)
+        result, seen[n] = proposals(spark, monkeypatch, rows)
+        if n == 200:
+            assert result == all_pairs_stay(rows)
+    assert all(sent <= 2 * n for n, sent in seen.items()), seen  # of 19,900, 79,800 and 319,600 pairs
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 5, 40, 60, 300, 500, 6000)]
+    sets += [np.unique(np.concatenate([s[len(s) // 9:], rng.integers(0, 1 << 63, len(s) // 7).astype(np.uint64)])) for s in sets]
+    sketches = simhash.Sketches(pa.chunked_array([pa.array([simhash.sketch(s) for s in sets], pa.binary())]))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    apart = sketches.apart(a, b)
+    true = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    assert (apart <= true).all() and (apart[a == b] == 0).all()
+    near = (true > 0) & (true < 150)
+    assert (apart[near] > 0.5 * true[near]).mean() > 0.9
