@@ -104,6 +104,25 @@ def _sender(start: int, ranges: int):
     return send
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in four bytes each, or in eight where one of them needs more."""
+    return counts.astype("<u4" if counts.max(initial=0) < 1 << 32 else "<u8").tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    """``n`` counts, in as many bytes each as the data has."""
+    return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u4").astype(np.uint64)
+
+
+def sums_of_runs(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sum of each run of values, added up within the run, so that no other run has a part in its last digits."""
+    total = np.zeros(len(lengths))
+    filled = np.flatnonzero(lengths)
+    if len(filled):
+        total[filled] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[filled])
+    return total
+
+
 ANSWERS = "range long, shard long, target_counts binary, counts binary, context binary"
 STATISTICS = ["target_word", "word", "target_context", "context", "target_kinds", "kinds"]
 
@@ -132,8 +151,8 @@ def _adder(size: int):
                 parts = [place[ends[i] - len(keys[i]):ends[i]] for i in asked]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([rows[i]["range"] for i in asked], pa.int64()), pa.array([rows[i]["shard"] for i in asked], pa.int64()),
-                    pa.array([own[0][x].astype("<u4").tobytes() for x in parts], pa.binary()),
-                    pa.array([own[1][x].astype("<u4").tobytes() for x in parts], pa.binary()), pa.nulls(len(asked), pa.binary())],
+                    pa.array([packed(own[0][x]) for x in parts], pa.binary()),
+                    pa.array([packed(own[1][x]) for x in parts], pa.binary()), pa.nulls(len(asked), pa.binary())],
                     ["range", "shard", "target_counts", "counts", "context"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([-1], pa.int64()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()),
                                           pa.array([sums.astype("<i8").tobytes()], pa.binary())], ["range", "shard", "target_counts", "counts", "context"])
@@ -178,14 +197,13 @@ def _scorer(shared, start: int, ranges: int):
             for group in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
                 rows = table.slice(int(group[0]), len(group)).to_pylist()
                 ids, lengths = _shard_arrays(rows[0])
-                keys, _, _ = _sorted_distinct(ids, lengths, start, ranges)
-                counts = [np.frombuffer(b"".join(row[name] for row in rows[1:]), "<u4") for name in ("target_counts", "counts")]
+                keys, _, borders = _sorted_distinct(ids, lengths, start, ranges)
+                sizes = np.diff(borders)
+                counts = [np.concatenate([np.zeros(0, np.uint64), *(unpacked(row[name], sizes[row["range"]]) for row in rows[1:])]) for name in ("target_counts", "counts")]
                 difference = smoothing.losses(keys, counts[0], 0) - smoothing.losses(keys, counts[1], 1)
                 order = np.argsort(keys)
                 each = difference[order][np.searchsorted(keys[order], bigram_keys(ids, lengths, start))]
-                total = np.concatenate([[0.0], np.cumsum(each)])
-                ends = np.cumsum(lengths)
-                score = np.where(lengths > 0, (total[ends] - total[ends - lengths]) / np.maximum(lengths, 1), 0.0)
+                score = sums_of_runs(each, lengths) / np.maximum(lengths, 1)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0]["doc_ids"], pa.int64()), pa.array(lengths), pa.array(score)], ["doc_id", "n_tokens", "score"])
     return score
 

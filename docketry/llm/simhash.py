@@ -402,7 +402,8 @@ def similar_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: in
     ``nodes``: node and doc_id, the key of a text that has this set.
     """
     asked = stored(nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi").select("node", "doc_id"), "asked")
-    made = docs.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(releasing(_set_maker(words)), "node long, shingles binary")
+    # the keys asked for grow with the documents, so nothing bounds a broadcast of them
+    made = docs.join(asked.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(releasing(_set_maker(words)), "node long, shingles binary")
     # a key may have several texts, and a text several rows
     sets = stored(made.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
     left, right = (sets.select(F.col("node").alias(key), F.col("shingles").alias(side)) for key, side in (("a", "left"), ("b", "right")))

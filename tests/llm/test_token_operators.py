@@ -184,3 +184,25 @@ def test_cross_entropy_difference(spark, docs, no_docs, rows, monkeypatch):
         assert got[key]["n_tokens"] == len(plain(NAMES[0], text)) and got[key]["score"] == pytest.approx(score, abs=1e-9)
     assert ngram_model.score(no_docs, items).count() == 0
     assert ngram_model.score(docs, items.limit(0)).count() == len(rows)
+
+
+@given(st.lists(st.integers(0, 1 << 40), max_size=9))
+def test_counts_beyond_32_bits(values):
+    counts = np.array(values, np.int64)
+    data = ngram_model.packed(counts)
+    assert ngram_model.unpacked(data, len(values)).tolist() == values
+    assert len(data) == len(values) * (8 if max(values, default=0) >= 1 << 32 else 4)
+
+
+def test_large_counts_reach_the_scores(monkeypatch, spark, docs):
+    """Counts as of a corpus of many billions of words, some above and some below 32 bits, as a range answers them."""
+    monkeypatch.setattr(ngram_model, "RANGE_BIGRAMS", 50)
+    keys, counts = np.arange(40, dtype=np.uint32), np.arange(40, dtype=np.int64) << 28
+    place = ngram_model._ranges_of(keys, 3)
+    sizes = np.bincount(place, minlength=3)
+    sent = [ngram_model.packed(counts[place == i]) for i in range(3)]
+    got = np.concatenate([ngram_model.unpacked(data, n) for data, n in zip(sent, sizes, strict=True)])
+    assert got.tolist() == np.concatenate([counts[place == i] for i in range(3)]).tolist() and got.max() > 1 << 32
+    items = docs.limit(9)
+    one, two = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in ngram_model.score(docs.repartition(n), items).collect()} for n in (1, 5))
+    assert one == two
