@@ -1,21 +1,17 @@
-"""Exact vector search in blocks, metadata filters, layering, re-ranking, merging of hits."""
+"""Exact vector search, metadata filters, layering, re-ranking, merging of hits."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry import values as V
 from docketry.functions import citations, labels, text as T
 from docketry.functions.text import blank_to_null
+from docketry.operators import cosine_index
 
-QUERY_BLOCK, CORPUS_BLOCK = 4096, 16384   # rows of one block, about
-LEAST_BLOCKS = 8                          # of the queries of a bucket, so that a small search has several tasks too
-WHOLE = "*"                               # bucket of a search without filter
-SLICE = 256                               # queries scored at a time inside a task
-_HITS = "query_id bigint, layer string, k int, doc_id bigint, score double"
+#: Bucket of a search without filter.
+WHOLE = "*"
 
 
 def metadata_predicate(doc_types: list[str], include_common: bool, route: Column | None, pooled: bool) -> Column | None:
@@ -49,81 +45,14 @@ def query_buckets(doc_types: list[str], include_common: bool, route: Column | No
     return F.array_distinct(F.array(*own, *([F.lit("common_law")] if include_common else [])))
 
 
-def _block_scorer(slice_rows: int):
-    """The task-side function; a closure travels by value, so executors need not have this package."""
-    def score_block(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
-        """Best k documents of one corpus block for each query of one query block."""
-        nothing = pd.DataFrame({"query_id": np.zeros(0, "int64"), "layer": np.zeros(0, object), "k": np.zeros(0, "int32"), "doc_id": np.zeros(0, "int64"), "score": np.zeros(0)})
-        if queries.empty or corpus.empty:
-            return nothing.astype({"layer": object})
-        corpus = corpus.sort_values("doc_id", kind="stable")
-        c, ids = np.stack(corpus["vec"]).astype("float64"), corpus["doc_id"].to_numpy()
-        c_norm = np.linalg.norm(c, axis=1)
-        parts = []
-        for start in range(0, len(queries), slice_rows):
-            part = queries.iloc[start:start + slice_rows]
-            q = np.stack(part["vec"]).astype("float64")
-            scores = np.round(q @ c.T / (np.outer(np.linalg.norm(q, axis=1), c_norm) + 1e-9), 9)
-            asked_by = part["query_id"].to_numpy()
-            scores[(asked_by[:, None] == ids[None, :]) & part["skip_self"].to_numpy()[:, None]] = -np.inf
-            k = part["k"].to_numpy()
-            width = min(int(k.max()), len(ids))
-            # all that reach the score at place ``width``, sorted; ids ascend, so a stable sort keeps the lower id on equal scores
-            edge = np.partition(scores, len(ids) - width, axis=1)[:, len(ids) - width]
-            row, col = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))
-            order = np.lexsort((col, -scores[row, col], row))
-            row, col = row[order], col[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-            row, col = row[place < k[row]], col[place < k[row]]
-            parts.append(pd.DataFrame({
-                "query_id": asked_by[row], "layer": part["layer"].to_numpy()[row], "k": k[row],
-                "doc_id": ids[col], "score": scores[row, col]}))
-        return pd.concat(parts, ignore_index=True).astype({"layer": object})
-
-    return score_block
-
-
-def _grid_hits(asked: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Hits of every query block against every corpus block of its bucket.
-
-    The block counts are a table made by the same job: one row for each bucket, however many there are.
-    """
-    def counted(table: DataFrame, name: str, rows: int, least: int) -> DataFrame:
-        n = F.count("*")
-        return table.groupBy("bucket").agg(F.greatest(F.ceil(n / rows), F.least(n, F.lit(least))).cast("int").alias(name))
-
-    plan = counted(asked, "n_query", QUERY_BLOCK, LEAST_BLOCKS).join(counted(corpus, "n_corpus", CORPUS_BLOCK, 1), "bucket")
-
-    def grid(table: DataFrame, key: str, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
-        return table.join(plan, "bucket") \
-            .withColumn(own, F.pmod(F.xxhash64(key), F.col(own_count)).cast("int")) \
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1))) \
-            .drop("n_query", "n_corpus").groupBy("bucket", "qb", "cb")
-
-    left = grid(asked, "query_id", "qb", "n_query", "cb", "n_corpus")
-    right = grid(corpus, "doc_id", "cb", "n_corpus", "qb", "n_query")
-    return left.cogroup(right).applyInPandas(_block_scorer(SLICE), _HITS)
-
-
-def _ranked(hits: DataFrame) -> DataFrame:
-    best = Window.partitionBy("query_id", "layer").orderBy(F.desc("score"), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= F.col("k"))
-
-
 def cosine_topk(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Exact top k by cosine per (query_id, layer).
 
     ``queries``: query_id, layer, k, vec, skip_self (leave out the document of the same id), buckets.
-    ``corpus``: doc_id, vec, bucket. Both sides are cut into blocks of bounded size inside each
-    bucket, a pair of blocks meets in one task as a matrix product and gives k rows per query;
-    pairs of vectors never become rows. A large bucket just has more blocks.
+    ``corpus``: doc_id, vec, bucket. See ``cosine_index``: blocks of near vectors inside each bucket, of which a query
+    visits those whose bound reaches its k-th score; pairs of vectors never become rows.
     """
-    asked = queries.withColumn("bucket", F.explode("buckets")).select("query_id", "layer", "k", "vec", "skip_self", "bucket")
-    # fresh aliases: both sides often descend from the same table; a bucket that is a constant must stay a column, or
-    # the joins on it would lose their key
-    corpus = corpus.select(F.col("doc_id").alias("doc_id"), F.col("vec").alias("vec"),
-                           F.concat("bucket", F.repeat(F.col("doc_id").cast("string"), F.lit(0))).alias("bucket"))
-    return _ranked(_grid_hits(asked, corpus)).select("query_id", "layer", "doc_id", "score", "rank")
+    return cosine_index.search(queries, corpus).select("query_id", "layer", "doc_id", "score", "rank")
 
 
 def ask(vectors: DataFrame, buckets: Column, k: int, layer: Column | str = "all", skip_self: bool = True) -> DataFrame:
@@ -155,9 +84,10 @@ def search_with_fallback(vectors: DataFrame, corpus: DataFrame, doc_types: list[
         .groupBy("query_id").agg(F.sum(F.col("n") - F.coalesce((F.col("own_bucket") == F.col("bucket")).cast("int"), F.lit(0))).alias("found"))
     known = asked.join(wanted, "query_id", "left")
     empty = F.coalesce(F.col("found"), F.lit(0)) <= 0
-    filtered = ask(known.filter(~empty), F.col("wanted"), k, "filtered")
-    fallback = ask(known.filter(empty), F.array(F.lit(WHOLE)), k, "fallback")
-    return cosine_topk(filtered, table).unionByName(cosine_topk(fallback, table.withColumn("bucket", F.lit(WHOLE))))
+    # the names of all buckets: one for each type, or type and route; a query without hits asks in all of them, in the same search
+    every = sizes.agg(F.sort_array(F.collect_set("bucket"))).scalar()
+    layer = F.when(empty, "fallback").otherwise("filtered")
+    return cosine_topk(ask(known, F.when(empty, every).otherwise(F.col("wanted")), k, layer), table)
 
 
 def layered_search(vectors: DataFrame, corpus: DataFrame, n: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions import pii, text as T
-from docketry.operators import evaluation, intake, retrieval, verification as X
+from docketry.operators import cosine_index, evaluation, intake, retrieval, verification as X
 from docketry.sources import files
 from docketry.streaming import arrivals
 
@@ -31,9 +31,10 @@ def clustered(n, seed):
 @pytest.mark.parametrize("make, n, blocks", [(vectors, 120, True), (clustered, 120, True), (clustered, 5000, False)])
 def test_blocked_search_equals_brute_force(spark, monkeypatch, make, n, blocks):
     if blocks:
-        monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
-        monkeypatch.setattr(retrieval, "CORPUS_BLOCK", 11)
-        monkeypatch.setattr(retrieval, "SLICE", 3)
+        monkeypatch.setattr(cosine_index, "PACKET", 7)
+        monkeypatch.setattr(cosine_index, "BLOCK", 11)
+        monkeypatch.setattr(cosine_index, "PAGE", 3)
+        monkeypatch.setattr(cosine_index, "SPLIT", 50)
     v = make(n, 1)
     # two thirds of the corpus lie in one bucket
     bucket = ["hot" if i % 3 else "cold" for i in range(len(v))]
@@ -51,6 +52,72 @@ def test_blocked_search_equals_brute_force(spark, monkeypatch, make, n, blocks):
             assert found[q] == sorted(allowed, key=lambda i: (-s[q, i], i))[:6]
 
 
+def many(kind):
+    """20,000 vectors: tight groups, or without any order; some without a length, a thousand copies of one."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(20_000, 16))
+    if kind == "groups":
+        v = rng.normal(size=(100, 16))[np.arange(20_000) % 100] + rng.normal(scale=0.05, size=(20_000, 16))
+    v[100:1100], v[50], v[51] = v[100], 0, 1e-7
+    return v
+
+
+@pytest.mark.parametrize("kind, share", [("groups", 0.05), ("random", 1.0)])
+def test_bounds_close_blocks_and_lose_nothing(spark, monkeypatch, kind, share):
+    """Every 50th vector asks all 20,000; in groups most blocks are closed, without any order hardly one is."""
+    monkeypatch.setattr(cosine_index, "BLOCK", 512)
+    counted, visits = [], cosine_index.visits
+
+    def counting(*args):
+        out = visits(*args).cache()
+        counted.append(out.count())
+        return out
+
+    made, build = [], cosine_index.build
+
+    def building(corpus):
+        out = build(corpus)
+        made.append(out.filter("n is not null").count())
+        return out
+
+    monkeypatch.setattr(cosine_index, "visits", counting)
+    monkeypatch.setattr(cosine_index, "build", building)
+    v = many(kind)
+    corpus = spark.createDataFrame([(i, x.tolist(), "all") for i, x in enumerate(v)], "doc_id bigint, vec array<double>, bucket string").repartition(4)
+    asked = corpus.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "vec")
+    found = {}
+    for row in retrieval.cosine_topk(retrieval.ask(asked, T.lits(["all"]), 10), corpus).orderBy("rank").collect():
+        found.setdefault(row["query_id"], []).append((row["doc_id"], row["score"]))
+    norms = np.linalg.norm(v, axis=1)
+    for q in range(0, 20_000, 50):
+        scores = np.round(v[q] @ v.T / (norms[q] * norms + 1e-9), 9)
+        scores[q] = -np.inf
+        assert [i for i, _ in found[q]] == np.lexsort((np.arange(len(v)), -scores))[:10].tolist()
+    assert counted[0] <= 3 * 400 and counted[1] <= share * 400 * made[0], (counted, made)
+    print(kind, counted, made)
+
+
+def test_no_vector_beats_the_bound():
+    rng = np.random.default_rng(2)
+    for scale in (1e-12, 1e-6, 1.0, 1e6):
+        docs = np.concatenate([rng.normal(size=(200, 6)), np.zeros((1, 6)), rng.normal(size=(3, 6)) * 1e-9]) * scale
+        queries = np.concatenate([rng.normal(size=(50, 6)), docs[:20], np.zeros((1, 6))])
+        units = cosine_index.unit(docs)
+        centre = cosine_index.unit(units.mean(axis=0))
+        cosines, norms = units @ centre, np.linalg.norm(docs, axis=1)
+        bound = cosine_index.highest(queries, centre[None], cosines.min(keepdims=True), cosines.max(keepdims=True), norms.min(keepdims=True))
+        scores = np.round(queries @ docs.T / (np.outer(np.linalg.norm(queries, axis=1), norms) + 1e-9), 9)
+        assert (scores.max(axis=1) <= bound[:, 0]).all()
+
+
+def test_vectors_that_cannot_be_compared(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [1.0, 0.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0])]
+    corpus = spark.createDataFrame([(*r, "b") for r in rows], "doc_id bigint, vec array<double>, bucket string")
+    asked = corpus.select(F.col("doc_id").alias("query_id"), "vec")
+    got = retrieval.cosine_topk(retrieval.ask(asked, T.lits(["b", "c"]), 5), corpus).collect()
+    assert sorted((r["query_id"], r["doc_id"], r["rank"]) for r in got) == [(1, 2, 1), (1, 6, 2), (2, 1, 1), (2, 6, 2), (6, 1, 1), (6, 2, 2)]
+
+
 def test_search_over_nothing_is_empty(spark):
     corpus = spark.createDataFrame([], "doc_id bigint, vec array<float>, bucket string")
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, vec array<float>")
