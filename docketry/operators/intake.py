@@ -58,6 +58,12 @@ def parse_model_json(replies: DataFrame, schema: str) -> DataFrame:
     return replies.select(*replies.columns, fenced.alias("fenced"), braced.alias("braced"))
 
 
+def reply_rulings(replies: DataFrame) -> DataFrame:
+    """The replies with the ruling (main) and the remedy notice they state; both null where a reply is no JSON or has none."""
+    parsed = F.from_json(T.fenced_json(F.col("reply")), "struct<main:string,remedy_notice:string>")
+    return replies.withColumn("said", parsed).select(*replies.columns, F.col("said.main").alias("main"), F.col("said.remedy_notice").alias("remedy_notice"))
+
+
 def reply_paragraphs(replies: DataFrame) -> DataFrame:
     """One row per drafted paragraph; a reply that is no JSON is one paragraph itself."""
     item = "struct<text:string,responds_to:array<string>,cites:array<string>,based_on_case:string,source:string>"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketry import values as V
 from docketry.sources.files import spread
 
 
@@ -46,6 +47,10 @@ _TOPIC = q("違反廢棄物清理法案，任意棄置菸蒂", "違章建築未
            "交付帳戶成為人頭帳戶，經書面告誡", "建築法與噪音管制法併罰", "空氣 污染 防制法 之 排放標準", "廢棄物一批", "洗錢防制法第22條",
            "停車場管理")
 
+#: Grounds of an arriving draft: now and then a date of its own, a word against the ruling, the title of a finding.
+FLOW_TEXT = ("'按洗錢防制法第' || (case_id % 90 + 1) || '條及第9條規定' || CASE WHEN case_id % 5 = 0 THEN '，民國113年1月1日作成' ELSE '' END"
+             " || CASE WHEN case_id % 5 = 1 THEN '，原處分並無違誤' ELSE '' END || CASE WHEN case_id % 8 = 0 THEN '，原處分應記載事項不完備部分另述' ELSE '' END")
+
 INPUTS: dict[str, tuple[str, dict[str, str]]] = {
     # ---- cases --------------------------------------------------------------
     "case_days": ("orders", {
@@ -187,6 +192,22 @@ INPUTS: dict[str, tuple[str, dict[str, str]]] = {
         "revoked": "CASE WHEN event_type = 'error' THEN 'true' ELSE '' END", "disposition_revoked": "''", "previously_decided": "''",
         "reply": "'```json\n{\"paragraphs\":[{\"text\":\"按洗錢防制法第' || (case_id % 90 + 1) || '條及第9條規定\",\"cites\":[\"洗錢防制法§' || (user_id % 90 + 1) || '\"]}]}\n```'",
     }),
+    "flow_cases": ("event_days", {
+        "case_id": "case_id",
+        "agency": "'新北市政府'", "doc_no": "'新北字第' || case_id || '號'", "legal_basis": "CASE WHEN case_id % 2 = 0 THEN '' ELSE '廢棄物清理法第27條' END",
+        "disposition_date": roc("svc"), "service_date": roc("svc"), "act_date": "''", "filed_date": roc("fil"),
+        "service_method": "CASE WHEN event_type = 'view' THEN '寄存' ELSE '本人' END",
+        "revoked": "CASE WHEN event_type = 'error' THEN 'true' ELSE '' END", "disposition_revoked": "''", "previously_decided": "''",
+        "penalty_amount": "0", "violation_count": "0", "requires_prior_order": "false", "prior_order_done": "false",
+        "claim_ids": pick("case_id % 3", "''", "'C1'", "'C1|C2'"),
+        "reply": "'```json\n{\"main\":\"' || " + pick("case_id % 4", "'訴願駁回。'", "'原處分撤銷。'", "'訴願不受理。'", other="'另為處理'")
+                 + " || '\",\"remedy_notice\":\"' || " + pick("case_id % 3", "''", "'得提起行政訴訟。'", f"'{V.REMEDY_NOTICE}'")
+                 + " || '\",\"paragraphs\":[{\"text\":\"' || " + FLOW_TEXT
+                 + " || '\",\"cites\":[\"洗錢防制法§' || (user_id % 90 + 1) || '\"],\"responds_to\":[\"C' || (case_id % 2 + 1) || '\"]}]}\n```'",
+    }),
+    "flow_laws": ("event_days", {
+        "case_id": "case_id", "user_id": "user_id", "wide": "case_id % 3 = 0", "none": "case_id % 7 = 0",
+    }),
     "replies": ("events", {
         "event_id": "event_id",
         "reply": "CASE event_id % 4 WHEN 0 THEN '說明\n```json\n' || props || '\n```\n完' WHEN 1 THEN '結果：' || props || ' 以上' WHEN 2 THEN '  ' || props || '\n' ELSE '無法判斷' END",

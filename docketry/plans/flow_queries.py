@@ -8,6 +8,7 @@ from docketry import values as V
 from docketry.functions import labels
 from docketry.operators import retrieval
 from docketry.plans.case_flow import review_cases
+from docketry.plans.derive import FLOW_TEXT, pick
 from docketry.plans.registry import query
 from docketry.plans.rule_queries import FINDINGS_SQL, GATE_SQL, gate_of
 from docketry.plans.search_queries import DISPOSITION_SQL, MERGED_SQL, PAIRS_SQL, _vectors, majority_sql, merged_hits
@@ -122,33 +123,72 @@ e1 AS (SELECT *, eff + 30 + CASE isodow(eff + 30) WHEN 6 THEN 2 WHEN 7 THEN 1 EL
 eg AS (SELECT *, CASE WHEN fil > dead THEN '77-2' WHEN event_type = 'error' THEN '77-6' END AS clause FROM e1)"""
 
 
-def _incoming(spark, t, purpose):
-    root = work_dir(spark, purpose)
-    t.event_cases.write.json(f"{root}/input")
-    return root, arrivals.case_arrivals(spark, f"{root}/input", _EVENT_SCHEMA)
-
-
 @query("case_arrival_stream", f"WITH {_EVENT_GATE_SQL.strip()} SELECT case_id, clause, CASE WHEN fil > dead THEN fil - dead END AS overdue_days FROM eg", inputs=("event_days",))
 def case_arrival_stream(spark, t):
-    root, stream = _incoming(spark, t, "arrivals")
-    arrivals.land(stream, f"{root}/landed", f"{root}/checkpoint")
-    return arrivals.analyze(spark.read.parquet(f"{root}/landed")).select("case_id", "clause", "overdue_days")
-
-
-@query("stream_stage_flow", f"""WITH {_EVENT_GATE_SQL.strip()}
+    root = work_dir(spark, "arrivals")
+    t.event_cases.write.json(f"{root}/input")
+    arrivals.land_cases(spark, f"{root}/input", _EVENT_SCHEMA, f"{root}/tables")
+    return arrivals.analyze(spark.read.parquet(f"{root}/tables/landed")).select("case_id", "clause", "overdue_days")
+
+
+@query("arrival_quarantine", """
+SELECT CASE WHEN case_id % 50 = 0 THEN 'quarantine' ELSE 'landed' END AS place, case_id, CAST(NULL AS BIGINT) AS n FROM event_days
+UNION ALL SELECT 'good', NULL, count(*) FILTER (case_id % 50 <> 0) FROM event_days UNION ALL SELECT 'bad', NULL, count(*) FILTER (case_id % 50 = 0) FROM event_days
+UNION ALL SELECT 'empty files', NULL, 1""", inputs=("event_days",))
+def arrival_quarantine(spark, t):
+    """Every 50th record is cut off in its middle, and one file holds a blank line only."""
+    root = work_dir(spark, "quarantine")
+    record = F.to_json(F.struct("*"))
+    t.event_cases.select(F.when(F.col("case_id") % 50 == 0, F.left(record, F.lit(60))).otherwise(record).alias("value")).write.text(f"{root}/input")
+    t.event_cases.agg(F.lit("").alias("value")).write.mode("append").text(f"{root}/input")
+    arrivals.land_cases(spark, f"{root}/input", _EVENT_SCHEMA, f"{root}/tables", glob="*.txt")
+    landed = spark.read.parquet(f"{root}/tables/landed").select(F.lit("landed").alias("place"), "case_id", F.lit(None).cast("long").alias("n"))
+    aside = spark.read.parquet(f"{root}/tables/quarantine").select(F.lit("quarantine"), F.regexp_extract("record", '"case_id":([0-9]+)', 1).cast("long"), F.lit(None).cast("long"))
+    report = arrivals.arrival_report(spark, f"{root}/tables").agg(F.sum("n_good"), F.sum("n_bad"), F.sum((F.col("state") == "empty").cast("long")))
+    numbers = report.select(F.explode(F.map_from_arrays(F.array(F.lit("good"), F.lit("bad"), F.lit("empty files")), F.array(*report.columns))).alias("place", "n"))
+    return landed.union(aside).union(numbers.select("place", F.lit(None).cast("long"), "n"))
+
+
+_FLOW_SCHEMA = f"{_EVENT_SCHEMA}, penalty_amount bigint, violation_count int, requires_prior_order boolean, prior_order_done boolean, claim_ids string"
+
+_FLOW_CHECKS = {
+    "V1": ("CASE WHEN case_id % 7 = 0 THEN 'skipped' WHEN case_id % 3 = 0 OR user_id % 90 + 1 IN (9, case_id % 90 + 1) THEN 'pass' ELSE 'fail' END", "'red'"),
+    "V2": ("'pass'", "'amber'"),
+    "V3": ("'pass'", "'red'"),
+    "V4": ("CASE WHEN case_id % 3 = 0 THEN 'skipped' WHEN case_id % 3 = 1 AND case_id % 2 = 0 THEN 'pass' ELSE 'fail' END", "'red'"),
+    "V5": ("'skipped'", "'red'"),
+    "V6": ("CASE WHEN case_id % 5 = 0 AND DATE '2024-01-01' NOT IN (svc, fil) THEN 'fail' ELSE 'pass' END", "'amber'"),
+    "V7": ("CASE WHEN fil < svc OR (fil - svc > 30) <> (case_id % 4 = 2) THEN 'fail' ELSE 'pass' END", "CASE WHEN fil - svc BETWEEN 0 AND 30 AND case_id % 4 = 2 THEN 'amber' ELSE 'red' END"),
+    "V8": ("CASE case_id % 3 WHEN 0 THEN 'skipped' WHEN 1 THEN 'fail' ELSE 'pass' END", "'red'"),
+    "V9": ("CASE WHEN case_id % 4 = 3 THEN 'skipped' WHEN case_id % 4 = 1 AND case_id % 5 = 1 THEN 'fail' ELSE 'pass' END", "'red'"),
+    "V10": ("CASE WHEN case_id % 2 = 1 THEN 'skipped' WHEN case_id % 8 = 0 THEN 'pass' ELSE 'fail' END", "'amber'"),
+}
+
+
+def flow_laws(t):
+    """Recommended laws of the arriving cases: two articles, for some also the one their draft declares, for some none."""
+    articles = F.array(F.lit(9), F.col("case_id") % 90 + 1, F.when(F.col("wide"), F.col("user_id") % 90 + 1))
+    rows = t.flow_laws.filter(~F.col("none")).select("case_id", F.explode(articles).alias("article")).filter(F.col("article").isNotNull())
+    text = F.lit("").alias
+    return rows.select("case_id", F.lit(None).cast("string").alias("citation"), F.lit("洗錢防制法").alias("law"), F.col("article").cast("string").alias("article"),
+                       text("title"), text("text"), text("source"))
+
+
+@query("stream_stage_flow", f"""WITH {_EVENT_GATE_SQL.strip()}, open AS (SELECT *, {FLOW_TEXT} AS grounds FROM eg WHERE clause IS NULL)
 SELECT 'analysis' AS stage, case_id, coalesce(clause, '') AS detail FROM eg
-UNION ALL SELECT 'draft', case_id, '按洗錢防制法第' || (case_id % 90 + 1) || '條及第9條規定' FROM eg WHERE clause IS NULL
-UNION ALL SELECT 'verify', case_id, 'V3:pass' FROM eg WHERE clause IS NULL
-UNION ALL SELECT 'verify', case_id, 'V7:' || CASE WHEN fil - svc < 0 OR fil - svc > 30 THEN 'fail' ELSE 'pass' END FROM eg WHERE clause IS NULL""", inputs=("event_days",))
+UNION ALL SELECT 'findings', case_id, 'D1:red' FROM eg WHERE case_id % 2 = 0
+UNION ALL SELECT 'draft', case_id, {pick("case_id % 4", "'訴願駁回。'", "'原處分撤銷。'", "'訴願不受理。'", other="'另為處理'")} || grounds FROM open
+""" + "".join(f"UNION ALL SELECT 'verify', case_id, '{check}:' || {status} || ':' || {level} FROM open\n" for check, (status, level) in _FLOW_CHECKS.items()), inputs=("event_days",))
 def stream_stage_flow(spark, t):
-    root, stream = _incoming(spark, t, "flow")
-    arrivals.stage_flow(stream, f"{root}/stages", f"{root}/checkpoint")
+    root = work_dir(spark, "flow")
+    t.flow_cases.write.json(f"{root}/input")
+    arrivals.stage_flow(arrivals.case_arrivals(spark, f"{root}/input", _FLOW_SCHEMA), f"{root}/stages", f"{root}/checkpoint", flow_laws(t))
 
     def rows(stage, detail):
         return files.read_stage(spark, f"{root}/stages", stage).select(F.lit(stage).alias("stage"), "case_id", detail.alias("detail"))
 
-    return rows("analysis", F.coalesce("clause", F.lit(""))).unionByName(rows("draft", F.col("text"))) \
-        .unionByName(rows("verify", F.concat_ws(":", "check_id", "status")))
+    return rows("analysis", F.coalesce("clause", F.lit(""))).unionByName(rows("findings", F.concat_ws(":", "check_id", "level"))) \
+        .unionByName(rows("draft", F.concat("main", "text"))).unionByName(rows("verify", F.concat_ws(":", "check_id", "status", "level")))
 
 
 _KEY_SQL = "left(sha256('{\"event_type\":\"' || event_type || '\",\"props\":\"' || replace(props, '\"', '\\\"') || '\"}'), 32)"

@@ -110,7 +110,7 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
     predictions.write.mode("overwrite").json(path)
 
 
-STAGES = ["input", "fields", "analysis", "draft", "verify", "result"]
+STAGES = ["input", "fields", "analysis", "findings", "draft", "verify", "result"]
 
 
 def write_stage(table: DataFrame, root: str, stage: str, partition: str) -> None:

@@ -4,8 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from docketry.operators import intake, rules
 from docketry.plans.derive import Inputs
-from docketry.plans.flow_queries import _EVENT_SCHEMA
+from docketry.plans.flow_queries import _EVENT_SCHEMA, _FLOW_SCHEMA, flow_laws
 from docketry.sources import files
 from docketry.streaming import arrivals
 
@@ -62,18 +63,69 @@ def test_each_file_lands_once(spark, tmp_path):
 
 
 def test_stages_of_the_stream_equal_the_batch(spark, tmp_path):
-    cases = Inputs(spark, FOLDER).event_cases
+    t = Inputs(spark, FOLDER)
+    cases, laws = t.flow_cases, flow_laws(t)
     cases.repartition(3).write.json(str(tmp_path / "input"))
-    stream = arrivals.case_arrivals(spark, str(tmp_path / "input"), _EVENT_SCHEMA, files_per_batch=1)
-    arrivals.stage_flow(stream, str(tmp_path / "stages"), str(tmp_path / "checkpoint"))
+    stream = arrivals.case_arrivals(spark, str(tmp_path / "input"), _FLOW_SCHEMA, files_per_batch=1)
+    arrivals.stage_flow(stream, str(tmp_path / "stages"), str(tmp_path / "checkpoint"), laws)
     analysis = files.read_stage(spark, str(tmp_path / "stages"), "analysis")
     assert analysis.select("batch_id").distinct().count() == 3
     assert not [c for c in analysis.columns if c.startswith("_")]
     whole = arrivals.analyze(cases)
-    paragraphs = arrivals.draft_paragraphs(whole)
-    for stage, table in (("draft", paragraphs.select("case_id", "text")), ("verify", arrivals.verify_stage(whole, paragraphs).select("case_id", "check_id", "status"))):
+    paragraphs, findings = arrivals.draft_paragraphs(whole), rules.defect_checks(whole)
+    verdicts = arrivals.verify_drafts(intake.public_projection(whole), paragraphs, findings, laws)
+    for stage, table in (("draft", paragraphs.select("case_id", "main", "text")), ("findings", findings.select("case_id", "check_id")), ("verify", verdicts)):
         ours = files.read_stage(spark, str(tmp_path / "stages"), stage).select(*table.columns)
         assert ours.exceptAll(table).count() == 0 and table.exceptAll(ours).count() == 0
+    assert {r["check_id"] for r in verdicts.select("check_id").distinct().collect()} == {f"V{i}" for i in range(1, 11)}
+
+
+def test_later_drafts_meet_earlier_analyses_and_reruns_change_nothing(spark, tmp_path):
+    root, folder = str(tmp_path / "stages"), tmp_path / "input"
+    folder.mkdir()
+
+    def arrive(name, *rows):
+        base = {"agency": "府", "doc_no": "字", "legal_basis": "", "disposition_date": "民國113年1月2日", "service_date": "民國113年1月2日", "act_date": "",
+                "service_method": "本人", "revoked": "", "disposition_revoked": "", "previously_decided": ""}
+        lines = [json.dumps(base | row, ensure_ascii=False) for row in rows]
+        (folder / name).write_text("\n".join(lines), encoding="utf-8")
+
+    def reply(main, text, responds="C1"):
+        return json.dumps({"main": main, "remedy_notice": "", "paragraphs": [{"text": text, "cites": ["洗錢防制法第9條"], "responds_to": [responds]}]}, ensure_ascii=False)
+
+    def verdicts(case):
+        rows = files.read_stage(spark, root, "verify").filter(F.col("case_id") == case).orderBy("batch_id").collect()
+        return [(r["batch_id"], r["check_id"], r["status"]) for r in rows]
+
+    law = [(case, None, "洗錢防制法", article, "", "", "") for case, article in ((1, "9"), (2, "8"))]
+    laws = spark.createDataFrame(law, "case_id bigint, citation string, law string, article string, title string, text string, source string")
+
+    def flow():
+        stream = arrivals.case_arrivals(spark, str(folder), _FLOW_SCHEMA)
+        arrivals.stage_flow(stream, root, str(tmp_path / "checkpoint"), laws)
+
+    arrive("a.json", {"case_id": 1, "filed_date": "民國113年1月9日", "claim_ids": "C1", "reply": reply("訴願駁回。", "按洗錢防制法第9條")},
+           {"case_id": 2, "filed_date": "民國113年1月9日", "claim_ids": "C1"}, {"case_id": 3, "filed_date": "民國113年9月9日", "reply": reply("訴願駁回。", "x")})
+    flow()
+    assert {c for _, c, _ in verdicts(1)} == {f"V{i}" for i in range(1, 11)} and not verdicts(2) and not verdicts(3)
+    assert dict((c, s) for _, c, s in verdicts(1))["V1"] == "pass"
+    # a draft that comes later meets the analysis, findings and laws of the first batch
+    late = spark.createDataFrame([(2, reply("訴願不受理。", "按洗錢防制法第9條", "C9")), (77, reply("訴願駁回。", "no analysis"))], "case_id bigint, reply string")
+    arrivals.land_drafts(late, root, 1_000)
+    flow()
+    found = {c: s for _, c, s in verdicts(2)}
+    assert (found["V1"], found["V4"], found["V7"], found["V10"]) == ("fail", "fail", "fail", "fail") and not verdicts(77)
+    before = sorted(files.read_stage(spark, root, "verify").collect())
+    # the same drafts written once more, as after a lost driver: their batch is verified anew and replaced
+    arrivals.land_drafts(late, root, 1_000)
+    flow()
+    assert sorted(files.read_stage(spark, root, "verify").collect()) == before
+    # a second batch of cases leaves the first alone; a case that comes again is judged by its last analysis
+    arrive("b.json", {"case_id": 2, "filed_date": "民國113年1月9日", "claim_ids": "C9", "legal_basis": "法", "reply": reply("訴願駁回。", "按洗錢防制法第9條", "C9")})
+    flow()
+    assert [r for r in sorted(files.read_stage(spark, root, "verify").collect()) if r["case_id"] == 1] == [r for r in before if r["case_id"] == 1]
+    again = {c: s for batch, c, s in verdicts(2) if batch == 1}
+    assert (again["V4"], again["V7"], again["V10"]) == ("pass", "pass", "skipped")
 
 
 def test_requests_of_several_batches_are_told_apart(spark, tmp_path):
@@ -92,3 +144,31 @@ def test_requests_of_several_batches_are_told_apart(spark, tmp_path):
     batch(("2024-03-01", "d"))
     batch(("2024-03-02", "a"))
     assert sorted(r["body"] for r in spark.read.parquet(once).collect()) == ["a", "a", "b", "c", "d"]
+
+
+def test_broken_and_empty_files_are_counted_and_good_cases_landed_once(spark, tmp_path):
+    folder, root = tmp_path / "input", str(tmp_path / "tables")
+    folder.mkdir()
+    good = ['{"case_id": %d, "agency": "府"}' % i for i in range(6)]
+    (folder / "good.json").write_text("\n".join(good[:3]), encoding="utf-8")
+    (folder / "mixed.json").write_text("\n".join([good[3], '{"case_id": 9, "agency": "', good[4]]), encoding="utf-8")
+    (folder / "broken.json").write_bytes(b"\xff\xfe\x00 nothing")
+    (folder / "empty.json").write_text("\n \n")
+
+    def state():
+        rows = arrivals.arrival_report(spark, root).collect()
+        return {r["file_path"].rsplit("/", 1)[1]: (r["state"], r["n_good"], r["n_bad"]) for r in rows}
+
+    def landed():
+        return sorted(r["case_id"] for r in spark.read.parquet(f"{root}/landed").select("case_id").collect())
+
+    arrivals.land_cases(spark, str(folder), "case_id bigint, agency string", root, files_per_batch=2)
+    first = {"good.json": ("good", 3, 0), "mixed.json": ("partly", 2, 1), "broken.json": ("broken", 0, 1), "empty.json": ("empty", 0, 0)}
+    assert state() == first and landed() == [0, 1, 2, 3, 4]
+    assert sorted(r["record"][:12] for r in spark.read.parquet(f"{root}/quarantine").collect())[0] == '{"case_id": '
+    # what has been landed is not landed again
+    arrivals.land_cases(spark, str(folder), "case_id bigint, agency string", root)
+    assert state() == first and landed() == [0, 1, 2, 3, 4]
+    (folder / "later.json").write_text(good[5], encoding="utf-8")
+    arrivals.land_cases(spark, str(folder), "case_id bigint, agency string", root)
+    assert state() == first | {"later.json": ("good", 1, 0)} and landed() == list(range(6))
