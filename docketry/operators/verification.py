@@ -94,12 +94,11 @@ def allowed_items(laws: DataFrame) -> DataFrame:
     """
     law, article = T.strip(F.coalesce("law", F.lit(""))), T.strip(F.coalesce("article", F.lit("")))
     numbered = F.when(article.rlike(r"^\d+\z"), F.concat(law, F.lit("第"), article, F.lit("條"))).otherwise(F.concat(law, article))
-    # one call for both, and one for the free texts
-    own = citations.normalize_citations(F.array("citation", F.when((law != "") & (article != ""), numbered)))
+    own = laws.withColumn("item", F.coalesce(citations.normalize_citation(F.col("citation")), citations.normalize_citation(F.when((law != "") & (article != ""), numbered))))
+    # only rows without a structured citation have their texts read
     free = F.flatten(F.array(*[citations.citation_names(F.col(c)) for c in ("title", "text", "source")]))
-    found = laws.select("case_id", own.alias("own"), free.alias("free"))
-    structured = F.coalesce(F.get("own", F.lit(0)), F.get("own", F.lit(1)))
-    return found.select("case_id", F.explode(F.when(structured.isNotNull(), F.array(structured)).otherwise(F.col("free"))).alias("item"))
+    return own.filter(F.col("item").isNotNull()).select("case_id", "item").unionByName(
+        own.filter(F.col("item").isNull()).select("case_id", F.explode(free).alias("item")))
 
 
 def allowed_citations(laws: DataFrame) -> DataFrame:
@@ -200,6 +199,50 @@ def v4_claim_coverage(claims: DataFrame, paragraphs: DataFrame) -> Check:
                  F.when(is_red, _n("v4_missing")).otherwise(_n("v4_extra")), _objected(sides, "V4", missing == 1).unionByName(surplus))
 
 
+def effective_periods(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The days on which any version of a citation is valid, as tables without a row per version.
+
+    First table: a row per citation, with the day before which it is valid by versions without a beginning (``until``) and the day
+    from which it is valid by versions without an end (``since``). Second table: for a citation and year the periods
+    that touch the year, joined where they meet, so that no year has more than half as many as days.
+    """
+    known = versions.filter(F.col("citation").isNotNull()).select(F.col("citation").alias("item"), F.col("effective_from").alias("start"), F.col("repealed_on").alias("end"))
+    begun, ended = F.col("start").isNotNull(), F.col("end").isNotNull()
+    whole = known.groupBy("item").agg(
+        F.max(F.when(~begun & ended, F.col("end"))).alias("until"), F.min(F.when(~ended, F.coalesce("start", F.lit("0001-01-01").cast("date")))).alias("since"))
+    years = F.sequence(F.year("start"), F.year(F.date_sub("end", 1)))
+    parts = known.filter(begun & ended & (F.col("start") < F.col("end"))).withColumn("year", F.explode(years))
+    first = F.greatest("start", F.make_date("year", F.lit(1), F.lit(1)))
+    last = F.least("end", F.make_date(F.col("year") + 1, F.lit(1), F.lit(1)))
+    # of equal beginnings only the longest counts, which the map side finds
+    longest = parts.select("item", "year", first.alias("start"), last.alias("end")).groupBy("item", "year", "start").agg(F.max("end").alias("end"))
+    day = F.sort_array(F.collect_list(F.struct("start", "end")))
+    none = F.array().cast("array<struct<start:date,end:date>>")
+
+    def join_on(done: Column, period: Column) -> Column:
+        before = F.try_element_at(done, F.lit(-1))
+        meets = F.coalesce(period["start"] <= before["end"], F.lit(False))
+        joined = F.struct(before["start"].alias("start"), F.greatest(before["end"], period["end"]).alias("end"))
+        return F.when(meets, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(period)))
+
+    yearly = longest.groupBy("item", "year").agg(F.aggregate(day, none, join_on).alias("periods"))
+    return whole, yearly
+
+
+def effective_state(cited: DataFrame, versions: DataFrame) -> DataFrame:
+    """case_id, item and state of cited articles at the day ``act``: effective, not_effective or unknown.
+
+    ``cited``: case_id, item, act; ``versions``: citation, effective_from (null: always), repealed_on (null: never; the day itself is
+    not valid any more). A cited article meets one row of each table, however many versions it has.
+    """
+    whole, yearly = effective_periods(versions)
+    asked = cited.withColumn("year", F.year("act"))
+    found = asked.join(whole.withColumn("known", F.lit(1)), "item", "left").join(yearly, ["item", "year"], "left")
+    inside = F.exists("periods", lambda p: (p["start"] <= F.col("act")) & (F.col("act") < p["end"]))
+    valid = reduce(lambda a, b: a | b, [F.coalesce(test, F.lit(False)) for test in (F.col("act") < F.col("until"), F.col("act") >= F.col("since"), inside)])
+    return found.select("case_id", "item", F.when(F.col("known").isNull(), "unknown").when(valid, "effective").otherwise("not_effective").alias("state"))
+
+
 def v5_effective_at_act(cases: DataFrame, items: DataFrame, versions: DataFrame | None) -> Check:
     """Cited articles valid on the act date: from <= act < repealed, as a lookup on the citation.
 
@@ -211,12 +254,7 @@ def v5_effective_at_act(cases: DataFrame, items: DataFrame, versions: DataFrame
         return Check("V5", [], F.lit("skipped"), F.lit("red"), nothing, nothing, _objected(items, "V5", F.lit(False)))
     acts = cases.select("case_id", dates.parse_date(F.col("act_date")).alias("act")).filter(F.col("act").isNotNull())
     cited = items.filter(_has(DECLARED) == 1).select("case_id", "item").join(acts, "case_id")
-    inside = (F.coalesce(F.col("effective_from") <= F.col("act"), F.lit(True))
-              & F.coalesce(F.col("act") < F.col("repealed_on"), F.lit(True)))
-    found = cited.join(versions.withColumnRenamed("citation", "item").withColumn("known", F.lit(1)), "item", "left") \
-        .groupBy("case_id", "item").agg(F.max("known").alias("known"), F.max(F.when(F.col("known") == 1, inside.cast("int"))).alias("valid"))
-    state = F.when(F.col("known").isNull(), "unknown").when(F.col("valid") == 1, "effective").otherwise("not_effective")
-    looked = found.select("case_id", "item", state.alias("state"))
+    looked = stored(effective_state(cited, versions), "looked-up")
     rows = looked.select("case_id", F.lit(1).alias("v5_cited"), (F.col("state") == "not_effective").cast("int").alias("v5_bad"),
                          (F.col("state") == "unknown").cast("int").alias("v5_unknown"))
     bad, unknown = _n("v5_bad") > 0, _n("v5_unknown") > 0

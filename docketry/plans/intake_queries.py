@@ -179,9 +179,9 @@ def adapt_triage_to_case(spark, t):
         fields["petition_filed_date"].alias("filed_date"))
 
 
-@query("mask_answer_columns", "SELECT CAST(doc_id AS VARCHAR) AS \"案號\", lang AS \"案件類型\", text AS \"訴願書敘述\" FROM documents JOIN labels USING (doc_id)")
+@query("mask_answer_columns", "SELECT CAST(doc_id AS VARCHAR) AS \"案號\", lang AS \"案件類型\", text AS \"訴願書敘述\" FROM documents LEFT JOIN labels USING (doc_id)")
 def mask_answer_columns(spark, t):
-    records = t.documents.join(t.labels, "doc_id").selectExpr(
+    records = t.documents.join(t.labels, "doc_id", "left").selectExpr(
         "CAST(doc_id AS string) AS `案號`", "lang AS `案件類型`", "text AS `訴願書敘述`", "CASE WHEN quality = 1 THEN '受理' ELSE '不受理' END AS `受理與否`",
         "'77(2)' AS `不受理款次`", "source AS `判定理由`", "'駁回' AS `實體結果`", "toxic AS `逾期天數`")
     return intake.mask_answer_columns(records)

@@ -250,3 +250,29 @@ def test_packets_keep_different_payloads_of_a_key(spark):
 def test_request_key_ignores_the_order_of_columns(spark):
     row = spark.createDataFrame([("x", "y")], "a string, b string").select(arrivals.request_key("a", "b").alias("p"), arrivals.request_key("b", "a").alias("q")).head()
     assert row["p"] == row["q"]
+
+
+def test_effective_state_with_very_many_versions(spark):
+    """One citation with 100,000 versions that a third of all cases cite, open ends, gaps, overlaps, empty and unknown ones."""
+    day = "date_add(DATE '1990-01-01', CAST({} AS int))".format
+    many = spark.range(100_000).selectExpr("'hot' AS citation", f"{day('id % 9000 * 2')} AS effective_from", f"{day('id % 9000 * 2 + 1 + id % 3 % 2')} AS repealed_on")
+    rows = [("open", "2001-01-01", None), ("open", "1995-01-01", "1996-01-01"), ("past", None, "2000-05-05"), ("all", None, None), ("empty", "2000-01-01", "2000-01-01"),
+            ("turned", "2001-01-01", "2000-01-01"), ("two", "1992-03-01", "1999-12-31"), ("two", "1999-06-01", "2003-01-01"), ("two", "2004-02-29", "2004-03-01"), (None, None, None)]
+    few = spark.createDataFrame(rows, "citation string, effective_from string, repealed_on string").selectExpr("citation", "CAST(effective_from AS date)", "CAST(repealed_on AS date)")
+    versions = many.union(few).union(few)
+    names = "array('hot', 'hot', 'open', 'past', 'all', 'empty', 'turned', 'two', 'none')"
+    cited = spark.range(9000).selectExpr("id AS case_id", f"element_at({names}, CAST(id % 9 AS int) + 1) AS item", f"{day('id * 7 % 6000')} AS act")
+    got = {r["case_id"]: r["state"] for r in X.effective_state(cited, versions).collect()}
+    spans = {}
+    for r in versions.distinct().collect():
+        spans.setdefault(r["citation"], []).append((r["effective_from"], r["repealed_on"]))
+    wanted = {}
+    hot = {}
+    for r in cited.collect():
+        if (r["item"], r["act"]) not in hot:
+            inside = any((a is None or a <= r["act"]) and (b is None or r["act"] < b) for a, b in spans.get(r["item"], []))
+            hot[r["item"], r["act"]] = "unknown" if r["item"] not in spans else "effective" if inside else "not_effective"
+        wanted[r["case_id"]] = hot[r["item"], r["act"]]
+    assert got == wanted and set(got.values()) == {"effective", "not_effective", "unknown"}
+    whole, yearly = X.effective_periods(versions)
+    assert whole.groupBy("item").count().filter("count > 1").isEmpty() and yearly.selectExpr("max(size(periods))").first()[0] <= 183
