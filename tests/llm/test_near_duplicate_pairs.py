@@ -144,5 +144,7 @@ def test_sketches_bound_the_difference():
     apart = sketches.apart(a, b)
     true = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
     assert (apart <= true).all() and (apart[a == b] == 0).all()
-    near = (true > 0) & (true < 150)
-    assert (apart[near] > 0.5 * true[near]).mean() > 0.9
+    # tight for sets near in size and content; where sizes differ much, the length filter decides
+    size = np.array([len(x) for x in sets])
+    near = (true > 0) & (true < 150) & (np.minimum(size[a], size[b]) >= 0.9 * np.maximum(size[a], size[b]))
+    assert near.sum() >= 8 and (apart[near] > 0.8 * true[near]).all()
