@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry import values as V
+from docketry.functions.law_names import LawNames, resolve_by_table
 from docketry.functions.text import (
     BLANK, CJK, ascii_digits, bind, blank_to_null, drop_blanks, groups, lits, strip, unify_variants,
 )
@@ -49,6 +50,12 @@ def resolve_law(raw: Column) -> Column:
     return bind(unify_variants(drop_blanks(F.coalesce(raw, F.lit("")))), _resolve)
 
 
+def resolve_laws(rows: DataFrame, column: str, laws: DataFrame) -> DataFrame:
+    """``rows`` with ``law``: names in ``column`` resolved against a table of laws (place, law) instead of the fixed list; null and empty names give ''."""
+    settled = rows.withColumn("_settled", unify_variants(drop_blanks(F.coalesce(F.col(column), F.lit("")))))
+    return resolve_by_table(settled, "_settled", laws, _cut_lead_words(F.col("_settled"))).drop("_settled")
+
+
 def _number(digits: Column) -> Column:
     """Digits without leading zeros."""
     return bind(F.ltrim(digits, F.lit("0")), lambda n: F.when((n == "") & (digits != ""), "0").otherwise(n))
@@ -98,7 +105,7 @@ class _Reader:
         # blanks and digits of the patterns are the ASCII ones, as in the column expressions
         self.scan, self.parts = re.compile(_SCAN, re.ASCII), re.compile(V.CITATION_PATTERN, re.ASCII)
         self.follow, self.broken = re.compile(V.FOLLOW_ON_PATTERN, re.ASCII), re.compile(V.MALFORMED_PATTERN, re.ASCII)
-        self.registered, self.pronoun = (re.compile(_one_of(words) + r"\Z") for words in (V.REGISTERED_LAWS, V.PRONOUN_LAWS))
+        self.names = LawNames(V.REGISTERED_LAWS)
         self.edges = re.compile(rf"\A{BLANK}+|{BLANK}+\Z")
         self.digits = str.maketrans(V.FULLWIDTH_DIGITS, V.ASCII_DIGITS)
         self.variants = str.maketrans(V.VARIANTS_FROM, V.VARIANTS_TO)
@@ -106,20 +113,9 @@ class _Reader:
 
     def law(self, raw: str) -> str:
         if raw not in self.laws:
-            self.laws[raw] = self._resolve(raw.translate(self.variants))
+            self.laws[raw] = self.names.resolve(raw.translate(self.variants))
         return self.laws[raw]
 
-    def _resolve(self, law: str) -> str:
-        if found := self.registered.search(law):
-            return found[0]
-        for name in V.REGISTERED_LAWS:
-            if len(name) >= 5 and law.endswith(name[1:]):
-                return name
-        if found := self.pronoun.search(law):
-            return found[0]
-        ends = [law.rfind(word) + len(word) for word in V.LAW_LEAD_WORDS if word in law]
-        return law[max((end for end in ends if len(law) - end >= 2), default=0):]
-
     @staticmethod
     def number(digits: str | None) -> str:
         return (digits.lstrip("0") or "0") if digits else ""

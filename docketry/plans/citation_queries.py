@@ -59,13 +59,26 @@ def normalize_citation(spark, t):
     return raw.withColumn("citation", C.normalize_citation(F.col("raw")))
 
 
-@query("resolve_law_name", f"""
+_RESOLVE_SQL = f"""
 WITH r AS (SELECT case_id, pk, CASE pk % 3 WHEN 0 THEN written WHEN 1 THEN '本件 ' || written ELSE '申請人不服依據' || law_clean END AS raw FROM cite_keys),
 l AS (SELECT *, translate(regexp_replace(raw, '\\s+', '', 'g'), '汙台', '污臺') AS l FROM r)
-SELECT case_id, pk, raw, {resolve_sql('l')} AS law FROM l""", inputs=("cite_keys",))
+SELECT case_id, pk, raw, {resolve_sql('l')} AS law FROM l"""
+
+
+def _captured_names(t):
+    return t.cite_keys.selectExpr("case_id", "pk", "CASE pk % 3 WHEN 0 THEN written WHEN 1 THEN '本件 ' || written ELSE '申請人不服依據' || law_clean END AS raw")
+
+
+@query("resolve_law_name", _RESOLVE_SQL, inputs=("cite_keys",))
 def resolve_law_name(spark, t):
-    raw = "CASE pk % 3 WHEN 0 THEN written WHEN 1 THEN '本件 ' || written ELSE '申請人不服依據' || law_clean END AS raw"
-    return t.cite_keys.selectExpr("case_id", "pk", raw).withColumn("law", C.resolve_law(F.col("raw")))
+    return _captured_names(t).withColumn("law", C.resolve_law(F.col("raw")))
+
+
+@query("resolve_law_by_table", _RESOLVE_SQL, inputs=("cite_keys",))
+def resolve_law_by_table(spark, t):
+    """The same names against a table of laws, as a join."""
+    laws = spark.createDataFrame(list(enumerate(V.REGISTERED_LAWS)), "place long, law string")
+    return C.resolve_laws(_captured_names(t), "raw", laws).select("case_id", "pk", "raw", "law")
 
 
 @query("find_malformed", f"""WITH {_ROWS},
