@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from docketry import values as V
@@ -14,7 +16,7 @@ from docketry.plans.rule_queries import FINDINGS_SQL, GATE_SQL, gate_of
 from docketry.plans.search_queries import DISPOSITION_SQL, MERGED_SQL, PAIRS_SQL, _vectors, majority_sql, merged_hits
 from docketry.session import work_dir
 from docketry.sources import files
-from docketry.streaming import arrivals
+from docketry.streaming import arrivals, requests
 
 
 @query("scan_json_docs", """
@@ -209,3 +211,19 @@ def dedup_stream(spark, t):
     once = arrivals.dedup_stream(stream, ["event_type", "props"], "ts", "60 days")
     arrivals.land(once, f"{root}/once", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/once").select("request_key", "event_type", "props")
+
+
+@query("dedup_state", f"""
+WITH a AS (SELECT {_KEY_SQL} AS request_key, event_id % 3 AS batch, count(*) AS n, min(ts) AS first_at, min(event_id) FILTER (event_id % 11 <> 0) AS event_id FROM events GROUP BY 1, 2),
+k AS (SELECT *, min(first_at) OVER (PARTITION BY request_key ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM a)
+SELECT request_key, CAST(sum(n) AS BIGINT) AS n_asked, count(*) FILTER (known IS NULL) AS n_first, count(*) FILTER (first_at < known) AS n_late, min(event_id) AS event_id FROM k GROUP BY 1""")
+def dedup_state(spark, t):
+    """The events come in three batches; none of the requests expires between them."""
+    root = work_dir(spark, "asked")
+    rows = t.events.selectExpr("event_id", "event_type", "props", "CAST(ts AS timestamp) AS ts", "CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS is_mock")
+    for batch in range(3):
+        rows.filter(F.col("event_id") % 3 == batch).write.mode("append").parquet(f"{root}/input")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/input")
+        requests.collect_requests(stream, root, f"{root}/checkpoint/asked", ["event_type", "props"], "ts", ["event_id"])
+    requests.book_requests(spark, root, f"{root}/checkpoint/book", timedelta(days=36_500))
+    return requests.request_answers(requests.booked(spark, root)).select("request_key", "n_asked", "n_first", "n_late", "answer.event_id")

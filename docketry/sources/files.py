@@ -113,11 +113,16 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
 STAGES = ["input", "fields", "analysis", "findings", "draft", "verify", "result"]
 
 
+def replace_partitions(table: DataFrame, path: str, partition: str) -> None:
+    """Only the partitions that the rows bring are replaced, so a rerun leaves the same rows."""
+    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
 def write_stage(table: DataFrame, root: str, stage: str, partition: str) -> None:
-    """One parquet folder per stage; a rerun replaces only the partitions it brings."""
+    """One parquet folder per stage."""
     if stage not in STAGES:
         raise ValueError(f"unknown stage {stage}")
-    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(f"{root}/{stage}")
+    replace_partitions(table, f"{root}/{stage}", partition)
 
 
 def read_stage(spark: SparkSession, root: str, stage: str) -> DataFrame:
