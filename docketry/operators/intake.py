@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from docketry import values as V
-from docketry.functions import citations, dates, labels, text as T
+from docketry.functions import citations, dates, labels, merging, text as T
 from docketry.functions.text import blank_to_null
 
 
@@ -81,11 +81,50 @@ def reply_paragraphs(replies: DataFrame) -> DataFrame:
     )
 
 
-def merge_extracted_fields(by_pattern: DataFrame, by_model: DataFrame, key: str, strong: list[str], weak: list[str]) -> DataFrame:
-    """Pattern layer wins for the strong fields, a model value fills the rest; the key is unique on both sides."""
-    left = normalize_missing(by_pattern).select(key, *[F.col(c).alias(f"{c}_p") for c in strong])
-    return left.join(normalize_missing(by_model), key, "left").select(
-        key, *[F.coalesce(f"{c}_p", c).alias(c) for c in strong], *weak)
+#: what a model is asked for; claims come as objects or as plain texts, so each is read on its own
+MODEL_FIELDS = (
+    "petitioner struct<name:string,address:string,agent:string>, original_disposition struct<agency:string,date:string,doc_no:string,"
+    "legal_basis:array<string>,penalty_amount:bigint,service_date:string,act_date:string>, petition_filed_date string, "
+    "requests array<string>, claims array<string>, evidence_list array<string>")
+
+
+def model_fields(replies: DataFrame) -> DataFrame:
+    """The fields a model reply states, as columns instead of ``reply``; all null where a reply is no JSON object.
+
+    Claims become structs of id, summary and quote: an id that is missing becomes C<n> by the claim's place, a plain text is a summary.
+    """
+    said = F.from_json(T.fenced_json(F.col("reply")), MODEL_FIELDS)
+    keys = [c for c in replies.columns if c != "reply"]
+    return replies.select(*keys, said.alias("_said")).select(*keys, "_said.*").withColumn("claims", F.transform("claims", _claim))
+
+
+def _claim(raw: Column, at: Column) -> Column:
+    number = F.concat(F.lit("C"), (at + 1).cast("string"))
+    parsed = F.from_json(raw, "id string, summary string, quote string")
+    said = T.bind(parsed, lambda c: F.struct(
+        F.coalesce(blank_to_null(c["id"]), number).alias("id"), F.coalesce(c["summary"], F.lit("")).alias("summary"), F.coalesce(c["quote"], F.lit("")).alias("quote")))
+    plain = F.struct(number.alias("id"), F.coalesce(raw, F.lit("")).alias("summary"), F.lit("").alias("quote"))
+    return F.when(F.startswith(F.ltrim(raw), F.lit("{")), said).otherwise(plain)
+
+
+def merge_extracted_fields(by_pattern: DataFrame, by_model: DataFrame, key: str) -> DataFrame:
+    """Fields of both layers, merged leaf by leaf as deep as their schemas go: the pattern layer wins, the model fills what it lacks.
+
+    Every case of the pattern layer stays; the key is unique on both sides. Leaves that say nothing (empty texts, 0, empty arrays)
+    are null in the result, see ``merging.filled`` and ``merging.merged``.
+    """
+    def prepared(table: DataFrame, prefix: str) -> tuple[DataFrame, dict[str, S.DataType]]:
+        kinds = {f.name: f.dataType for f in table.schema.fields if f.name != key}
+        return table.select(key, *[merging.filled(F.col(c), kind).alias(prefix + c) for c, kind in kinds.items()]), kinds
+
+    (left, first), (right, second) = prepared(by_pattern, "_p_"), prepared(by_model, "_m_")
+
+    def field(name: str) -> Column:
+        if name in first and name in second:
+            return merging.merged(F.col(f"_p_{name}"), first[name], F.col(f"_m_{name}"), second[name])
+        return F.col(f"_p_{name}" if name in first else f"_m_{name}")
+
+    return left.join(right, key, "left").select(key, *[field(name).alias(name) for name in first | second])
 
 
 def normalize_claims(claims: DataFrame) -> DataFrame:
@@ -184,6 +223,20 @@ def assemble_intake(cases: DataFrame) -> DataFrame:
     )
 
 
+def assemble_payload(cases: DataFrame, replies: DataFrame, key: str = "case_id") -> DataFrame:
+    """``assemble_intake`` with the fields of the model merged under those of the patterns, and the raw texts.
+
+    ``cases``: key, petition, disposition_doc; ``replies``: key, reply, at most one per case. Adds extracted_fields (struct) and
+    raw_text (struct of petition and original_disposition_doc, '' where missing).
+    """
+    found = assemble_intake(cases)
+    by_pattern = found.select(key, F.struct("doc_no", "penalty_amount").alias("original_disposition"))
+    fields = merge_extracted_fields(by_pattern, model_fields(replies.select(key, "reply")), key)
+    raw = F.struct(F.coalesce("petition", F.lit("")).alias("petition"), F.coalesce("disposition_doc", F.lit("")).alias("original_disposition_doc"))
+    return found.select(*[c for c in found.columns if c not in ("petition", "disposition_doc")], raw.alias("raw_text")).join(
+        fields.select(key, F.struct(*[c for c in fields.columns if c != key]).alias("extracted_fields")), key)
+
+
 def mask_answer_columns(records: DataFrame, answers: list[str] | None = None) -> DataFrame:
     """What a scorer may see: the answer columns are gone from the plan, not only from the output."""
     return records.drop(*(answers or V.ANSWER_COLUMNS))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docketry import values as V
@@ -69,17 +70,52 @@ def reply_paragraphs(spark, t):
     return rows.select("case_id", "pos", "text", F.array_join("cites", "；").alias("cites"))
 
 
+def _reply_of(key: str, **disposition: str) -> Column:
+    """A model reply per case: fenced, plain, padded, or no JSON at all; with empty leaves and claims of several forms."""
+    leaf = lambda sql: F.expr(sql.replace("KEY", key))
+    said = F.to_json(F.struct(
+        F.struct(leaf("CASE WHEN KEY % 3 = 0 THEN '' ELSE '王' || KEY END").alias("name"), F.lit("板橋").alias("address"), F.lit("").alias("agent")).alias("petitioner"),
+        F.struct(*[leaf(sql).alias(name) for name, sql in disposition.items()], F.array(F.lit(""), F.lit("洗錢防制法第22條")).alias("legal_basis")).alias("original_disposition"),
+        leaf("CASE WHEN KEY % 2 = 0 THEN '113年1月1日' END").alias("petition_filed_date"),
+        leaf("CASE WHEN KEY % 7 = 0 THEN array('') ELSE array('', '撤銷原處分', '另為處分') END").alias("requests"),
+        F.array(F.struct(F.lit("").alias("id"), F.lit("違法").alias("summary"), F.lit(None).cast("string").alias("quote")),
+                F.struct(F.lit("C9").alias("id"), F.lit("過重").alias("summary"), F.lit("摘句").alias("quote"))).alias("claims"),
+        leaf("CASE WHEN KEY % 6 = 0 THEN array('照片') ELSE array() END").alias("evidence_list")))
+    # one more claim as a plain text
+    said = F.regexp_replace(said, r'("quote":"摘句"\})\]', '$1,"字串主張"]')
+    return F.when(F.col(key) % 4 == 0, "無法判斷").when(F.col(key) % 4 == 1, F.concat(F.lit("說明\n```json\n"), said, F.lit("\n```\n完"))) \
+        .when(F.col(key) % 4 == 2, said).otherwise(F.concat(F.lit("  "), said, F.lit("\n")))
+
+
+def _merged_sql(key: str) -> str:
+    said = f"{key} % 4 <> 0"
+    return f"""CASE WHEN {said} AND {key} % 3 <> 0 THEN '王' || {key} END AS petitioner, CASE WHEN {said} THEN '板橋' END AS address,
+  CASE WHEN {said} THEN '洗錢防制法第22條' END AS legal_basis, CASE WHEN {said} AND {key} % 2 = 0 THEN '113年1月1日' END AS filed,
+  CASE WHEN {said} AND {key} % 7 <> 0 THEN '撤銷原處分；另為處分' END AS requests, CASE WHEN {said} THEN 'C1:違法:|C9:過重:摘句|C3:字串主張:' END AS claims,
+  CASE WHEN {said} AND {key} % 6 = 0 THEN '照片' END AS evidence"""
+
+
+def _flat_fields(fields: str = "") -> list:
+    """The merged fields as texts."""
+    at = lambda name: F.col(f"{fields}{name}")
+    claims = F.transform(at("claims"), lambda c: F.concat_ws(":", c["id"], F.coalesce(c["summary"], F.lit("")), F.coalesce(c["quote"], F.lit(""))))
+    return [at("petitioner.name").alias("petitioner"), at("petitioner.address").alias("address"), F.array_join(at("original_disposition.legal_basis"), "；").alias("legal_basis"),
+            at("petition_filed_date").alias("filed"), F.array_join(at("requests"), "；").alias("requests"), F.array_join(claims, "|").alias("claims"), F.array_join(at("evidence_list"), "；").alias("evidence")]
+
+
 @query("merge_extracted_fields", f"""
 WITH p AS (SELECT o_orderkey AS case_id, {_DOC_NO_2} AS text FROM orders),
 r AS (SELECT case_id, replace(regexp_extract(text, '({_CJK}{{2,8}}字第\\s*[0-9A-Za-z]+\\s*號)', 1), ' ', '') AS raw FROM p),
 n AS (SELECT case_id, nullif(substr(raw, CAST(least(length(regexp_extract(raw, '^([{V.DOC_NO_LEADING}]*)', 1)), greatest(instr(raw, '字第') - 3, 0)) AS INT) + 1), '') AS doc_no FROM r)
-SELECT case_id, coalesce(n.doc_no, nullif(c.doc_no, '')) AS doc_no, c.penalty_amount, nullif(agency, '') AS agency, nullif(service_date, '') AS service_date
+SELECT case_id, coalesce(n.doc_no, CASE WHEN case_id % 4 <> 0 THEN nullif(c.doc_no, '') END) AS doc_no, CASE WHEN case_id % 4 <> 0 THEN c.penalty_amount END AS penalty_amount,
+  CASE WHEN case_id % 4 <> 0 THEN nullif(agency, '') END AS agency, CASE WHEN case_id % 4 <> 0 THEN nullif(service_date, '') END AS service_date, {_merged_sql('case_id')}
 FROM n JOIN cases c USING (case_id)""", inputs=("cases",))
 def merge_extracted_fields(spark, t):
     texts = t.orders.selectExpr("o_orderkey AS case_id", f"{_DOC_NO_2} AS text")
-    by_pattern = texts.select("case_id", T.document_number(F.col("text")).alias("doc_no"), T.penalty_amount(F.col("text")).alias("penalty_amount"))
-    by_model = t.cases.select("case_id", "doc_no", "penalty_amount", "agency", "service_date")
-    return intake.merge_extracted_fields(by_pattern, by_model, "case_id", ["doc_no", "penalty_amount"], ["agency", "service_date"])
+    by_pattern = texts.select("case_id", F.struct(T.document_number(F.col("text")).alias("doc_no"), T.penalty_amount(F.col("text")).alias("penalty_amount")).alias("original_disposition"))
+    replies = t.cases.select("case_id", _reply_of("case_id", doc_no="doc_no", penalty_amount="penalty_amount", agency="agency", service_date="service_date").alias("reply"))
+    fields = intake.merge_extracted_fields(by_pattern, intake.model_fields(replies), "case_id")
+    return fields.select("case_id", *[f"original_disposition.{c}" for c in ("doc_no", "penalty_amount", "agency", "service_date")], *_flat_fields())
 
 
 @query("normalize_claims", """
@@ -147,11 +183,16 @@ def classify_by_keywords_v2(spark, t):
 @query("assemble_intake", f"""
 WITH src AS (SELECT doc_id, topic, text FROM topic_docs), {label_sql("kw", "src", "doc_id", V.CASE_TYPE_KEYWORDS, V.CASE_TYPE_NAME_BONUS, V.OTHER_LABEL).strip()}
 SELECT doc_id, label, {sql_case('label', V.LABEL_TO_ROUTE, "'general'")} AS route_key, least(1.0, round(best / 5.0, 2))::DOUBLE AS confidence,
-  CASE WHEN best / 5.0 < 0.5 THEN 1 ELSE 0 END AS need_human_review, '新北環字第' || doc_id || '號' AS doc_no, CAST((doc_id % 9 + 1) * 1000 AS BIGINT) AS penalty_amount
+  CASE WHEN best / 5.0 < 0.5 THEN 1 ELSE 0 END AS need_human_review, '新北環字第' || doc_id || '號' AS doc_no, CAST((doc_id % 9 + 1) * 1000 AS BIGINT) AS penalty_amount,
+  text AS petition, topic || '，依新北環字第' || doc_id || '號裁處' || (doc_id % 9 + 1) || ',000元' AS disposition_doc,
+  CASE WHEN doc_id % 4 <> 0 AND doc_id % 5 <> 0 THEN '環保局' || (doc_id % 5) END AS agency, '新北環字第' || doc_id || '號' AS merged_doc_no, {_merged_sql('doc_id')}
 FROM kw JOIN src USING (doc_id)""", inputs=("topic_docs",))
 def assemble_intake(spark, t):
     cases = t.topic_docs.selectExpr("doc_id", "text AS petition", "topic || '，依新北環字第' || doc_id || '號裁處' || (doc_id % 9 + 1) || ',000元' AS disposition_doc")
-    return intake.assemble_intake(cases).drop("petition", "disposition_doc")
+    replies = t.topic_docs.select("doc_id", _reply_of("doc_id", doc_no="'模型字第1號'", agency="CASE WHEN KEY % 5 = 0 THEN '' ELSE '環保局' || (KEY % 5) END").alias("reply"))
+    payload = intake.assemble_payload(cases, replies, "doc_id")
+    return payload.select(*[c for c in payload.columns if c not in ("raw_text", "extracted_fields")], "raw_text.petition", F.col("raw_text.original_disposition_doc").alias("disposition_doc"),
+                          "extracted_fields.original_disposition.agency", F.col("extracted_fields.original_disposition.doc_no").alias("merged_doc_no"), *_flat_fields("extracted_fields."))
 
 
 @query("adapt_triage_to_case", """
