@@ -31,7 +31,8 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]")
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+_IN_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
+_LETTER = re.compile(r"[A-Za-z]")
 _USER = re.compile(r"[^\s/?#@\"'<>]+@[A-Za-z0-9.-]+[^\s\"'<>]*")
 _KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 _NUMBER = re.compile(r"[^0-9A-Za-z\n]{0,3}(?:(?:number|no|nr)\b[^0-9A-Za-z\n]{0,3})?((?:[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,30}|[0-9](?:[ -]?[0-9]){5,17}))(?![0-9A-Za-z])")
@@ -98,7 +99,11 @@ def find_spans(text: str, anchors) -> list[tuple[str, int, int]]:
                 if 9 <= len(_NO_DIGIT.sub("", match[0])) <= 15:
                     spans["phone"].append(match.span())
         elif anchor == "://":
-            head = _SCHEME.search(text, max(after["address"], at - 20), at)
+            start = at
+            while start > after["address"] and text[start - 1] in _IN_SCHEME:
+                start -= 1
+            # a scheme begins with a letter
+            head = _LETTER.search(text, start, at)
             if head and (match := _USER.match(text, at + 3)):
                 end = match.end()
                 while text[end - 1] in ".,;:!?)":

@@ -52,6 +52,10 @@ def test_added_kinds_and_masking():
     assert [text[s:e] for k, s, e in found if k == "address"] == ["ftp://u:p@h.example/x"]
     assert personal_data.masked_text("to a.b@c.de now", [("email", 3, 9), ("email", 5, 9)]) == "to [EMAIL]de now"
     assert personal_data.find_spans("https://example.org/a b://c", personal_data.automaton()) == []
+    # a scheme of any length counts from its first letter
+    for scheme in ("abcdefghijklmnopqrstuvwxyz", "git+" + "s" * 100_000):
+        text = f"see 12{scheme}://u@h.example/x and u://u@h.example"
+        assert [text[s:e] for k, s, e in personal_data.find_spans(text, personal_data.automaton()) if k == "address"] == [f"{scheme}://u@h.example/x", "u://u@h.example"]
 
 
 def test_personal_data(docs, no_docs, rows):
