@@ -29,6 +29,8 @@ class Check(NamedTuple):
     n_items: Column
     n_evidence: Column
     evidence: DataFrame | None = None
+    detail: Column | None = None        # what a red failure says, over the sums and the texts
+    texts: DataFrame | None = None      # a row per case: case_id and texts that the detail mentions
 
 
 def _n(name: str) -> Column:
@@ -46,13 +48,30 @@ def judge(cases: DataFrame, checks: list[Check]) -> DataFrame:
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     metrics = [c for c in united.columns if c != "case_id"]
     summed = united.groupBy("case_id").agg(*[F.sum(c).alias(c) for c in metrics]).filter(F.col("asked") > 0)
+    for texts in {id(c.texts): c.texts for c in checks if c.texts is not None}.values():
+        summed = summed.join(texts, "case_id", "left")
     verdicts = [F.struct(F.lit(c.check_id).alias("check_id"), c.status.alias("status"), c.level.alias("level"),
-                         c.n_items.cast("bigint").alias("n_items"), c.n_evidence.cast("bigint").alias("n_evidence")) for c in checks]
+                         c.n_items.cast("bigint").alias("n_items"), c.n_evidence.cast("bigint").alias("n_evidence"), _detail(c).alias("detail")) for c in checks]
     return summed.select("case_id", F.array(*verdicts).alias("checks"))
 
 
+def _detail(check: Check) -> Column:
+    """Null unless the check fails red."""
+    said = F.lit(None).cast("string") if check.detail is None else check.detail
+    return F.when((check.status == "fail") & (check.level == "red"), said)
+
+
+def _py_list(items: Column) -> Column:
+    """Items in quotes and brackets; in double quotes where they hold single ones."""
+    def quoted(item: Column) -> Column:
+        mark = F.when(F.contains(item, F.lit("'")), '"').otherwise("'")
+        return F.concat(mark, item, mark)
+
+    return F.concat(F.lit("["), F.array_join(F.transform(items, quoted), ", "), F.lit("]"))
+
+
 def results(cases: DataFrame, *checks: Check) -> DataFrame:
-    return judge(cases, list(checks)).select("case_id", F.explode("checks").alias("c")).select("case_id", "c.*")
+    return judge(cases, list(checks)).select("case_id", F.explode("checks").alias("c")).select("case_id", "c.*").drop("detail")
 
 
 def with_evidence(cases: DataFrame, check: Check) -> DataFrame:
@@ -158,7 +177,7 @@ def citation_set_checks(items: DataFrame) -> list[Check]:
                         inline.alias("v2_inline"), undeclared.alias("v2_bad"))
     return [
         Check("V1", [rows], _status((_n("v1_allowed") == 0) | (_n("v1_cited") == 0), _n("v1_bad") > 0), F.lit("red"),
-              _n("v1_cited"), _n("v1_bad"), _objected(items, "V1", unlisted == 1)),
+              _n("v1_cited"), _n("v1_bad"), _objected(items, "V1", unlisted == 1), F.format_string(V.UNLISTED, _n("v1_bad").cast("bigint"))),
         Check("V2", [rows], _status(_n("v2_inline") == 0, _n("v2_bad") > 0), F.lit("amber"),
               _n("v2_inline"), _n("v2_bad"), _objected(items, "V2", undeclared == 1)),
     ]
@@ -172,6 +191,12 @@ def v2_undeclared_inline(items: DataFrame) -> Check:
     return citation_set_checks(items)[1]
 
 
+def broken_marks(paragraphs: DataFrame) -> DataFrame:
+    """Evidence of V3: the broken article marks with what stands around them, one row each."""
+    marked = paragraphs.filter(F.col("_broken") > 0) if "_broken" in paragraphs.columns else paragraphs
+    return marked.select("case_id", F.lit("V3").alias("check_id"), F.explode(citations.malformed_citations(F.col("text"))).alias("item"))
+
+
 def v3_article_format(paragraphs: DataFrame) -> Check:
     """Broken article marks in the text are red, declared citations that do not parse amber."""
     if "_declared" in paragraphs.columns:
@@ -181,7 +206,8 @@ def v3_article_format(paragraphs: DataFrame) -> Check:
     rows = paragraphs.select("case_id", broken.alias("v3_broken"), given.alias("v3_cites"), (given - parsed).alias("v3_bad"))
     broken, bad = _n("v3_broken") > 0, _n("v3_bad") > 0
     return Check("V3", [rows], F.when(broken | bad, "fail").when(_n("v3_cites") == 0, "skipped").otherwise("pass"),
-                 F.when(~broken & bad, "amber").otherwise("red"), _n("v3_cites"), F.when(broken, _n("v3_broken")).otherwise(_n("v3_bad")))
+                 F.when(~broken & bad, "amber").otherwise("red"), _n("v3_cites"), F.when(broken, _n("v3_broken")).otherwise(_n("v3_bad")),
+                 broken_marks(paragraphs), F.format_string(V.BROKEN_ARTICLES, _n("v3_broken").cast("bigint")))
 
 
 def v4_claim_coverage(claims: DataFrame, paragraphs: DataFrame) -> Check:
@@ -196,7 +222,8 @@ def v4_claim_coverage(claims: DataFrame, paragraphs: DataFrame) -> Check:
     missing_cases = sides.filter(missing == 1).select("case_id").distinct()
     surplus = _objected(sides, "V4", extra == 1).join(missing_cases, "case_id", "left_anti")
     return Check("V4", [rows], _status(_n("v4_claims") == 0, is_red | (_n("v4_extra") > 0)), level, _n("v4_claims"),
-                 F.when(is_red, _n("v4_missing")).otherwise(_n("v4_extra")), _objected(sides, "V4", missing == 1).unionByName(surplus))
+                 F.when(is_red, _n("v4_missing")).otherwise(_n("v4_extra")), _objected(sides, "V4", missing == 1).unionByName(surplus),
+                 F.format_string(V.UNANSWERED, _n("v4_claims").cast("bigint"), _n("v4_missing").cast("bigint")))
 
 
 def effective_periods(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -258,9 +285,11 @@ def v5_effective_at_act(cases: DataFrame, items: DataFrame, versions: DataFrame
     rows = looked.select("case_id", F.lit(1).alias("v5_cited"), (F.col("state") == "not_effective").cast("int").alias("v5_bad"),
                          (F.col("state") == "unknown").cast("int").alias("v5_unknown"))
     bad, unknown = _n("v5_bad") > 0, _n("v5_unknown") > 0
-    return Check("V5", [rows], _status(_n("v5_cited") == 0, bad | unknown), F.when(~bad & unknown, "amber").otherwise("red"), _n("v5_cited"),
+    day = acts.select("case_id", F.unix_date("act").alias("v5_act"))
+    detail = F.format_string(V.NOT_EFFECTIVE, _n("v5_bad").cast("bigint"), _iso("v5_act"))
+    return Check("V5", [rows, day], _status(_n("v5_cited") == 0, bad | unknown), F.when(~bad & unknown, "amber").otherwise("red"), _n("v5_cited"),
                  F.when(bad, _n("v5_bad")).otherwise(_n("v5_unknown")),
-                 looked.filter(F.col("state") != "effective").select("case_id", F.lit("V5").alias("check_id"), "item", "state"))
+                 looked.filter(F.col("state") != "effective").select("case_id", F.lit("V5").alias("check_id"), "item", "state"), detail)
 
 
 def v6_ungrounded_dates(cases: DataFrame, paragraphs: DataFrame, allow_derived: bool = False) -> Check:
@@ -286,11 +315,19 @@ def v7_period_recheck(cases: DataFrame) -> Check:
     here and no weekend is rolled, so the verdict can differ from the gate: ``period_conflicts``.
     """
     rows = cases.select("case_id", F.date_diff("_filed", "_service").alias("v7_elapsed"),
-                        F.contains(F.coalesce("main", F.lit("")), F.lit(V.RULING_WORDS["inadmissible"])).cast("int").alias("v7_rejects"))
+                        F.contains(F.coalesce("main", F.lit("")), F.lit(V.RULING_WORDS["inadmissible"])).cast("int").alias("v7_rejects"),
+                        F.unix_date("_service").alias("v7_service"), F.unix_date("_filed").alias("v7_filed"))
     elapsed, rejects = F.col("v7_elapsed"), F.col("v7_rejects") > 0
     late = elapsed > V.APPEAL_PERIOD_DAYS
+    counted = F.format_string(V.PERIOD_COUNTED, _iso("v7_service"), _iso("v7_filed"), elapsed.cast("bigint"), F.lit(V.APPEAL_PERIOD_DAYS))
     return Check("V7", [rows], _status(elapsed.isNull(), (elapsed < 0) | (late & ~rejects) | (~late & rejects)),
-                 F.when(elapsed.isNull() | ((elapsed >= 0) & ~late & rejects), "amber").otherwise("red"), F.coalesce(elapsed, F.lit(0)), F.lit(0))
+                 F.when(elapsed.isNull() | ((elapsed >= 0) & ~late & rejects), "amber").otherwise("red"), F.coalesce(elapsed, F.lit(0)), F.lit(0),
+                 detail=F.concat(counted, F.when(elapsed < 0, V.PERIOD_REVERSED).otherwise(V.PERIOD_MISSED)))
+
+
+def _iso(days: str) -> Column:
+    """Days since 1970 as a date text; sums over one row per case are the day itself."""
+    return F.date_format(F.date_from_unix_date(F.col(days).cast("int")), "yyyy-MM-dd")
 
 
 def period_conflicts(cases: DataFrame) -> DataFrame:
@@ -305,7 +342,7 @@ def remedy_problems(notice: Column) -> Column:
     problems = F.filter(F.array(
         *[F.when(~F.contains(notice, F.lit(word)), V.REMEDY_NO_WORD % word) for word in V.REMEDY_REQUIRED],
         F.when(~contains_any(notice, V.REMEDY_PERIODS), V.REMEDY_NO_PERIOD),
-        F.when(F.size(found) > 0, F.format_string(V.REMEDY_ABOLISHED, F.concat(F.lit("['"), F.array_join(found, "', '"), F.lit("']")))),
+        F.when(F.size(found) > 0, F.format_string(V.REMEDY_ABOLISHED, _py_list(found))),
     ), lambda p: p.isNotNull())
     return F.when(F.coalesce(notice, F.lit("")) == "", F.array().cast("array<string>")).otherwise(problems)
 
@@ -314,7 +351,8 @@ def v8_remedy_notice(drafts: DataFrame) -> Check:
     problems = remedy_problems(F.col("remedy_notice"))
     rows = drafts.select("case_id", (F.coalesce("remedy_notice", F.lit("")) != "").cast("int").alias("v8_given"), F.size(problems).alias("v8_bad"))
     evidence = drafts.select("case_id", F.lit("V8").alias("check_id"), F.explode(problems).alias("item"))
-    return Check("V8", [rows], _status(_n("v8_given") == 0, _n("v8_bad") > 0), F.lit("red"), _n("v8_given"), _n("v8_bad"), evidence)
+    texts = drafts.select("case_id", T.bind(problems, lambda p: F.concat(F.array_join(p, "；"), F.lit("。"), F.format_string(V.CONCERNING, _py_list(p)))).alias("v8_said"))
+    return Check("V8", [rows], _status(_n("v8_given") == 0, _n("v8_bad") > 0), F.lit("red"), _n("v8_given"), _n("v8_bad"), evidence, F.col("v8_said"), texts)
 
 
 def v9_ruling_consistency(drafts: DataFrame, paragraphs: DataFrame) -> Check:
@@ -330,7 +368,12 @@ def v9_ruling_consistency(drafts: DataFrame, paragraphs: DataFrame) -> Check:
         hits = F.when(_n(f"v9_{k}") > 0, found).otherwise(hits)
     no_kind = reduce(lambda a, b: a & b, [_n(f"v9_{k}") == 0 for k in V.CONTRADICTIONS])
     skipped = no_kind | (_n("v9_filled") == 0)
-    return Check("V9", [ruled, flags], _status(skipped, hits > 0), F.lit("red"), (_n("v9_filled") > 0).cast("int"), F.when(skipped, 0).otherwise(hits))
+    # the words are few and fixed, so those that were found come from the sums
+    found = F.filter(F.array(*[F.when((_n(f"v9_{k}") > 0) & (_n(f"v9_{k}_{i}") > 0), word) for k, words in V.CONTRADICTIONS.items() for i, word in enumerate(words)]),
+                     lambda word: word.isNotNull())
+    texts = drafts.select("case_id", F.coalesce("main", F.lit("")).alias("v9_main"))
+    return Check("V9", [ruled, flags], _status(skipped, hits > 0), F.lit("red"), (_n("v9_filled") > 0).cast("int"), F.when(skipped, 0).otherwise(hits),
+                 None, T.bind(_py_list(found), lambda listed: F.concat(F.format_string(V.CONTRADICTED, F.col("v9_main"), listed), F.format_string(V.CONCERNING, listed))), texts)
 
 
 def v10_red_addressed(findings: DataFrame, paragraphs: DataFrame) -> Check:
@@ -348,8 +391,35 @@ def v10_red_addressed(findings: DataFrame, paragraphs: DataFrame) -> Check:
     return Check("V10", [rows], _status(_n("v10_reds") == 0, _n("v10_bad") > 0), F.lit("amber"), _n("v10_reds"), _n("v10_bad"), _objected(sides, "V10", bad == 1))
 
 
+def issue_sentences(judged: DataFrame, checks: list[Check], width: int = 200) -> DataFrame:
+    """The sentences that drive a rewrite, with detail and evidence: case_id, check_id, part, n_items, sentence; for every red failure.
+
+    Evidence is listed in order of its text. A check that objects to at most ``width`` items has one sentence, part 0; more are dealt by the
+    hash of the item to as many parts as hold about ``width`` each, so that no case, however large, gathers in a task. Every item stands in one part.
+    """
+    red = judged.select("case_id", F.explode("checks").alias("c")).select("case_id", "c.*").filter((F.col("status") == "fail") & (F.col("level") == "red"))
+    # V8 and V9 object to a few fixed things, which their details list already
+    tables = [check.evidence.select("case_id", "check_id", "item", *[c for c in ("state",) if c in check.evidence.columns])
+              for check in checks if check.evidence is not None and check.check_id != "V8"]
+    items = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    if "state" in items.columns:    # what is unknown is no red objection
+        items = items.filter(F.coalesce("state", F.lit("")) != "unknown")
+    part = F.pmod(F.xxhash64("item"), F.greatest(F.ceil(F.col("n_evidence") / width), F.lit(1)))
+    dealt = items.join(red.select("case_id", "check_id", "n_evidence"), ["case_id", "check_id"]).select("case_id", "check_id", part.alias("part"), "item")
+    listed = dealt.groupBy("case_id", "check_id", "part").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    name, hint = T.lit_map(V.CHECK_NAMES), T.lit_map(V.FIX_HINTS)
+    rows = red.select("case_id", "check_id", "detail").join(listed, ["case_id", "check_id"], "left")
+    said = F.concat(F.coalesce("detail", F.lit("")), F.when(F.col("items").isNotNull(), F.format_string(V.CONCERNING, _py_list(F.col("items")))).otherwise(""))
+    return rows.select(
+        "case_id", "check_id", F.coalesce("part", F.lit(0)).cast("bigint").alias("part"), F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
+        F.format_string(V.ISSUE_SENTENCE, F.try_element_at(name, F.col("check_id")), said, F.coalesce(F.try_element_at(hint, F.col("check_id")), F.lit(""))).alias("sentence"))
+
+
 def verification_report(judged: DataFrame) -> DataFrame:
-    """Summary per case of ``judge``: counts, blocking checks, sentences for the rewrite."""
+    """Summary per case of ``judge``: counts, blocking checks, sentences for the rewrite with the detail of each check.
+
+    What the checks object to is listed by ``issue_sentences``, in bounded parts.
+    """
     def count(test) -> Column:
         return F.size(F.filter("checks", test)).cast("bigint")
 
@@ -358,7 +428,7 @@ def verification_report(judged: DataFrame) -> DataFrame:
     name, hint = T.lit_map(V.CHECK_NAMES), T.lit_map(V.FIX_HINTS)
     blocked = F.filter("checks", is_red)
     sentences = F.transform(blocked, lambda c: F.format_string(
-        V.ISSUE_SENTENCE, F.try_element_at(name, c["check_id"]), F.coalesce(F.try_element_at(hint, c["check_id"]), F.lit(""))))
+        V.ISSUE_SENTENCE, F.try_element_at(name, c["check_id"]), F.coalesce(c["detail"], F.lit("")), F.coalesce(F.try_element_at(hint, c["check_id"]), F.lit(""))))
     counted = judged.select(
         "case_id", F.size("checks").cast("bigint").alias("total"), count(lambda c: c["status"] == "pass").alias("passed"), count(failed).alias("failed"),
         count(lambda c: c["status"] == "skipped").alias("skipped"), count(is_red).alias("red"),

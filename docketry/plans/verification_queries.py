@@ -199,31 +199,60 @@ def v10_red_addressed(spark, t):
     return X.with_evidence(t.cases, X.v10_red_addressed(findings, paragraphs_of(t))).select(*_RESULT.split(", "))
 
 
-def judged_cases(t):
-    """The ten verdicts of every case."""
+def checks_of(t):
+    """The ten checks of every case."""
     # texts are parsed once, and so are the dates of the cases
     paragraphs, drafts, gated = X.paragraph_facts(paragraphs_of(t)), drafts_of(t), stored(gate_of(t), "gated-cases")
     claims = paragraphs.selectExpr("case_id", "'C' || (pos % 3 + 1) AS claim_id")
     items = X.cited_items(paragraphs, X.allowed_items(t.law_rows))
-    return X.judge(t.cases, [
+    return [
         *X.citation_set_checks(items), X.v3_article_format(paragraphs),
         X.v4_claim_coverage(claims, paragraphs), X.v5_effective_at_act(t.cases, items, _versions(t)),
         X.v6_ungrounded_dates(t.cases, t.date_paragraphs), X.v7_period_recheck(gated.join(drafts, "case_id")),
-        X.v8_remedy_notice(drafts), X.v9_ruling_consistency(drafts, paragraphs), X.v10_red_addressed(rules.defect_checks(gated), paragraphs)])
+        X.v8_remedy_notice(drafts), X.v9_ruling_consistency(drafts, paragraphs), X.v10_red_addressed(rules.defect_checks(gated), paragraphs)]
+
+
+def judged_cases(t):
+    return X.judge(t.cases, checks_of(t))
 
 
 _V4_CASES_SQL = """
 v4_c AS (SELECT DISTINCT case_id, 'C' || (pos % 3 + 1) AS item FROM paragraph_rows), v4_r AS (SELECT DISTINCT case_id, responds AS item FROM paragraph_rows),
 v4_m AS (SELECT * FROM v4_c EXCEPT SELECT * FROM v4_r), v4_e AS (SELECT * FROM v4_r EXCEPT SELECT * FROM v4_c),
-v4 AS (SELECT case_id, 'V4' AS check_id, CASE WHEN nc = 0 THEN 'skipped' WHEN nm + ne > 0 THEN 'fail' ELSE 'pass' END AS status, CASE WHEN nc > 0 AND nm = 0 AND ne > 0 THEN 'amber' ELSE 'red' END AS level FROM
+v4 AS (SELECT case_id, 'V4' AS check_id, CASE WHEN nc = 0 THEN 'skipped' WHEN nm + ne > 0 THEN 'fail' ELSE 'pass' END AS status, CASE WHEN nc > 0 AND nm = 0 AND ne > 0 THEN 'amber' ELSE 'red' END AS level, nc, nm FROM
   (SELECT case_id, (SELECT count(*) FROM v4_c x WHERE x.case_id = k.case_id) AS nc, (SELECT count(*) FROM v4_m x WHERE x.case_id = k.case_id) AS nm, (SELECT count(*) FROM v4_e x WHERE x.case_id = k.case_id) AS ne FROM (SELECT case_id FROM cases) k))"""
 
-_SENTENCES = " ".join(f"WHEN '{c}' THEN '{n}未通過。{V.FIX_HINTS.get(c, '')}'" for c, n in V.CHECK_NAMES.items())
+_SENTENCES = " ".join(f"WHEN '{c}' THEN '{n}未通過：' || coalesce(detail, '') || '{V.FIX_HINTS.get(c, '')}'" for c, n in V.CHECK_NAMES.items())
+
+
+def _listed_sql(items: str) -> str:
+    return f"""'（涉及：[' || array_to_string([CASE WHEN contains(x, '''') THEN '"' || x || '"' ELSE '''' || x || '''' END for x in {items}], ', ') || ']）'"""
+
+
+_HITS = "[w for w in words if contains(body, w)]"
+#: detail of each check that can fail red, and what its rows are joined with
+_DETAILS = {
+    1: ("'有 ' || n_evidence || ' 項引用不在可引用清單內，須確認是否捏造。'", ""),
+    3: ("'內文有 ' || n_evidence || ' 處條號寫法不完整（如「條之」缺數字）。'", ""),
+    4: ("'共 ' || nc || ' 項主張，' || nm || ' 項未獲回應。'", ""),
+    5: ("'有 ' || n_evidence || ' 項引用於行為日（' || strftime(act, '%Y-%m-%d') || '）尚未生效或已刪除。'", "JOIN (SELECT case_id, act FROM case_days) USING (case_id)"),
+    7: ("""'送達 ' || strftime(d_svc, '%Y-%m-%d') || ' → 提起 ' || strftime(d_fil, '%Y-%m-%d') || '，經過 ' || elapsed || ' 日（法定 30 日）。'
+  || CASE WHEN elapsed < 0 THEN ' 提起日早於送達日，日期資料矛盾。' ELSE ' 已逾法定期間，但主文非「不受理」，請確認是否漏判逾期。' END""", "JOIN (SELECT case_id, d_svc, d_fil FROM gate) USING (case_id)"),
+    8: (f"problems || '。' || {_listed_sql("string_split(problems, '；')")}", ""),
+    9: (f"'主文為「' || {_MAIN} || '」，但理由出現相反結論用語 [''' || array_to_string({_HITS}, ''', ''') || ''']。' || {_listed_sql(_HITS)}", "JOIN (SELECT case_id, words, body FROM v9_k) USING (case_id)"),
+}
+
+
+def _check_rows_sql(number: int) -> str:
+    detail, joined = _DETAILS.get(number, ("NULL", ""))
+    return f"SELECT case_id, check_id, status, level, CASE WHEN status = 'fail' AND level = 'red' THEN {detail} END AS detail FROM v{number} {joined}"
+
+
 # the inputs d_/tl names of gate and findings overlap: findings repeat the timeline, so it is written once
 _FINDINGS_TAIL = FINDINGS_SQL[FINDINGS_SQL.index("miss AS"):]
 REPORT_SQL = f"""{_CITES_SQL.strip()}, {_ALLOWED_SQL.strip()}, {set_check_sql('v1', 'declared', 'allowed', 'red', True).strip()}, {set_check_sql('v2', 'inlined', 'declared', 'amber', False).strip()}, {_V3_SQL.strip()}, {_V4_CASES_SQL.strip()},
 {_V5_SQL.strip()}, {_V6_SQL.strip()}, {GATE_SQL.strip()}, {_V7_SQL.strip()}, {_V8_SQL.strip()}, {_BODY}, {_V9_SQL.strip()}, {_FINDINGS_TAIL.strip()}, {_V10_SQL.strip()},
-checks AS ({' UNION ALL '.join(f'SELECT case_id, check_id, status, level FROM v{i}' for i in range(1, 11))}),
+checks AS ({' UNION ALL '.join(_check_rows_sql(i) for i in range(1, 11))}),
 report AS (SELECT case_id, count(*) AS total, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'fail') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
   count(*) FILTER (status = 'fail' AND level = 'red') AS red, count(*) FILTER (status = 'fail' AND level = 'amber') AS amber,
   coalesce(string_agg(check_id, ',' ORDER BY CAST(substr(check_id, 2) AS INT)) FILTER (status = 'fail' AND level = 'red'), '') AS blocking,
@@ -236,6 +265,21 @@ def verification_report(spark, t):
     return X.verification_report(judged_cases(t))
 
 
+@query("issue_sentences", f"""WITH {REPORT_SQL},
+marks AS (SELECT case_id, replace(substr(text, greatest(p - 12, 1), p + 12 - greatest(p - 12, 1)), chr(10), ' ') AS item
+  FROM (SELECT case_id, text, unnest(generate_series(1, length(text))) AS p FROM paragraph_rows) WHERE substr(text, p, 1) IN ('第', '§')
+  AND regexp_matches(substr(text, p), '^(?:第\\s*[0-9]+\\s*條\\s*之(?:[^0-9]|$)|第\\s*條|§(?:[^0-9]|$))')),
+found AS (SELECT case_id, 'V1' AS check_id, item FROM v1_bad UNION ALL SELECT case_id, 'V3', item FROM marks UNION ALL SELECT case_id, 'V4', item FROM v4_m
+  UNION ALL SELECT case_id, 'V5', item FROM looked WHERE state = 'not_effective'),
+lists AS (SELECT case_id, check_id, list(item ORDER BY item) AS items FROM found GROUP BY ALL)
+SELECT case_id, check_id, CAST(0 AS BIGINT) AS part, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  CASE check_id {' '.join(f"WHEN '{c}' THEN '{n}未通過：' || detail || coalesce({_listed_sql('items')}, '') || '{V.FIX_HINTS.get(c, '')}'" for c, n in V.CHECK_NAMES.items())} END AS sentence
+FROM checks LEFT JOIN lists USING (case_id, check_id) WHERE status = 'fail' AND level = 'red'""", inputs=_REPORT_INPUTS)
+def issue_sentences(spark, t):
+    checks = checks_of(t)
+    return X.issue_sentences(stored(X.judge(t.cases, checks), "judged"), checks)
+
+
 @query("quality_flags", f"""WITH {REPORT_SQL},
 o AS (SELECT r.case_id, blocking, cust_key % 6 = 0 AS low, cust_key % 4 <> 0 AS ok, CASE cust_key % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk, r.case_id % 2 AS rewrites FROM report r JOIN cases USING (case_id)),
 f AS (SELECT case_id, blocking, [x for x in [CASE WHEN low THEN '前段分類信心不足（need_human_review）' END, CASE WHEN blocking <> '' THEN CASE WHEN rewrites > 0 THEN '重寫後仍有驗證紅燈：' ELSE '驗證紅燈未通過：' END || '[''' || replace(blocking, ',', ''', ''') || ''']' END,

@@ -345,7 +345,16 @@ CONTRACT_MISSING = "缺少必填欄位 %s"
 REMEDY_NO_WORD = "教示未載明「%s」"
 REMEDY_NO_PERIOD = "教示未載明 2 個月起訴期間"
 REMEDY_ABOLISHED = "引用已改制/裁撤之機關：%s"
-ISSUE_SENTENCE = "%s未通過。%s"
+ISSUE_SENTENCE = "%s未通過：%s%s"
+CONCERNING = "（涉及：%s）"
+UNLISTED = "有 %s 項引用不在可引用清單內，須確認是否捏造。"
+BROKEN_ARTICLES = "內文有 %s 處條號寫法不完整（如「條之」缺數字）。"
+UNANSWERED = "共 %s 項主張，%s 項未獲回應。"
+NOT_EFFECTIVE = "有 %s 項引用於行為日（%s）尚未生效或已刪除。"
+PERIOD_COUNTED = "送達 %s → 提起 %s，經過 %s 日（法定 %s 日）。"
+PERIOD_REVERSED = " 提起日早於送達日，日期資料矛盾。"
+PERIOD_MISSED = " 已逾法定期間，但主文非「不受理」，請確認是否漏判逾期。"
+CONTRADICTED = "主文為「%s」，但理由出現相反結論用語 %s。"
 ATTACK_LINE = "[%s] %s — 修正方向：%s"
 FLAG_CONFIDENCE = "前段分類信心不足（need_human_review）"
 FLAG_RED, FLAG_RED_AGAIN = "驗證紅燈未通過：%s", "重寫後仍有驗證紅燈：%s"
