@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -267,16 +269,32 @@ def search_requests(cases: DataFrame) -> DataFrame:
 
 
 def review_packet(items: DataFrame, width: int = 1000) -> DataFrame:
-    """All items of a case as JSON, in parts.
+    """All items of a case as JSON, in parts and pieces.
 
     ``items``: case_id, kind, item_key bigint, payload. Equal rows collapse in the first (partial) aggregation;
-    different payloads of one key all stay. A part spans ``width`` keys.
+    different payloads of one key all stay. A part spans ``width`` keys; a part of more than ``width`` items is dealt by the hash of the payload
+    to pieces of about that many, so that neither a case nor a key with any number of payloads gathers in a task.
     """
-    once = items.select("case_id", "kind", "item_key", "payload").distinct()
-    parts = once.groupBy("case_id", "kind", F.expr(f"item_key div {width}").alias("part")).agg(
+    group = ["case_id", "kind", "part"]
+    once = items.select("case_id", "kind", "item_key", "payload").distinct().withColumn("part", F.expr(f"item_key div {width}"))
+    large = once.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > width).select(*[F.col(c).alias(f"_{c}") for c in group], "_n")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group])
+    piece = F.coalesce(F.pmod(F.xxhash64("payload"), F.ceil(F.col("_n") / width)), F.lit(0).cast("bigint"))
+    return once.join(large, same, "left").select(*group, piece.alias("piece"), "item_key", "payload").groupBy(*group, "piece").agg(
         F.count("*").alias("n_items"),
         F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("item_key", "payload"))), lambda s: s["payload"])).alias("items"))
-    return parts
+
+
+def packet_items(similar: DataFrame, findings: DataFrame) -> DataFrame:
+    """Similar cases and findings of the cases as items of the packet.
+
+    ``similar``: case_id, position, doc_id, similarity; ``findings``: case_id, check_id (D<n>), level, title, evidence.
+    """
+    cases = similar.select("case_id", F.lit("similar").alias("kind"), F.col("position").cast("bigint").alias("item_key"),
+                           F.concat_ws(" ", F.col("doc_id").cast("string"), F.format_number("similarity", 4)).alias("payload"))
+    defects = findings.select("case_id", F.lit("finding").alias("kind"), F.substring("check_id", 2, 9).cast("bigint").alias("item_key"),
+                              F.concat_ws("：", "check_id", "level", "title", "evidence").alias("payload"))
+    return cases.unionByName(defects)
 
 
 def issue_profile(route: Column) -> Column:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from docketry import values as V
 from docketry.functions import text as T
-from docketry.operators import intake
+from docketry.operators import intake, rules
 from docketry.plans.derive import roc
 from docketry.plans.registry import query, sql_case, sql_list
+from docketry.plans.rule_queries import FINDINGS_SQL, timeline_of
+from docketry.plans.search_queries import SIMILAR_SQL, similar_of
 from docketry.plans.text_queries import _DOC_NO_2, _CJK, strip_sql
 
 
@@ -240,13 +242,17 @@ def build_query_text(spark, t):
 
 
 @query("review_packet", f"""
-WITH items AS (SELECT l_orderkey AS case_id, 'law' AS kind, l_partkey AS item_key, '法條' || l_partkey AS payload FROM lineitem
+WITH {SIMILAR_SQL}, {FINDINGS_SQL.strip()}, items AS (SELECT l_orderkey AS case_id, 'law' AS kind, l_partkey AS item_key, '法條' || l_partkey AS payload FROM lineitem
   UNION SELECT l_orderkey, 'claim', l_linenumber, 'C' || l_linenumber FROM lineitem
+  UNION SELECT query_id, 'similar', position, doc_id || ' ' || printf('%.4f', similarity) FROM similar_cases
+  UNION SELECT case_id, 'finding', CAST(substr(check_id, 2) AS BIGINT), concat_ws('：', check_id, level, title, evidence) FROM findings
   UNION SELECT o_orderkey, 'profile', 0, {sql_case("CASE o_custkey % 7 WHEN 0 THEN 'money_laundering' WHEN 1 THEN 'waste' WHEN 2 THEN 'air_pollution' WHEN 3 THEN 'building' WHEN 4 THEN 'noise' ELSE 'general' END",
      {r: '；'.join(i) for r, i in V.ROUTE_ISSUES.items()}, "''")} FROM orders)
-SELECT case_id, kind, item_key // 1000 AS part, count(*) AS n_items, CAST(to_json(list(payload ORDER BY item_key)) AS VARCHAR) AS items FROM items GROUP BY ALL""")
+SELECT case_id, kind, item_key // 1000 AS part, CAST(0 AS BIGINT) AS piece, count(*) AS n_items, CAST(to_json(list(payload ORDER BY item_key)) AS VARCHAR) AS items FROM items GROUP BY ALL""",
+       inputs=("vectors", "cases", "case_days"))
 def review_packet(spark, t):
     laws = t.lineitem.selectExpr("l_orderkey AS case_id", "'law' AS kind", "l_partkey AS item_key", "'法條' || l_partkey AS payload")
     claims = t.lineitem.selectExpr("l_orderkey AS case_id", "'claim' AS kind", "CAST(l_linenumber AS bigint) AS item_key", "'C' || l_linenumber AS payload")
     profile = t.cases.select("case_id", F.lit("profile").alias("kind"), F.lit(0).cast("bigint").alias("item_key"), intake.issue_profile(F.col("route_key")).alias("payload"))
-    return intake.review_packet(laws.unionByName(claims).unionByName(profile))
+    found = intake.packet_items(similar_of(t).withColumnRenamed("query_id", "case_id"), rules.defect_checks(timeline_of(t)))
+    return intake.review_packet(laws.unionByName(claims).unionByName(profile).unionByName(found))

@@ -190,6 +190,11 @@ def test_hot_packet_is_split_and_whole(spark):
     hot = packets.filter("case_id = 0")
     assert hot.agg(F.max("n_items")).head()[0] <= 100
     assert packets.agg(F.sum("n_items")).head()[0] == 5000
+    # one key with very many payloads, of a case and of none
+    one = spark.range(20_000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 END AS case_id", "'claim' AS kind", "CAST(3 AS bigint) AS item_key", "'x' || id AS payload")
+    pieces = intake.review_packet(one, width=100)
+    assert pieces.agg(F.max("n_items")).head()[0] <= 200 and pieces.count() == 200
+    assert pieces.selectExpr("explode(from_json(items, 'array<string>')) AS x").distinct().count() == 20_000
 
 
 def test_votes_of_a_hot_case(spark):
