@@ -4,11 +4,12 @@ The vectors of a bucket are ordered by the nearest of some pivots and by how nea
 its centre and between which cosines to the centre its vectors lie. For unit vectors q, x and centre c the Cauchy-Schwarz inequality on
 the parts across c gives q.x <= (q.c)(c.x) + sqrt(1 - (q.c)^2) sqrt(1 - (c.x)^2), so the block has a highest score that any of its
 vectors can reach. In a first round a query visits the blocks of the highest bounds until they hold k vectors; its k-th score
-travels to the second round, which visits every block whose bound reaches that score. All blocks of a round move once; a query moves to
-the blocks that are open for it, never to the others.
+travels to the second round, which looks into every block whose bound reaches that score.
 
-Tasks hold one block and one batch of queries, or one packet of queries and one page of the directory. Where there are more than
-``SPLIT`` queries, each copy of the blocks serves a part of them, so that no block has to answer all in one task.
+Neighbouring blocks form a group. What moves are groups of blocks and packets of queries: a packet goes to a group once, with
+those of its queries for which any block of the group is open, and the task that holds the group closes its blocks one by one. A bucket has
+about ``GRID`` groups, so a vector moves about that often, however many vectors there are, until a group holds ``HELD`` numbers.
+A task holds one group and one batch of packets. Each copy of the groups serves a part of the queries, so no group has to answer all in one task.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,14 +26,17 @@ from pyspark.sql import functions as F
 from docketry.session import stored
 
 #: Vectors of a block, pivots that order them, queries of a packet, blocks of a page of the directory.
-BLOCK, PIVOTS, PACKET, PAGE = 2048, 256, 128, 256
-#: Queries that a copy of the blocks may serve.
-SPLIT = 1_000_000
+BLOCK, PIVOTS, PACKET, PAGE = 2048, 256, 128, 1024
+#: Queries that a copy of the groups may serve.
+SPLIT = 131_072
+#: Groups that a bucket is cut into, and copies of them, as long as a group has no more than ``HELD`` numbers in its vectors, a copy no more than ``SPLIT`` queries.
+GRID, HELD = 8, 1 << 23
+#: Queries that meet a block at once, pairs that are scored exactly at once.
+TURN, PAIRS = 128, 1 << 14
 #: What rounding may add to a bound: the root of a number near zero has half its digits.
 SLACK = 1e-7
 
-_BLOCKS = "bucket string, dim int, block long, doc_id long, vec array<double>, n int, centre array<double>, low double, high double, least_norm double"
-_QUERY = "query_id long, layer string, k int, skip_self boolean, kth double"
+_BLOCKS = "bucket string, dim int, block long, doc_id long, vec binary, n int, centre array<double>, low double, high double, least_norm double"
 _HITS = "query_id bigint, layer string, k int, doc_id bigint, score double"
 
 
@@ -40,6 +45,17 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def packed(vectors: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Rows of vectors as bytes, which move without a look at their numbers; ``sizes``: rows of each value."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * vectors.shape[1] * 8
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype("i4")), pa.py_buffer(np.ascontiguousarray(vectors, "f8"))])
+
+
+def unpacked(column: pa.Array, rows: int) -> np.ndarray:
+    """The vectors of ``packed``; ``rows``: how many all values hold."""
+    return np.frombuffer(b"".join(column.to_pylist()), "f8").reshape(rows, -1)
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(vectors, axis=-1, keepdims=True)
     return vectors / np.where(norm > 0, norm, 1.0)
@@ -101,7 +117,7 @@ def _packer(block_rows: int):
         first = [n, centre.tolist(), float(to_centre.min()), float(to_centre.max()), float(np.linalg.norm(vectors, axis=1).min())]
         kinds = [pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays(
-            [rows.column("bucket"), rows.column("dim"), pa.array(np.full(n, block)), rows.column("doc_id"), rows.column("vec"),
+            [rows.column("bucket"), rows.column("dim"), pa.array(np.full(n, block)), rows.column("doc_id"), packed(vectors, np.ones(n, int)),
              *(pa.array([value, *[None] * (n - 1)], kind) for value, kind in zip(first, kinds, strict=True))], [x.split()[0] for x in _BLOCKS.split(", ")])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +151,9 @@ def build(corpus: DataFrame) -> DataFrame:
     return stored(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_packer(BLOCK), _BLOCKS), "vector-blocks")
 
 
-_PAGE = "bucket string, dim int, blocks array<long>, rows array<int>, centres array<double>, lows array<double>, highs array<double>, norms array<double>"
 _PACKET = "bucket string, dim int, query_ids array<long>, layers array<string>, ks array<int>, skips array<boolean>, kths array<double>, vecs array<double>"
+_VISIT = "group long, only long, query_ids array<long>, layers array<string>, ks array<int>, skips array<boolean>, kths array<double>, vecs binary"
+_ASKED = ["query_ids", "layers", "ks", "skips", "kths"]
 
 
 def _grouper(size: int, columns: list[str], names: list[str]):
@@ -155,10 +172,24 @@ def _grouper(size: int, columns: list[str], names: list[str]):
 
 
 def directory(blocks: DataFrame) -> DataFrame:
-    """What is known of the blocks, in pages."""
-    columns = ["block", "n", "centre", "low", "high", "least_norm"]
-    known = blocks.filter("n is not null").select("bucket", "dim", F.lit(0.0).alias("near"), *columns)
-    return known.mapInArrow(_grouper(PAGE, columns, ["blocks", "rows", "centres", "lows", "highs", "norms"]), _PAGE)
+    """A row for each block: what is known of it, its group, named after the first block of the group, and its page, which holds whole groups."""
+    bucket = Window.partitionBy("bucket", "dim")
+    known = blocks.filter("n is not null").select(
+        "bucket", "dim", "block", "n", "centre", "low", "high", "least_norm",
+        (F.row_number().over(bucket.orderBy("block")) - 1).alias("place"), F.count("*").over(bucket).alias("total"))
+    most = F.greatest(F.floor(F.lit(HELD) / (F.col("dim") * BLOCK)), F.lit(1))
+    grouped = known.withColumn("size", F.least(F.ceil(F.col("total") / GRID), most)).withColumn("turn", F.floor(F.col("place") / F.col("size"))) \
+        .withColumn("page", F.floor(F.col("turn") / F.greatest(F.floor(F.lit(PAGE) / F.col("size")), F.lit(1)))) \
+        .withColumn("group", F.min("block").over(Window.partitionBy("bucket", "dim", "turn")))
+    return stored(grouped.drop("total", "turn", "place", "size"), "vector-directory")
+
+
+def pages(listed: DataFrame) -> DataFrame:
+    """The directory in rows of at most ``PAGE`` blocks, or of one group."""
+    columns = {"block": "blocks", "group": "groups", "n": "rows", "low": "lows", "high": "highs", "least_norm": "norms"}
+    rows = listed.groupBy("bucket", "dim", "page") \
+        .agg(F.sort_array(F.collect_list(F.struct(*columns, "centre"))).alias("b"))
+    return rows.select("bucket", "dim", *[F.col(f"b.{name}").alias(plural) for name, plural in columns.items()], F.flatten("b.centre").alias("centres"))
 
 
 def packets(asked: DataFrame) -> DataFrame:
@@ -166,7 +197,7 @@ def packets(asked: DataFrame) -> DataFrame:
     columns = ["query_id", "layer", "k", "skip_self", "kth", "vec"]
     rows = asked.filter("vec is not null").select("bucket", F.size("vec").alias("dim"), F.element_at("vec", 1).cast("double").alias("near"), F.col("query_id").cast("long"),
                                                   "layer", F.col("k").cast("int"), "skip_self", F.col("kth").cast("double"), F.col("vec").cast("array<double>"))
-    return rows.filter("dim > 0").mapInArrow(_grouper(PACKET, columns, ["query_ids", "layers", "ks", "skips", "kths", "vecs"]), _PACKET)
+    return rows.filter("dim > 0").mapInArrow(_grouper(PACKET, columns, [*_ASKED, "vecs"]), _PACKET)
 
 
 def highest(queries: np.ndarray, centres: np.ndarray, low: np.ndarray, high: np.ndarray, norms: np.ndarray) -> np.ndarray:
@@ -179,90 +210,170 @@ def highest(queries: np.ndarray, centres: np.ndarray, low: np.ndarray, high: np.
 
 
 def _chooser(closing: bool):
-    """Query and block of every visit: with ``closing`` all blocks that reach the k-th score, else the best ones that hold k rows."""
+    """The visits of packets: with ``closing`` to groups in which a block reaches the k-th score, else to the best blocks that hold k rows."""
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].values for name in batch.schema.names if name not in ("bucket", "dim")}
                 dim = batch.column("dim")[i].as_py()
                 queries, centres = (row[x].to_numpy(zero_copy_only=False).reshape(-1, dim) for x in ("vecs", "centres"))
-                low, high, norms, rows, blocks = (row[x].to_numpy(zero_copy_only=False) for x in ("lows", "highs", "norms", "rows", "blocks"))
+                low, high, norms, rows, blocks, groups = (row[x].to_numpy(zero_copy_only=False) for x in ("lows", "highs", "norms", "rows", "blocks", "groups"))
                 bound = highest(queries, centres, low, high, norms)
                 if closing:
                     kth = row["kths"].to_numpy(zero_copy_only=False).astype(float)
-                    asking, visited = np.nonzero(~(bound < kth[:, None]))  # a query without k hits so far has no k-th score
+                    # a query without k hits so far has no k-th score; groups are runs of blocks
+                    starts = np.array([start for start, _ in _runs(groups)])
+                    asking, met = np.nonzero(np.logical_or.reduceat(~(bound < kth[:, None]), starts, axis=1))
+                    spots = [(groups[starts[v]], None, asking[met == v]) for v in np.unique(met)]
                 else:
                     order = np.argsort(-bound, axis=1, kind="stable")
                     before = np.cumsum(rows[order], axis=1) - rows[order]
                     asking, place = np.nonzero(before < row["ks"].to_numpy()[:, None] + 1)
-                    visited = order[asking, place]
-                for start in range(0, len(asking), 4096):
-                    a, v = asking[start:start + 4096], visited[start:start + 4096]
-                    chosen = pa.array(a)
-                    vectors = queries[a]
+                    met = order[asking, place]
+                    spots = [(groups[v], blocks[v], asking[met == v]) for v in np.unique(met)]
+                if spots:
+                    ends = pa.array(np.cumsum([0, *(len(a) for _, _, a in spots)]), pa.int32())
+                    chosen = np.concatenate([a for _, _, a in spots])
                     yield pa.RecordBatch.from_arrays(
-                        [*(row[x].take(chosen) for x in ("query_ids", "layers", "ks", "skips", "kths")), pa.array(blocks[v]),
-                         pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * dim, pa.int32()), pa.array(vectors.ravel()))],
-                        [*(x.split()[0] for x in _QUERY.split(", ")), "block", "vec"])
+                        [pa.array([g for g, _, _ in spots], pa.int64()), pa.array([b for _, b, _ in spots], pa.int64()),
+                         *(pa.ListArray.from_arrays(ends, row[x].take(pa.array(chosen))) for x in _ASKED),
+                         packed(queries[chosen], np.array([len(a) for _, _, a in spots]))],
+                        ["group", "only", *_ASKED, "vecs"])
     return choose
 
 
-def visits(asked: DataFrame, pages: DataFrame, closing: bool) -> DataFrame:
-    """A row for each query and block that it visits. ``asked``: query_id, layer, k, skip_self, kth, vec, bucket."""
-    met = packets(asked).join(pages, ["bucket", "dim"])
-    return met.mapInArrow(_chooser(closing), f"{_QUERY}, block long, vec array<double>")
+def visits(asked: DataFrame, listed: DataFrame, closing: bool) -> DataFrame:
+    """A row for each packet and group that it visits (``only``: for one block of it). ``asked``: query_id, layer, k, skip_self, kth, vec, bucket."""
+    met = packets(asked).join(pages(listed), ["bucket", "dim"])
+    return met.mapInArrow(_chooser(closing), _VISIT)
+
+
+class _Group:
+    """The blocks of a group, and the best k of each packet among them.
+
+    Pairs are sifted by their cosines in single precision; whatever could reach the score asked for is scored in double precision.
+    Vectors whose length is so small or large that this says nothing of their scores are scored in double precision at once.
+    """
+
+    def __init__(self, rows: list[pa.RecordBatch]):
+        block = np.concatenate([x.column("block").to_numpy(zero_copy_only=False) for x in rows])
+        ids = np.concatenate([x.column("id").to_numpy(zero_copy_only=False) for x in rows])
+        order = np.lexsort((ids, block))
+        self.ids, self.docs = ids[order], np.concatenate([unpacked(x.column("vecs"), len(x)) for x in rows])[order]
+        self.norms = np.linalg.norm(self.docs, axis=1)
+        self.near = unit(self.docs).astype("f4")
+        self.runs = list(_runs(block[order]))
+        self.place = {int(block[order][start]): i for i, (start, _) in enumerate(self.runs)}
+        known = pa.Table.from_batches(rows).select(["block", "low", "high", "least_norm", "centre"]).filter(pc.field("low").is_valid()).sort_by("block").combine_chunks()
+        self.low, self.high, self.least = (known.column(x).to_numpy() for x in ("low", "high", "least_norm"))
+        self.centres = matrix(known.column("centre").combine_chunks())
+        self.tame = self._tame(self.norms)
+        #: what single precision, damping and rounding may take from a score
+        self.slack = 2e-5 + 2.4e-7 * self.docs.shape[1]
+
+    @staticmethod
+    def _tame(norms: np.ndarray) -> np.ndarray:
+        return (norms >= 1e-2) & (norms <= 1e15)
+
+    def answer(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sizes = pc.list_value_length(part.column("query_ids")).to_numpy()
+        only = np.repeat(pc.fill_null(part.column("only"), -1).to_numpy(), sizes)
+        names, layers, ks, skips, kths = (part.column(x).flatten() for x in _ASKED)
+        vecs = unpacked(part.column("vecs"), len(names))
+        asked_by, k = names.to_numpy(), ks.to_numpy()
+        skip, kth = skips.to_numpy(zero_copy_only=False).astype(bool), kths.to_numpy(zero_copy_only=False).astype(float)
+        kth = np.where(np.isnan(kth), -np.inf, kth)
+        order = np.argsort(only, kind="stable")
+        for start, end in _runs(only[order]):
+            for at in range(start, end, TURN):
+                some = order[at:min(at + TURN, end)]
+                met = range(len(self.runs)) if only[some[0]] < 0 else [self.place[int(only[some[0]])]]
+                row, at_doc, score = self._best(vecs[some], asked_by[some], k[some], skip[some], kth[some], met)
+                chosen = pa.array(some[row])
+                yield pa.RecordBatch.from_arrays([*(x.take(chosen) for x in (names, layers, ks)), pa.array(self.ids[at_doc]), pa.array(score)],
+                                                 ["query_id", "layer", "k", "doc_id", "score"])
+
+    def _best(self, queries, asked_by, k, skip, floor, met):
+        """Query, place and score of the best k of each query in the blocks ``met``, as far as they reach ``floor``."""
+        bound = highest(queries, self.centres, self.low, self.high, self.least)
+        norms, near = np.linalg.norm(queries, axis=1), unit(queries).astype("f4")
+        tame, floor = self._tame(norms), floor.copy()
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for j in met:
+            start, end = self.runs[j]
+            asking = np.flatnonzero(~(bound[:, j] < floor))
+            if not len(asking):
+                continue
+            found = []
+            fast, docs = asking[tame[asking]], start + np.flatnonzero(self.tame[start:end])
+            if len(fast) and len(docs):
+                whole = len(docs) == end - start
+                rows, cols = self._sifted(near[fast], self.near[start:end] if whole else self.near[docs], self.ids[docs], asked_by[fast], k[fast], skip[fast], floor[fast])
+                found.append((fast[rows], docs[cols]))
+            for some, others in ((fast, start + np.flatnonzero(~self.tame[start:end])), (asking[~tame[asking]], np.arange(start, end))):
+                found.append((np.repeat(some, len(others)), np.tile(others, len(some))))
+            row, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+            own = skip[row] & (asked_by[row] == self.ids[doc])
+            row, doc = row[~own], doc[~own]
+            score = np.empty(len(row))
+            for at in range(0, len(row), PAIRS):
+                r, d = row[at:at + PAIRS], doc[at:at + PAIRS]
+                score[at:at + PAIRS] = np.round(np.einsum("ij,ij->i", queries[r], self.docs[d]) / (norms[r] * self.norms[d] + 1e-9), 9)
+            kept = np.isfinite(score) & (score >= floor[row])
+            if not kept.any():
+                continue
+            row, doc, score = (np.concatenate([old, new[kept]]) for old, new in zip(held, (row, doc, score), strict=True))
+            order = np.lexsort((self.ids[doc], -score, row))
+            row, doc, score = row[order], doc[order], score[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+            last = rank == k[row] - 1
+            floor[row[last]] = np.maximum(floor[row[last]], score[last])
+            held = tuple(x[rank < k[row]] for x in (row, doc, score))
+        return held
+
+    def _sifted(self, queries, docs, ids, asked_by, k, skip, floor):
+        """Pairs that may be among the best k and reach ``floor``."""
+        cosine = queries @ docs.T
+        least = floor - self.slack
+        new = np.flatnonzero(np.isneginf(floor))
+        if len(new):
+            # no score is known yet: the k-th cosine of this block is one, up to the slack on both sides
+            other = cosine[new]
+            other[skip[new, None] & (asked_by[new, None] == ids)] = -np.inf
+            other.sort(axis=1)
+            least[new] = other[np.arange(len(new)), np.maximum(len(ids) - k[new], 0)] - 2 * self.slack
+        return np.divmod(np.flatnonzero(cosine >= least.astype("f4")[:, None]), len(ids))
 
 
 def _scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a spot come vectors first, then the queries that visit them: the best k of each visit."""
-    spot, held, docs, ids = None, [], None, None
+    """Rows of a spot come vectors first, then the packets that visit them: the best k of each visit."""
+    spot, held, group = None, [], None
     for batch in batches:
         spots, kind = batch.column("spot").to_numpy(), batch.column("kind").to_numpy()
         for start, end in _runs(spots, kind):
             part = batch.slice(start, end - start)
             if spots[start] != spot:
-                spot, held, docs = spots[start], [], None
+                spot, held, group = spots[start], [], None
             if kind[start] == 0:
                 held.append(part)
                 continue
-            if docs is None:
-                ids = np.concatenate([x.column("id").to_numpy() for x in held]) if held else np.zeros(0, np.int64)
-                order = np.argsort(ids, kind="stable")
-                docs = np.concatenate([matrix(x.column("vec")) for x in held])[order] if held else np.zeros((0, 0))
-                ids, norms, held = ids[order], np.linalg.norm(docs, axis=1), []
-            if not len(ids):
-                continue
-            queries, asked_by, k = matrix(part.column("vec")), part.column("id").to_numpy(), part.column("k").to_numpy(zero_copy_only=False)
-            skip, kth = part.column("skip_self").to_numpy(zero_copy_only=False).astype(bool), part.column("kth").to_numpy(zero_copy_only=False).astype(float)
-            for at in range(0, len(queries), 512):
-                some = slice(at, at + 512)
-                scores = np.round(queries[some] @ docs.T / (np.outer(np.linalg.norm(queries[some], axis=1), norms) + 1e-9), 9)
-                scores[(asked_by[some, None] == ids) & skip[some, None]] = -np.inf
-                width = min(int(k[some].max()), len(ids))
-                # all that reach the score at place ``width``; ids ascend, so a stable sort keeps the lower id on equal scores
-                edge = np.partition(scores, len(ids) - width, axis=1)[:, len(ids) - width]
-                floor = np.where(np.isnan(kth[some]), edge, np.maximum(edge, kth[some]))
-                row, col = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
-                order = np.lexsort((col, -scores[row, col], row))
-                row, col = row[order], col[order]
-                near = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k[some][row]
-                row, col = row[near], col[near]
-                chosen = pa.array(row + at)
-                yield pa.RecordBatch.from_arrays([*(part.column(x).take(chosen) for x in ("id", "layer", "k")), pa.array(ids[col]), pa.array(scores[row, col])],
-                                                 ["query_id", "layer", "k", "doc_id", "score"])
+            if group is None:
+                group, held = _Group(held), []
+            yield from group.answer(part)
 
 
-def hits(visited: DataFrame, blocks: DataFrame, copies: Column) -> DataFrame:
-    """The best k of every visit. ``copies``: how often a block is copied, each copy for a part of the queries."""
+def hits(visited: DataFrame, blocks: DataFrame, listed: DataFrame, copies: Column) -> DataFrame:
+    """The best k of every visit. ``copies``: how often a group is copied, each copy for a part of the packets."""
     def spot(part: Column) -> Column:
-        return F.shiftleft("block", 16).bitwiseOR(part.cast("long")).alias("spot")
+        return F.shiftleft("group", 16).bitwiseOR(part.cast("long")).alias("spot")
 
-    split = blocks.select("block", "doc_id", "vec", F.explode(F.sequence(F.lit(0), copies - 1)).alias("part"))
-    null = [F.lit(None).cast(kind).alias(name) for name, kind in (("layer", "string"), ("k", "int"), ("skip_self", "boolean"), ("kth", "double"))]
-    part = F.pmod(F.xxhash64("query_id", "layer"), copies)
-    rows = split.select(spot(F.col("part")), F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "vec", *null) \
-        .union(visited.select(spot(part), F.lit(1), "query_id", "vec", "layer", "k", "skip_self", "kth"))
-    return rows.repartition("spot").sortWithinPartitions("spot", "kind").mapInArrow(_scorer, _HITS)
+    split = blocks.join(listed.select("block", "group"), "block").withColumn("part", F.explode(F.sequence(F.lit(0), copies.cast("int") - 1)))
+    docs = split.select(spot(F.col("part")), F.lit(0).alias("kind"), "block", F.col("doc_id").alias("id"), "low", "high", "least_norm", "centre", F.col("vec").alias("vecs"))
+    asking = visited.select(spot(F.pmod(F.xxhash64("query_ids", "layers"), copies)), F.lit(1).alias("kind"), "only", *_ASKED, "vecs")
+    rows = docs.unionByName(asking, allowMissingColumns=True)
+    # the work of a spot is not seen in its bytes, so small ones are not to be put together in one task
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "spot").sortWithinPartitions("spot", "kind").mapInArrow(_scorer, _HITS)
 
 
 def best(found: DataFrame) -> DataFrame:
@@ -278,10 +389,12 @@ def search(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     a query whose buckets hold fewer than k vectors gets all of them; vectors of different widths do not meet.
     """
     blocks = build(corpus)
-    pages = directory(blocks)
+    listed = directory(blocks)
     asked = queries.select("query_id", "layer", "k", "vec", "skip_self", F.explode("buckets").alias("bucket"))
-    copies = asked.agg(F.greatest(F.ceil(F.count("*") / SPLIT), F.lit(1)).cast("int")).scalar()
-    first = best(hits(visits(asked.withColumn("kth", F.lit(None).cast("double")), pages, False), blocks, copies))
+    most = asked.groupBy("bucket").count().agg(F.coalesce(F.max("count"), F.lit(0))).scalar()
+    # the first round asks for some blocks only, so that a copy can serve more queries
+    seeds, copies = F.greatest(F.ceil(most / (8 * SPLIT)), F.lit(1)), F.greatest(F.ceil(most / SPLIT), F.least(F.ceil(most / (32 * PACKET)), F.lit(GRID)), F.lit(1))
+    first = best(hits(visits(asked.withColumn("kth", F.lit(None).cast("double")), listed, False), blocks, listed, seeds))
     reached = first.groupBy("query_id", "layer").agg(F.min(F.when(F.col("rank") == F.col("k"), F.col("score"))).alias("kth"))
     known = asked.join(reached, ["query_id", "layer"], "left")
-    return best(hits(visits(known, pages, True), blocks, copies))
+    return best(hits(visits(known, listed, True), blocks, listed, copies))

@@ -97,6 +97,33 @@ def test_bounds_close_blocks_and_lose_nothing(spark, monkeypatch, kind, share):
     print(kind, counted, made)
 
 
+def test_a_query_moves_to_groups_of_blocks(spark, monkeypatch):
+    """Without any order no block closes; still a query moves once for each group, of which a bucket has a fixed number."""
+    monkeypatch.setattr(cosine_index, "BLOCK", 64)
+    moved, visits = [], cosine_index.visits
+
+    def counting(*args):
+        out = visits(*args).cache()
+        moved.append(out.toPandas()["query_ids"].map(len).sum())
+        return out
+
+    monkeypatch.setattr(cosine_index, "visits", counting)
+    v = vectors(6000, 3)
+    corpus = spark.createDataFrame([(i, x.tolist(), "all") for i, x in enumerate(v)], "doc_id bigint, vec array<float>, bucket string")
+    asked = corpus.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "vec")
+    got = retrieval.cosine_topk(retrieval.ask(asked, T.lits(["all"]), 5), corpus)
+    d = v.astype("float64")
+    norms = np.linalg.norm(d, axis=1)
+    found = {}
+    for row in got.orderBy("rank").collect():
+        found.setdefault(row["query_id"], []).append(row["doc_id"])
+    for q in range(0, 6000, 10):
+        scores = np.round(d[q] @ d.T / (norms[q] * norms + 1e-9), 9)
+        scores[q] = -np.inf
+        assert found[q] == np.lexsort((np.arange(len(v)), -scores))[:5].tolist()
+    assert sum(moved) <= 600 * (cosine_index.GRID + 2), moved
+
+
 def test_no_vector_beats_the_bound():
     rng = np.random.default_rng(2)
     for scale in (1e-12, 1e-6, 1.0, 1e6):
