@@ -95,8 +95,8 @@ def verify_drafts(analysis: DataFrame, paragraphs: DataFrame, findings: DataFram
     ``paragraphs``: see ``draft_paragraphs``; each case with a draft and an analysis has a row per check. Without a version store V5 is skipped.
     """
     drafts = paragraphs.select("case_id", "main", "remedy_notice").distinct()
-    cases = stored(rules.appeal_timeline(analysis.join(drafts, "case_id")), "drafted-cases")
-    known = cases.select("case_id")
+    cases = stored(rules.appeal_timeline(analysis.join(drafts.hint("merge"), "case_id")), "drafted-cases")
+    known = cases.select("case_id").hint("merge")    # a row per case is no table for the driver, however small its file
     facts = verification.paragraph_facts(paragraphs.join(known, "case_id", "left_semi"))
     items = verification.cited_items(facts, verification.allowed_items(laws.join(known, "case_id", "left_semi")))
     return verification.results(
@@ -123,7 +123,7 @@ def _batches(rows: DataFrame) -> list[int]:
 def latest(table: DataFrame, analysis: DataFrame) -> DataFrame:
     """Of cases that were analysed in several batches the rows of the last one, which may have none."""
     last = analysis.groupBy(F.col("case_id").alias("key")).agg(F.max("batch_id").alias("last"))
-    return table.join(last, (F.col("case_id") == F.col("key")) & (F.col("batch_id") == F.col("last"))).drop("key", "last", "batch_id")
+    return table.join(last.hint("merge"), (F.col("case_id") == F.col("key")) & (F.col("batch_id") == F.col("last"))).drop("key", "last", "batch_id")
 
 
 def analysis_stage(stream: DataFrame, root: str, checkpoint: str) -> None:
@@ -152,7 +152,7 @@ def draft_stage(spark: SparkSession, root: str, checkpoint: str) -> None:
     def one_batch(batch: DataFrame, _: int) -> None:
         analysis = read_stage(spark, root, "analysis").filter(F.col("batch_id").isin(_batches(batch)))
         marks = analysis.select("case_id", "batch_id").distinct()
-        write_stage(draft_paragraphs(analysis).join(marks, "case_id"), root, "draft", "batch_id")
+        write_stage(draft_paragraphs(analysis).join(marks.hint("merge"), "case_id"), root, "draft", "batch_id")
 
     _run(_stage_stream(spark, root, "analysis"), one_batch, checkpoint)
 
