@@ -211,6 +211,47 @@ def test_report_counts_add_up(spark):
     assert report[1]["blocking"] == "V4" and report[2]["skipped"] == 4
 
 
+def plan_of(table):
+    """The plan as it was run."""
+    table.collect()
+    return table._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_tables_of_cases_are_never_broadcast(spark):
+    """However small the files of a stage look, what has a row per case stays off the driver."""
+    analysis = spark.range(50).selectExpr("id AS case_id", "id % 2 AS batch_id", "'x' AS detail")
+    assert "Broadcast" not in plan_of(arrivals.latest(analysis, analysis))
+    paragraphs = spark.createDataFrame([(c, "依訴願法第77條", ["訴願法§77"], ["C1"]) for c in range(50)], "case_id bigint, text string, cites array<string>, responds_to array<string>")
+    findings = paragraphs.selectExpr("case_id", "'red' AS level", "'D1' AS check_id", "'事項不完備' AS title")
+    drafts = paragraphs.selectExpr("case_id", "'訴願駁回。' AS main", "'' AS remedy_notice")
+    claims = spark.range(50).selectExpr("id AS case_id", "'C1' AS claim_id")
+    checks = [X.v3_article_format(paragraphs), X.v4_claim_coverage(claims, paragraphs), X.v8_remedy_notice(drafts), X.v9_ruling_consistency(drafts, paragraphs),
+              X.v10_red_addressed(findings, paragraphs)]
+    judged = X.judge(paragraphs.select("case_id"), checks)
+    assert "Broadcast" not in plan_of(judged) and judged.count() == 50
+
+
+def test_sums_of_a_check_carry_no_metrics_of_others(spark):
+    cases = spark.range(20).selectExpr("id AS case_id").unionByName(spark.range(3).selectExpr("id AS case_id"))
+    tables = [spark.range(40).selectExpr("id % 25 AS case_id", f"1 AS m{i}") for i in range(3)] + [spark.range(10).selectExpr("id AS case_id", "5 AS m2")]
+    checks = [X.Check(f"T{i}", [table], F.lit("pass"), F.lit("red"), F.col(f"m{min(i, 2)}"), F.lit(0)) for i, table in enumerate(tables)]
+    judged = X.judge(cases, checks)
+    wide = [line for line in plan_of(judged).split("\n") if "partial_sum(m0" in line and "partial_sum(m1" in line]
+    assert not wide
+    found = {r["case_id"]: [c["n_items"] for c in r["checks"]] for r in judged.collect()}
+    assert found == {c: [n, n, n + 5 * (c < 10), n + 5 * (c < 10)] for c in range(20) for n in [2 if c < 15 else 1]}
+
+
+def test_dates_are_searched_once_for_verdict_and_evidence(spark):
+    cases = spark.createDataFrame([(1, "民國113年1月1日")], "case_id bigint, filed_date string") \
+        .selectExpr("*", "'' AS disposition_date", "'' AS service_date", "'' AS act_date")
+    paragraphs = spark.createDataFrame([(1, "於民國113年1月1日、113年2月3日及113年2月3日")], "case_id bigint, text string")
+    check = X.v6_ungrounded_dates(cases, paragraphs)
+    assert "Generate" not in plan_of(check.evidence)
+    (row,) = X.with_evidence(cases, check).collect()
+    assert (row["status"], row["n_evidence"], row["item"]) == ("fail", 2, "113年2月3日")
+
+
 def test_hot_packet_is_split_and_whole(spark):
     items = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS case_id", "'law' AS kind", "id AS item_key", "'x' || id AS payload")
     packets = intake.review_packet(items.unionByName(items), width=100)
