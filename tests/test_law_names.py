@@ -65,3 +65,27 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "place long, law string")
     assert sorted(r["law"] for r in C.resolve_laws(rows, "name", none).collect()) == ["同法", "某辦法"]
     assert C.resolve_laws(rows.limit(0), "name", none).count() == 0
+
+
+def test_a_citation_as_written_is_resolved_once_for_a_batch():
+    from docketry.functions.citations import _Reader
+
+    reader, taken = _Reader(), []
+    resolve = reader._part
+    reader._part = lambda match: taken.append(match[0]) or resolve(match)
+    texts = ["按行政罰法第7條及訴願法§1之2", "另行政罰法第7條，再依行政罰法第８條", None, "惟同法第3條"]
+    assert [reader.names_of(text) for text in texts] == [[part["citation"] for part in reader.distinct(text)] for text in texts]
+    assert reader.names_of(texts[0]) == ["行政罰法第7條", "訴願法第1條之2"] and reader.names_of(texts[3]) == []
+    assert len(taken) == len(set(taken))
+
+
+def test_only_runs_of_other_digits_are_translated():
+    from docketry import values as V
+    from docketry.functions.citations import _Reader
+
+    reader = _Reader()
+    for text in ("", None, "依訴願法第１０條之２及第3條", "甲" * 50 + "０１２３４５６７８９0123456789", "無數字"):
+        assert reader.plain(text) == (text or "").translate(str.maketrans(V.FULLWIDTH_DIGITS, V.ASCII_DIGITS))
+    reader.digits = {}      # a text without other digits never meets the table
+    assert reader.plain("依訴願法第10條") == "依訴願法第10條"
+    assert reader.names_of("依訴願法第10條") == ["訴願法第10條"]
