@@ -48,17 +48,21 @@ def query_buckets(doc_types: list[str], include_common: bool, route: Column | No
 def cosine_topk(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Exact top k by cosine per (query_id, layer).
 
-    ``queries``: query_id, layer, k, vec, skip_self (leave out the document of the same id), buckets.
+    ``queries``: query_id, vec, asks (for each layer: layer, k, skip_self to leave out the document of the same id, buckets), see ``ask``.
     ``corpus``: doc_id, vec, bucket. See ``cosine_index``: blocks of near vectors inside each bucket, of which a query
     visits those whose bound reaches its k-th score; pairs of vectors never become rows.
     """
     return cosine_index.search(queries, corpus).select("query_id", "layer", "doc_id", "score", "rank")
 
 
+def layer_of(buckets: Column, k: int, layer: Column | str = "all", skip_self: bool = True) -> Column:
+    """One thing that a query asks."""
+    return F.struct((layer if isinstance(layer, Column) else F.lit(layer)).alias("layer"), F.lit(k).alias("k"), F.lit(skip_self).alias("skip_self"), buckets.alias("buckets"))
+
+
 def ask(vectors: DataFrame, buckets: Column, k: int, layer: Column | str = "all", skip_self: bool = True) -> DataFrame:
     """Query table of ``cosine_topk`` for vectors with columns query_id and vec."""
-    return vectors.select("query_id", (layer if isinstance(layer, Column) else F.lit(layer)).alias("layer"), F.lit(k).alias("k"), "vec",
-                          F.lit(skip_self).alias("skip_self"), buckets.alias("buckets"))
+    return vectors.select("query_id", "vec", F.array(layer_of(buckets, k, layer, skip_self)).alias("asks"))
 
 
 def filtered_search(vectors: DataFrame, corpus: DataFrame, doc_types: list[str], include_common: bool,
@@ -93,9 +97,10 @@ def search_with_fallback(vectors: DataFrame, corpus: DataFrame, doc_types: list[
 def layered_search(vectors: DataFrame, corpus: DataFrame, n: int = 5) -> DataFrame:
     """Statutes and references are ranked apart, so references cannot push statutes out."""
     table = corpus.withColumn("bucket", corpus_bucket(False)).filter(F.col("bucket") != "decision")
-    law = ask(vectors, query_buckets(["law"], True, None), n, "law")
-    refs = ask(vectors, query_buckets(["interpretation", "judgment"], False, None), max(n // 2, 2), "reference")
-    return cosine_topk(law.unionByName(refs), table.select("doc_id", "vec", "bucket"))
+    law = layer_of(query_buckets(["law"], True, None), n, "law")
+    refs = layer_of(query_buckets(["interpretation", "judgment"], False, None), max(n // 2, 2), "reference")
+    # both layers ride with one vector
+    return cosine_topk(vectors.select("query_id", "vec", F.array(law, refs).alias("asks")), table.select("doc_id", "vec", "bucket"))
 
 
 def merge_hits_by_citation(hits: DataFrame) -> DataFrame:

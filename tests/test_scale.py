@@ -124,6 +124,47 @@ def test_a_query_moves_to_groups_of_blocks(spark, monkeypatch):
     assert sum(moved) <= 600 * (cosine_index.GRID + 2), moved
 
 
+@pytest.mark.parametrize("n", [700, 4200])
+def test_layers_and_buckets_ride_with_one_vector(spark, monkeypatch, n):
+    """Two layers over four buckets: a query moves once for each group, whatever the number of vectors, buckets and layers, and in its own precision."""
+    monkeypatch.setattr(cosine_index, "BLOCK", 32)
+    moved, visits, copied, hits, wide, build = [], cosine_index.visits, [], cosine_index.hits, [], cosine_index.build
+
+    def counting(*args):
+        out = visits(*args).cache()
+        moved.append(out.toPandas()["query_ids"].map(len).sum())
+        return out
+
+    def copying(visited, blocks, listed, copies, *rest):
+        copied.append(copies)
+        return hits(visited, blocks, listed, copies, *rest)
+
+    def building(corpus):
+        out = build(corpus)
+        wide.extend(r[0] for r in out.select(F.octet_length("vec")).distinct().collect())
+        return out
+
+    for name, wrapped in (("visits", counting), ("hits", copying), ("build", building)):
+        monkeypatch.setattr(cosine_index, name, wrapped)
+    v, kinds = vectors(n, 4), ["law", "common_law", "interpretation", "judgment", "decision"]
+    corpus = spark.createDataFrame([(i, x.tolist(), kinds[i % 5], "waste") for i, x in enumerate(v)], "doc_id bigint, vec array<float>, doc_type string, doc_route string")
+    asked = corpus.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("query_id"), "vec")
+    found = {}
+    for row in retrieval.layered_search(asked, corpus).orderBy("rank").collect():
+        found.setdefault((row["query_id"], row["layer"]), []).append((row["doc_id"], row["score"]))
+    d = v.astype("float64")
+    norms = np.linalg.norm(d, axis=1)
+    for q in range(0, n, 7):
+        scores = np.round(d[q] @ d.T / (norms[q] * norms + 1e-9), 9)
+        for layer, wanted, k in (("law", (0, 1), 5), ("reference", (2, 3), 2)):
+            allowed = [i for i in np.lexsort((np.arange(n), -scores)).tolist() if i != q and i % 5 in wanted][:k]
+            assert [i for i, _ in found[q, layer]] == allowed
+            assert np.abs(np.array([s for _, s in found[q, layer]]) - scores[allowed]).max() < 2e-9
+    assert moved[-1] <= n / 7 * cosine_index.GRID, moved
+    assert copied[-1] <= cosine_index.SPOTS, copied
+    assert wide == [4 * 16]
+
+
 def test_no_vector_beats_the_bound():
     rng = np.random.default_rng(2)
     for scale in (1e-12, 1e-6, 1.0, 1e6):
