@@ -165,6 +165,47 @@ def test_layers_and_buckets_ride_with_one_vector(spark, monkeypatch, n):
     assert wide == [4 * 16]
 
 
+def test_full_groups_are_cut_further(spark, monkeypatch):
+    """A group holds a bounded number of bytes; queries of double precision meet vectors of single precision."""
+    monkeypatch.setattr(cosine_index, "BLOCK", 16)
+    monkeypatch.setattr(cosine_index, "HELD", 64 * 64)
+    made, directory = [], cosine_index.directory
+
+    def listing(*args):
+        out = directory(*args)
+        made.extend(r[0] for r in out.groupBy("group").agg(F.sum("n")).collect())
+        return out
+
+    monkeypatch.setattr(cosine_index, "directory", listing)
+    v = vectors(500, 5)
+    corpus = spark.createDataFrame([(i, x.tolist(), "all" if i % 2 else "other") for i, x in enumerate(v)], "doc_id bigint, vec array<float>, bucket string")
+    exact = v.astype("float64") + 1e-9
+    asked = spark.createDataFrame([(i, exact[i].tolist()) for i in range(0, 500, 5)], "query_id bigint, vec array<double>")
+    found = {}
+    for row in retrieval.cosine_topk(retrieval.ask(asked, T.lits(["all", "other"]), 4), corpus).orderBy("rank").collect():
+        found.setdefault(row["query_id"], []).append(row["doc_id"])
+    d = v.astype("float64")
+    for q in range(0, 500, 5):
+        scores = np.round(exact[q] @ d.T / (np.linalg.norm(exact[q]) * np.linalg.norm(d, axis=1) + 1e-9), 9)
+        scores[q] = -np.inf
+        assert found[q] == np.lexsort((np.arange(500), -scores))[:4].tolist()
+    assert len(made) >= 8 and max(made) <= 64 + 16, made
+
+
+def test_case_flow_runs_the_gate_once_for_both_searches(spark, monkeypatch):
+    """What asks is read by two searches, several times each; none of them may go back to the cases."""
+    asking = []
+    for name in ("find_similar", "layered_search"):
+        def noted(vectors, corpus, *rest, real=getattr(retrieval, name)):
+            asking.append(vectors.inputFiles())
+            return real(vectors, corpus, *rest)
+        monkeypatch.setattr(retrieval, name, noted)
+    from __spark_entry__ import queries
+    queries()["case_disposition_flow"](spark, "/root/testdata/sf0.001")
+    assert len(asking) == 2 and asking[0] == asking[1]
+    assert not [f for files in asking for f in files if "orders" in f], asking
+
+
 def test_no_vector_beats_the_bound():
     rng = np.random.default_rng(2)
     for scale in (1e-12, 1e-6, 1.0, 1e6):
