@@ -85,6 +85,14 @@ def test_sentences_read_only_what_can_fail_red(spark):
     assert 0 < missing.count() < checks["V4"].evidence.count()
 
 
+def test_compared_claims_are_stored_for_sentences(spark):
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    v4 = {check.check_id: check for check in checks_of(t, listed=True)}["V4"]
+    assert "Aggregate" not in plan_of(v4.red_evidence)
+    plain = {check.check_id: check for check in checks_of(t)}["V4"]
+    assert sorted(v4.evidence.collect()) == sorted(plain.evidence.collect())
+
+
 def test_dates_that_no_calendar_has(spark):
     rows = ["0000年1月1日", "00年1月1日", "113年2月29日", "112年2月29日", "１１３年０１月９日", "2024/13/1", "2024.1.31 與 99年1月1日", "民國 99 年 12 月 31 日", "", None, "9年1月1日"]
     table = spark.createDataFrame([(text,) for text in rows], "x string")
