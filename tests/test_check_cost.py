@@ -6,7 +6,7 @@ from docketry import values as V
 from docketry.functions import citations as C, dates as D, text as T
 from docketry.operators import verification as X
 from docketry.plans.derive import Inputs
-from docketry.plans.verification_queries import _CHECKED, checks_of
+from docketry.plans.verification_queries import _CHECKED, checks_of, quality_flags
 
 ODD = [None, "", "\0", "依訴願法第１０條", "洗錢防制法第22條\0訴願法第1條", "訴願法", "第3條", "建築法第5條之２及建築法第5條之2", " 訴願法第1條\n", "法第1條", "行政罰法§7、行政罰法第07條"]
 
@@ -93,6 +93,11 @@ def test_compared_claims_are_stored_for_sentences(spark):
     assert sorted(v4.evidence.collect()) == sorted(plain.evidence.collect())
 
 
+def test_flags_never_broadcast_the_cases(spark):
+    flags = quality_flags(spark, Inputs(spark, "/root/testdata/sf0.001"))
+    assert "Broadcast" not in plan_of(flags)
+
+
 def test_dates_that_no_calendar_has(spark):
     rows = ["0000年1月1日", "00年1月1日", "113年2月29日", "112年2月29日", "１１３年０１月９日", "2024/13/1", "2024.1.31 與 99年1月1日", "民國 99 年 12 月 31 日", "", None, "9年1月1日"]
     table = spark.createDataFrame([(text,) for text in rows], "x string")
